@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import struct
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,15 +27,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KNOWN_WORDS = 1_200_000
+KNOWN_WORDS = 500_000
 SLICE_WORDS = 60_000
+# Runs without white space, with one space before; runs of white space up to such. White space as patterns' \s has it.
+_W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACED_PARTS = rf" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
 _loaded: dict[tuple, Replay] = {}
 
 
 class Replay:
     """Merges by rank over a slice of words at a time, with a bounded memory of words already done."""
 
-    def __init__(self, rank_file: bytes, pattern: str) -> None:
+    def __init__(self, rank_file: bytes, pattern: str, parts: str | None = None) -> None:
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, rank_file.splitlines()) if t}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -45,7 +49,9 @@ class Replay:
             for cut in range(1, len(t))
             if t[:cut] in self.ranks and t[cut:] in self.ranks
         }  # the rank of a pair is that of its joined bytes
+        self.parts_of = re.compile(parts).findall if parts else None
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
@@ -92,42 +98,51 @@ class Replay:
             start = e + 1
         return out
 
-    def learn(self, words: Iterable[str]) -> None:
-        todo = [w for w in words if w not in self.known]
-        if len(self.known) + len(todo) > KNOWN_WORDS:
-            self.known.clear()
+    def learn(self, parts: list[str]) -> None:
+        """Ids of parts not met before; their words that are new are merged together."""
+        split = {p: self.split(p) for p in parts} if self.parts_of else {p: [p] for p in parts}
+        new = {w for words in split.values() for w in words if w not in self.words}
+        if len(self.words) + len(new) > KNOWN_WORDS:
+            self.words.clear()
+            new = {w for words in split.values() for w in words}
         merge = []
-        for w in todo:
+        for w in new:
             raw = w.encode()
             whole = self.ranks.get(raw)
             if whole is None:
                 merge.append((w, raw))
             else:
-                self.known[w] = struct.pack("<I", whole)
+                self.words[w] = struct.pack("<I", whole)
         for (w, _), ids in zip(merge, self.replay([r for _, r in merge]), strict=True):
-            self.known[w] = struct.pack(f"<{len(ids)}I", *ids)
+            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        known = self.words.__getitem__
+        self.known.update((p, b"".join(map(known, words))) for p, words in split.items())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text; texts are taken in slices so that a slice's distinct words stay few."""
-        pending: list[list[str]] = []
+        """Ids of each text; texts are taken in slices so that a slice's new parts stay few."""
+        pending: list[list[str] | bytes] = []
         fresh: set[str] = set()
+        get, split = self.known.get, self.parts_of or self.split
         for text in texts:
-            words = self.split(text)
-            pending.append(words)
-            fresh.update(words)
+            parts = split(text)
+            ids = list(map(get, parts))
+            if None in ids:
+                fresh.update(p for p, i in zip(parts, ids, strict=True) if i is None)
+                pending.append(parts)
+            else:
+                pending.append(b"".join(ids))
             if len(fresh) >= SLICE_WORDS:
-                yield from self._flush(pending, fresh)
+                yield from self.flush(pending, fresh)
                 pending, fresh = [], set()
-        yield from self._flush(pending, fresh)
+        yield from self.flush(pending, fresh)
 
-    def _flush(self, pending: list[list[str]], fresh: set[str]) -> Iterator[bytes]:
-        missing = [w for w in fresh if w not in self.known]
-        if len(self.known) + len(missing) > KNOWN_WORDS:
+    def flush(self, pending: list[list[str] | bytes], fresh: set[str]) -> Iterator[bytes]:
+        if len(self.known) + len(fresh) > KNOWN_WORDS:
             self.known.clear()
-            missing = list(fresh)
-        self.learn(missing)
-        for words in pending:
-            yield b"".join(map(self.known.__getitem__, words))
+            fresh = {p for parts in pending if isinstance(parts, list) for p in parts}
+        self.learn(list(fresh))
+        for parts in pending:
+            yield parts if isinstance(parts, bytes) else b"".join(map(self.known.__getitem__, parts))
 
     def decode(self, ids: bytes) -> bytes | None:
         try:
@@ -136,36 +151,47 @@ class Replay:
             return None
 
 
-def replay_of(rank_file: Broadcast, pattern: str) -> Replay:
+def replay_of(rank_file: Broadcast, pattern: str, parts: str | None) -> Replay:
     """One Replay a worker process, which later tasks of the process use again."""
     raw = rank_file.value
-    key = (len(raw), hash(raw), pattern)
+    key = (len(raw), hash(raw), pattern, parts)
     if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = Replay(raw, pattern)
+        _loaded[key] = Replay(raw, pattern, parts)
     return _loaded[key]
 
 
 class ByteBpe:
-    """Encoder and decoder for a rank file; the file (its size is the bound) is broadcast, so executors need no copy."""
+    """Encoder and decoder for a rank file; the file (its size is the bound) is broadcast, so executors need no copy.
+
+    ``parts`` may name a simpler pattern whose matches the words of ``pattern`` never reach over and are not split
+    differently in; parts of texts that a worker has met are then not split again.
+    """
 
-    def __init__(self, spark: SparkSession, rank_path: str, pattern: str) -> None:
+    def __init__(self, spark: SparkSession, rank_path: str, pattern: str, parts: str | None = None) -> None:
         with open(rank_path, "rb") as f:
             ranks = spark.sparkContext.broadcast(f.read())
 
+        @F.pandas_udf("struct<ids:binary,decoded:binary>")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            bpe = replay_of(ranks, pattern, parts)
+            for texts in batches:
+                ids = list(bpe.encode(["" if t is None else t for t in texts]))
+                yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]}, dtype=object)
+
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            bpe = replay_of(ranks, pattern)
+            bpe = replay_of(ranks, pattern, parts)
             for texts in batches:
                 yield pd.Series(list(bpe.encode(["" if t is None else t for t in texts])), dtype=object)
 
         @F.pandas_udf("binary")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            bpe = replay_of(ranks, pattern)
+            bpe = replay_of(ranks, pattern, parts)
             for ids in batches:
                 yield pd.Series([None if i is None else bpe.decode(i) for i in ids], dtype=object)
 
-        self._encode, self._decode = encode, decode
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, df: DataFrame, text: str, out: str = "ids") -> DataFrame:
         return df.withColumn(out, self._encode(F.col(text)))
@@ -173,6 +199,11 @@ class ByteBpe:
     def decode(self, df: DataFrame, ids: str, out: str = "decoded") -> DataFrame:
         return df.withColumn(out, self._decode(F.col(ids)))
 
+    def round_trip(self, df: DataFrame, text: str) -> DataFrame:
+        """``df`` with ``ids`` and what they decode to, ``decoded``, from one pass through one worker."""
+        others = [c for c in df.columns if c not in ("ids", "decoded")]
+        return df.select(*others, self._both(F.col(text)).alias("_coded")).select(*others, "_coded.ids", "_coded.decoded")
+
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def ids_to_array(ids: pd.Series) -> pd.Series:

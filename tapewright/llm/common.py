@@ -40,3 +40,16 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
+
+
+#: Rows of a few numbers up to which a counted side is sent to every executor.
+SMALL_ROWS = 200_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
+    """Join with the right side broadcast if its ``rows``, counted beforehand, are few, and by shuffle otherwise."""
+    if rows <= SMALL_ROWS:
+        from pyspark.sql import functions as F
+
+        right = F.broadcast(right)
+    return left.join(right, on, how)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, media, ring, warc
+from tapewright.llm import bpe, line_dedup, media, order_minhash, packing, quality_rules, ring, token_pieces, url_filter, warc
 from tapewright.llm.common import fresh_path, table, written
 
 
@@ -25,6 +25,22 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), digits, letters)
 
 
+# Fixed values of the task: (verdict, host, path start).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages through an archive: one record each, equal payloads stored once, read back through the source."""
     warc.register(spark)
@@ -58,10 +74,36 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, "url", URL_RULES, table(spark, sf_dir, "labels"), "page_id", "doc_id")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces of all documents with their place; the ids go as their checksum."""
+    pieces = token_pieces.token_pieces(docs.select("doc_id", "text"), "text", public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "length")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document (doc_id and text): its class and how many rows it stands for."""
+    return order_minhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "copies")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.crc32(utf8(F.col("text"))).alias("kept_crc32"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coder = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coder = bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, bpe.SPACED_PARTS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = coder.decode(coder.encode(docs, "text"), "ids")
+    done = coder.round_trip(docs, "text")
     return done.select("doc_id", bpe.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -87,7 +129,12 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
+    "op3_url_rules": op3_url_rules,
+    "op4_packing": op4_packing,
+    "op5_order_minhash": op5_order_minhash,
+    "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media": op9_media,
     "op10_ring_shards": op10_ring_shards,
