@@ -136,7 +136,7 @@ def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 819
         """One island of one block: its items, and its own and its neighbour's solution as far as there are any."""
         block, island = int(key[0]), int(key[1])
         own = frame[frame["source"] == -1].sort_values("_row")
-        row_ids, sizes = own["_row"].to_numpy(), own["_size"].tolist()
+        row_ids, sizes = own["_row"].to_numpy(), own["_size"].astype("int64").tolist()
         index = {int(r): i for i, r in enumerate(row_ids)}
         start = []
         for _, solution in frame[frame["source"] >= 0].groupby("source", sort=True):
