@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, line_dedup, media, order_minhash, packing, quality_rules, ring, token_pieces, url_filter, warc
+from tapewright.llm import bpe, chat, line_dedup, media, order_minhash, packing, quality_rules, ring, token_pieces, url_filter, warc
 from tapewright.llm.common import fresh_path, table, written
 
 
@@ -95,6 +95,12 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "copies")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each given turn: what became of it and the checksum of its part of the rendered conversation."""
+    turns = chat.repair(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return turns.select("conv_id", "turn", "role", "out_role", "action", F.array_join("inserted", "+").alias("inserted"), F.crc32(utf8(F.col("chunk"))).alias("chunk_crc32"), "conversation_cost")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", "n_lines", "n_dropped", F.crc32(utf8(F.col("text"))).alias("kept_crc32"))
@@ -134,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
     "op4_packing": op4_packing,
     "op5_order_minhash": op5_order_minhash,
+    "op6_chat": op6_chat,
     "op7_line_dedup": op7_line_dedup,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media": op9_media,
