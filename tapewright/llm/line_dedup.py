@@ -11,21 +11,24 @@ characters, so that all lines of a key are within one edit of each other, and wi
 for inserted ones. A key's earliest line is then compared with every other one by edit distance, so groups are
 aggregated before they are joined and never paired out.
 
-Defined results: a null text stays null; a null doc_id comes first; rows equal in doc_id and text count as one
+Defined results: a null text stays null; doc_ids are of an integer type and a null one comes first; rows equal in doc_id and text count as one
 document and keep the same lines; a text may become empty, its row stays; an empty table gives an empty result; other
 columns pass through.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapewright.llm.common import join_counted, require, written
+from tapewright.llm.common import SMALL_ROWS, join_counted, require, written
 
 SPACES = " \t\n\x0b\x0c\r"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -64,98 +67,144 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (key, kind, first, h1, h2) for each variant of each line, in batches of bounded size."""
+    """A row (key, kind, rank) for each variant of each line, in batches of bounded size."""
     for batch in batches:
         held: list[tuple[np.ndarray, np.ndarray, int]] = []
         n = 0
-        for i, line in enumerate(batch.column("line").to_pylist()):
+        for rank, line in zip(batch.column("rank").to_pylist(), batch.column("line").to_pylist(), strict=True):
             keys, kinds = variant_keys(line)
             for at in range(0, len(keys), EMIT_ROWS):
-                held.append((keys[at : at + EMIT_ROWS], kinds[at : at + EMIT_ROWS], i))
+                held.append((keys[at : at + EMIT_ROWS], kinds[at : at + EMIT_ROWS], rank))
                 n += len(held[-1][0])
                 if n >= EMIT_ROWS:
-                    yield _joined(batch, held)
+                    yield _joined(held)
                     held, n = [], 0
         if held:
-            yield _joined(batch, held)
-
-
-def _joined(batch: pa.RecordBatch, held: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-    rows = pa.array(np.repeat([i for _, _, i in held], [len(k) for k, _, _ in held]))
-    same = [batch.column(c).take(rows) for c in ("first", "h1", "h2")]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _, _ in held])), pa.array(np.concatenate([k for _, k, _ in held])), *same], ["key", "kind", "first", "h1", "h2"])
-
-
-def half_keys(line: Column, min_chars: int) -> Column:
-    """Keys of both halves, of the line itself and as the longer one of two lines."""
-    n = F.length(line)
-    m = n - 1
-    a, b = F.floor(n / 2).cast("int"), F.floor(m / 2).cast("int")
-    sub = lambda start, length: F.substring(line, start, length)
-    one = F.lit(1)
-    keys = F.array(
-        F.xxhash64(F.lit("first"), n, sub(one, a)),
-        F.xxhash64(F.lit("last"), n, sub(a + 1, n - a)),
-        F.xxhash64(F.lit("first"), m, sub(one, b)),
-        F.xxhash64(F.lit("last"), m, sub(b + 2, m - b)),
-    )
-    return F.when(n >= min_chars, keys).otherwise(F.array().cast("array<long>"))
-
-
-def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_text"))
-
-
-def line_occurrences(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(_d, _t, no, line, h1, h2) of every line with a word; ``df`` may repeat documents."""
-    each = _docs(df, key, text).where("_text is not null").select("_d", "_t", F.posexplode(F.split("_text", "\n")).alias("no", "line"))
-    return each.where(F.length(F.translate("line", SPACES, "")) > 0).select("*", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+            yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    ranks = np.repeat([r for _, _, r in held], [len(k) for k, _, _ in held])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for k, _, _ in held])), pa.array(np.concatenate([k for _, k, _ in held])), pa.array(ranks)], ["key", "kind", "rank"])
+
+
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) - (1 << 63)
+
+
+def half_hashes(line: str) -> tuple[int, int, int, int]:
+    """Hashes of both halves, of the line itself and as the longer one of two lines."""
+    n, m = len(line), len(line) - 1
+    a, b = n // 2, m // 2
+    return _hash(line[:a], 2 * n), _hash(line[a:], 2 * n + 1), _hash(line[:b], 2 * m), _hash(line[b + 1 :], 2 * m + 1)
+
+
+def has_word(line: str) -> bool:
+    return bool(line.strip(SPACES))
+
+
+def _occurrences(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["_d", "_t", "no", "h1", "h2", "k1", "k2", "k3", "k4"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each different line with a word of each text, at its first place there."""
+        for batch in batches:
+            of: list[int] = []
+            rows: list[tuple] = []
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                seen: set[str] = set()
+                for no, line in enumerate(text.split("\n")):
+                    if line not in seen and has_word(line):
+                        seen.add(line)
+                        halves = half_hashes(line) if len(line) >= min_chars else (None,) * 4
+                        rows.append((no, _hash(line), _hash(line, 1), *halves))
+                        of.append(i)
+                if len(rows) >= EMIT_ROWS:
+                    yield made(batch, of, rows)
+                    of, rows = [], []
+            if rows:
+                yield made(batch, of, rows)
+
+    def made(batch: pa.RecordBatch, of: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(of, pa.int64())
+        columns = [pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]
+        return pa.RecordBatch.from_arrays([batch.column("_d").take(at), batch.column("_t").take(at), *columns], names)
+
+    return run
+
+
+@F.pandas_udf(T.StructType().add("text", "string").add("n_lines", "long").add("n_dropped", "long"))
+def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
+    """Texts without the lines at the given places, equal lines anywhere in the text, and later copies of kept lines."""
+    out = []
+    for t, marks in zip(text, places, strict=True):
+        if t is None:
+            out.append((None, 0, 0))
+            continue
+        lines = t.split("\n")
+        words = [has_word(x) for x in lines]
+        gone = {lines[m] for m in marks} if marks is not None else set()
+        seen: set[str] = set()
+        left = []
+        for line, word in zip(lines, words, strict=True):
+            if word:
+                if line in gone or line in seen:
+                    continue
+                seen.add(line)
+            left.append(line)
+        out.append(("\n".join(left), sum(words), len(lines) - len(left)))
+    return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20) -> DataFrame:
     """``df`` with the text's later lines taken out, and ``n_lines``, ``n_dropped`` (lines with a word; long)."""
     require(df, [key, text])
-    line = F.col("line")
-    first = F.struct(F.col("_d").alias("d"), F.col("no").alias("n"))
-    lines = line_occurrences(df, key, text)
-    distinct = lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.first(half_keys(line, min_chars)).alias("halves"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = df.select(F.col(key).alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_text"))
+    kind = df.schema[key].dataType
+    out = T.StructType([T.StructField("_d", kind), *(T.StructField(c, T.IntegerType() if c == "no" else T.LongType()) for c in ("_t", "no", "h1", "h2", "k1", "k2", "k3", "k4"))])
+    found = docs.where("_text is not null").mapInArrow(_occurrences(min_chars), out)
+    # one number that orders occurrences by document (none first), text and line
+    number = lambda c: F.coalesce(c.cast("decimal(20,0)"), F.lit(-(10**19)).cast("decimal(20,0)"))
+    lines = written(found.withColumn("at", (number(F.col("_d")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)")), "line-places")
+    halves = [f"k{i}" for i in range(1, 5)]
+    distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.max(k).alias(k) for k in halves))
     distinct = written(distinct, "lines")
 
-    halves = distinct.select("h1", "h2", F.explode("halves").alias("half"))
-    shared = written(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
-    near = written(join_counted(halves, shared, ["half"], "left_semi", shared.count()).select("h1", "h2").distinct(), "near-lines")
+    each = distinct.where("k1 is not null").select("h1", "h2", F.explode(F.array(*halves)).alias("half"))
+    shared = written(each.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "halves")
+    near = written(join_counted(each, shared, ["half"], "left_semi", shared.count()).select("h1", "h2").distinct(), "near-lines")
     n_near = near.count()
-    firsts = distinct.select("h1", "h2", "first")
-    near_firsts = join_counted(firsts, near, ["h1", "h2"], "inner", n_near)
-    texts = join_counted(lines.select("h1", "h2", first.alias("first"), "line"), near_firsts.withColumnRenamed("first", "_first"), ["h1", "h2"], "inner", n_near)
-    texts = written(texts.where(F.col("first").eqNullSafe(F.col("_first"))).dropDuplicates(["h1", "h2"]).select("h1", "h2", "first", "line"), "near-texts")
-
-    out = "key long, kind byte, first struct<d:{}, n:int>, h1 long, h2 long".format(df.schema[key].dataType.simpleString())
-    variants = written(texts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1").mapInArrow(_emit, out), "line-variants")
-    not_deleted = F.when(F.col("kind") != DELETED, F.struct("first", "h1", "h2"))
-    deleted = F.when(F.col("kind") == DELETED, F.struct("first", "h1", "h2"))
-    groups = variants.groupBy("key").agg(F.count("*").alias("n"), F.min(not_deleted).alias("kept"), F.min(deleted).alias("cut")).where("n > 1")
-    groups = written(groups.select("key", "kept", "cut"), "variant-groups")
-    found = join_counted(variants, groups, ["key"], "inner", groups.count())
+    places = join_counted(lines.select("h1", "h2", "_d", "_t", "no", "at"), near, ["h1", "h2"], "left_semi", n_near)
+    firsts = join_counted(distinct.select("h1", "h2", "first"), near, ["h1", "h2"], "left_semi", n_near)
+    places = written(join_counted(places, written(firsts, "near-firsts"), ["h1", "h2"], "inner", n_near).where("at = first").dropDuplicates(["h1", "h2"]), "near-places")
+    of_doc = F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_t") == F.col("_t2"))
+    renamed = places.select(F.col("_d").alias("_d2"), F.col("_t").alias("_t2"), "no", "h1", "h2", "first")
+    if n_near <= SMALL_ROWS:
+        renamed = F.broadcast(renamed)
+    texts = docs.join(renamed, of_doc).select("h1", "h2", "first", F.get(F.split("_text", "\n"), F.col("no")).alias("line"))
+    # numbers that follow the order of the corpus: sorted ranges, then the place in them
+    texts = texts.dropDuplicates(["h1", "h2"]).orderBy("first", "h1", "h2").withColumn("rank", F.monotonically_increasing_id())
+    texts = written(texts, "near-texts")
+
+    variants = written(texts.select("rank", "line", "h1").repartition(parts, "h1").drop("h1").mapInArrow(_emit, "key long, kind byte, rank long"), "line-variants")
+    kept, cut = (F.min(F.when(F.col("kind") == DELETED, F.col("rank")) if k else F.when(F.col("kind") != DELETED, F.col("rank"))) for k in (0, 1))
+    groups = written(variants.groupBy("key").agg(F.count("*").alias("n"), kept.alias("kept"), cut.alias("cut")).where("n > 1").select("key", "kept", "cut"), "variant-groups")
+    members = join_counted(variants, groups, ["key"], "inner", groups.count())
     partner = F.when(F.col("kind") == WHOLE, F.col("cut")).otherwise(F.col("kept"))
-    pairs = found.withColumn("p", partner).where("p is not null and p.first < first").select("h1", "h2", F.col("p.h1").alias("p1"), F.col("p.h2").alias("p2")).distinct()
-    mine = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"])
-    both = mine.join(texts.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("earlier")), ["p1", "p2"])
-    gone = written(both.where(F.levenshtein("line", "earlier", 1) >= 0).select("h1", "h2").distinct().withColumn("near", F.lit(True)), "near-gone")
-
-    n_gone = gone.count()
-    repeated = join_counted(distinct.select("h1", "h2", "first", "n"), gone, ["h1", "h2"], "left", n_gone).where("n > 1 or near")
-    repeated = written(repeated.select("h1", "h2", F.col("first").alias("_first"), F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
-    at = join_counted(lines.select("_d", "_t", "no", "h1", "h2", first.alias("first")), repeated, ["h1", "h2"], "inner", repeated.count())
-    drops = at.where(F.col("near") | ~F.col("first").eqNullSafe(F.col("_first"))).groupBy("_d", "_t").agg(F.collect_set("no").alias("drops"))
-    drops = written(drops.withColumnRenamed("_d", "_d2").withColumnRenamed("_t", "_t2"), "dropped-lines")
-
-    kept = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    docs = df.select(*kept, F.xxhash64(F.col(text)).alias("_t"))
-    out = docs.join(drops, docs[key].eqNullSafe(drops["_d2"]) & (docs["_t"] == drops["_t2"]), "left")
-    parts = F.split(F.col(text), "\n")
-    stay = lambda p: F.transform(F.array_except(F.sequence(F.lit(0), F.size(p) - 1), "drops"), lambda i: F.get(p, i))
-    left = F.when(F.col("drops").isNull(), F.col(text)).otherwise(F.array_join(F.get(F.transform(F.array(parts), stay), F.lit(0)), "\n"))
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: F.length(F.translate(x, SPACES, "")) > 0)), F.lit(0)).cast("long")
-    columns = [left.alias(text) if c == text else F.col(c) for c in kept]
-    return out.select(*columns, F.when(F.col(text).isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+    pairs = written(members.withColumn("p", partner).where("p < rank").select("rank", "p").distinct(), "line-pairs")
+    mine = pairs.join(texts.select("rank", "line"), "rank")
+    both = mine.join(texts.select(F.col("rank").alias("p"), F.col("line").alias("earlier")), "p")
+    gone = both.where(F.levenshtein("line", "earlier", 1) >= 0).select("rank").distinct()
+    gone = written(gone.join(texts.select("rank", "h1", "h2"), "rank").select("h1", "h2", F.lit(True).alias("near")), "near-gone")
+
+    repeated = join_counted(distinct.select("h1", "h2", "first", "n"), gone, ["h1", "h2"], "left", gone.count()).where("n > 1 or near")
+    repeated = written(repeated.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
+    at = join_counted(lines.select("_d", "_t", "no", "h1", "h2", "at"), repeated, ["h1", "h2"], "inner", repeated.count())
+    drops = at.where("near or at <> first").groupBy(F.col("_d").alias("_d2"), F.col("_t").alias("_t2")).agg(F.collect_set("no").alias("_drops"))
+    drops = written(drops, "dropped-lines")
+
+    mine = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
+    marked = df.select(*mine, F.col(key).alias("_d"), F.xxhash64(F.col(text)).alias("_t")).join(drops, of_doc, "left")
+    done = marked.withColumn("_w", _without(F.col(text), F.col("_drops")))
+    return done.select(*(F.col("_w.text").alias(text) if c == text else F.col(c) for c in mine), "_w.n_lines", "_w.n_dropped")
