@@ -182,11 +182,16 @@ def prune(rows: list[tuple], conditions: list[tuple[int, bool, int]]) -> list[tu
     return conditions[: max(range(1, len(conditions) + 1), key=worth)] if conditions else conditions
 
 
+def used_labels(labels: DataFrame, key: str, label: str, max_labelled: int) -> DataFrame:
+    """One label for each key (the worst of several), at most ``max_labelled``: those with the smallest hashed keys."""
+    require(labels, [key, label])
+    known = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    return known.groupBy(key).agg(F.min(label).alias(label)).orderBy(F.xxhash64(key), key).limit(max_labelled)
+
+
 def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_labelled: int = 20_000, cuts: int = 32, max_rules: int = 16, max_literals: int = 4, min_precision: float = 0.95, min_support: int = 5) -> list[Rule]:
     """Learn rules that find rows with ``label`` 0 among ``stats`` (made by ``with_statistics``)."""
-    require(labels, [key, label])
-    used = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias(label)).orderBy(F.xxhash64(key), key).limit(max_labelled)
-    points, rows = cells(stats, used, key, label, cuts)
+    points, rows = cells(stats, used_labels(labels, key, label, max_labelled), key, label, cuts)
     growing, holding = [r for r in rows if not r[-3]], [r for r in rows if r[-3]]
     rules: list[Rule] = []
     while len(rules) < max_rules and growing:
@@ -213,10 +218,12 @@ def verdict(rules: Sequence[Rule]) -> Column:
     return out
 
 
-def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
-    """``df`` with statistics, ``base_failed``, ``failed_rule`` and ``kept``."""
+def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20_000, **how: object) -> DataFrame:
+    """``df`` with statistics, ``base_failed``, ``failed_rule`` and ``kept``; only labelled rows are read in full twice."""
     require(df, [key, text])
     mine = [c for c in df.columns if c not in ("base_failed", "failed_rule", "kept")]
-    rules = fit(with_statistics(df.select(key, text), text), labels, key, **how)
+    used = written(used_labels(labels, key, label, max_labelled), "labels-used")
+    labelled = df.select(key, text).join(F.broadcast(used.select(key)), key, "left_semi")  # no more than max_labelled keys
+    rules = fit(with_statistics(labelled, text), used, key, label, max_labelled, **how)
     out = with_statistics(df.select(*mine), text).withColumn("base_failed", base_failed()).withColumn("failed_rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
