@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions import scans
+from tapewright.operators.metrics import correlation
 from tapewright.functions.frames import BY, ahead, band, full, highest, last, lowest, mean, prev, ratio, running, sign, std, std_pop, total, true_range
 
 C, H, L, O, V = (F.col(c) for c in ("close", "high", "low", "open", "volume"))
@@ -337,7 +338,7 @@ def flow_autocorr(df: DataFrame, n: int = 20) -> DataFrame:
     df = df.withColumn("f", F.signum(C - O) * V)
     df = df.withColumn("g", prev("f"))
     inside = last(n - 1)
-    return done(df, F.when(F.col("bar_no") >= n, F.corr("f", "g").over(inside)), F.lit(0))
+    return done(df, F.when(F.col("bar_no") >= n, correlation("f", "g", inside)), F.lit(0))
 
 
 def entropy(df: DataFrame, n: int = 20, bins: int = 10) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,9 +56,9 @@ def summary(df: DataFrame, keys: Sequence[str], pnl: str = "pnl") -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(F.col(pnl) > 0).alias("wins"),
         F.round(win_rate(pnl), 6).alias("win_rate"),
-        F.round(F.sum(pnl), 2).alias("total"),
-        F.round(F.avg(pnl), 4).alias("mean"),
-        F.round(profit_factor(pnl), 4).alias("profit_factor"),
+        F.round(F.sum(pnl), 4).alias("total"),
+        F.round(F.avg(pnl), 6).alias("mean"),
+        F.round(profit_factor(pnl), 6).alias("profit_factor"),
     )
 
 
@@ -76,11 +76,11 @@ def bucketed(x: Column, edges: Sequence[float]) -> Column:
     return out
 
 
-def drawdown_by(df: DataFrame, key: str, order: Sequence[str], pnl: str, capital: float) -> DataFrame:
+def drawdown_by(df: DataFrame, key: str, order: Sequence[str], pnl: str, capital: float, digits: int = 4) -> DataFrame:
     """Deepest fall from the running peak of equity, in percent, by ``key``."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     eq = df.withColumn("equity", capital + F.sum(pnl).over(w)).withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(capital)))
-    return eq.groupBy(key).agg(F.round(F.min((F.col("equity") - F.col("peak")) / F.col("peak") * 100), 4).alias("max_drawdown_pct"))
+    return eq.groupBy(key).agg(F.round(F.min((F.col("equity") - F.col("peak")) / F.col("peak") * 100), digits).alias("max_drawdown_pct"))
 
 
 def average_rank(x: str, by: Sequence[str]) -> Column:
@@ -89,9 +89,21 @@ def average_rank(x: str, by: Sequence[str]) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count("*").over(W.partitionBy(*by, x)) - 1) / 2
 
 
+def corr(x: str | Column, y: str | Column) -> tuple[Column, Column, Column]:
+    """Correlation as (covariance, deviation, deviation), so that a side that does not vary gives null, not an error."""
+    both = _c(x).isNotNull() & _c(y).isNotNull()
+    x, y = F.when(both, _c(x)), F.when(both, _c(y))
+    return F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)
+
+
+def correlation(x: str | Column, y: str | Column, over: WindowSpec | None = None) -> Column:
+    cov, a, b = (c if over is None else c.over(over) for c in corr(x, y))
+    return F.when((a > 1e-12) & (b > 1e-12), cov / F.nullif(a * b, F.lit(0.0)))
+
+
 def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     ranked = df.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.round(F.corr("_x", "_y"), 6).alias("rank_corr"), F.count("*").alias("n"))
+    return ranked.groupBy(*by).agg(F.round(correlation("_x", "_y"), 6).alias("rank_corr"), F.count("*").alias("n"))
 
 
 def ecdf_gap(df: DataFrame, x: str, side: str, by: Sequence[str]) -> DataFrame:

@@ -1,0 +1,14 @@
+"""The registered queries of the engine and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tapewright.plans import indicator_queries, ledger_queries
+
+MODULES = [indicator_queries, ledger_queries]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}

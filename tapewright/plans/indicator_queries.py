@@ -247,7 +247,7 @@ SQL = {
     ),
     "f74_trapped": steps(("a", f"SELECT *, (close - {full('avg', 'close', 10)}) / {full('avg', 'close', 10)} AS d FROM bars"), ("b", "SELECT *, CASE WHEN d IS NULL THEN 0.8 ELSE least(5 * abs(d), 0.8) END AS raw FROM a"), state="CASE WHEN d < -0.02 THEN 1 WHEN d > 0.02 THEN -1 ELSE 0 END"),
     "f76_rolling_sharpe": steps(("a", f"SELECT *, close / {lag('close')} - 1 AS r FROM bars"), ("b", f"SELECT *, {full('avg', 'r', 30)} / nullif({full('stddev_pop', 'r', 30)}, 0) * sqrt(252) AS raw FROM a")),
-    "f78_drawdown": steps(("a", f"SELECT *, max(close) {ALL} AS peak, arg_max(bar_no, close) {ALL} AS at FROM bars"), ("b", "SELECT *, (close - peak) / peak * 100 AS raw FROM a"), state="bar_no - at"),
+    "f78_drawdown": steps(("a", f"SELECT *, max(close) {ALL} AS peak, arg_max(bar_no, close) {ALL} AS top_no FROM bars"), ("b", "SELECT *, (close - peak) / peak * 100 AS raw FROM a"), state="bar_no - top_no"),
     "f81_vol_percentile": steps(("a", "SELECT *, (high - low) / close AS g FROM bars"), ("b", f"SELECT *, list(g) {w(100, 1)} AS xs FROM a"), ("c", "SELECT *, CASE WHEN len(xs) = 100 THEN len(list_filter(xs, lambda x: x < g)) / 100.0 END AS raw FROM b")),
     "f82_vol_slope": steps(("a", "SELECT *, high - low AS g FROM bars"), ("b", f"SELECT *, CASE WHEN bar_no >= 6 THEN regr_slope(g, bar_no) {w(6)} / nullif(avg(g) {w(6)}, 0) END AS raw FROM a"), state=band("raw", -0.02, 0.02)),
     "f90_donchian_entry": one(full("max", "close", 30, 1), "CASE WHEN close > f AND close > raw THEN 1 WHEN close < g AND close < s THEN -1 ELSE 0 END", pre=f"*, {full('max', 'close', 10, 1)} AS f, {full('min', 'close', 10, 1)} AS g, {full('min', 'close', 30, 1)} AS s"),

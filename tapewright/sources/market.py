@@ -54,6 +54,10 @@ def macro_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.join(F.broadcast(last)).select(F.date_add("day", shift).alias("day"), "value")
 
 
+#: What orders trades in time; line numbers repeat within orders, so the amounts tell the last ties apart.
+IN_ORDER = ("exit_ts", "order_id", "line_no", "notional", "quantity", "pnl")
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A trade ledger: a line item is a trade, its regime the order's priority, its result relative to a norm of 1.0.
 
