@@ -47,7 +47,7 @@ def overlap_counts(df: DataFrame, by: Sequence[str], start: str, end: str) -> Da
         F.sum("_begin").over(w.rangeBetween(W.unboundedPreceding, 0)).alias("b"),
         F.sum("_ended").over(w.rangeBetween(W.unboundedPreceding, -1)).alias("e"),
     ).where("_k is not null")
-    return counted.groupBy(*df.columns).agg((F.sum(F.when(F.col("_k") == 1, F.col("b")).otherwise(0)) - F.sum(F.when(F.col("_k") == -1, F.coalesce("e", F.lit(0))).otherwise(0))).alias("overlaps"))
+    return counted.groupBy(*df.columns).agg((F.sum(F.when(F.col("_k") == 1, F.col("b")).otherwise(0)) - F.sum(F.when(F.col("_k") == -1, F.coalesce("e", F.lit(0))).otherwise(0))).alias("n_overlaps"))
 
 
 def window_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, n: int, aggs: Sequence) -> DataFrame:
@@ -61,3 +61,20 @@ def window_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, n
     keys = [*by, "_block"]
     pairs = asks.join(have, keys).where(F.col("_no").between(F.col(at), F.col(at) + n))
     return pairs.groupBy(*left.columns).agg(*aggs)
+
+
+def asof_by_day(left: DataFrame, daily: DataFrame, at: str, day: str, values: Sequence[str], most: int = 100_000) -> DataFrame:
+    """``left`` with the latest ``daily`` row of its day or before, for series of one row a day.
+
+    The series is carried forward by turning each row into the days it holds for. Its rows are counted: up to ``most``
+    it is sent to every executor and ``left`` is not shuffled; a longer one is joined by shuffle.
+    """
+    n = daily.count()
+    by_day = W.orderBy(day)
+    spans = daily.select(day, *values, F.lead(day).over(by_day).alias("_next"))
+    final = left.agg(F.max(F.to_date(at)).alias("_final"))
+    until = F.greatest(F.coalesce(F.date_sub("_next", 1), F.greatest(F.col("_final"), F.col(day))), F.col(day))
+    days = spans.join(F.broadcast(final)).select(*values, F.explode(F.sequence(F.col(day), until)).alias("_day"))
+    if n <= most:
+        days = F.broadcast(days)
+    return left.withColumn("_day", F.to_date(at)).join(days, "_day", "left").drop("_day")

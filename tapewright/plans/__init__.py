@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.plans import indicator_queries, ledger_queries
+from tapewright.plans import gate_queries, indicator_queries, join_queries, ledger_queries, source_queries
 
-MODULES = [indicator_queries, ledger_queries]
+MODULES = [gate_queries, indicator_queries, join_queries, ledger_queries, source_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
