@@ -165,7 +165,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     out = T.StructType([T.StructField("_d", kind), *(T.StructField(c, T.IntegerType() if c == "no" else T.LongType()) for c in ("_t", "no", "h1", "h2", "k1", "k2", "k3", "k4"))])
     found = docs.where("_text is not null").mapInArrow(_occurrences(min_chars), out)
     # one number that orders occurrences by document (none first), text and line
-    number = lambda c: F.coalesce(c.cast("decimal(20,0)"), F.lit(-(10**19)).cast("decimal(20,0)"))
+    number = lambda c: F.coalesce(c.cast("decimal(20,0)"), F.lit(str(-(10**19))).cast("decimal(20,0)"))
     lines = written(found.withColumn("at", (number(F.col("_d")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)")), "line-places")
     halves = [f"k{i}" for i in range(1, 5)]
     distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.max(k).alias(k) for k in halves))
