@@ -22,12 +22,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tapewright/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a few numbers that one task writes, where the number of rows is known.
+TASK_ROWS = 100_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    A lost executor then only repeats tasks after this point, and what several branches read is made once.
+    A lost executor then only repeats tasks after this point, and what several branches read is made once. With
+    ``rows``, a known bound on the rows, no more tasks write than they need.
     """
     path = fresh_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(rows // TASK_ROWS + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
