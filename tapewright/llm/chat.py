@@ -29,7 +29,7 @@ ROLES = ("", "system", "user", "assistant")
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
 MERGE, INSERT, RELABEL, NAME = 1, 2, 3, 1
 FAR = 10**9
-RESULTS = ("out_role", "action", "inserted", "chunk", "conversation_cost")
+RESULTS = ("position", "out_role", "action", "inserted", "chunk", "conversation_cost")
 Step = tuple[int, str, tuple[int, ...]]
 
 
@@ -151,7 +151,7 @@ def role_code(role: Column) -> Column:
 
 
 def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``df`` with ``out_role``, ``action``, ``inserted`` (roles), ``chunk`` and ``conversation_cost`` for each turn."""
+    """``df`` with ``position`` (a number that orders turns), ``out_role``, ``action``, ``inserted`` (roles), ``chunk`` and ``conversation_cost``."""
     require(df, [conv, turn, role, text])
     mine = [c for c in df.columns if c not in RESULTS]
     order = [F.col(conv), F.col(turn), F.col(role), F.col(text)]
@@ -171,6 +171,7 @@ def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     name = F.element_at(F.array(*(F.lit(r) for r in ROLES)), F.col("_role") + 1)
     return rows.join(turns, "_pos").select(
         *mine,
+        F.col("_pos").alias("position"),
         name.alias("out_role"),
         F.col("_action").alias("action"),
         F.col("_inserted").alias("inserted"),
@@ -179,7 +180,7 @@ def repair(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     )
 
 
-def render(repaired: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def render(repaired: DataFrame, conv: str = "conv_id") -> DataFrame:
     """(conv_id, rendered): whole conversations in one value each, for those that fit into one."""
-    parts = F.sort_array(F.collect_list(F.struct(turn, role, text, "chunk")))
+    parts = F.sort_array(F.collect_list(F.struct("position", "chunk")))
     return repaired.groupBy(conv).agg(F.array_join(F.transform(parts, lambda p: p["chunk"]), "").alias("rendered"))
