@@ -15,8 +15,6 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import struct
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KNOWN_WORDS = 500_000
-SLICE_WORDS = 60_000
+KNOWN_WORDS = 300_000
+SLICE_WORDS = 8_000
 # Runs without white space, with one space before; runs of white space up to such. White space as patterns' \s has it.
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACED_PARTS = rf" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
@@ -51,26 +49,37 @@ class Replay:
         }  # the rank of a pair is that of its joined bytes
         self.parts_of = re.compile(parts).findall if parts else None
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = (self.merges.get(int(a) << self.shift | int(b), -1) for a in self.single for b in self.single)
+        self.first = np.fromiter(pairs, np.int64, 1 << 16)  # the rank of each pair of bytes
+
+    def start(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """Single-byte tokens of all words, -1 after each; where words end; positions of pairs by rank."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        place = np.arange(len(data)) + np.repeat(np.arange(len(words)), sizes)
+        tok = np.full(int(ends[-1]) + 2, -1, np.int64)
+        tok[place] = self.single[data]
+        ranks = np.where(np.diff(place) == 1, self.first[data[:-1] << 8 | data[1:]], -1)
+        hit = np.flatnonzero(ranks >= 0)
+        hit = hit[np.argsort(ranks[hit], kind="stable")]
+        kinds, cuts = np.unique(ranks[hit], return_index=True)
+        index = {int(r): at.tolist() for r, at in zip(kinds, np.split(place[hit], cuts[1:]), strict=False)}
+        return tok, ends, index
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of every word, by merges over all words at once."""
-        shift, merges, ranks, single = self.shift, self.merges.get, self.merges, self.single
-        tok: list[int] = []
-        ends: list[int] = []
-        for w in words:
-            tok += [single[b] for b in w]
-            tok.append(-1)  # between words; no pair reaches over it
-            ends.append(len(tok) - 1)
-        tok.append(-1)
+        if not words:
+            return []
+        shift, merges, ranks = self.shift, self.merges.get, self.merges
+        tokens, ends, index = self.start(words)
+        tok = tokens.tolist()  # between words are negative ones; no pair reaches over them
         n = len(tok)
         nxt = list(range(1, n + 1))
         prv = list(range(-1, n - 1))
-        index: dict[int, list[int]] = defaultdict(list)
-        for i, (a, b) in enumerate(zip(tok, tok[1:], strict=False)):
-            if b >= 0 <= a and (r := merges(a << shift | b)) is not None:
-                index[r].append(i)
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -87,36 +96,48 @@ class Replay:
                 if (c := tok[k]) >= 0 and (r := merges(left | c)) is not None:
                     if r not in index:
                         heapq.heappush(heap, r)
-                    index[r].append(i)
+                        index[r] = [i]
+                    else:
+                        index[r].append(i)
                 if (c := tok[h := prv[i]]) >= 0 and (r := merges(c << shift | rank)) is not None:
                     if r not in index:
                         heapq.heappush(heap, r)
-                    index[r].append(h)
-        out, start = [], 0
-        for e in ends:
-            out.append([t for t in tok[start:e] if t >= 0])
-            start = e + 1
-        return out
+                        index[r] = [h]
+                    else:
+                        index[r].append(h)
+        done = np.array(tok)
+        left = done >= 0
+        packed = done[left].astype("<u4").tobytes()
+        stops = (np.cumsum(left)[ends] * 4).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def learn(self, parts: list[str]) -> None:
-        """Ids of parts not met before; their words that are new are merged together."""
-        split = {p: self.split(p) for p in parts} if self.parts_of else {p: [p] for p in parts}
+        """Ids of parts not met before; their words that are new are merged together.
+
+        ASCII letters alone, with a space before or not, are one word; of them only the part is remembered.
+        """
+        split, whole = {}, []
+        for p in parts:
+            if not self.parts_of or (p.isascii() and (p[1:] if p[0] == " " else p).isalpha()):
+                whole.append(p)
+            else:
+                split[p] = self.split(p)
         new = {w for words in split.values() for w in words if w not in self.words}
         if len(self.words) + len(new) > KNOWN_WORDS:
             self.words.clear()
             new = {w for words in split.values() for w in words}
-        merge = []
-        for w in new:
-            raw = w.encode()
-            whole = self.ranks.get(raw)
-            if whole is None:
-                merge.append((w, raw))
-            else:
-                self.words[w] = struct.pack("<I", whole)
-        for (w, _), ids in zip(merge, self.replay([r for _, r in merge]), strict=True):
-            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
-        known = self.words.__getitem__
-        self.known.update((p, b"".join(map(known, words))) for p, words in split.items())
+        for at, kind in ((self.known, whole), (self.words, new)):
+            merge = []
+            for w in kind:
+                raw = w.encode()
+                if (one := self.ranks.get(raw)) is None:
+                    merge.append((w, raw))
+                else:
+                    at[w] = one.to_bytes(4, "little")
+            at.update(zip((w for w, _ in merge), self.replay([r for _, r in merge]), strict=True))
+        known = self.words
+        for p, words in split.items():
+            self.known[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; texts are taken in slices so that a slice's new parts stay few."""
@@ -133,14 +154,20 @@ class Replay:
                 pending.append(b"".join(ids))
             if len(fresh) >= SLICE_WORDS:
                 yield from self.flush(pending, fresh)
-                pending, fresh = [], set()
+                pending, fresh, get = [], set(), self.known.get
         yield from self.flush(pending, fresh)
 
     def flush(self, pending: list[list[str] | bytes], fresh: set[str]) -> Iterator[bytes]:
-        if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known.clear()
+        if len(self.known) + len(fresh) > KNOWN_WORDS:  # what is still in use comes back from the generation before
+            self.before, self.known = self.known, {}
             fresh = {p for parts in pending if isinstance(parts, list) for p in parts}
-        self.learn(list(fresh))
+        new = []
+        for p in fresh:
+            if (ids := self.before.get(p)) is None:
+                new.append(p)
+            else:
+                self.known[p] = ids
+        self.learn(new)
         for parts in pending:
             yield parts if isinstance(parts, bytes) else b"".join(map(self.known.__getitem__, parts))
 
