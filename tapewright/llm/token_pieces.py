@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tapewright.llm.common import require
 
-KNOWN_PARTS = 700_000
+KNOWN_PARTS = 400_000
 SLICE_PARTS = 50_000
 BATCH_BYTES = 8 << 20
 # Separators that str.split takes for white space and the tokenizers' patterns do not.
@@ -32,6 +32,7 @@ NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 # Byte-level tokenizers write a byte as a letter: as itself in Latin-1 if printable, else as one of those from U+0100 on.
 SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in SHOWN)}
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _loaded: dict[tuple, Coder] = {}
 
 
@@ -47,6 +48,7 @@ class Coder:
         config = json.loads(tokenizer_json)
         self.words_of = word_splitter(config)
         self.parts: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.model = self.tokenizer.model
 
@@ -62,18 +64,27 @@ class Coder:
         return text.lower().split()
 
     def learn(self, parts: list[str]) -> None:
-        """Ids of parts not met before, from those of their words."""
-        split = {p: self.words_of(p) for p in parts}
-        new = {w for words in split.values() for w in words if w not in self.words}
+        """Ids of parts not met before, from those of their words. ASCII letters alone are one word."""
+        split, new = {}, set()
+        for p in parts:
+            if p.isascii() and p.isalpha():
+                self.parts[p] = self.ids_of(p)
+            else:
+                split[p] = words = self.words_of(p)
+                new.update(words)
         if len(self.words) + len(new) > KNOWN_PARTS:
             self.words.clear()
-            new = {w for words in split.values() for w in words}
+        known = self.words
         for w in new:
-            letters = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
-            ids = [t.id for t in self.model.tokenize(letters)]
-            self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
-        known = self.words.__getitem__
-        self.parts.update((p, b"".join(map(known, words))) for p, words in split.items())
+            if w not in known:
+                known[w] = self.ids_of(w)
+        for p, words in split.items():
+            self.parts[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+
+    def ids_of(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         if self.words_of is None:
@@ -95,14 +106,20 @@ class Coder:
                 pending.append(b"".join(ids))
             if len(fresh) >= SLICE_PARTS:
                 yield from self.flush(pending, fresh)
-                pending, fresh = [], set()
+                pending, fresh, get = [], set(), self.parts.get
         yield from self.flush(pending, fresh)
 
     def flush(self, pending: list[list[str] | str | bytes], fresh: set[str]) -> Iterator[bytes]:
-        if len(self.parts) + len(fresh) > KNOWN_PARTS:
-            self.parts.clear()
+        if len(self.parts) + len(fresh) > KNOWN_PARTS:  # what is still in use comes back from the generation before
+            self.before, self.parts = self.parts, {}
             fresh = {p for parts in pending if isinstance(parts, list) for p in parts}
-        self.learn(list(fresh))
+        new = []
+        for p in fresh:
+            if (ids := self.before.get(p)) is None:
+                new.append(p)
+            else:
+                self.parts[p] = ids
+        self.learn(new)
         for parts in pending:
             if isinstance(parts, bytes):
                 yield parts
