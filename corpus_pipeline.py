@@ -12,7 +12,7 @@ from tapewright.llm.queries import packed_pieces
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the rules learned from the labels."""
-    return quality_rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,3 +227,13 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rules = fit(with_statistics(labelled, text), used, key, label, max_labelled, **how)
     out = with_statistics(df.select(*mine), text).withColumn("base_failed", base_failed()).withColumn("failed_rule", verdict(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
+
+
+def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
+    """The rows of ``df`` that the base rules and the learned rules keep.
+
+    The verdict goes through a one-element array: a filter on it is not moved below the statistics, where Catalyst
+    would copy their expressions into it many times over.
+    """
+    judged = judge(df.select("*", F.struct("*").alias("_given")), labels, key, text, **how)
+    return judged.select("_given", F.explode(F.array("kept")).alias("_keep")).where("_keep").select("_given.*")

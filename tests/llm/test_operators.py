@@ -68,6 +68,14 @@ def test_learned_rules_find_bad_documents_and_keep_good_ones(spark):
     assert rules and all(x.literals and x.precision >= 0.95 for x in rules) and "AND" in " AND ".join(map(str, rules)) + " AND "
 
 
+def test_keep_returns_the_kept_rows_as_they_were(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    given = docs.withColumn("kept", F.lit("clash")).withColumn("_keep", F.lit(1))
+    want = sorted((r["doc_id"] or -1, r["text"] or "") for r in quality_rules.judge(docs, labels).where("kept").collect())
+    out = quality_rules.keep(given, labels)
+    assert out.columns == given.columns and sorted((r["doc_id"] or -1, r["text"] or "") for r in out.collect()) == want
+
+
 def test_no_labels_no_rules(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = quality_rules.judge(docs.withColumn("n_words", F.lit("clash")), none)
