@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from tapewright.llm.common import require
 
 KNOWN_PARTS = 400_000
-SLICE_PARTS = 50_000
 BATCH_BYTES = 8 << 20
 # Separators that str.split takes for white space and the tokenizers' patterns do not.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -36,6 +35,25 @@ PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _loaded: dict[tuple, Coder] = {}
 
 
+class Known(dict):
+    """Ids of parts, made when first asked for. Of two generations the older one goes when the newer one is full."""
+
+    def __init__(self, make: Callable[[str], bytes], before: dict[str, bytes] | None = None) -> None:
+        super().__init__()
+        self.make, self.before = make, before or {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.before.get(part)
+        if ids is None:
+            ids = self.make(part)
+        self[part] = ids
+        return ids
+
+    def next(self) -> Known:
+        self.before = {}
+        return Known(self.make, self)
+
+
 class Coder:
     """A tokenizer with a bounded memory of the parts of texts, and of the words in them, that it has met."""
 
@@ -47,9 +65,7 @@ class Coder:
         self.tokenizer.encode_special_tokens = True
         config = json.loads(tokenizer_json)
         self.words_of = word_splitter(config)
-        self.parts: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.parts, self.words = Known(self.ids_of_part), Known(self.ids_of_word)
         self.model = self.tokenizer.model
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -63,25 +79,13 @@ class Coder:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes letter by letter
         return text.lower().split()
 
-    def learn(self, parts: list[str]) -> None:
-        """Ids of parts not met before, from those of their words. ASCII letters alone are one word."""
-        split, new = {}, set()
-        for p in parts:
-            if p.isascii() and p.isalpha():
-                self.parts[p] = self.ids_of(p)
-            else:
-                split[p] = words = self.words_of(p)
-                new.update(words)
-        if len(self.words) + len(new) > KNOWN_PARTS:
-            self.words.clear()
-        known = self.words
-        for w in new:
-            if w not in known:
-                known[w] = self.ids_of(w)
-        for p, words in split.items():
-            self.parts[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
-    def ids_of(self, word: str) -> bytes:
+    def ids_of_part(self, part: str) -> bytes:
+        """Ids of a part from those of its words; ASCII letters alone are one word."""
+        if part.isascii() and part.isalpha():
+            return self.ids_of_word(part)
+        return b"".join(map(self.words.__getitem__, self.words_of(part)))
+
+    def ids_of_word(self, word: str) -> bytes:
         letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
         ids = [t.id for t in self.model.tokenize(letters)]
         return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
@@ -90,41 +94,13 @@ class Coder:
         if self.words_of is None:
             yield from self.whole(texts)
             return
-        pending: list[list[str] | str | bytes] = []
-        fresh: set[str] = set()
-        get = self.parts.get
         for text in texts:
             parts = self.split(text)
-            if parts is None:
-                pending.append(text)
-                continue
-            ids = list(map(get, parts))
-            if None in ids:
-                fresh.update(p for p, i in zip(parts, ids, strict=True) if i is None)
-                pending.append(parts)
-            else:
-                pending.append(b"".join(ids))
-            if len(fresh) >= SLICE_PARTS:
-                yield from self.flush(pending, fresh)
-                pending, fresh, get = [], set(), self.parts.get
-        yield from self.flush(pending, fresh)
-
-    def flush(self, pending: list[list[str] | str | bytes], fresh: set[str]) -> Iterator[bytes]:
-        if len(self.parts) + len(fresh) > KNOWN_PARTS:  # what is still in use comes back from the generation before
-            self.before, self.parts = self.parts, {}
-            fresh = {p for parts in pending if isinstance(parts, list) for p in parts}
-        new = []
-        for p in fresh:
-            if (ids := self.before.get(p)) is None:
-                new.append(p)
-            else:
-                self.parts[p] = ids
-        self.learn(new)
-        for parts in pending:
-            if isinstance(parts, bytes):
-                yield parts
-            else:
-                yield self.whole([parts])[0] if isinstance(parts, str) else b"".join(map(self.parts.__getitem__, parts))
+            yield self.whole([text])[0] if parts is None else b"".join(map(self.parts.__getitem__, parts))
+            if len(self.parts) > KNOWN_PARTS:
+                self.parts = self.parts.next()
+            if len(self.words) > KNOWN_PARTS:
+                self.words = self.words.next()
 
 
 def word_splitter(config: dict) -> Callable[[str], list[str]] | None:
