@@ -6,12 +6,14 @@ from pyspark.sql import Column, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY = W.partitionBy("symbol").orderBy("bar_no")
+
+def BY() -> WindowSpec:  # noqa: N802  made when used: columns need a session
+    return W.partitionBy("symbol").orderBy("bar_no")
 
 
 def last(n: int, skip: int = 0) -> WindowSpec:
     """The frame of ``n`` rows that ends ``skip`` rows before the current one."""
-    return BY.rowsBetween(-(n - 1) - skip, -skip)
+    return BY().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def full(value: Column, of: str | Column, n: int, frame: WindowSpec) -> Column:
@@ -44,15 +46,15 @@ def lowest(x: str, n: int, skip: int = 0) -> Column:
 
 
 def prev(x: str | Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY)
+    return F.lag(x, n).over(BY())
 
 
 def ahead(x: str | Column, n: int = 1) -> Column:
-    return F.lead(x, n).over(BY)
+    return F.lead(x, n).over(BY())
 
 
 def running(x: Column) -> Column:
-    return x.over(BY.rowsBetween(W.unboundedPreceding, 0))
+    return x.over(BY().rowsBetween(W.unboundedPreceding, 0))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -44,10 +44,10 @@ def overlap_counts(df: DataFrame, by: Sequence[str], start: str, end: str) -> Da
     counted = both.select(
         *df.columns,
         "_k",
-        F.sum("_begin").over(w.rangeBetween(W.unboundedPreceding, 0)).alias("b"),
-        F.sum("_ended").over(w.rangeBetween(W.unboundedPreceding, -1)).alias("e"),
+        F.sum("_begin").over(w.rangeBetween(W.unboundedPreceding, 0)).alias("_b"),
+        F.sum("_ended").over(w.rangeBetween(W.unboundedPreceding, -1)).alias("_e"),
     ).where("_k is not null")
-    return counted.groupBy(*df.columns).agg((F.sum(F.when(F.col("_k") == 1, F.col("b")).otherwise(0)) - F.sum(F.when(F.col("_k") == -1, F.coalesce("e", F.lit(0))).otherwise(0))).alias("n_overlaps"))
+    return counted.groupBy(*df.columns).agg((F.sum(F.when(F.col("_k") == 1, F.col("_b")).otherwise(0)) - F.sum(F.when(F.col("_k") == -1, F.coalesce("_e", F.lit(0))).otherwise(0))).alias("n_overlaps"))
 
 
 def window_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, n: int, aggs: Sequence) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewright.plans import formula_queries, gate_queries, indicator_queries, join_queries, ledger_queries, model_queries, simulation_queries, source_queries, stream_queries
+from tapewright.plans import formula_queries, gate_queries, indicator_queries, join_queries, ledger_queries, model_queries, simulation_queries, source_queries, stream_queries, structure_queries
 
-MODULES = [formula_queries, gate_queries, indicator_queries, join_queries, ledger_queries, model_queries, simulation_queries, source_queries, stream_queries]
+MODULES = [formula_queries, gate_queries, indicator_queries, join_queries, ledger_queries, model_queries, simulation_queries, source_queries, stream_queries, structure_queries]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.SQL.items()}
