@@ -1,10 +1,10 @@
 """Quality rules: decision lists learned by sequential covering, applied as ordered Spark conditional expressions.
 
 Text statistics are made by DataFrame functions alone. Learning reads statistics of labelled documents: Spark cuts
-every feature at its quantiles and counts good and bad documents for each combination of cut features; from those
-counts conjunctions of thresholds are grown by information gain on one part of the labels, pruned on the other, and
-added while they stay precise there, each rule covering what the rules before it left. The list becomes one
-``CASE WHEN`` in rule order.
+every feature at its quantiles (halfway to the next value that occurs) and counts good and bad documents for each
+combination of cut features; from those counts conjunctions of thresholds are grown by information gain on one part of
+the labels, pruned on the other, and added while they stay precise there, each rule covering what the rules before it
+left. The list becomes one ``CASE WHEN`` in rule order.
 
 At most ``max_labelled`` labelled documents (those with the smallest hashed ids) are used for fitting; statistics and
 verdicts cover every document and its whole text.
@@ -28,6 +28,7 @@ from tapewright.llm.common import require, written
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+SEGMENT = 100  # words over which different ones are counted, so that the rate does not fall with a text's length
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("n_words", "mean_word", "symbol_rate", "dup_line_rate", "repeat_rate", "upper_rate", "mark_rate", "distinct_rate")
 
@@ -68,10 +69,12 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in STATISTICS and c not in FEATURES]
     out = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     out = out.select(*kept, "_text", words.alias("_words"), lines.alias("_lines"))
-    out = out.select(*kept, "_text", "_lines", F.size("_words").cast("long").alias("n_words"), F.size(F.array_distinct("_words")).alias("_distinct"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
+    out = out.select(*kept, "_text", "_lines", F.size("_words").cast("long").alias("n_words"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     h = lambda i, k: F.get(F.col("_hashes"), i + k)
     windows = F.when(F.size("_hashes") > WINDOW, F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*(h(i, k) for k in range(WINDOW))))).otherwise(F.array().cast("array<long>"))
-    out = out.select(*kept, "_text", "_lines", "n_words", "_distinct", windows.alias("_windows"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_hashes") - 1, F.lit(0)), F.lit(SEGMENT))
+    distinct = F.aggregate(starts, F.lit(0), lambda n, i: n + F.size(F.array_distinct(F.slice("_hashes", i + 1, SEGMENT))))
+    out = out.select(*kept, "_text", "_lines", "n_words", distinct.alias("_distinct"), windows.alias("_windows"))
     out = out.select(
         *kept,
         "n_words",
@@ -133,7 +136,10 @@ def cells(stats: DataFrame, labels: DataFrame, key: str, label: str, cuts: int)
     rows = written(stats.join(F.broadcast(labels), key).select(key, label, *FEATURES), "labelled")
     steps = [i / cuts for i in range(1, cuts)]
     found = rows.agg(*(F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES)).first()
-    points = {f: sorted({float(x) for x in found[f] or []}) for f in FEATURES}
+    seen = {f: sorted({float(x) for x in found[f] or []}) for f in FEATURES}
+    after = rows.agg(*(F.array(*(F.min(F.when(F.col(f) > c, F.col(f))) for c in seen[f])).alias(f) for f in FEATURES)).first()
+    # a cut lies halfway to the next value that occurs, so that it is no closer to one side than to the other
+    points = {f: sorted({(c + float(n)) / 2 for c, n in zip(seen[f], after[f], strict=True) if n is not None}) for f in FEATURES}
     bins = [sum(((F.col(f) > c).cast("int") for c in points[f]), F.lit(0)).alias(f) for f in FEATURES]
     binned = rows.select(*bins, (F.pmod(F.xxhash64(key, F.lit(1)), F.lit(3)) == 0).alias("part"), (F.col(label) == 0).cast("int").alias("bad"))
     counted = binned.groupBy(*FEATURES, "part").agg(F.sum("bad").alias("bad"), F.count("*").alias("rows"))
