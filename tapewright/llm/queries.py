@@ -147,4 +147,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ring_shards": op10_ring_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+    d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, upper(sha1(payload)) AS sha FROM p),
+    g AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS first_id FROM d),
+    v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(sha, CAST(i * 5 + 1 AS INTEGER), 5))::BIGINT) AS fives FROM g)
+    SELECT page_id, payload_bytes, array_to_string(list_transform(fives, lambda x: array_to_string(list_transform([32768, 1024, 32, 1], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(x // k % 32 + 1 AS INTEGER), 1)), '')), '') AS payload_digest,
+      CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to FROM v""",
+}
