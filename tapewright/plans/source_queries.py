@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,11 @@ QUERIES, SQL = query.queries, query.sql
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder among the cluster's shared ones."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the cluster's shared one; only where none is set (tests, local mode) in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tapewright/{name}-{uuid.uuid4().hex}"
 
 

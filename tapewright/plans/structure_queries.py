@@ -387,3 +387,74 @@ def window_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = signals(spark, sf_dir).withColumn("window_no", F.floor((F.col("bar_no") - 1) / 100))
     return rounded(simulate.trades_of(s, ["symbol", "window_no"], OHLC, simulate.bracket()))
+
+
+# --- memory, regimes and rolling ranks
+
+LAGS = [10, 20, 40, 80, 160]
+
+
+@query(
+    "f53_hurst_lags",
+    f"""WITH {BARS}, r AS (SELECT symbol, bar_no - 2 AS i, ln(close / {lag('close')}) AS x FROM bars), l AS (SELECT symbol, i, x, unnest({LAGS}) AS n FROM r WHERE x IS NOT NULL), k AS (SELECT *, i // n AS chunk FROM l),
+    c AS (SELECT symbol, n, chunk, i, x - avg(x) OVER p AS d, stddev_pop(x) OVER p AS s, count(*) OVER p AS m FROM k WINDOW p AS (PARTITION BY symbol, n, chunk)), q AS (SELECT *, sum(d) OVER (PARTITION BY symbol, n, chunk ORDER BY i) AS cum FROM c WHERE m = n),
+    rs AS (SELECT symbol, n, chunk, (max(cum) - min(cum)) / nullif(max(s), 0) AS rs FROM q GROUP BY ALL), g AS (SELECT symbol, n, avg(rs) AS rs FROM rs GROUP BY ALL) SELECT symbol, count(*) AS lags, round(regr_slope(ln(rs), ln(n)), 5) AS hurst FROM g WHERE rs > 0 GROUP BY 1""",
+)
+def hurst_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope of the rescaled range on the length of the pieces, both as logarithms; whole pieces only."""
+    r = bars(spark, sf_dir).select("symbol", (F.col("bar_no") - 2).alias("i"), F.log(C() / prev("close")).alias("x")).where("x is not null")
+    k = r.withColumn("n", F.explode(F.array(*map(F.lit, LAGS)))).withColumn("chunk", F.floor(F.col("i") / F.col("n")))
+    p = W.partitionBy("symbol", "n", "chunk")
+    c = k.withColumn("d", F.col("x") - F.avg("x").over(p)).withColumn("s", F.stddev_pop("x").over(p)).withColumn("m", F.count("*").over(p)).where("m = n")
+    q = c.withColumn("cum", F.sum("d").over(p.orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    rs = q.groupBy("symbol", "n", "chunk").agg(((F.max("cum") - F.min("cum")) / F.nullif(F.max("s"), F.lit(0.0))).alias("rs"))
+    g = rs.groupBy("symbol", "n").agg(F.avg("rs").alias("rs")).where("rs > 0").select("symbol", F.log("rs").alias("y"), F.log("n").alias("x"))
+    return g.groupBy("symbol").agg(F.count("*").alias("lags"), F.round(F.regr_slope("y", "x"), 5).alias("hurst"))
+
+
+@query("f55_two_regimes")
+def two_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calm or wild, by a two-state model of returns fitted to the bars so far, and bars since the state changed."""
+    from tapewright.operators.models import two_states
+
+    b = bars(spark, sf_dir).withColumn("ret", F.log(C() / prev("close")))
+    out = scan(b, two_states(), ["wild"], ["ret"])
+    out = out.withColumn("change", F.when(~F.col("wild").eqNullSafe(prev("wild")), F.col("bar_no")))
+    since = F.col("bar_no") - F.last("change", ignorenulls=True).over(BY().rowsBetween(W.unboundedPreceding, 0))
+    return out.select("symbol", "bar_no", F.col("wild").cast("int").alias("wild"), since.alias("since"))
+
+
+@query("f57_logistic_growth", f"WITH {BARS}, v AS (SELECT symbol, bar_no, sum(volume) OVER (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS s, volume FROM bars), g AS (SELECT symbol, bar_no, volume / s AS y, s FROM v) SELECT symbol, bar_no, round(CASE WHEN bar_no >= 60 THEN regr_intercept(y, s) {w(60)} END, 6) AS rate FROM g")
+def logistic_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Growth rate of accumulated volume under a logistic law: growth over level is a line in the level."""
+    v = bars(spark, sf_dir).withColumn("s", F.sum("volume").over(BY().rowsBetween(W.unboundedPreceding, 0))).withColumn("y", V() / F.col("s"))
+    return v.select("symbol", "bar_no", F.round(F.when(F.col("bar_no") >= 60, F.regr_intercept("y", "s").over(last(60))), 6).alias("rate"))
+
+
+@query("f58_spread_features", f"WITH {MACRO_AT}, s AS (SELECT ts::DATE AS day, value / 1000 - avg(value / 1000) OVER (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS spread FROM mac), d AS (SELECT *, spread - lag(spread, 5) OVER (ORDER BY day) AS d5 FROM s) SELECT day, round(spread, 5) AS spread, round(d5, 5) AS change5, round(d5 - lag(d5, 5) OVER (ORDER BY day), 5) AS curvature, coalesce(spread < 0 AND d5 > 0, false) AS steepening FROM d")
+def spread_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spread with its change over five rows, the change of that, and the turn up from below zero; a row a day."""
+    from tapewright.sources.market import macro_daily
+
+    by = W.orderBy("day")
+    x = F.col("value") / 1000
+    s = macro_daily(spark, sf_dir).withColumn("spread", x - F.avg(x).over(by.rowsBetween(-19, 0)))
+    s = s.withColumn("d5", F.col("spread") - F.lag("spread", 5).over(by))
+    return s.select("day", F.round("spread", 5).alias("spread"), F.round("d5", 5).alias("change5"), F.round(F.col("d5") - F.lag("d5", 5).over(by), 5).alias("curvature"), F.coalesce((F.col("spread") < 0) & (F.col("d5") > 0), F.lit(False)).alias("steepening"))
+
+
+def frame_rank(x: str, n: int) -> F.Column:
+    """Rank of the current value in its frame, ties at their mean rank."""
+    xs = F.collect_list(x).over(last(n))
+    return F.when(F.count(x).over(last(n)) == n, F.size(F.filter(xs, lambda v: v < F.col(x))) + (F.size(F.filter(xs, lambda v: v == F.col(x))) + 1) / 2)
+
+
+@query(
+    "f77_rolling_ic",
+    f"WITH {BARS}, x AS (SELECT symbol, bar_no, close / {lag('close', 5)} - 1 AS f, {lag('close')} / {lag('close', 2)} - 1 AS r FROM bars), l AS (SELECT *, count(f) {w(30)} AS nf, count(r) {w(30)} AS nr, list(f) FILTER (f IS NOT NULL) {w(30)} AS fs, list(r) FILTER (r IS NOT NULL) {w(30)} AS rs FROM x), k AS (SELECT symbol, bar_no, CASE WHEN nf = 30 THEN len(list_filter(fs, lambda v: v < f)) + (len(list_filter(fs, lambda v: v = f)) + 1) / 2.0 END AS a, CASE WHEN nr = 30 THEN len(list_filter(rs, lambda v: v < r)) + (len(list_filter(rs, lambda v: v = r)) + 1) / 2.0 END AS b FROM l) SELECT symbol, bar_no, round(CASE WHEN bar_no >= 64 THEN corr(a, b) {w(30)} END, 5) AS ic FROM k",
+)
+def rolling_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation over thirty bars of ranks within thirty bars."""
+    x = bars(spark, sf_dir).withColumn("f", C() / prev("close", 5) - 1).withColumn("r", prev("close") / prev("close", 2) - 1)
+    k = x.withColumn("a", frame_rank("f", 30)).withColumn("b", frame_rank("r", 30))
+    return k.select("symbol", "bar_no", F.round(F.when(F.col("bar_no") >= 64, m.correlation("a", "b", last(30))), 5).alias("ic"))
