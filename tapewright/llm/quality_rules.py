@@ -177,15 +177,19 @@ def covered(rows: list[tuple], conditions: Sequence[tuple[int, bool, int]]) -> l
     return [r for r in rows if all((r[f] > cut) == above for f, above, cut in conditions)]
 
 
-def prune(rows: list[tuple], conditions: list[tuple[int, bool, int]]) -> list[tuple[int, bool, int]]:
-    """The prefix of the conditions that does best on rows it was not grown on."""
+def counts(rows: list[tuple], conditions: Sequence[tuple[int, bool, int]]) -> tuple[int, int]:
+    got = covered(rows, conditions)
+    return sum(r[-2] for r in got), sum(r[-1] for r in got)
 
-    def worth(k: int) -> tuple[float, int]:
-        got = covered(rows, conditions[:k])
-        p, n = sum(r[-2] for r in got), sum(r[-1] for r in got)
-        return ((p + 1) / (n + 2) if n else 0.0, -k)
 
-    return conditions[: max(range(1, len(conditions) + 1), key=worth)] if conditions else conditions
+def prune(rows: list[tuple], options: list[list[tuple[int, bool, int]]]) -> list[tuple[int, bool, int]]:
+    """Of a rule's prefixes the one that does best on rows it was not grown on, the shorter one at a tie."""
+
+    def worth(conditions: list[tuple[int, bool, int]]) -> tuple[float, int]:
+        p, n = counts(rows, conditions)
+        return ((p + 1) / (n + 2) if n else 0.0, -len(conditions))
+
+    return max(options, key=worth, default=[])
 
 
 def used_labels(labels: DataFrame, key: str, label: str, max_labelled: int) -> DataFrame:
@@ -200,15 +204,18 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
     points, rows = cells(stats, used_labels(labels, key, label, max_labelled), key, label, cuts)
     growing, holding = [r for r in rows if not r[-3]], [r for r in rows if r[-3]]
     rules: list[Rule] = []
+
+    def precise(conditions: list[tuple[int, bool, int]]) -> bool:
+        (p, n), (hp, hn) = counts(growing, conditions), counts(holding, conditions)
+        return n + hn >= min_support and p + hp >= min_precision * (n + hn) and hn > 0 and hp >= min_precision * hn
+
     while len(rules) < max_rules and growing:
-        conditions = prune(holding, grow(growing, points, max_literals))
+        grown = grow(growing, points, max_literals)
+        conditions = prune(holding, [grown[:k] for k in range(1, len(grown) + 1) if precise(grown[:k])])
         if not conditions:
             break
         got, held = covered(growing, conditions), covered(holding, conditions)
-        p, n = sum(r[-2] for r in [*got, *held]), sum(r[-1] for r in [*got, *held])
-        hp, hn = sum(r[-2] for r in held), sum(r[-1] for r in held)
-        if n < min_support or p < min_precision * n or not hn or hp < min_precision * hn:
-            break
+        p, n = (x + y for x, y in zip(counts(growing, conditions), counts(holding, conditions), strict=True))
         literals = tuple(Literal(FEATURES[f], above, points[FEATURES[f]][cut]) for f, above, cut in conditions)
         rules.append(Rule(literals, p / n, n))
         growing = [r for r in growing if r not in set(got)]
