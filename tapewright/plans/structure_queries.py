@@ -424,10 +424,10 @@ def two_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "bar_no", F.col("wild").cast("int").alias("wild"), since.alias("since"))
 
 
-@query("f57_logistic_growth", f"WITH {BARS}, v AS (SELECT symbol, bar_no, sum(volume) OVER (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS s, volume FROM bars), g AS (SELECT symbol, bar_no, volume / s AS y, s FROM v) SELECT symbol, bar_no, round(CASE WHEN bar_no >= 60 THEN regr_intercept(y, s) {w(60)} END, 6) AS rate FROM g")
+@query("f57_logistic_growth", f"WITH {BARS}, v AS (SELECT symbol, bar_no, sum(volume) OVER (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS s, volume FROM bars), g AS (SELECT symbol, bar_no, volume / nullif(s, 0) AS y, s FROM v) SELECT symbol, bar_no, round(CASE WHEN bar_no >= 60 THEN regr_intercept(y, s) {w(60)} END, 6) AS rate FROM g")
 def logistic_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth rate of accumulated volume under a logistic law: growth over level is a line in the level."""
-    v = bars(spark, sf_dir).withColumn("s", F.sum("volume").over(BY().rowsBetween(W.unboundedPreceding, 0))).withColumn("y", V() / F.col("s"))
+    v = bars(spark, sf_dir).withColumn("s", F.sum("volume").over(BY().rowsBetween(W.unboundedPreceding, 0))).withColumn("y", V() / F.nullif(F.col("s"), F.lit(0.0)))
     return v.select("symbol", "bar_no", F.round(F.when(F.col("bar_no") >= 60, F.regr_intercept("y", "s").over(last(60))), 6).alias("rate"))
 
 
