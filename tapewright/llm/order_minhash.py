@@ -12,10 +12,11 @@ aligned shingles can drift apart, so only a diagonal band is searched. A documen
 Scale: equal texts are one candidate. In each round a bucket's first members (by a hash, so each bucket has its
 own; one in the first round, then 8, and more once few pairs come of it) are its centres and meet all other members; pairs of one class already, or whose bit signatures differ far more
 than at the threshold (3 standard deviations), are not made. The centres then leave, and the rest meet other centres
-in the next round, until every bucket is one class or empty. Buckets of up to ``rounds`` x 8 members are thus compared
-in full; larger ones go on for as long as a round still finds a link anywhere. Pairs, texts and links stay
-distributed; only the roots of classes that met are renumbered. Texts are told apart by 128 bits of hash, and in the
-search by 64.
+in the next round, until every bucket is one class or empty. What is left after ``rounds`` rounds is split again, and
+exactly: texts at the threshold share one of the rarest fifth of their shingles (see ``least_shared``), so the texts
+left are dealt into a bucket for each of those that another text has too, and these buckets go on, with twice the
+centres each round, until every pair of different classes in them has met. Pairs, texts and links stay distributed;
+only the roots of classes that met are renumbered. Texts are told apart by 128 bits of hash, and in the search by 64.
 
 Defined results: null and empty texts (and texts without words that are equal) are equal texts; texts of fewer than
 five words are one shingle; repeated rows share a class; a null doc_id is never a class's id unless the class has no
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -138,6 +139,14 @@ def most_differing(threshold: float, deviations: float = 3.0) -> int:
     return math.ceil(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
+def least_shared(n: Column, threshold: float) -> Column:
+    """How many of its n labelled shingles a text shares at least with any text at the threshold.
+
+    However all shingles are ordered, two such texts have one in common among their first n + 1 less this.
+    """
+    return F.ceil(n * threshold - 1e-9)
+
+
 def alignment(a: list, b: list, most_unmatched: int) -> int:
     """The longest common subsequence within the band that leaves at most ``most_unmatched`` items unmatched.
 
@@ -223,6 +232,30 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
             own = [pa.array([n for n, _ in made], pa.int64()), pa.array([b for _, b in made], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("text"), *own], ["h1", "text", "n", "sig"])
 
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                own = [labelled(shingles(word_hashes(t.encode()))).view(np.int64) for t in part.column("text").to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), part.column("u").take(of)], ["bucket", "u"])
+
+    def split(members: DataFrame, n: int) -> DataFrame:
+        """The texts of ``members`` in a bucket for each of their rarest shingles that texts at the threshold can share."""
+        own = written(members.dropDuplicates(["u"]).select("u", "root", "n", "sig"), "rest", n)
+        rest = join_counted(needed.select(F.col("h1").alias("u"), "text"), own.select("u"), ["u"], "left_semi", n)
+        each = written(rest.mapInArrow(labels, "bucket long, u long"), "shingles")
+        shared = each.join(each.groupBy("bucket").agg(F.count("*").alias("holders")).where("holders > 1"), "bucket")
+        of_text = W.partitionBy("u")
+        placed = shared.withColumn("k", F.row_number().over(of_text.orderBy("holders", "bucket"))).withColumn("n_shared", F.count("*").over(of_text))
+        rare = placed.select("bucket", "u", "k", "n_shared").join(own, "u").where(F.col("k") <= F.col("n_shared") + 1 - least_shared(F.col("n"), threshold))
+        return written(rare.select("bucket", "u", "root", "n", "sig"), "split")
+
+    def unsettled(members: DataFrame, n: int) -> DataFrame:
+        """Buckets of more than one class."""
+        mixed = members.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
+        return written(join_counted(members, written(mixed, "mixed", n), ["bucket"], "left_semi", n), "members", n)
+
     docs = _reps(df, key, text)
     texts = written(docs.groupBy("h1", "h2").agg(F.min("doc_id").alias("least")), "texts")
     # One node for each different text that has words, numbered by its 64-bit hash.
@@ -241,7 +274,7 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
         members = written(members.select("bucket", "u", "root", "n", "sig"), "members", n)
     differ = sum((F.bit_count(F.get("sig", F.lit(j)).bitwiseXOR(F.get("sig2", F.lit(j)))) for j in range(SIGN_WORDS)), F.lit(0))
     alike = (F.least("n", "n2") < SHORT) | (differ <= most_differing(threshold))
-    tried, links, done, width = None, None, 0, CENTRES
+    tried, links, n_links, done, width, whole = None, None, 0, 0, CENTRES, False
     while n:
         # The centres of a bucket meet its other members that are not yet of their class, and then leave the bucket.
         first = F.row_number().over(W.partitionBy("bucket").orderBy(F.xxhash64("bucket", "u"), "u"))
@@ -255,32 +288,32 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs", n)
         n_pairs = pairs.count()
-        n_good = n_links = 0
         if n_pairs:
             with_u = pairs.join(needed.select(F.col("h1").alias("u"), F.col("text").alias("x")), "u")
             with_both = with_u.join(needed.select(F.col("h1").alias("v"), F.col("text").alias("y")), "v")
             checked = written(with_both.select("u", "v", "ru", "rv", "x", "y").mapInArrow(verified, "u long, v long, ru long, rv long, ok boolean"), "checked")
             tried = checked.select("u", "v") if tried is None else tried.unionByName(checked.select("u", "v"))
             good = checked.where("ok").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-            n_good = good.count()
-            if n_good:
-                links = good if links is None else links.unionByName(good)
-                n_links = links.count()
+            links = good if links is None else links.unionByName(good)
+            n_links = links.count()
         left = members.join(centres.select("bucket", F.col("v").alias("u")), ["bucket", "u"], "left_anti")
-        if n_links * FEW_LINKS >= n:  # classes that met become one; a few links wait for more or for the end
+        done += 1
+        last = not whole and done >= rounds
+        if n_links and (last or n_links * FEW_LINKS >= n):  # classes that met become one; a few links wait for more or for the end
             moved = written(components(links), "components", 2 * n_links)
-            roots, left, links = written(renumbered(roots, moved, 2 * n_links), "roots", n_nodes), renumbered(left, moved, 2 * n_links), None
-        left = written(left, "left", n)
-        mixed = left.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-        members = written(join_counted(left, written(mixed, "mixed", n), ["bucket"], "left_semi", n), "members", n)
+            roots, left = written(renumbered(roots, moved, 2 * n_links), "roots", n_nodes), renumbered(left, moved, 2 * n_links)
+            links, n_links = None, 0
+        members = unsettled(written(left, "left", n), n)
         n = members.count()
-        done += 1
-        if done >= rounds and not n_good:
-            break
-        if done > 1 and 4 * n_pairs < n:  # most members find nobody like them: let them meet more centres at once
+        if last and n:
+            whole, width = True, CENTRES
+            members = split(members, n)
+            n = members.count()
+            members = unsettled(members, n)
+            n = members.count()
+        elif whole or (done > 1 and 4 * n_pairs < n):  # most members find nobody like them: let them meet more centres at once
             width *= 2
-    if links is not None:
-        n_links = links.count()
+    if n_links:
         roots = written(renumbered(roots, written(components(links), "components", 2 * n_links), 2 * n_links), "roots", n_nodes)
 
     named = texts.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "least", "root")

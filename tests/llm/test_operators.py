@@ -251,6 +251,18 @@ def test_near_classes_match_all_pairs(spark):
     assert order_minhash.near_classes(docs.where("false")).isEmpty()
 
 
+def test_rare_near_pairs_in_a_bucket_of_unlike_texts(spark):
+    rng = random.Random(12)
+    passage = sentence(rng, 181)
+    own = lambda: [f"own{rng.randrange(10**9)}" for _ in range(23)]
+    rows, tails = [], [own() for _ in range(388)]
+    tails += [[f"other{k}" if k in (3, 8, 13, 18) else w for k, w in enumerate(t)] for t in tails[:12]]
+    rows = [(i, passage + " " + " ".join(t)) for i, t in enumerate(tails)]
+    assert plain_similarity(rows[0][1], rows[388][1]) > 0.8 > plain_similarity(rows[0][1], rows[1][1])
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark.createDataFrame(rows, DOCS), rounds=2).collect()}
+    assert got == {i: i - 388 if i >= 388 else i for i in range(400)}
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(300):
