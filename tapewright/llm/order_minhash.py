@@ -2,7 +2,9 @@
 
 A document is the sequence of its 5-word shingles, each labelled with how often it occurred before in the text. Each
 of ``sketches`` hash functions picks the ``picks`` least labelled shingles and keeps them in text order; documents
-that agree on one such tuple are candidates. Agreement needs the same shingles in the same order, so it follows edit
+that agree on one such tuple are candidates. Short texts (up to ``EXACT`` shingles), for which such tuples are too few
+or too seldom equal, have a key for each of so many least labelled shingles under one hash that texts at the threshold
+always share one; texts long enough to be near a short one have both kinds of keys. Agreement needs the same shingles in the same order, so it follows edit
 similarity, not only shared vocabulary.
 
 Similarity of two documents is m / (a + b - m) with a and b shingles and m the most shingles that align in order
@@ -40,6 +42,7 @@ from tapewright.llm.common import join_counted, require, written
 
 WORDS = 5
 SIGN_WORDS = 16
+EXACT = 20  # shingles up to which no near text is missed
 SHORT = 64  # shingles under which signatures say too little
 CENTRES = 8
 FEW_LINKS = 50  # new links are followed at once where there is one for so many members
@@ -102,11 +105,24 @@ def labelled(s: np.ndarray) -> np.ndarray:
 
 def sketch(text: str, seeds: np.ndarray, picks: int) -> np.ndarray | None:
     """One key per seed, of the least labelled shingles under that seed in text order; none without words."""
-    s = shingles(word_hashes(text.encode()))
-    n = len(s)
+    lab = labelled(shingles(word_hashes(text.encode())))
+    return sketch_of(lab, seeds, picks) if len(lab) else None
+
+
+def keys(text: str, seeds: np.ndarray, picks: int, threshold: float) -> np.ndarray | None:
+    """The sketch of a text, and for a short one (or one that a short one can be near to) keys that no near text escapes."""
+    lab = labelled(shingles(word_hashes(text.encode())))
+    n = len(lab)
     if not n:
         return None
-    lab = labelled(s)
+    out = [sketch_of(lab, seeds, picks)] if n > EXACT else []
+    if n * threshold <= EXACT + 1e-9:  # two such texts share this many shingles, so one of the others and the next
+        out.append(np.sort(_mix(lab ^ U(BASE)))[: n + 1 - math.ceil(n * threshold - 1e-9)])
+    return np.concatenate(out)
+
+
+def sketch_of(lab: np.ndarray, seeds: np.ndarray, picks: int) -> np.ndarray:
+    n = len(lab)
     x = (lab[None, :] ^ seeds[:, None]) * U(0xFF51AFD7ED558CCD)
     x ^= x >> U(33)
     x *= U(0xC4CEB9FE1A85EC53)
@@ -212,13 +228,13 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
+            made, rows = [], []
             for i, t in enumerate(batch.column("_text").to_pylist()):
-                if (got := sketch(t, seeds, picks)) is not None:
-                    keys.append(got.view(np.int64))
+                if (got := keys(t, seeds, picks, threshold)) is not None:
+                    made.append(got.view(np.int64))
                     rows.append(i)
-            at = pa.array(np.repeat(np.array(rows, np.int64), sketches))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), *(batch.column(c).take(at) for c in ("h1", "h2"))], ["bucket", "h1", "h2"])
+            at = pa.array(np.repeat(np.array(rows, np.int64), [len(x) for x in made]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made) if made else np.zeros(0, np.int64)), *(batch.column(c).take(at) for c in ("h1", "h2"))], ["bucket", "h1", "h2"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,7 +289,8 @@ def near_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thresho
         members = members.join(needed.select(F.col("h1").alias("u"), "n", "sig"), "u").withColumn("root", F.col("u"))
         members = written(members.select("bucket", "u", "root", "n", "sig"), "members", n)
     differ = sum((F.bit_count(F.get("sig", F.lit(j)).bitwiseXOR(F.get("sig2", F.lit(j)))) for j in range(SIGN_WORDS)), F.lit(0))
-    alike = (F.least("n", "n2") < SHORT) | (differ <= most_differing(threshold))
+    near_length = F.least("n", "n2") >= least_shared(F.greatest("n", "n2"), threshold)
+    alike = near_length & ((F.least("n", "n2") < SHORT) | (differ <= most_differing(threshold)))
     tried, links, n_links, done, width, whole = None, None, 0, 0, CENTRES, False
     while n:
         # The centres of a bucket meet its other members that are not yet of their class, and then leave the bucket.

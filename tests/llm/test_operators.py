@@ -251,6 +251,19 @@ def test_near_classes_match_all_pairs(spark):
     assert order_minhash.near_classes(docs.where("false")).isEmpty()
 
 
+def test_short_near_pairs_share_a_key(spark):
+    rng = random.Random(13)
+    rows = []
+    for n in (*range(5, 13), *range(21, 25)):
+        for k in range(12):
+            words = sentence(rng, n).split()
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[:-1] if k % 2 else words[1:]))]
+    want = {i: i - i % 2 if plain_similarity(rows[i - i % 2][1], rows[i - i % 2 + 1][1]) >= 0.8 else i for i, _ in rows}
+    assert sum(i != c for i, c in want.items()) == 8 * 12
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want
+
+
 def test_rare_near_pairs_in_a_bucket_of_unlike_texts(spark):
     rng = random.Random(12)
     passage = sentence(rng, 181)
