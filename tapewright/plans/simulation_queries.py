@@ -123,13 +123,17 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIMS = 40
+WHOLE_SIMS = 1000  # of the queries over the whole ledger
 DAILY = f"{TRADES}, d AS (SELECT strategy, exit_ts::DATE AS day, round(sum(pnl) / 500, 6) AS x FROM trades WHERE exit_ts >= TIMESTAMP '1998-01-01' AND exit_ts < TIMESTAMP '1998-03-01' GROUP BY ALL)"
 RESAMPLED = f"{DAILY}, k AS (SELECT strategy, x, row_number() OVER (PARTITION BY strategy ORDER BY x) - 1 AS at_no, count(*) OVER (PARTITION BY strategy) AS n FROM d), q AS (SELECT strategy, at_no AS step, n, unnest(range({SIMS})) AS sim FROM k), r AS (SELECT strategy, step, sim, ('0x' || substr(md5('7/' || strategy || '/' || sim || '/' || step), 1, 12))::BIGINT % n AS at_no FROM q), v AS (SELECT r.strategy, sim, step, x FROM r JOIN k USING (strategy, at_no))"
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).where("exit_ts >= timestamp_ntz '1998-01-01 00:00:00' and exit_ts < timestamp_ntz '1998-03-01 00:00:00'")
-    return t.groupBy("strategy", F.to_date("exit_ts").alias("day")).agg(F.round(F.sum("pnl") / 500, 6).alias("x"))
+    return every_day(spark, sf_dir).where("day >= date '1998-01-01' and day < date '1998-03-01'")
+
+
+def every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trades(spark, sf_dir).groupBy("strategy", F.to_date("exit_ts").alias("day")).agg(F.round(F.sum("pnl") / 500, 6).alias("x"))
 
 
 @query(
@@ -138,7 +142,16 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled paths and which bound they reach first; the rest are incomplete."""
-    v = simulate.resampled(daily(spark, sf_dir), "x", "strategy", SIMS)
+    return first_bound(daily(spark, sf_dir), SIMS)
+
+
+@query("j10_bootstrap_whole")
+def bootstrap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_bound(every_day(spark, sf_dir), WHOLE_SIMS)
+
+
+def first_bound(d: DataFrame, sims: int) -> DataFrame:
+    v = simulate.resampled(d, "x", "strategy", sims)
     w = W.partitionBy("strategy", "sim").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     e = v.withColumn("eq", F.sum("x").over(w))
     h = e.groupBy("strategy", "sim").agg(F.min(F.when(F.col("eq") >= 3, F.col("step"))).alias("hit"), F.min(F.when(F.col("eq") <= -3, F.col("step"))).alias("bust"))
@@ -152,8 +165,17 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of sign-flipped series whose mean is at least the real one."""
-    d = daily(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("strategy").orderBy("day")))
-    p = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(SIMS - 1))))
+    return sign_flips(daily(spark, sf_dir), SIMS)
+
+
+@query("j11_permutation_whole")
+def permutation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_flips(every_day(spark, sf_dir), WHOLE_SIMS)
+
+
+def sign_flips(d: DataFrame, sims: int) -> DataFrame:
+    d = d.withColumn("i", F.row_number().over(W.partitionBy("strategy").orderBy("day")))
+    p = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     flip = simulate.draw(F.lit(2), 11, F.col("strategy"), F.col("sim"), F.col("i")) == 0
     s = p.groupBy("strategy", "sim").agg(F.avg(F.when(flip, F.col("x")).otherwise(-F.col("x"))).alias("mu"))
     j = s.join(d.groupBy("strategy").agg(F.avg("x").alias("observed")), "strategy")
@@ -162,7 +184,16 @@ def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j12_bootstrap_difference", f"WITH {RESAMPLED}, mu AS (SELECT strategy, sim, avg(x) AS mu FROM v GROUP BY ALL), j AS (SELECT a.sim, a.mu - b.mu AS diff FROM mu a JOIN mu b USING (sim) WHERE a.strategy = 'A' AND b.strategy = 'N') SELECT count(*) AS sims, round(avg((diff <= 0)::INT), 6) AS p, round(avg(diff), 6) AS mean FROM j")
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = simulate.resampled(daily(spark, sf_dir).where(F.col("strategy").isin("A", "N")), "x", "strategy", SIMS)
+    return difference(daily(spark, sf_dir), SIMS)
+
+
+@query("j12_bootstrap_difference_whole")
+def bootstrap_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return difference(every_day(spark, sf_dir), WHOLE_SIMS)
+
+
+def difference(d: DataFrame, sims: int) -> DataFrame:
+    v = simulate.resampled(d.where(F.col("strategy").isin("A", "N")), "x", "strategy", sims)
     j = v.groupBy("sim").agg((F.avg(F.when(F.col("strategy") == "A", F.col("x"))) - F.avg(F.when(F.col("strategy") == "N", F.col("x")))).alias("diff"))
     return j.where("diff is not null").agg(F.count("*").alias("sims"), F.round(F.avg((F.col("diff") <= 0).cast("int")), 6).alias("p"), F.round(F.avg("diff"), 6).alias("mean"))
 
