@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,7 +45,16 @@ def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("i03_headline_polarity", "WITH h AS (SELECT doc_id, lower(left(text, 200)) AS h FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, 0.15 * (contains(h, 'win')::INT + contains(h, 'good')::INT + contains(h, 'gain')::INT) - 0.15 * (contains(h, 'loss')::INT + contains(h, 'bad')::INT + contains(h, 'err')::INT) AS score FROM h) SELECT doc_id, round(score, 4) AS score, CASE WHEN score > 0.1 THEN 'POSITIVE' WHEN score < -0.1 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM p")
 def headline_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword boosts on a headline, by substring."""
-    h = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lower(F.left("text", F.lit(200))).alias("h"))
+    return polarity(table(spark, sf_dir, "documents"), F.left("text", F.lit(200)))
+
+
+@query("i03_whole_text_polarity", "WITH h AS (SELECT doc_id, lower(text) AS h FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, 0.15 * (contains(h, 'win')::INT + contains(h, 'good')::INT + contains(h, 'gain')::INT) - 0.15 * (contains(h, 'loss')::INT + contains(h, 'bad')::INT + contains(h, 'err')::INT) AS score FROM h) SELECT doc_id, round(score, 4) AS score, CASE WHEN score > 0.1 THEN 'POSITIVE' WHEN score < -0.1 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM p")
+def whole_text_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polarity(table(spark, sf_dir, "documents"), F.col("text"))
+
+
+def polarity(df: DataFrame, text: Column) -> DataFrame:
+    h = df.where("text is not null").select("doc_id", F.lower(text).alias("h"))
     count = lambda ws: sum((F.contains("h", F.lit(w)).cast("int") for w in ws), F.lit(0))
     p = h.select("doc_id", (0.15 * count(["win", "good", "gain"]) - 0.15 * count(["loss", "bad", "err"])).alias("score"))
     return p.select("doc_id", F.round("score", 4).alias("score"), F.when(F.col("score") > 0.1, "POSITIVE").when(F.col("score") < -0.1, "NEGATIVE").otherwise("NEUTRAL").alias("label"))

@@ -156,6 +156,12 @@ def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", F.left(F.get(F.split("text", "\n"), F.lit(0)), F.lit(80)).alias("headline"))
 
 
+@query("a23_all_headlines", "SELECT doc_id, lang, split_part(text, chr(10), 1) AS headline FROM documents WHERE text IS NOT NULL")
+def all_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", "lang", F.substring_index("text", "\n", 1).alias("headline"))
+
+
 @query("a25_replay", f"WITH {BARS}, p AS (SELECT symbol, bar_no, avg(close) OVER w AS mean, max(high) OVER w AS top FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT symbol, bar_no, round(mean, 6) AS mean, top FROM p WHERE bar_no > 20")
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a replay knows at each bar after its warm-up: all bars so far."""

@@ -28,6 +28,15 @@ def test_resampled_matches_plain_draws(spark):
     assert sorted(map(tuple, got)) == want
 
 
+def test_whole_texts_and_lines_are_read(spark, tmp_path):
+    rows = [(1, "x " * 150 + "gain", "en", 304), (2, "y" * 500 + "\nz", "fr", 502), (3, None, "en", 0), (4, "", "en", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = {r["doc_id"]: r["label"] for r in QUERIES["i03_whole_text_polarity"](spark, str(tmp_path)).collect()}
+    assert labels == {1: "POSITIVE", 2: "NEUTRAL", 4: "NEUTRAL"}
+    lines = {r["doc_id"]: r["headline"] for r in QUERIES["a23_all_headlines"](spark, str(tmp_path)).collect()}
+    assert lines == {1: rows[0][1], 2: "y" * 500, 4: ""}
+
+
 def test_whole_ledger_is_resampled(spark):
     t = trades(spark, SMALL)
     days = defaultdict(int, {r["strategy"]: r["n"] for r in t.groupBy("strategy").agg(F.count_distinct(F.to_date("exit_ts")).alias("n")).collect()})
