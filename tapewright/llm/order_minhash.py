@@ -13,7 +13,7 @@ aligned shingles can drift apart, so only a diagonal band is searched. A documen
 
 Scale: equal texts are one candidate. In each round a bucket's first members (by a hash, so each bucket has its
 own; one in the first round, then 8, and more once few pairs come of it) are its centres and meet all other members; pairs of one class already, or whose bit signatures differ far more
-than at the threshold (3 standard deviations), are not made. The centres then leave, and the rest meet other centres
+than at the threshold (5 standard deviations), are not made. The centres then leave, and the rest meet other centres
 in the next round, until every bucket is one class or empty. What is left after ``rounds`` rounds is split again, and
 exactly: texts at the threshold share one of the rarest fifth of their shingles (see ``least_shared``), so the texts
 left are dealt into a bucket for each of those that another text has too, and these buckets go on, with twice the
@@ -148,7 +148,7 @@ def signature(text: str) -> tuple[int, list[int]]:
     return len(s), np.packbits(2 * sums >= len(s)).view(np.int64).tolist()
 
 
-def most_differing(threshold: float, deviations: float = 3.0) -> int:
+def most_differing(threshold: float, deviations: float = 5.0) -> int:
     """Bits in which two signatures differ at the threshold, and so many standard deviations more."""
     shared = 2 * threshold / (1 + threshold)  # of the shingles of two texts of one length
     n, p = 64 * SIGN_WORDS, math.acos(shared) / math.pi

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
@@ -251,6 +252,13 @@ def test_near_classes_match_all_pairs(spark):
     assert order_minhash.near_classes(docs.where("false")).isEmpty()
 
 
+def test_signatures_exclude_no_pair_at_the_threshold():
+    n = 64 * order_minhash.SIGN_WORDS
+    p = math.acos(2 * 0.8 / 1.8) / math.pi
+    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(order_minhash.most_differing(0.8) + 1, n + 1))
+    assert lost < 2e-6
+
+
 def test_short_near_pairs_share_a_key(spark):
     rng = random.Random(13)
     rows = []
