@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where none is set (tests, local mode) a temporary one."""
+    """The folder named in ``spark.checkpoint.dir``; only where none is set and the master is local a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -24,21 +29,52 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 #: Rows of a few numbers that one task writes, where the number of rows is known.
 TASK_ROWS = 100_000
+#: Paths of the tables written within each open ``tidy``, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables written within, but for those written with ``keep``, on the way out."""
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, keep: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     A lost executor then only repeats tasks after this point, and what several branches read is made once. With
-    ``rows``, a known bound on the rows, no more tasks write than they need.
+    ``rows``, a known bound on the rows, no more tasks write than they need. With ``keep`` the table outlives the
+    innermost ``tidy``, as what a returned frame reads must.
     """
     path = fresh_path(df.sparkSession, name)
+    scopes = _scopes.get()[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     if rows is not None:
         df = df.coalesce(rows // TASK_ROWS + 1)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like ``names`` that are not in ``taken`` (Spark tells names apart without their case)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,15 +1,20 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps.
+"""Connected components of an edge table.
 
-Each step replaces a node's neighbours by links to the least one it knows, so long chains shorten by half and groups
-of thousands settle in a few rounds. Every step is an aggregation and a join on nodes, written to the shared folder.
+Every round first contracts the edges of each partition on its own (a forest of its nodes comes out, never more edges
+than went in), then joins the partitions' forests by a large-star and a small-star step, each an aggregation and a
+join on nodes. Partitions hold some ``TASK_ROWS`` edges; edges that fit into one are done in one contraction, and
+long chains shorten by half at least in each round otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import join_counted, written
+from tapewright.llm.common import TASK_ROWS, join_counted, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -34,14 +39,46 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (u, v: long); the root is the least node of its component.
+def find(up: dict[int, int], x: int) -> int:
+    """The root of ``x`` in a forest of links to smaller nodes, with the way there cut short."""
+    root = x
+    while (above := up.get(root, root)) != root:
+        root = above
+    while (above := up.get(x, x)) != root:
+        up[x] = root
+        x = above
+    return root
+
+
+def unite(up: dict[int, int], x: int, y: int) -> bool:
+    """Make the trees of ``x`` and ``y`` one, under the lesser root; false if they are one already."""
+    a, b = find(up, x), find(up, y)
+    if a != b:
+        up[max(a, b)] = min(a, b)
+    return a != b
+
 
-    Self links are ignored; an empty table gives an empty result.
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict[int, int] = {}
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            unite(up, u, v)
+    nodes = list(up)
+    yield pd.DataFrame({"u": nodes, "v": [find(up, x) for x in nodes]}, dtype="int64")
+
+
+def components(links: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(node, root) for every node of ``links`` (u, v: long; read twice); the root is the least node of its component.
+
+    Self links are ignored, links may repeat; an empty table gives an empty result.
     """
-    edges = written(links.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
+    edges = links.where("u is not null and v is not null and u <> v").select("u", "v")
     before = _signature(edges)
-    while n := before[0]:  # neither step makes more different links than it was given
+    while n := before[0]:  # no step makes more different links than it was given
+        parts = -(-n // task_rows)
+        edges = written(edges.coalesce(parts).mapInPandas(_contracted, "u long, v long"), "forests", None if parts > 1 else n)
+        if parts == 1:
+            break
         edges = written(_large_star(edges, n).where("u <> v").distinct(), "edges", n)
         edges = written(_small_star(edges, n).where("u <> v").distinct(), "edges", n)
         after = _signature(edges)

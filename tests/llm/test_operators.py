@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import math
 import random
 import re
 import struct
@@ -252,11 +251,27 @@ def test_near_classes_match_all_pairs(spark):
     assert order_minhash.near_classes(docs.where("false")).isEmpty()
 
 
-def test_signatures_exclude_no_pair_at_the_threshold():
-    n = 64 * order_minhash.SIGN_WORDS
-    p = math.acos(2 * 0.8 / 1.8) / math.pi
-    lost = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(order_minhash.most_differing(0.8) + 1, n + 1))
-    assert lost < 2e-6
+def test_profiles_never_exclude_a_pair_at_the_threshold():
+    rng = random.Random(14)
+    for _ in range(60):
+        words = [rng.choice(["a", "b", f"w{rng.randrange(300)}"]) for _ in range(rng.choice([6, 60, 400, 4000]))]
+        other = list(words)
+        for _ in range(rng.randint(0, max(1, len(words) // 30))):
+            other[rng.randrange(len(other))] = "z"
+        x, y = " ".join(words), " ".join(other)
+        near = order_minhash.similarity(x, y, 0.8) >= 0.8
+        made = [order_minhash.profile(t) for t in (x, y)]
+        hit = order_minhash.possible(np.array([1, 2]), None, *(np.array([m[k] for m in made]) for k in (0, 1)), [m[2] for m in made], 0.8)
+        assert hit.all() or not near
+        assert bool(order_minhash.links_among([1, 2], None, [x, y], 0.8)) == near and not order_minhash.links_among([1, 1], None, [x, y], 0.8)
+        assert not order_minhash.links_among([1, 2], [0, 0], [x, y], 0.8)
+
+
+def test_texts_of_one_number_are_told_apart(spark):
+    texts = spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 5, 2)], "h1 long, h2 long, least long")
+    twins = order_minhash.twins_of(texts)
+    assert len({r["u"] for r in order_minhash.numbered(texts, twins).collect()}) == 3
+    assert order_minhash.twins_of(texts.where("h2 <> 2")) is None
 
 
 def test_short_near_pairs_share_a_key(spark):
@@ -280,8 +295,10 @@ def test_rare_near_pairs_in_a_bucket_of_unlike_texts(spark):
     tails += [[f"other{k}" if k in (3, 8, 13, 18) else w for k, w in enumerate(t)] for t in tails[:12]]
     rows = [(i, passage + " " + " ".join(t)) for i, t in enumerate(tails)]
     assert plain_similarity(rows[0][1], rows[388][1]) > 0.8 > plain_similarity(rows[0][1], rows[1][1])
-    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark.createDataFrame(rows, DOCS), rounds=2).collect()}
-    assert got == {i: i - 388 if i >= 388 else i for i in range(400)}
+    given = spark.createDataFrame(rows, DOCS)
+    for how in ({}, {"stars": 1, "block": 256}, {"block": 200, "most_blocks": 1}):  # whole buckets, pairs of blocks, buckets dealt anew
+        got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(given, **how).collect()}
+        assert got == {i: i - 388 if i >= 388 else i for i in range(400)}
 
 
 def test_alignment_is_the_longest_common_subsequence():
@@ -316,8 +333,9 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     linked = {x for a, b in links if a != b for x in (a, b)}
-    got = [tuple(r) for r in components(spark.createDataFrame(links, "u long, v long")).collect()]
-    assert sorted(got) == sorted((x, find(x)) for x in linked)
+    for task_rows in (100_000, 20):
+        got = [tuple(r) for r in components(spark.createDataFrame(links, "u long, v long"), task_rows).collect()]
+        assert sorted(got) == sorted((x, find(x)) for x in linked)
 
 
 # --- 6 chat
