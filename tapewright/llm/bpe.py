@@ -5,9 +5,10 @@ word positions lets each merge, in rank order, touch every place it applies to a
 merged place get new index entries. Each task replays the distinct words of its own slice of the corpus and keeps
 the ids of words it has met, so there is no shuffle and nothing passes through the driver but the rank file.
 
-Defined results: null and empty texts have no ids; ids are little-endian unsigned 32-bit integers in a binary column
+Defined results: null and empty texts have no ids; texts of any length are encoded whole, repeated rows alike; an empty
+table gives an empty result; ids are little-endian unsigned 32-bit integers in a binary column
 (``ids_to_array`` gives them as an array); unknown ids decode to null for the row; columns of the same name are
-replaced.
+replaced, others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapewright.llm.common import others
+
 KNOWN_WORDS = 300_000
 SLICE_WORDS = 8_000
 # Runs without white space, with one space before; runs of white space up to such. White space as patterns' \s has it.
@@ -228,8 +231,8 @@ class ByteBpe:
 
     def round_trip(self, df: DataFrame, text: str) -> DataFrame:
         """``df`` with ``ids`` and what they decode to, ``decoded``, from one pass through one worker."""
-        others = [c for c in df.columns if c not in ("ids", "decoded")]
-        return df.select(*others, self._both(F.col(text)).alias("_coded")).select(*others, "_coded.ids", "_coded.decoded")
+        given = F.struct(*others(df, "ids", "decoded")).alias("given")
+        return df.select(given, self._both(F.col(text)).alias("coded")).select("given.*", "coded.ids", "coded.decoded")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

@@ -75,6 +75,12 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def others(df: DataFrame, *results: str) -> list[str]:
+    """The columns of ``df`` but for those with the names of results, which replace them."""
+    gone = {r.lower() for r in results}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

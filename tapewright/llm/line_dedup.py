@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line goes if an equal line, or one within one edit (a character inserted, deleted or replaced), comes earlier in the
-corpus; lines are ordered by doc_id, then by their number in the text. Lines without a word always stay, and lines
-under ``min_chars`` characters are compared for equality only.
+A line goes if an equal line, or one within one edit (a character inserted, deleted or replaced) that is no more than
+``1 - similarity`` of the longer line, comes earlier in the corpus; lines are ordered by doc_id, then by the text's hash
+(documents of one id), then by their number in the text. Lines without a word always stay.
 
 How: equal lines are counted by hash. Two lines within one edit share the first or the second half (of the shorter
 one), so only lines of which another line shares a half can have a partner; the whole corpus is screened for that.
@@ -11,13 +11,15 @@ characters, so that all lines of a key are within one edit of each other, and wi
 for inserted ones. A key's earliest line is then compared with every other one by edit distance, so groups are
 aggregated before they are joined and never paired out.
 
-Defined results: a null text stays null; doc_ids are of an integer type and a null one comes first; rows equal in doc_id and text count as one
-document and keep the same lines; a text may become empty, its row stays; an empty table gives an empty result; other
-columns pass through.
+Defined results: a null text stays null; a null doc_id comes first; rows equal in doc_id and text count as one document
+and keep the same lines, other texts of one (or no) doc_id are documents of their own; texts and lines of any length
+are taken whole; a text may become empty, its row stays; an empty table gives an empty result; other columns pass
+through, whatever their names, and those named ``n_lines`` or ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import SMALL_ROWS, join_counted, require, written
+from tapewright.llm.common import SMALL_ROWS, fresh, join_counted, others, require, written
 
 SPACES = " \t\n\x0b\x0c\r"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -103,7 +105,7 @@ def has_word(line: str) -> bool:
     return bool(line.strip(SPACES))
 
 
-def _occurrences(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _occurrences(least_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["_d", "_t", "no", "h1", "h2", "k1", "k2", "k3", "k4"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def _occurrences(min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 for no, line in enumerate(text.split("\n")):
                     if line not in seen and has_word(line):
                         seen.add(line)
-                        halves = half_hashes(line) if len(line) >= min_chars else (None,) * 4
+                        halves = half_hashes(line) if len(line) >= least_chars else (None,) * 4
                         rows.append((no, _hash(line), _hash(line, 1), *halves))
                         of.append(i)
                 if len(rows) >= EMIT_ROWS:
@@ -156,17 +158,16 @@ def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 20) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.95) -> DataFrame:
     """``df`` with the text's later lines taken out, and ``n_lines``, ``n_dropped`` (lines with a word; long)."""
     require(df, [key, text])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(key).alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_text"))
     kind = df.schema[key].dataType
     out = T.StructType([T.StructField("_d", kind), *(T.StructField(c, T.IntegerType() if c == "no" else T.LongType()) for c in ("_t", "no", "h1", "h2", "k1", "k2", "k3", "k4"))])
-    found = docs.where("_text is not null").mapInArrow(_occurrences(min_chars), out)
-    # one number that orders occurrences by document (none first), text and line
-    number = lambda c: F.coalesce(c.cast("decimal(20,0)"), F.lit(str(-(10**19))).cast("decimal(20,0)"))
-    lines = written(found.withColumn("at", (number(F.col("_d")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)")), "line-places")
+    longest = math.ceil(1 / (1 - similarity) - 1e-9)  # characters of the longer line of which one edit is little enough
+    found = docs.where("_text is not null").mapInArrow(_occurrences(longest - 1), out)
+    lines = written(found.withColumn("at", F.struct("_d", "_t", "no")), "line-places")
     halves = [f"k{i}" for i in range(1, 5)]
     distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.max(k).alias(k) for k in halves))
     distinct = written(distinct, "lines")
@@ -195,7 +196,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     pairs = written(members.withColumn("p", partner).where("p < rank").select("rank", "p").distinct(), "line-pairs")
     mine = pairs.join(texts.select("rank", "line"), "rank")
     both = mine.join(texts.select(F.col("rank").alias("p"), F.col("line").alias("earlier")), "p")
-    gone = both.where(F.levenshtein("line", "earlier", 1) >= 0).select("rank").distinct()
+    gone = both.where((F.levenshtein("line", "earlier", 1) >= 0) & (F.greatest(F.length("line"), F.length("earlier")) >= longest)).select("rank").distinct()
     gone = written(gone.join(texts.select("rank", "h1", "h2"), "rank").select("h1", "h2", F.lit(True).alias("near")), "near-gone")
 
     repeated = join_counted(distinct.select("h1", "h2", "first", "n"), gone, ["h1", "h2"], "left", gone.count()).where("n > 1 or near")
@@ -204,7 +205,9 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_char
     drops = at.where("near or at <> first").groupBy(F.col("_d").alias("_d2"), F.col("_t").alias("_t2")).agg(F.collect_set("no").alias("_drops"))
     drops = written(drops, "dropped-lines")
 
-    mine = [c for c in df.columns if c not in ("n_lines", "n_dropped")]
-    marked = df.select(*mine, F.col(key).alias("_d"), F.xxhash64(F.col(text)).alias("_t")).join(drops, of_doc, "left")
-    done = marked.withColumn("_w", _without(F.col(text), F.col("_drops")))
-    return done.select(*(F.col("_w.text").alias(text) if c == text else F.col(c) for c in mine), "_w.n_lines", "_w.n_dropped")
+    mine = others(df, "n_lines", "n_dropped")
+    d, t, d2, t2, gone, w = fresh(mine, "_d", "_t", "_d2", "_t2", "_drops", "_w")
+    drops = drops.toDF(d2, t2, gone)
+    marked = df.select(*mine, F.col(key).alias(d), F.xxhash64(F.col(text)).alias(t)).join(drops, F.col(d).eqNullSafe(F.col(d2)) & (F.col(t) == F.col(t2)), "left")
+    done = marked.withColumn(w, _without(F.col(text), F.col(gone)))
+    return done.select(*(F.col(f"{w}.text").alias(text) if c == text else F.col(c) for c in mine), f"{w}.n_lines", f"{w}.n_dropped")

@@ -1,11 +1,16 @@
 """Media columns: ISO base media containers as binary columns.
 
-``mux`` stores a payload as 8-bit grey frames of 8 x 8 (64 bytes a sample) in an ISO container; ``probe`` walks the
-nested boxes of any container, decodes its sample tables and gives codec, duration and the byte ranges of keyframes
-without touching the media payload; ``payload`` reads the stored samples back through those tables.
-
-Defined results: a null or empty payload is padded to one frame; a container that cannot be walked (truncated, no
-track) gives a null struct from ``probe`` and a null payload; columns of the same name are replaced.
+``with_media`` stores a text's bytes as 8-bit grey frames of 8 x 8 (64 bytes a sample) in an ISO container;
+``with_media_info`` walks the nested boxes of any container, decodes its sample tables (and the runs of its movie
+fragments) and gives codec, duration and the byte ranges of keyframes without touching the media payload;
+``with_payload`` reads the stored samples back through those tables. All read the first video track, or the first track
+where there is none.
+
+Defined results: a null or empty text is padded to one frame; texts of any length that a 4 GB container holds are one
+payload; a container that cannot be read (truncated, no track, tables that say more than the file holds) is no error
+but has a null struct, a null payload and a null feature; what follows a box's last whole inner box is passed over;
+repeated rows and equal texts have equal values; an empty table gives an empty result; columns of the same name are
+replaced, others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UNIT = 64
+DEEPEST = 16  # boxes of the format nest eight deep
 FPS = 25
 KEYFRAME_EVERY = 16
 SAMPLES_PER_CHUNK = 32
 # Fixed values of the ISO base media file format: boxes that hold only other boxes.
-CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf", b"udta"])
+CONTAINERS = frozenset([b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"])
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 RANGE = T.StructType().add("offset", "long").add("length", "long")
 INFO = T.StructType().add("codec", "string").add("width", "integer").add("height", "integer").add("timescale", "long").add("duration", "long").add("seconds", "double").add("n_samples", "long").add("keyframes", T.ArrayType(RANGE))
@@ -80,57 +86,158 @@ def mux(payload: bytes) -> bytes:
     return ftyp + moov(first) + box(b"mdat", payload)
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """Every box as (path, start of its body, end), outer boxes first; media data is passed over by its size alone."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    open_boxes: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
+    while open_boxes:
+        start, end, path = open_boxes.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
+            if start + 16 > end:
+                raise ValueError("a box is cut short")
             size, body = struct.unpack_from(">Q", data, body)[0], body + 8
         stop = end if size == 0 else start + size
         if stop < body or stop > end:
-            raise ValueError("a box reaches beyond its parent")
-        yield (*path, kind), body, stop
-        if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        start = stop
+            if path:  # what follows the boxes of a box, such as the zero word after user data
+                continue
+            raise ValueError("a box reaches beyond the file")
+        open_boxes.append((stop, end, path))
+        inner = (*path, kind)
+        yield inner, body, stop
+        if kind in CONTAINERS and len(path) < DEEPEST:
+            open_boxes.append((body, stop, inner))
+
+
+class Fields:
+    """The fields of a full box, read one after another and never beyond its end."""
+
+    def __init__(self, data: memoryview, start: int, stop: int) -> None:
+        self.data, self.at, self.stop = data, start, stop
+        word = self.ints(1)[0]
+        self.version, self.flags = int(word) >> 24, int(word) & 0xFFFFFF
+
+    def ints(self, count: int, width: int = 4) -> np.ndarray:
+        if count < 0 or self.at + count * width > self.stop:
+            raise ValueError("a table is cut short")
+        out = np.frombuffer(self.data, dtype=">u8" if width == 8 else ">u4", count=count, offset=self.at).astype(np.int64)
+        self.at += count * width
+        return out
+
+    def one(self, width: int = 4) -> int:
+        return int(self.ints(1, width)[0])
 
 
 class Track:
-    """The sample tables of a container's first track that has samples."""
+    """Sample tables of a container's first video track, or its first track, fragments included."""
 
     def __init__(self, media: bytes) -> None:
         data = memoryview(media)
-        at: dict[bytes, tuple[int, int]] = {}
+        tracks: list[dict[bytes, tuple[int, int]]] = []
+        fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []
+        defaults: dict[int, list[int]] = {}
         for path, start, stop in walk(data):
-            if path[-1] == b"trak" and b"stsz" in at:
-                break
-            at[path[-1]] = (start, stop)
-
-        def ints(kind: bytes, skip: int, count: int, width: int = 4) -> np.ndarray:
-            start, stop = at[kind]
-            if start + skip + count * width > stop:
-                raise ValueError("a sample table is cut short")
-            return np.frombuffer(data, dtype=">u8" if width == 8 else ">u4", count=count, offset=start + skip).astype(np.int64)
-
-        version = data[at[b"mdhd"][0]]
-        self.timescale, self.duration = struct.unpack_from(">IQ" if version else ">II", data, at[b"mdhd"][0] + (20 if version else 12))
+            if path == (b"moof",):
+                fragments.append((start - 8, []))
+            elif path[:1] == (b"moof",) and fragments:
+                fragments[-1][1].append((path[-1], start, stop))
+            elif path[-1] == b"trak":
+                tracks.append({})
+            elif path[-1] == b"trex":
+                number, *rest = Fields(data, start, stop).ints(5).tolist()
+                defaults[number] = rest
+            elif tracks and b"trak" in path:
+                tracks[-1].setdefault(path[-1], (start, stop))
+        whole = [t for t in tracks if b"mdhd" in t and b"stsd" in t]
+        at = next((t for t in whole if b"vmhd" in t), whole[0] if whole else None)
+        if at is None:
+            raise ValueError("no track")
+        self.data, self.at = data, at
+        head = Fields(data, *at[b"mdhd"])
+        width = 8 if head.version else 4
+        head.ints(2, width)
+        self.timescale, self.duration = head.one(), head.one(width)
         first = at[b"stsd"][0] + 8
+        if first + 8 > at[b"stsd"][1]:
+            raise ValueError("no sample description")
         self.codec = bytes(data[first + 4 : first + 8]).decode("latin-1")
-        self.width, self.height = struct.unpack_from(">HH", data, first + 32) if b"vmhd" in at else (0, 0)
-        size, n = (int(x) for x in ints(b"stsz", 4, 2))
-        self.sizes = np.full(n, size, dtype=np.int64) if size else ints(b"stsz", 12, n)
-        where, width = (b"co64", 8) if b"co64" in at else (b"stco", 4)
-        chunks = ints(where, 8, int(ints(where, 4, 1)[0]), width)
-        runs = ints(b"stsc", 8, 3 * int(ints(b"stsc", 4, 1)[0])).reshape(-1, 3)
-        per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-        if int(per_chunk.sum()) != n:
+        self.width, self.height = struct.unpack_from(">HH", data, first + 32) if b"vmhd" in at and first + 36 <= at[b"stsd"][1] else (0, 0)
+        self.sizes, self.offsets, self.keys = self.stored() if b"stsz" in at else (np.zeros(0, np.int64),) * 3
+        if fragments:
+            self.add(fragments, defaults)
+        if len(self.sizes) and (int((self.offsets + self.sizes).max()) > len(data) or int(self.offsets.min()) < 0):
+            raise ValueError("samples reach beyond the file")
+        if len(self.keys) and (int(self.keys.max()) >= len(self.sizes) or int(self.keys.min()) < 0):
+            raise ValueError("a key sample does not exist")
+
+    def fields(self, kind: bytes) -> Fields:
+        return Fields(self.data, *self.at[kind])
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, offsets and key samples of the movie's own samples."""
+        table = self.fields(b"stsz")
+        size, n = table.one(), table.one()
+        if n > len(self.data):  # as many samples as the file has bytes at most
+            raise ValueError("more samples than bytes")
+        sizes = np.full(n, size, dtype=np.int64) if size else table.ints(n)
+        table = self.fields(b"co64" if b"co64" in self.at else b"stco")
+        chunks = table.ints(table.one(), 8 if b"co64" in self.at else 4)
+        table = self.fields(b"stsc")
+        runs = table.ints(3 * table.one()).reshape(-1, 3)
+        spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if (spans < 0).any() or len(runs) and (runs[0, 0] != 1 or int((spans * runs[:, 1]).sum()) != n) or not len(runs) and n:
             raise ValueError("chunks and samples disagree")
-        before = np.cumsum(self.sizes) - self.sizes
+        per_chunk = np.repeat(runs[:, 1], spans)
+        before = np.cumsum(sizes) - sizes
         first_of_chunk = np.repeat(np.cumsum(per_chunk) - per_chunk, per_chunk)
-        self.offsets = np.repeat(chunks, per_chunk) + before - before[first_of_chunk] if n else before
-        self.keys = ints(b"stss", 8, int(ints(b"stss", 4, 1)[0])) - 1 if b"stss" in at else np.arange(n)
+        offsets = np.repeat(chunks, per_chunk) + before - before[first_of_chunk] if n else before
+        if b"stss" not in self.at:
+            return sizes, offsets, np.arange(n)
+        table = self.fields(b"stss")
+        return sizes, offsets, table.ints(table.one()) - 1
+
+    def add(self, fragments: list[tuple[int, list[tuple[bytes, int, int]]]], defaults: dict[int, list[int]]) -> None:
+        """The samples of movie fragments, after the movie's own; flags say which fields a box has."""
+        head = self.fields(b"tkhd")
+        head.ints(2, 8 if head.version else 4)
+        mine = head.one()
+        sizes, offsets, keys, ticks = [self.sizes], [self.offsets], [self.keys], 0
+        n = len(self.sizes)
+        for moof, boxes in fragments:
+            base, own, end = moof, None, moof
+            for kind, start, stop in boxes:
+                if kind == b"tfhd":
+                    f = Fields(self.data, start, stop)
+                    own = f.one() == mine
+                    _, *usual = defaults.get(mine, [1, 0, 0, 0])
+                    base = f.one(8) if f.flags & 1 else moof
+                    end = base
+                    if f.flags & 2:
+                        f.one()
+                    usual = [f.one() if f.flags & bit else u for bit, u in zip((8, 16, 32), usual, strict=True)]
+                elif kind == b"trun" and own is not None:
+                    f = Fields(self.data, start, stop)
+                    count = f.one()
+                    at = base + (f.one() + (1 << 31)) % (1 << 32) - (1 << 31) if f.flags & 1 else end
+                    first = f.one() if f.flags & 4 else None
+                    has = [f.flags & bit for bit in (0x100, 0x200, 0x400, 0x800)]
+                    if count > len(self.data):
+                        raise ValueError("more samples than bytes")
+                    rows = f.ints(count * sum(map(bool, has))).reshape(count, -1)
+                    columns = iter(rows.T)
+                    dur, size, flag = (next(columns) if h else np.full(count, u, np.int64) for h, u in zip(has, usual, strict=False))
+                    if first is not None and count:
+                        flag = np.concatenate([[first], flag[1:]])
+                    end = at + int(size.sum())
+                    if own:
+                        sizes.append(size)
+                        offsets.append(at + np.cumsum(size) - size)
+                        keys.append(n + np.flatnonzero(flag & 0x10000 == 0))  # not marked as a sample that needs others
+                        n, ticks = n + count, ticks + int(dur.sum())
+        self.sizes, self.offsets, self.keys = map(np.concatenate, (sizes, offsets, keys))
+        self.duration += ticks
 
     def info(self) -> dict:
         return {
@@ -146,6 +253,8 @@ class Track:
 
     def read(self, media: bytes) -> bytes:
         """All samples in order; neighbouring ones are read as one range."""
+        if not len(self.sizes):
+            return b""
         ends = self.offsets + self.sizes
         breaks = np.flatnonzero(self.offsets[1:] != ends[:-1]) + 1
         firsts, lasts = np.append(0, breaks), np.append(breaks, len(ends)) - 1
@@ -155,7 +264,7 @@ class Track:
 def track(media: bytes | None) -> Track | None:
     try:
         return Track(media) if media else None
-    except (ValueError, KeyError, IndexError, struct.error):
+    except (ValueError, KeyError, IndexError, OverflowError, struct.error):
         return None
 
 

@@ -4,15 +4,20 @@ A solution is a set of bins (sequences), and genes are whole bins. Crossover tak
 drops from the other parent every bin that holds one of their documents, and puts the documents displaced by that into
 bins by best fit, largest first. Mutation empties the worst bins of a solution in the same way.
 
+A population begins with best fit of the items largest first and of items in random orders, and its solutions are bred
+from there; the best solution that breeding leaves is the result. Breeding ends early once a generation's best solution
+needs no more bins than the lower bound (total length over capacity).
+
 How it is distributed: pieces are dealt at random into blocks of about ``block_rows``, and every block is evolved by
 ``islands`` independent populations, each in a task of its own. After each epoch an island's best solution migrates to
 the next island of its block (a row per bin, joined by Spark); at the end the best solution of each block is taken.
-A block whose bins already reach the lower bound (total length over capacity) needs no further generations. Random
-blocks of thousands of pieces resemble the whole, so no more than a bin a block can be lost against packing all at
-once; pieces as long as a sequence are sequences of their own.
+Random blocks of thousands of pieces resemble the whole, so no more than a bin a block can be lost against packing all
+at once; pieces as long as a sequence are sequences of their own.
 
-Defined results: lengths from 1 to the capacity are packed and others are an error; repeated rows are separate pieces;
-an empty table gives an empty result; columns named ``sequence_id`` or ``offset`` are replaced.
+Defined results: lengths from 1 to the capacity are packed and others (null too) are an error; repeated rows are
+separate pieces; of solutions as good as each other that of the first epoch and island is taken; an empty table gives
+an empty result; columns named ``sequence_id`` or ``offset`` are replaced, others pass through whatever their names and
+however long their values.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import join_counted, require, written
+from tapewright.llm.common import join_counted, others, require, written
 
 Bins = list[list[int]]
 KEEP = 0.98
@@ -98,35 +103,40 @@ def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> B
     return refit([m for m in bins if id(m) not in marked], [i for m in gone for i in m], sizes, capacity)
 
 
+def in_order(order: Sequence[int], sizes: list[int], capacity: int) -> Bins:
+    """Best fit of items in the given order."""
+    bins = Open(capacity)
+    for i in order:
+        bins.fit(i, sizes[i])
+    return bins.bins()
+
+
 def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int) -> Bins:
+    """The best of the solutions bred from ``start`` (elites) and from best fit in random orders and largest first."""
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
-    score = lambda b: fitness(b, sizes, capacity)
-    pool = list(start) or [refit([], range(len(sizes)), sizes, capacity)]
-    best = max(pool, key=score)
-    if len(best) <= bound:
-        return best
-    while len(pool) < population:
-        pool.append(mutate(best, sizes, capacity, rng))
+    found = list(start) or [refit([], range(len(sizes)), sizes, capacity)]
+    while len(found) < population:
+        found.append(in_order(rng.sample(range(len(sizes)), len(sizes)), sizes, capacity))
+    pool = [(fitness(b, sizes, capacity), b) for b in found]
     for _ in range(generations):
-        a, b = rng.sample(pool, 2)
+        (_, a), (_, b) = (max(rng.sample(pool, 2), key=lambda p: p[0]) for _ in range(2))  # two tournaments
         child = crossover(a, b, sizes, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, sizes, capacity, rng)
-        pool.append(child)
-        pool.remove(min(pool, key=score))
-        best = max(pool, key=score)
-        if len(best) <= bound:
+        pool.append((fitness(child, sizes, capacity), child))
+        pool.remove(min(pool, key=lambda p: p[0]))
+        if -max(p[0] for p in pool)[0] <= bound:
             break
-    return best
+    return max(pool, key=lambda p: p[0])[1]
 
 
-def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 8192, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 6, seed: int = 0) -> DataFrame:
+def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 8192, islands: int = 3, epochs: int = 3, population: int = 8, generations: int = 30, seed: int = 0) -> DataFrame:
     """``df`` with ``sequence_id`` (long) and ``offset`` (long, gapless from 0 within a sequence)."""
     require(df, [length])
-    mine = [c for c in df.columns if c not in ("sequence_id", "offset")]
+    given = F.struct(*others(df, "sequence_id", "offset")).alias("given")
     valid = F.when(F.col(length).between(1, capacity), F.col(length).cast("int")).otherwise(F.raise_error(F.lit(f"a length is not between 1 and {capacity}")).cast("int"))
-    rows = written(df.select(*mine, valid.alias("_size"), F.monotonically_increasing_id().alias("_row")), "pieces")
+    rows = written(df.select(given, valid.alias("_size"), F.monotonically_increasing_id().alias("_row")), "pieces")
     small = rows.where(F.col("_size") < capacity).select("_row", "_size")
     n_blocks = max(1, -(-small.count() // block_rows))
     items = small.withColumn("block", F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(n_blocks)))
@@ -141,7 +151,7 @@ def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 819
         start = []
         for _, solution in frame[frame["source"] >= 0].groupby("source", sort=True):
             start.append([[index[int(r)] for r in members] for _, members in solution.sort_values(["bin", "at"]).groupby("bin", sort=True)["_row"]])
-        first_seed = hash((seed, block, island, len(start)))
+        first_seed = hash((seed, block, island, len(start)))  # of integers, so the same in every process
         best = evolve(sizes, capacity, first_seed, start, population, generations)
         order = [i for m in best for i in sorted(m)]
         counts = [len(m) for m in best]
@@ -178,5 +188,5 @@ def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 819
     chosen = join_counted(solutions, written(scores, "best-islands"), ["block", "epoch", "island"], "inner", n_blocks).select("bin", "_row")
     placed = rows.join(chosen, "_row", "left")
     before = W.partitionBy("sequence_id").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
-    ids = placed.select(*mine, "_row", "_size", F.coalesce("bin", "_row").alias("sequence_id"))
-    return ids.withColumn("offset", F.coalesce(F.sum(F.col("_size").cast("long")).over(before), F.lit(0).cast("long"))).select(*mine, "sequence_id", "offset")
+    ids = placed.select("given", "_row", "_size", F.coalesce("bin", "_row").alias("sequence_id"))
+    return ids.withColumn("offset", F.coalesce(F.sum(F.col("_size").cast("long")).over(before), F.lit(0).cast("long"))).select("given.*", "sequence_id", "offset")

@@ -9,9 +9,11 @@ left. The list becomes one ``CASE WHEN`` in rule order.
 At most ``max_labelled`` labelled documents (those with the smallest hashed ids) are used for fitting; statistics and
 verdicts cover every document and its whole text.
 
-Defined results: a null text counts as an empty one (no words, so the base rules reject it); repeated rows are judged
-alike, row by row; without labels, or with labels of one class, there are no learned rules and the base rules alone
-decide; an empty table gives an empty result; columns named like a statistic are replaced.
+Defined results: a null text counts as an empty one (no words, so the base rules reject it); very long texts are
+counted whole; repeated rows are judged alike, row by row; of several labels of a key the worst counts; features equal
+to a cut lie below it; without labels, or with labels of one class, there are no learned rules and the base rules alone
+decide; an empty table gives an empty result; columns named like a statistic are replaced, others pass through whatever
+their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import require, written
+from tapewright.llm.common import others, require, written
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -66,8 +68,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.col("_text")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    kept = [c for c in df.columns if c not in STATISTICS and c not in FEATURES]
-    out = df.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    out = df.select(F.struct(*others(df, *STATISTICS, *FEATURES)).alias("_given"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    kept = ["_given"]  # in one column, so that no name of theirs meets one of the statistics' own
     out = out.select(*kept, "_text", words.alias("_words"), lines.alias("_lines"))
     out = out.select(*kept, "_text", "_lines", F.size("_words").cast("long").alias("n_words"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     h = lambda i, k: F.get(F.col("_hashes"), i + k)
@@ -89,7 +91,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     )
     rate = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
     return out.select(
-        *kept,
+        "_given.*",
         *STATISTICS,
         rate("word_chars", "n_words").alias("mean_word"),
         rate("n_symbols", "n_words").alias("symbol_rate"),
@@ -218,8 +220,8 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
         p, n = (x + y for x, y in zip(counts(growing, conditions), counts(holding, conditions), strict=True))
         literals = tuple(Literal(FEATURES[f], above, points[FEATURES[f]][cut]) for f, above, cut in conditions)
         rules.append(Rule(literals, p / n, n))
-        growing = [r for r in growing if r not in set(got)]
-        holding = [r for r in holding if r not in set(held)]
+        gone = {*got, *held}
+        growing, holding = ([r for r in part if r not in gone] for part in (growing, holding))
     return rules
 
 
@@ -234,7 +236,7 @@ def verdict(rules: Sequence[Rule]) -> Column:
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = 20_000, **how: object) -> DataFrame:
     """``df`` with statistics, ``base_failed``, ``failed_rule`` and ``kept``; only labelled rows are read in full twice."""
     require(df, [key, text])
-    mine = [c for c in df.columns if c not in ("base_failed", "failed_rule", "kept")]
+    mine = others(df, "base_failed", "failed_rule", "kept")
     used = written(used_labels(labels, key, label, max_labelled), "labels-used")
     labelled = df.select(key, text).join(F.broadcast(used.select(key)), key, "left_semi")  # no more than max_labelled keys
     rules = fit(with_statistics(labelled, text), used, key, label, max_labelled, **how)
@@ -248,5 +250,5 @@ def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "tex
     The verdict goes through a one-element array: a filter on it is not moved below the statistics, where Catalyst
     would copy their expressions into it many times over.
     """
-    judged = judge(df.select("*", F.struct("*").alias("_given")), labels, key, text, **how)
-    return judged.select("_given", F.explode(F.array("kept")).alias("_keep")).where("_keep").select("_given.*")
+    judged = judge(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct("*").alias("given")), labels.withColumnRenamed(key, "key"), "key", "text", **how)
+    return judged.select("given", F.explode(F.array("kept")).alias("keep")).where("keep").select("given.*")

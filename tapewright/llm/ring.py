@@ -9,7 +9,8 @@ one count per virtual node (a bound that does not grow with the data) and return
 and their shard. Executors then rank rows within (arc, slice of the arc) and look their range up.
 
 Defined results: a null key hashes like a fixed value; repeated keys and rows are separate rows, ordered by an
-own row number; an empty table gives an empty result; columns named ``shard`` or ``slot`` are replaced.
+own row number; values of any length pass through; an empty table gives an empty result; columns named ``shard`` or
+``slot`` are replaced, others keep their names, whatever these are.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import require, written
+from tapewright.llm.common import others, require, written
 
 SLICE_ROWS = 100_000
 
@@ -75,8 +76,8 @@ def bounded_ring(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, seed:
     def arc_of(h: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(positions, h.to_numpy(), side="left") % len(positions)).astype("int32")
 
-    kept = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = written(df.select(*kept, arc_of(F.xxhash64(F.col(key))).alias("_arc"), F.monotonically_increasing_id().alias("_row")), "ring")
+    given = F.struct(*others(df, "shard", "slot")).alias("given")
+    rows = written(df.select(given, arc_of(F.xxhash64(F.col(key))).alias("_arc"), F.monotonically_increasing_id().alias("_row")), "ring")
     found = rows.groupBy("_arc").count().collect()  # one row per virtual node at most
     counts = np.zeros(len(positions), dtype=np.int64)
     for r in found:
@@ -99,4 +100,4 @@ def bounded_ring(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, seed:
         got = [ranges[i] for i in at]
         return pd.DataFrame({"shard": np.array([g[3] for g in got], dtype=np.int32), "slot": np.array([g[4] - g[1] for g in got], dtype=np.int64) + rank.to_numpy(dtype=np.int64)})
 
-    return ranked.withColumn("_at", place("_arc", "_rank")).select(*kept, "_at.shard", "_at.slot")
+    return ranked.select("given", place("_arc", "_rank").alias("_at")).select("given.*", "_at.shard", "_at.slot")

@@ -3,8 +3,9 @@
 Tokenizers whose splitting pattern never reaches over white space are run on the distinct white-space-separated parts
 of the texts only; a worker remembers the parts it has met. Others get whole texts.
 
-Defined results: null and empty texts are the end id alone, one piece of length 1; repeated rows are cut alike; an
-empty table gives an empty result; columns named ``piece``, ``start``, ``length`` or ``ids`` are replaced.
+Defined results: null and empty texts are the end id alone, one piece of length 1; texts of any length are encoded
+whole; repeated rows are cut alike; an empty table gives an empty result; columns named ``piece``, ``start``,
+``length`` or ``ids`` are replaced, others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import require
+from tapewright.llm.common import fresh, others, require
 
 KNOWN_PARTS = 400_000
 BATCH_BYTES = 8 << 20
@@ -66,6 +67,7 @@ class Coder:
         config = json.loads(tokenizer_json)
         self.words_of = word_splitter(config)
         self.parts, self.words = Known(self.ids_of_part), Known(self.ids_of_word)
+        self.assigned: set[str] = set()
         self.model = self.tokenizer.model
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -76,6 +78,10 @@ class Coder:
         if any(c in text for c in NOT_SPACE):
             return None
         if not text.isascii():
+            if new := set(text) - self.assigned:
+                if any(unicodedata.category(c) == "Cn" for c in new):
+                    return None  # a code point that these tables do not know yet may be a letter in the tokenizer's
+                self.assigned |= new
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case goes letter by letter
         return text.lower().split()
 
@@ -128,7 +134,8 @@ def token_pieces(df: DataFrame, text: str, tokenizer_path: str, capacity: int =
     The tokenizer file (its size is the bound) is broadcast, so executors need no copy of it.
     """
     require(df, [text])
-    others = [c for c in df.columns if c not in (text, "piece", "start", "length", "ids")]
+    mine = [c for c in others(df, "piece", "start", "length", "ids") if c != text]
+    (given,) = fresh(mine, "_text")
     with open(tokenizer_path, "rb") as f:
         tokenizer = df.sparkSession.sparkContext.broadcast(f.read())
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -139,7 +146,7 @@ def token_pieces(df: DataFrame, text: str, tokenizer_path: str, capacity: int =
         for batch in batches:
             rows: list[tuple[int, int, int, int, bytes]] = []
             held = 0
-            texts = ["" if t is None else t for t in batch.column("_text").to_pylist()]
+            texts = ["" if t is None else t for t in batch.column(given).to_pylist()]
             for i, ids in enumerate(coder.encode(texts)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), step)):
@@ -155,7 +162,7 @@ def token_pieces(df: DataFrame, text: str, tokenizer_path: str, capacity: int =
     def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
         at = pa.array([r[0] for r in rows], pa.int64())
         own = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int32()), (2, pa.int64()), (3, pa.int64()), (4, pa.binary()))]
-        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in others), *own], [*others, "piece", "start", "length", "ids"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in mine), *own], [*mine, "piece", "start", "length", "ids"])
 
-    schema = df.select(*others).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
-    return df.select(*others, F.col(text).alias("_text")).mapInArrow(cut, schema)
+    schema = df.select(*mine).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids", "binary")
+    return df.select(*mine, F.col(text).alias(given)).mapInArrow(cut, schema)

@@ -1,6 +1,7 @@
 """A Spark data source for WARC archives, read and written.
 
-Reading plans partitions from the files' sizes, takes equality and membership filters on record type and header
+Reading plans partitions from the files' sizes (a file is read by one task, so archives should be rolled at some 64 MB,
+as the writer does), takes equality and membership filters on record type and header
 columns into the scan, parses each record's headers first and decodes a payload only if the record passes and payloads
 are asked for. Records that do not pass are stepped over: by seeking in plain files, and in compressed ones by the
 skip length that the writer leaves in each member's extra field (members without one are inflated and dropped).
@@ -13,8 +14,11 @@ once the whole job has committed, so lost or repeated tasks leave no half files
     df.write.format("warc").mode("append").save(path)
 
 Defined results: an empty or missing folder reads as no rows; null header values are not written and read as null;
-control characters in header values are percent-encoded; a null payload is written as an empty one; a record whose
-headers cannot be parsed ends its file with an error; columns beyond the schema are not written.
+control characters in header values are percent-encoded; a null payload is written as an empty one; repeated rows are
+records of their own; payloads of any length are written and read whole; values of a header that is repeated are joined
+by ", " and lines that go on a header belong to it; payloads sent in chunks are put together, compressed contents stay
+as they are; an HTTP block without an empty line is all payload; a record whose own headers cannot be parsed ends its
+file with an error; columns beyond the schema, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -143,11 +148,40 @@ def _headers(record: Member | Plain) -> tuple[dict[str, str], int]:
     first, _, rest = head.partition(b"\r\n")
     if not first.startswith(b"WARC/"):
         raise ValueError("a record does not begin with a WARC version")
+    return fields(rest.decode("utf-8", "replace")), end + 4
+
+
+def fields(lines: str) -> dict[str, str]:
+    """Header lines by name: lines that begin with a space go on, and values of one name (in any case) are joined."""
     out: dict[str, str] = {}
-    for line in rest.decode("utf-8", "replace").split("\r\n"):
-        name, _, value = line.partition(":")
-        out[name.strip()] = value.strip()
-    return out, end + 4
+    spelled: dict[str, str] = {}
+    name = None
+    for line in lines.split("\r\n"):
+        if line[:1] in (" ", "\t") and name is not None:
+            out[name] = f"{out[name]} {line.strip()}".strip()
+            continue
+        key, colon, value = line.partition(":")
+        if not colon:
+            name = None
+            continue
+        name = spelled.setdefault(key.strip().lower(), key.strip())
+        out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+    return out
+
+
+def unchunked(body: bytes) -> bytes:
+    """A body sent in chunks; as it is where it is not."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0].strip(), 16)
+        except ValueError:
+            return body
+        if size <= 0:
+            return b"".join(out) if size == 0 else body
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return body
 
 
 def records(path: str, wanted: dict[str, set], payloads: bool) -> Iterator[dict]:
@@ -166,17 +200,22 @@ def records(path: str, wanted: dict[str, set], payloads: bool) -> Iterator[dict]
             if all(row[c] in values for c, values in wanted.items()):
                 row |= {"content_length": length, "headers": list(headers.items()), "file": path, "offset": at}
                 http = (row["content_type"] or "").startswith("application/http")
+                start, chunked = body, False
                 if http:
-                    while (end := record.data.find(b"\r\n\r\n", body)) < 0 and len(record.data) < body + length and record.more():
+                    stop = body + length
+                    while (end := record.data.find(b"\r\n\r\n", body, stop)) < 0 and len(record.data) < stop and record.more():
                         pass
-                    block = bytes(record.data[body:end]).decode("latin-1") if end >= 0 else ""
-                    for line in block.split("\r\n")[1:]:
-                        k, _, v = line.partition(":")
-                        if k.strip().lower() == "content-length":
-                            row["http_length"] = int(v)
+                    if end >= 0:
+                        start = end + 4
+                        said = {k.lower(): v for k, v in fields(bytes(record.data[body:end]).decode("latin-1").partition("\r\n")[2]).items()}
+                        sent = said.get("content-length", "").split(",")[0].strip()
+                        row["http_length"] = int(sent) if sent.isascii() and sent.isdigit() and len(sent) < 19 else None
+                        chunked = said.get("transfer-encoding", "").lower() == "chunked"
                 if payloads and row["record_type"] != "revisit":
                     record.upto(body + length)
-                    row["payload"] = bytes(record.data[end + 4 if http and end >= 0 else body : body + length])
+                    row["payload"] = bytes(record.data[start : body + length])
+                    if chunked:
+                        row["payload"] = unchunked(row["payload"])
                 yield row
             at = record.next_start()
 
@@ -262,6 +301,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict) -> None:
         self.path = options["path"].rstrip("/")
         self.file_bytes = int(options.get("file_bytes", PARTITION_BYTES))
+        self.job = uuid.uuid4().hex  # made once on the driver, so that the job's files can be told
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, base = _open(self.path)
@@ -271,7 +311,7 @@ class WarcWriter(DataSourceArrowWriter):
             for i in range(batch.num_rows):
                 row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
                 if out is None:
-                    final = f"{base}/{uuid.uuid4().hex}.warc.gz"
+                    final = f"{base}/{self.job}-{uuid.uuid4().hex}.warc.gz"
                     files.append((final + ".inprogress", final))
                     out, size = fs.open_output_stream(files[-1][0], compression=None), 0
                 data = member(row)
@@ -285,16 +325,19 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, _ = _open(self.path)
-        for m in messages:
-            for temporary, final in m.files if m else ():
-                fs.move(temporary, final)
+        fs, base = _open(self.path)
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(lambda pair: fs.move(*pair), [pair for m in messages if m for pair in m.files]))
+        self.clear(fs, base)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, _ = _open(self.path)
-        for m in messages:
-            for temporary, _ in m.files if m else ():
-                fs.delete_file(temporary)
+        self.clear(*_open(self.path))
+
+    def clear(self, fs: pafs.FileSystem, base: str) -> None:
+        """Take away what tasks of this job that failed or ran twice have left."""
+        left = [f.path for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".inprogress") and f.base_name.startswith(self.job)]
+        with ThreadPoolExecutor(32) as pool:
+            list(pool.map(fs.delete_file, left))
 
 
 class WarcSource(DataSource):
