@@ -18,11 +18,23 @@ from tapewright.operators.metrics import correlation
 from tapewright.functions.frames import BY, ahead, band, full, highest, last, lowest, mean, prev, ratio, running, sign, std, std_pop, total, true_range
 
 Indicator = Callable[[DataFrame], DataFrame]
+KEPT = "_kept"  # a column that indicators pass on
 
 
 def done(df: DataFrame, raw: Column, state: Column) -> DataFrame:
     out = df.withColumn("_raw", raw)
-    return out.withColumn("_state", state).select("symbol", "bar_no", F.round("_raw", 6).alias("raw"), F.coalesce(F.col("_state"), F.lit(0)).cast("int").alias("state"))
+    kept = [KEPT] if KEPT in df.columns else []
+    return out.withColumn("_state", state).select("symbol", "bar_no", F.round("_raw", 6).alias("raw"), F.coalesce(F.col("_state"), F.lit(0)).cast("int").alias("state"), *kept)
+
+
+def with_states(df: DataFrame, chosen: dict[str, Indicator]) -> DataFrame:
+    """``df`` with a column of states for each indicator, all over one partitioning of the bars by symbol."""
+    keys = ("symbol", "bar_no")
+    for name, f in chosen.items():
+        others = [c for c in df.columns if c not in keys]
+        made = f(df.withColumn(KEPT, F.struct(*others)))
+        df = made.select(*keys, *(F.col(KEPT)[c].alias(c) for c in others), F.col("state").alias(name))
+    return df
 
 
 def RAW() -> Column:  # noqa: N802

@@ -1,7 +1,7 @@
 """As-of, next-event and interval joins.
 
-An as-of join is a union of both sides, a shuffle by key, and the last seen value in time order: no pair of rows is
-made that is not in the result. A key with very many rows is a single ordered series, and its window is streamed.
+An as-of join is a union of both sides and the last seen value in time order, over ranges of key and time (``blocks``):
+no pair of rows is made that is not in the result, and a single long series is spread like many short ones.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators import blocks
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, values: Sequence[str], by: Sequence[str] = (), forward: bool = False, strict: bool = False) -> DataFrame:
     """``left`` with the ``values`` of the latest (``forward``: earliest) right row at or before (after) it.
@@ -24,10 +26,7 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, values: Sequence[str],
     probe = left.select(*kept, F.lit(1 - side).alias("_side"), *(F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values))
     build = right.select(*by, on, *values, F.lit(side).alias("_side"))
     both = probe.withColumn("_probe", F.lit(True)).unionByName(build.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
-    order = [F.col(on).desc(), F.col("_side").desc()] if forward else [F.col(on), F.col("_side")]
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0) if by else W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    filled = both.select(*kept, "_probe", *(F.last(v, ignorenulls=True).over(w).alias(v) for v in values))
-    return filled.where("_probe").select(*kept, *values)
+    return blocks.last_seen(both, by, [on, "_side"], values, backward=forward).where("_probe").select(*kept, *values)
 
 
 def overlap_counts(df: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:

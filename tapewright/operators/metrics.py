@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators import blocks
+from tapewright.sources.staging import staged
+
 
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -83,12 +86,6 @@ def drawdown_by(df: DataFrame, key: str, order: Sequence[str], pnl: str, capital
     return eq.groupBy(key).agg(F.round(F.min((F.col("equity") - F.col("peak")) / F.col("peak") * 100), digits).alias("max_drawdown_pct"))
 
 
-def average_rank(x: str, by: Sequence[str]) -> Column:
-    """Rank from 1 with ties at their mean rank."""
-    w = W.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(W.partitionBy(*by, x)) - 1) / 2
-
-
 def corr(x: str | Column, y: str | Column) -> tuple[Column, Column, Column]:
     """Correlation as (covariance, deviation, deviation), so that a side that does not vary gives null, not an error."""
     both = _c(x).isNotNull() & _c(y).isNotNull()
@@ -102,8 +99,21 @@ def correlation(x: str | Column, y: str | Column, over: WindowSpec | None = None
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
-    ranked = df.withColumn("_x", average_rank(x, by)).withColumn("_y", average_rank(y, by))
-    return ranked.groupBy(*by).agg(F.round(correlation("_x", "_y"), 6).alias("rank_corr"), F.count("*").alias("n"))
+    """Correlation of the ranks (ties at their mean) of ``x`` and ``y`` among rows that have both.
+
+    Rows are counted by pair of values first, and ranks are running counts over values, so that a group may be any size.
+    """
+    pairs = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count("*").alias("_n")), "pairs")
+    ranked = pairs
+    for c, out in ((x, "_x"), (y, "_y")):
+        counts = pairs.groupBy(*by, c).agg(F.sum("_n").alias("_m"))
+        ranks = blocks.running_sums(counts, by, [c], {"_upto": F.col("_m")}).select(*by, c, (F.col("_upto") - (F.col("_m") - 1) / 2).alias(out))
+        ranked = ranked.join(ranks, [*by, c])
+    middle = ranked.groupBy(*by).agg(((F.sum("_n") + 1) / 2).alias("_mid"))  # the mean of ranks with ties is that without
+    d = ranked.join(middle, [*by]).select(*by, "_n", (F.col("_x") - F.col("_mid")).alias("a"), (F.col("_y") - F.col("_mid")).alias("b"))
+    total = lambda e: F.sum(F.col("_n") * e)
+    g = d.groupBy(*by).agg(total(F.col("a") * F.col("b")).alias("ab"), total(F.col("a") ** 2).alias("aa"), total(F.col("b") ** 2).alias("bb"), F.sum("_n").alias("n"))
+    return g.select(*by, F.round(F.when((F.col("aa") > 0) & (F.col("bb") > 0), F.col("ab") / F.sqrt(F.col("aa") * F.col("bb"))), 6).alias("rank_corr"), "n")
 
 
 def ecdf_gap(df: DataFrame, x: str, side: str, by: Sequence[str]) -> DataFrame:

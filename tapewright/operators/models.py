@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.functions.scans import Arrays
+from tapewright.operators import blocks
+from tapewright.sources.staging import staged
 
 #: Query rows of a few numbers that are sent to every executor in one block.
 BLOCK_ROWS = 50_000
@@ -39,10 +41,10 @@ def kmeans(df: DataFrame, features: list[str], k: int, rounds: int = 10, order:
 
     Empty clusters keep their centre. Gives the centres and ``df`` with ``cluster`` (the lowest number at ties).
     """
+    df = staged(df, "features")
     n = df.count()
     at = sorted({int(i * n / k) for i in range(k)})
-    numbered = df.withColumn("_no", F.row_number().over(W.orderBy(order)) - 1)
-    centres = [[float(r[f]) for f in features] for r in numbered.where(F.col("_no").isin(at)).orderBy("_no").collect()]
+    centres = [[float(r[f]) for f in features] for r in blocks.rows_at(df, order, at)]
 
     def nearest(centres: list[list[float]]) -> Column:
         options = [F.struct(sum(((F.col(f) - c) ** 2 for f, c in zip(features, centre, strict=True)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, centre in enumerate(centres)]

@@ -42,10 +42,10 @@ def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(F.sort_array(F.array_distinct(F.concat(tagged, named))), ",").alias("tickers"))
 
 
-@query("i03_headline_polarity", "WITH h AS (SELECT doc_id, lower(left(text, 200)) AS h FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, 0.15 * (contains(h, 'win')::INT + contains(h, 'good')::INT + contains(h, 'gain')::INT) - 0.15 * (contains(h, 'loss')::INT + contains(h, 'bad')::INT + contains(h, 'err')::INT) AS score FROM h) SELECT doc_id, round(score, 4) AS score, CASE WHEN score > 0.1 THEN 'POSITIVE' WHEN score < -0.1 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM p")
+@query("i03_headline_polarity", "WITH h AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS h FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, 0.15 * (contains(h, 'win')::INT + contains(h, 'good')::INT + contains(h, 'gain')::INT) - 0.15 * (contains(h, 'loss')::INT + contains(h, 'bad')::INT + contains(h, 'err')::INT) AS score FROM h) SELECT doc_id, round(score, 4) AS score, CASE WHEN score > 0.1 THEN 'POSITIVE' WHEN score < -0.1 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM p")
 def headline_polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword boosts on a headline, by substring."""
-    return polarity(table(spark, sf_dir, "documents"), F.left("text", F.lit(200)))
+    """Keyword boosts on a headline (a text's whole first line), by substring."""
+    return polarity(table(spark, sf_dir, "documents"), F.substring_index("text", "\n", 1))
 
 
 @query("i03_whole_text_polarity", "WITH h AS (SELECT doc_id, lower(text) AS h FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, 0.15 * (contains(h, 'win')::INT + contains(h, 'good')::INT + contains(h, 'gain')::INT) - 0.15 * (contains(h, 'loss')::INT + contains(h, 'bad')::INT + contains(h, 'err')::INT) AS score FROM h) SELECT doc_id, round(score, 4) AS score, CASE WHEN score > 0.1 THEN 'POSITIVE' WHEN score < -0.1 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM p")

@@ -102,9 +102,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).select("event_id", gates.session(F.col("ts")).alias("session"), gates.tradeable(F.col("ts")).alias("tradeable"))
 
 
-@query("c06_regular_hours", f"WITH {TICKS} SELECT event_id, symbol FROM ticks WHERE {NY} >= '09:30' AND {NY} < '16:00' AND ts::DATE = DATE '2024-01-10'")
+@query("c06_regular_hours", f"WITH {TICKS} SELECT event_id, symbol FROM ticks WHERE {NY} >= '09:30' AND {NY} < '16:00'")
 def regular_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks(spark, sf_dir).where(gates.regular_hours(F.col("ts")) & (F.to_date("ts") == "2024-01-10")).select("event_id", "symbol")
+    return ticks(spark, sf_dir).where(gates.regular_hours(F.col("ts"))).select("event_id", "symbol")
 
 
 @query("c07_market_hours", f"WITH {TICKS} SELECT symbol, count(*) AS n FROM ticks WHERE NOT (isodow(ts) = 6 OR (isodow(ts) = 7 AND hour(ts) < 21) OR (isodow(ts) = 5 AND hour(ts) >= 21)) GROUP BY 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tapewright.operators import blocks
 from tapewright.operators import metrics as m
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TICKS, TRADES
@@ -164,9 +165,9 @@ def sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sharpe_per_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over steps of log equity; the first step is the first log equity itself."""
-    w = W.partitionBy("strategy").orderBy(*IN_ORDER)
-    a = trades(spark, sf_dir).withColumn("le", F.log(1_000_000 + F.sum("pnl").over(w.rowsBetween(W.unboundedPreceding, 0)) / 1000))
-    b = a.withColumn("d", F.col("le") - F.coalesce(F.lag("le").over(w), F.lit(0.0)))
+    t = blocks.running_sums(trades(spark, sf_dir).select("strategy", "entry_ts", *IN_ORDER), ["strategy"], IN_ORDER, {"total": F.col("pnl"), "no": F.lit(1)})
+    equity = lambda total: F.log(1_000_000 + total / 1000)
+    b = t.withColumn("d", equity(F.col("total")) - F.when(F.col("no") > 1, equity(F.col("total") - F.col("pnl"))).otherwise(0.0))
     years = F.datediff(F.max("exit_ts"), F.min("entry_ts")) / 365.25
     return b.groupBy("strategy").agg(F.count("*").alias("n"), F.round(m.safe(F.avg("d"), F.stddev_pop("d")) * F.sqrt(F.count("*") / years), 6).alias("sharpe"))
 
@@ -353,7 +354,7 @@ SIDE_SQL = f"{TICKS}, s AS (SELECT *, price - lag(price) OVER (PARTITION BY symb
 
 
 def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir).withColumn("dp", F.col("price") - F.lag("price").over(W.partitionBy("symbol").orderBy("ts", "event_id")))
+    t = blocks.neighbour(ticks(spark, sf_dir), ["symbol"], ["ts", "event_id"], "price", "before").withColumn("dp", F.col("price") - F.col("before")).drop("before")
     up, down = F.col("dp") > 0, F.col("dp") < 0
     half = F.col("size") / 2
     return t.withColumn("buy", F.when(up, F.col("size")).when(down, 0.0).otherwise(half)).withColumn("sell", F.when(down, F.col("size")).when(up, 0.0).otherwise(half))
@@ -393,8 +394,8 @@ def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {TRADES}, s AS (SELECT regime AS s, strategy AS a, lead(regime) OVER (PARTITION BY system ORDER BY {IN_ORDER_SQL}) AS s2, r FROM trades) SELECT s, a, s2, count(*) AS n, round(sum(r), 4) AS reward FROM s WHERE s2 IS NOT NULL GROUP BY ALL",
 )
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = W.partitionBy("system").orderBy(*IN_ORDER)
-    s = trades(spark, sf_dir).select(F.col("regime").alias("s"), F.col("strategy").alias("a"), F.lead("regime").over(w).alias("s2"), "r")
+    t = blocks.neighbour(trades(spark, sf_dir).select("system", "regime", "strategy", "r", *IN_ORDER), ["system"], IN_ORDER, "regime", "s2", ahead=True)
+    s = t.select(F.col("regime").alias("s"), F.col("strategy").alias("a"), "s2", "r")
     return s.where("s2 is not null").groupBy("s", "a", "s2").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("reward"))
 
 
@@ -471,10 +472,12 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e43_trailing_count", f"WITH {TICKS} SELECT symbol, event_id, count(*) FILTER (price < 10) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n FROM ticks")
 def trailing_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matching events of the 24 hours up to each event."""
-    t = ticks(spark, sf_dir).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    w = W.partitionBy("symbol").orderBy("us").rangeBetween(-24 * 3600 * 1_000_000, 0)
-    return t.select("symbol", "event_id", F.count_if(F.col("price") < 10).over(w).alias("n"))
+    """Matching events of the 24 hours up to each event: those until then, less those until before the hours began."""
+    t = ticks(spark, sf_dir).select("symbol", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("price") < 10).cast("long").alias("hit"))
+    ends = t.withColumn("sign", F.lit(1))
+    starts = t.select("symbol", "event_id", (F.col("us") - 24 * 3600 * 1_000_000 - 1).alias("us"), F.lit(0).cast("long").alias("hit"), F.lit(-1).alias("sign"))
+    swept = blocks.running_sums(ends.unionByName(starts), ["symbol"], ["us"], {"upto": F.col("hit")}, peers=True)
+    return swept.groupBy("symbol", "event_id").agg(F.sum(F.col("sign") * F.col("upto")).alias("n"))
 
 
 @query(

@@ -15,6 +15,7 @@ from tapewright.plans.gate_queries import features
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TRADES, lag
 from tapewright.sources.market import bars, table, trades
+from tapewright.sources.staging import staged
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -76,6 +77,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     f = features(spark, sf_dir).withColumn("later", F.lead("close", 5).over(W.partitionBy("symbol").orderBy("bar_no"))).where("later is not null")
     f = f.dropna().withColumn("label", (F.col("later") > F.col("close")).cast("double"))
+    f = f.withColumn("place", (F.col("bar_no") - 1) / F.max("bar_no").over(W.partitionBy("symbol")))  # from 0 to 1 in its series
     return VectorAssembler(inputCols=["z", "rsi", "stoch", "atr_pct"], outputCol="features").transform(f)
 
 
@@ -86,8 +88,10 @@ def scored(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", F.round(p, 6)).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg(((F.col("p") > 0.5) == (F.col("label") == 1)).cast("int")), 4).alias("accuracy"))
 
 
-def in_time(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return rows.where("bar_no <= 450"), rows.where("bar_no > 455")
+def in_time(rows: DataFrame, upto: float = 0.6, until: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Rows of the first part of each series, and those after it whose label does not look back into it."""
+    later = rows.withColumn("gap", F.col("bar_no") - F.max(F.when(F.col("place") < upto, F.col("bar_no"))).over(W.partitionBy("symbol")))
+    return rows.where(F.col("place") < upto), later.where((F.col("gap") > 5) & (F.col("place") < until)).drop("gap")
 
 
 @query("k05_logistic")
@@ -98,6 +102,19 @@ def logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(LogisticRegression(regParam=0.01, maxIter=30).fit(train), test)
 
 
+@query("k05_softmax")
+def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes (down, flat, up by half a percent five bars on) by the multinomial form."""
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = labelled(spark, sf_dir)
+    gain = F.col("later") / F.nullif(F.col("close"), F.lit(0.0)) - 1
+    rows = rows.withColumn("label", F.when(gain > 0.005, 2.0).when(gain < -0.005, 0.0).otherwise(1.0))
+    train, test = in_time(rows)
+    model = LogisticRegression(regParam=0.01, maxIter=30, family="multinomial").fit(train)
+    return model.transform(test).groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 4).alias("accuracy"))
+
+
 @query("k15_boosted_trees")
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.classification import GBTClassifier
@@ -108,13 +125,13 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k16_isotonic")
 def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calibration over expanding folds in time."""
+    """Calibration over five expanding folds in time, each a sixth of every series."""
     from pyspark.ml.regression import IsotonicRegression
 
     rows = labelled(spark, sf_dir).withColumn("rsi", F.col("rsi") / 100).drop("features").withColumnRenamed("rsi", "features")
     out = None
-    for fold in (1, 2, 3):
-        train, test = rows.where(f"bar_no <= {fold * 150}"), rows.where(f"bar_no > {fold * 150 + 5} and bar_no <= {fold * 150 + 150}")
+    for fold in range(1, 6):
+        train, test = in_time(rows, fold / 6, (fold + 1) / 6)
         made = IsotonicRegression().fit(train).transform(test).agg(F.lit(fold).alias("fold"), F.count("*").alias("n"), F.round(F.avg((F.col("prediction") - F.col("label")) ** 2), 6).alias("brier"))
         out = made if out is None else out.unionByName(made)
     return out
@@ -214,13 +231,16 @@ def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k17_grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best parameters on the first bars, with their result on the rest."""
+    """The best parameters on the first three fifths of the bars, with their result on the rest."""
     from tapewright.operators import simulate
     from tapewright.plans.simulation_queries import OHLC, signals
 
-    grid = signals(spark, sf_dir).withColumn("stop_mult", F.explode(F.array(F.lit(1.0), F.lit(2.0)))).withColumn("reward", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))))
-    t = simulate.trades_of(grid, ["symbol", "stop_mult", "reward"], OHLC, simulate.bracket()).withColumn("ret", (F.col("exit") / F.col("entry") - 1) * F.col("direction"))
-    s = t.groupBy("symbol", "stop_mult", "reward").agg(F.coalesce(F.sum(F.when(F.col("exit_bar") <= 450, F.col("ret"))), F.lit(0.0)).alias("fit"), F.round(F.coalesce(F.sum(F.when(F.col("entry_bar") > 450, F.col("ret"))), F.lit(0.0)), 6).alias("later"))
+    steps = lambda a, b, n: F.explode(F.array(*(F.lit(a + (b - a) * i / (n - 1)) for i in range(n))))
+    rows = signals(spark, sf_dir)
+    grid = rows.withColumn("stop_mult", steps(0.5, 3.0, 6)).withColumn("reward", steps(1.0, 4.0, 7))
+    cut = rows.groupBy("symbol").agg((F.max("bar_no") * 0.6).alias("cut"))
+    t = simulate.trades_of(grid, ["symbol", "stop_mult", "reward"], OHLC, simulate.bracket()).withColumn("ret", (F.col("exit") / F.col("entry") - 1) * F.col("direction")).join(cut, "symbol")
+    s = t.groupBy("symbol", "stop_mult", "reward").agg(F.coalesce(F.sum(F.when(F.col("exit_bar") <= F.col("cut"), F.col("ret"))), F.lit(0.0)).alias("fit"), F.round(F.coalesce(F.sum(F.when(F.col("entry_bar") > F.col("cut"), F.col("ret"))), F.lit(0.0)), 6).alias("later"))
     best = F.max_by(F.struct("stop_mult", "reward", F.round("fit", 6).alias("fit"), "later"), F.struct("fit", -F.col("stop_mult"), -F.col("reward"))).alias("b")
     return s.groupBy("symbol").agg(best).select("symbol", "b.*")
 
@@ -257,16 +277,20 @@ def clean_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("k22_look_ahead")
 def look_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicators recomputed on cut series: rows at the cut that differ from those of the whole series."""
+    """Indicators recomputed on series cut at ten places: rows at the cut that differ from those of the whole series."""
     from tapewright.functions import indicators as ind
 
-    b = bars(spark, sf_dir)
+    b = staged(bars(spark, sf_dir), "bars")
+    tests = {"sma": ind.sma, "rsi": ind.rsi, "stochastic": ind.stochastic, "bollinger": ind.bollinger, "donchian": ind.donchian, "roc": ind.roc, "swing_points": ind.swing_points}
+    cuts = b.groupBy("symbol").agg(F.max("bar_no").alias("n")).select("symbol", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("cut"), "n").select("symbol", "cut", F.ceil(F.col("n") * F.col("cut") / 10).alias("end"))
+    # each cut is a series of its own, so all are computed at once
+    early = b.join(F.broadcast(cuts), "symbol").where("bar_no <= end").withColumn("symbol", F.concat_ws("|", "symbol", F.col("cut").cast("string")))
+    marks = cuts.withColumn("name", F.concat_ws("|", "symbol", F.col("cut").cast("string")))
     out = None
-    for name, f in (("sma", ind.sma), ("rsi", ind.rsi), ("swing_points", ind.swing_points)):
-        whole = f(b)
-        for cut in (60, 120):
-            early = f(b.where(F.col("bar_no") <= cut)).where(F.col("bar_no") == cut)
-            both = whole.where(F.col("bar_no") == cut).withColumnRenamed("raw", "raw0").join(early, ["symbol", "bar_no"])
-            row = both.agg(F.lit(name).alias("indicator"), F.lit(cut).alias("cut"), F.count_if(~F.col("raw0").eqNullSafe(F.col("raw"))).alias("differ"))
-            out = row if out is None else out.unionByName(row)
+    for name, f in tests.items():
+        whole = f(b).select("symbol", F.col("bar_no").alias("end"), F.col("raw").alias("raw0"))
+        part = f(early.drop("cut", "end")).select(F.col("symbol").alias("name"), F.col("bar_no").alias("end"), "raw")
+        both = F.broadcast(marks).join(whole, ["symbol", "end"]).join(part, ["name", "end"])
+        row = both.groupBy("cut").agg(F.count_if(~F.col("raw0").eqNullSafe(F.col("raw"))).alias("differ")).select(F.lit(name).alias("indicator"), "cut", "differ")
+        out = row if out is None else out.unionByName(row)
     return out

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,20 +11,12 @@ from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, MACRO, TICKS, TRADES
 from tapewright.sources import ledgers
 from tapewright.sources.market import bars, macro_daily, table, ticks, trades
+from tapewright.sources.staging import scratch
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one; only where none is set (tests, local mode) in a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tapewright/{name}-{uuid.uuid4().hex}"
-
-
 @query("a01_cached_bars", f"WITH {TICKS}, m AS (SELECT symbol, date_trunc('minute', ts) AS ts, arg_max(price, (ts, event_id)) AS price FROM ticks WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12' GROUP BY 1, 2) SELECT * FROM m")
 def cached_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A slice of time, one row for each symbol and minute: the last one written wins."""
@@ -80,11 +69,11 @@ def country_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(F.broadcast(q), F.col("n_name") < F.col("quote")).select(F.col("n_name").alias("base"), "quote", F.round(F.col("rate") - F.col("other"), 6).alias("diff"))
 
 
-@query("a13_net_positions", "SELECT date_trunc('week', l_shipdate)::DATE AS week, sum(CASE l_returnflag WHEN 'A' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0 END) AS net FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+@query("a13_net_positions", "SELECT l_linestatus AS market, date_trunc('week', l_shipdate)::DATE AS week, sum(CASE l_returnflag WHEN 'A' THEN l_quantity WHEN 'R' THEN -l_quantity ELSE 0 END) AS net FROM lineitem GROUP BY ALL")
 def net_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'")
+    line = table(spark, sf_dir, "lineitem")
     side = F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(0.0)
-    return line.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("week")).agg(F.sum(side).alias("net"))
+    return line.groupBy(F.col("l_linestatus").alias("market"), F.date_trunc("week", "l_shipdate").cast("date").alias("week")).agg(F.sum(side).alias("net"))
 
 
 @query("a14_json_ledger", f"WITH {TICKS} SELECT event_id, symbol, price FROM ticks WHERE ts >= TIMESTAMP '2024-01-20' AND event_id % 50 <> 0")
@@ -98,10 +87,10 @@ def json_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("at >= '2024-01-20'").select("event_id", "symbol", "price")
 
 
-@query("a15_csv_ledger", f"WITH {TRADES} SELECT trade_id, line_no, strategy, pnl, CAST(NULL AS DOUBLE) AS mae FROM trades WHERE strategy = 'A'")
+@query("a15_csv_ledger", f"WITH {TRADES} SELECT trade_id, line_no, strategy, pnl, CAST(NULL AS DOUBLE) AS mae FROM trades")
 def csv_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "ledger")
-    trades(spark, sf_dir).where("strategy = 'A'").select("trade_id", "line_no", "strategy", "pnl").write.option("header", True).csv(path)
+    trades(spark, sf_dir).select("trade_id", "line_no", "strategy", "pnl").write.option("header", True).csv(path)
     return ledgers.read_csv(spark, path, "trade_id string, line_no int, strategy string, pnl double, mae double", ["trade_id", "pnl"])
 
 
@@ -150,10 +139,11 @@ def label_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledgers.label_first(t, updates, ["user_id", "symbol"], ["ts", "event_id"], ["outcome"]).select("event_id", "outcome")
 
 
-@query("a23_headlines", "SELECT doc_id, lang, left(split_part(text, chr(10), 1), 80) AS headline FROM documents WHERE text IS NOT NULL AND lang = 'en' AND n_chars < 400")
+@query("a23_headlines", "SELECT doc_id, lang, source, split_part(text, chr(10), 1) AS headline FROM documents WHERE text IS NOT NULL")
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("text is not null and lang = 'en' and n_chars < 400")
-    return d.select("doc_id", "lang", F.left(F.get(F.split("text", "\n"), F.lit(0)), F.lit(80)).alias("headline"))
+    """The first line of every document, whole, with where it comes from."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", "lang", "source", F.substring_index("text", "\n", 1).alias("headline"))
 
 
 @query("a23_all_headlines", "SELECT doc_id, lang, split_part(text, chr(10), 1) AS headline FROM documents WHERE text IS NOT NULL")

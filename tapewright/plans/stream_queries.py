@@ -10,34 +10,36 @@ from pyspark.sql import functions as F
 
 from tapewright.plans.registry import Registry
 from tapewright.plans.simulation_queries import signals
-from tapewright.plans.source_queries import scratch
 from tapewright.plans.sql import BARS, TICKS
 from tapewright.sources.market import table, ticks
+from tapewright.sources.staging import scratch
 from tapewright.streaming import ticks as st
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def available(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, files: int = 4, order: str = "ts") -> DataFrame:
-    """What ``job`` gives out when ``rows`` arrive as files in time order, one file a batch; results go to a folder."""
-    source, sink = scratch(spark, f"{name}-in"), scratch(spark, f"{name}-out")
-    parts = rows.repartitionByRange(files, order)
-    for i, part in enumerate(slices(parts, order, files)):
-        part.coalesce(1).write.parquet(f"{source}/batch={i}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
-    run = job(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
+def arriving(spark: SparkSession, rows: DataFrame, name: str, order: str, files: int = 4) -> DataFrame:
+    """A stream of ``rows`` in time order, a slice of time each batch; slices are written in one pass."""
+    source = scratch(spark, f"{name}-in")
+    at = F.unix_micros(F.col(order).cast("timestamp")) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
+    cuts = rows.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
+    batch = sum(((at > c).cast("int") for c in cuts), F.lit(0))
+    rows.withColumn("batch", batch).repartition("batch").write.partitionBy("batch").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/batch=*")
+
+
+def finished(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
+    """What the stream ``out`` gives out until all that is available has been read."""
+    sink = scratch(spark, f"{name}-out")
+    run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(sink)
+    return spark.read.schema(out.schema).parquet(sink)
 
 
-def slices(rows: DataFrame, order: str, n: int) -> list[DataFrame]:
-    """``rows`` in ``n`` pieces of time, by quantiles of the order."""
-    at = F.unix_micros(F.col(order).cast("timestamp")) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
-    cuts = rows.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 1000)).first()[0] or []
-    bounds = [None, *cuts, None]
-    inside = lambda a, b: (F.lit(True) if a is None else at > a) & (F.lit(True) if b is None else at <= b)
-    return [rows.where(inside(a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
+def available(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, files: int = 4, order: str = "ts") -> DataFrame:
+    """What ``job`` gives out when ``rows`` arrive in time order."""
+    return finished(spark, job(arriving(spark, rows, name, order, files)), name)
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,15 +90,8 @@ def order_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     orders = e.select(F.col("event_id").alias("order_id"), F.col("ts").cast("timestamp").alias("placed"))
     fills = e.where("event_id % 4 <> 0").select(F.col("event_id").alias("fill_order"), F.expr("cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, 0, event_id % 300)").alias("filled"))
-    path, sink = scratch(spark, "timeout-in"), scratch(spark, "timeout-out")
-    for name, rows, at in (("orders", orders, "placed"), ("fills", fills, "filled")):
-        for i, part in enumerate(slices(rows, at, 3)):
-            part.coalesce(1).write.parquet(f"{path}/{name}/batch={i}")
-    read = lambda name, rows: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/{name}/*")
-    out = st.fills_in_time(read("orders", orders), read("fills", fills))
-    run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, "timeout-state")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.parquet(sink).where("filled is not null or placed < '2024-01-30'").select("order_id", "status")
+    out = st.fills_in_time(arriving(spark, orders, "orders", "placed", 3), arriving(spark, fills, "fills", "filled", 3))
+    return finished(spark, out, "timeout").where("filled is not null or placed < '2024-01-30'").select("order_id", "status")
 
 
 @query("j07_paper_trades")

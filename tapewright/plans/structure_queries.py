@@ -16,7 +16,6 @@ from tapewright.operators import plugins
 from tapewright.plans import indicator_queries as iq
 from tapewright.plans.join_queries import MACRO_AT, with_macro
 from tapewright.plans.registry import Registry
-from tapewright.plans.source_queries import scratch
 from tapewright.plans.sql import BARS, TRADES, full, lag, w
 from tapewright.sources.market import IN_ORDER, bars, trades
 
@@ -74,20 +73,19 @@ PANEL_SQL = "panel AS (" + " UNION ALL ".join(f"SELECT '{n}' AS indicator, symbo
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(indicator, symbol, bar_no, state) for a panel of indicators; bars are written once and read by each."""
-    path = scratch(spark, "panel-bars")
-    bars(spark, sf_dir).write.parquet(path)
-    b = spark.read.parquet(path)
-    parts = [iq.FUNCTIONS[n](b).select(F.lit(n).alias("indicator"), "symbol", "bar_no", "state") for n in PANEL]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Bars with a column of states for each indicator of the panel."""
+    return ind.with_states(bars(spark, sf_dir), {n: iq.FUNCTIONS[n] for n in PANEL})
+
+
+def how_many(states: str) -> F.Column:
+    return sum((F.expr(f"{n} {states}").cast("long") for n in PANEL), F.lit(0).cast("long"))
 
 
 @query("f44_panel", f"WITH {PANEL_SQL} SELECT indicator, count(*) AS n, count(*) FILTER (state > 0) AS up, count(*) FILTER (state < 0) AS down FROM panel GROUP BY 1")
 def panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).groupBy("indicator").agg(F.count("*").alias("n"), F.count_if(F.col("state") > 0).alias("up"), F.count_if(F.col("state") < 0).alias("down"))
+    counts = [F.struct(F.count("*").alias("n"), F.count_if(F.col(c) > 0).alias("up"), F.count_if(F.col(c) < 0).alias("down")).alias(c) for c in PANEL]
+    rows = panel(spark, sf_dir).agg(*counts)
+    return rows.select(F.inline(F.array(*(F.struct(F.lit(c).alias("indicator"), f"{c}.n", f"{c}.up", f"{c}.down") for c in PANEL))))
 
 
 @query(
@@ -95,25 +93,30 @@ def panel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {PANEL_SQL}, g AS (SELECT symbol, bar_no, count(*) FILTER (state > 0) AS up, count(*) FILTER (state < 0) AS down, count(*) AS n FROM panel GROUP BY ALL), s AS (SELECT *, (up - down) / n AS s FROM g) SELECT symbol, bar_no, up, down, CASE WHEN up >= 8 THEN 1 WHEN down >= 8 THEN -1 WHEN abs(s) <= 0.05 THEN 0 WHEN s > 0.15 THEN 1 WHEN s < -0.15 THEN -1 ELSE 0 END AS direction, round(least(2.5 * abs(s), 1), 6) AS conviction FROM s",
 )
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = panel(spark, sf_dir).groupBy("symbol", "bar_no").agg(F.count_if(F.col("state") > 0).alias("up"), F.count_if(F.col("state") < 0).alias("down"), F.count("*").alias("n"))
-    s = (F.col("up") - F.col("down")) / F.col("n")
+    g = panel(spark, sf_dir).select("symbol", "bar_no", how_many("> 0").alias("up"), how_many("< 0").alias("down"))
+    s = (F.col("up") - F.col("down")) / len(PANEL)
     side = F.when(F.col("up") >= 8, 1).when(F.col("down") >= 8, -1).when(F.abs(s) <= 0.05, 0).when(s > 0.15, 1).when(s < -0.15, -1).otherwise(0)
     return g.select("symbol", "bar_no", "up", "down", side.alias("direction"), F.round(F.least(2.5 * F.abs(s), F.lit(1.0)), 6).alias("conviction"))
 
 
-FWD = f"{BARS}, fwd AS (SELECT symbol, bar_no, lead(close, 5) {OVER} / close - 1 AS y FROM bars)"
+FWD = f"{BARS}, fwd AS (SELECT symbol, bar_no, lead(close, 5) {OVER} / close - 1 AS y, bar_no * 10 <= max(bar_no) OVER (PARTITION BY symbol) * 6 AS early FROM bars)"
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, c, side, bar_no, y) for every three indicators that agree on a bar; sets of a dozen, so a bounded number of each."""
-    p = panel(spark, sf_dir).where("state <> 0").groupBy("symbol", "bar_no", F.signum("state").cast("int").alias("side")).agg(F.sort_array(F.collect_set("indicator")).alias("s"))
+    """(a, b, c, side, early, y) for every three indicators that agree on a bar; sets of a dozen, so a bounded number of each.
+
+    ``early`` are the first three fifths of a symbol's bars.
+    """
+    early = F.col("bar_no") * 10 <= F.max("bar_no").over(W.partitionBy("symbol")) * 6
+    p = panel(spark, sf_dir).withColumn("y", ahead("close", 5) / C() - 1).withColumn("early", early).where("y is not null")
+    agreed = lambda side: F.array_compact(F.array(*(F.when(F.col(n) * side > 0, F.lit(n)) for n in sorted(PANEL))))
+    p = p.select("y", "early", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), agreed(k).alias("s")) for k in (1, -1)))).alias("of")).select("y", "early", "of.side", "of.s")
     n = F.size("s")
     three = F.flatten(F.flatten(F.transform("s", lambda a, i: F.transform(F.slice(F.col("s"), i + 2, n), lambda b, j: F.transform(F.slice(F.col("s"), i + j + 3, n), lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")))))))
-    f = bars(spark, sf_dir).select("symbol", "bar_no", (ahead("close", 5) / C() - 1).alias("y"))
-    return p.join(f.where("y is not null"), ["symbol", "bar_no"]).select("side", "bar_no", "y", F.explode(three).alias("t")).select("t.*", "side", "bar_no", "y")
+    return p.where(n >= 3).select("side", "early", "y", F.explode(three).alias("t")).select("t.*", "side", "early", "y")
 
 
-TRIPLES = f"{PANEL_SQL}, {FWD}, st AS (SELECT *, sign(state)::INT AS side FROM panel WHERE state <> 0), tr AS (SELECT x.indicator AS a, y.indicator AS b, z.indicator AS c, x.side, x.bar_no, f.y FROM st x JOIN st y ON x.symbol = y.symbol AND x.bar_no = y.bar_no AND x.side = y.side AND x.indicator < y.indicator JOIN st z ON x.symbol = z.symbol AND x.bar_no = z.bar_no AND x.side = z.side AND y.indicator < z.indicator JOIN fwd f ON f.symbol = x.symbol AND f.bar_no = x.bar_no WHERE f.y IS NOT NULL)"
+TRIPLES = f"{PANEL_SQL}, {FWD}, st AS (SELECT *, sign(state)::INT AS side FROM panel WHERE state <> 0), tr AS (SELECT x.indicator AS a, y.indicator AS b, z.indicator AS c, x.side, f.early, f.y FROM st x JOIN st y ON x.symbol = y.symbol AND x.bar_no = y.bar_no AND x.side = y.side AND x.indicator < y.indicator JOIN st z ON x.symbol = z.symbol AND x.bar_no = z.bar_no AND x.side = z.side AND y.indicator < z.indicator JOIN fwd f ON f.symbol = x.symbol AND f.bar_no = x.bar_no WHERE f.y IS NOT NULL)"
 
 
 @query("f46_triples", f"WITH {TRIPLES} SELECT a, b, c, side, count(*) AS n, round(avg((y * side > 0)::INT), 6) AS hit FROM tr GROUP BY ALL HAVING count(*) >= 30 AND avg((y * side > 0)::INT) >= 0.55")
@@ -124,11 +127,11 @@ def green_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f47_holdout",
-    f"WITH {TRIPLES}, g AS (SELECT a, b, c, side, count(*) FILTER (bar_no <= 450) AS n1, count(*) FILTER (bar_no > 450) AS n2, avg((y * side > 0)::INT) FILTER (bar_no <= 450) AS h1, avg((y * side > 0)::INT) FILTER (bar_no > 450) AS h2 FROM tr GROUP BY ALL) SELECT a, b, c, side, CASE WHEN n2 < 10 THEN 'INSUFFICIENT' WHEN h1 - h2 < 0.1 THEN 'REAL' WHEN h1 - h2 <= 0.2 THEN 'WEAK' ELSE 'OVERFIT' END AS verdict FROM g WHERE n1 >= 20 AND h1 >= 0.5",
+    f"WITH {TRIPLES}, g AS (SELECT a, b, c, side, count(*) FILTER (early) AS n1, count(*) FILTER (NOT early) AS n2, avg((y * side > 0)::INT) FILTER (early) AS h1, avg((y * side > 0)::INT) FILTER (NOT early) AS h2 FROM tr GROUP BY ALL) SELECT a, b, c, side, CASE WHEN n2 < 10 THEN 'INSUFFICIENT' WHEN h1 - h2 < 0.1 THEN 'REAL' WHEN h1 - h2 <= 0.2 THEN 'WEAK' ELSE 'OVERFIT' END AS verdict FROM g WHERE n1 >= 20 AND h1 >= 0.5",
 )
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combinations found on the first bars, judged on the later ones."""
-    hit, early = (F.col("y") * F.col("side") > 0).cast("int"), F.col("bar_no") <= 450
+    hit, early = (F.col("y") * F.col("side") > 0).cast("int"), F.col("early")
     g = triples(spark, sf_dir).groupBy("a", "b", "c", "side").agg(F.count_if(early).alias("n1"), F.count_if(~early).alias("n2"), F.avg(F.when(early, hit)).alias("h1"), F.avg(F.when(~early, hit)).alias("h2"))
     gap = F.col("h1") - F.col("h2")
     verdict = F.when(F.col("n2") < 10, "INSUFFICIENT").when(gap < 0.1, "REAL").when(gap <= 0.2, "WEAK").otherwise("OVERFIT")
