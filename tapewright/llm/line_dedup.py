@@ -1,17 +1,17 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line goes if an equal line, or one within one edit (a character inserted, deleted or replaced) that is no more than
-``1 - similarity`` of the longer line, comes earlier in the corpus; lines are ordered by doc_id, then by the text's hash
-(documents of one id), then by their number in the text. Lines without a word always stay.
+``1 - similarity`` of the longer line, comes earlier in the corpus; lines are ordered by doc_id, then by their number in the text, then (texts of one doc_id) by the text's hash.
+Lines without a word always stay.
 
 How: equal lines are counted by hash. Two lines within one edit share the first or the second half (of the shorter
 one), so only lines of which another line shares a half can have a partner; the whole corpus is screened for that.
 For these lines every variant with one character deleted is emitted as a hashed key: with its position for replaced
 characters, so that all lines of a key are within one edit of each other, and without it, with the undeleted lines,
-for inserted ones. A key's earliest line is then compared with every other one by edit distance, so groups are
+for inserted ones. A key's earliest line is then compared with every other one, so groups are
 aggregated before they are joined and never paired out.
 
-Defined results: a null text stays null; a null doc_id comes first; rows equal in doc_id and text count as one document
+Defined results: a null text stays null; doc_ids are of an integer type and a null one comes first; rows equal in doc_id and text count as one document
 and keep the same lines, other texts of one (or no) doc_id are documents of their own; texts and lines of any length
 are taken whole; a text may become empty, its row stays; an empty table gives an empty result; other columns pass
 through, whatever their names, and those named ``n_lines`` or ``n_dropped`` are replaced.
@@ -135,6 +135,27 @@ def _occurrences(least_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether one character inserted, deleted or replaced makes the lines equal (or they are); linear in their length."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    low, high = 0, len(a)  # how far they agree, by halving
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return a[low + (len(a) == len(b)) :] == b[low + 1 :]
+
+
+@F.pandas_udf(T.BooleanType())
+def _within_one(line: pd.Series, earlier: pd.Series) -> pd.Series:
+    return pd.Series([within_one(a, b) for a, b in zip(line, earlier, strict=True)], dtype=bool)
+
+
 @F.pandas_udf(T.StructType().add("text", "string").add("n_lines", "long").add("n_dropped", "long"))
 def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
     """Texts without the lines at the given places, equal lines anywhere in the text, and later copies of kept lines."""
@@ -167,7 +188,9 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     out = T.StructType([T.StructField("_d", kind), *(T.StructField(c, T.IntegerType() if c == "no" else T.LongType()) for c in ("_t", "no", "h1", "h2", "k1", "k2", "k3", "k4"))])
     longest = math.ceil(1 / (1 - similarity) - 1e-9)  # characters of the longer line of which one edit is little enough
     found = docs.where("_text is not null").mapInArrow(_occurrences(longest - 1), out)
-    lines = written(found.withColumn("at", F.struct("_d", "_t", "no")), "line-places")
+    # one number that orders occurrences by document (none first) and line; texts of one doc_id are told apart below
+    number = F.coalesce(F.col("_d").cast("decimal(20,0)"), F.lit(str(-(10**19))).cast("decimal(20,0)"))
+    lines = written(found.withColumn("at", (number * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)")), "line-places")
     halves = [f"k{i}" for i in range(1, 5)]
     distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.max(k).alias(k) for k in halves))
     distinct = written(distinct, "lines")
@@ -178,14 +201,14 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     n_near = near.count()
     places = join_counted(lines.select("h1", "h2", "_d", "_t", "no", "at"), near, ["h1", "h2"], "left_semi", n_near)
     firsts = join_counted(distinct.select("h1", "h2", "first"), near, ["h1", "h2"], "left_semi", n_near)
-    places = written(join_counted(places, written(firsts, "near-firsts"), ["h1", "h2"], "inner", n_near).where("at = first").dropDuplicates(["h1", "h2"]), "near-places")
+    places = written(join_counted(places, written(firsts, "near-firsts"), ["h1", "h2"], "inner", n_near).where("at = first").groupBy("h1", "h2", "first", "_d", "no").agg(F.min("_t").alias("_t")), "near-places")
     of_doc = F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_t") == F.col("_t2"))
     renamed = places.select(F.col("_d").alias("_d2"), F.col("_t").alias("_t2"), "no", "h1", "h2", "first")
     if n_near <= SMALL_ROWS:
         renamed = F.broadcast(renamed)
-    texts = docs.join(renamed, of_doc).select("h1", "h2", "first", F.get(F.split("_text", "\n"), F.col("no")).alias("line"))
+    texts = docs.join(renamed, of_doc).select("h1", "h2", "first", "_t2", F.get(F.split("_text", "\n"), F.col("no")).alias("line"))
     # numbers that follow the order of the corpus: sorted ranges, then the place in them
-    texts = texts.dropDuplicates(["h1", "h2"]).orderBy("first", "h1", "h2").withColumn("rank", F.monotonically_increasing_id())
+    texts = texts.dropDuplicates(["h1", "h2"]).orderBy("first", "_t2", "h1", "h2").withColumn("rank", F.monotonically_increasing_id())
     texts = written(texts, "near-texts")
 
     variants = written(texts.select("rank", "line", "h1").repartition(parts, "h1").drop("h1").mapInArrow(_emit, "key long, kind byte, rank long"), "line-variants")
@@ -196,13 +219,19 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     pairs = written(members.withColumn("p", partner).where("p < rank").select("rank", "p").distinct(), "line-pairs")
     mine = pairs.join(texts.select("rank", "line"), "rank")
     both = mine.join(texts.select(F.col("rank").alias("p"), F.col("line").alias("earlier")), "p")
-    gone = both.where((F.levenshtein("line", "earlier", 1) >= 0) & (F.greatest(F.length("line"), F.length("earlier")) >= longest)).select("rank").distinct()
+    gone = both.where(F.greatest(F.length("line"), F.length("earlier")) >= longest).where(_within_one("line", "earlier")).select("rank").distinct()
     gone = written(gone.join(texts.select("rank", "h1", "h2"), "rank").select("h1", "h2", F.lit(True).alias("near")), "near-gone")
 
     repeated = join_counted(distinct.select("h1", "h2", "first", "n"), gone, ["h1", "h2"], "left", gone.count()).where("n > 1 or near")
     repeated = written(repeated.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")), "repeated-lines")
     at = join_counted(lines.select("_d", "_t", "no", "h1", "h2", "at"), repeated, ["h1", "h2"], "inner", repeated.count())
-    drops = at.where("near or at <> first").groupBy(F.col("_d").alias("_d2"), F.col("_t").alias("_t2")).agg(F.collect_set("no").alias("_drops"))
+    # an equal line at the same place of several texts of one doc_id stays in the first of these texts
+    tied = at.where("not near and at = first").groupBy("h1", "h2").agg(F.min("_t").alias("t0"), F.max("_t").alias("t1")).where("t0 <> t1")
+    tied = written(tied.select("h1", "h2", "t0"), "tied-lines")
+    n_tied = tied.count()
+    if n_tied:
+        at = join_counted(at, tied, ["h1", "h2"], "left", n_tied)
+    drops = at.where("near or at <> first" + (" or _t <> t0" if n_tied else "")).groupBy(F.col("_d").alias("_d2"), F.col("_t").alias("_t2")).agg(F.collect_set("no").alias("_drops"))
     drops = written(drops, "dropped-lines")
 
     mine = others(df, "n_lines", "n_dropped")

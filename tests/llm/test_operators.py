@@ -502,13 +502,13 @@ def plain_line_dedup(rows):
     for d, t in set(rows):
         for n, line in enumerate((t or "").split("\n")):
             if t is not None and WORD.search(line):
-                found.append(((d is not None, d or 0, signed_hash(t), n), line))
+                found.append(((d is not None, d or 0, n, signed_hash(t)), line))
     found.sort(key=lambda x: x[0])
     gone = defaultdict(set)
     for k, (at, line) in enumerate(found):
         for _, other in found[:k]:
             if line == other or (max(len(line), len(other)) >= 20 and within_one(line, other)):
-                gone[at[:3]].add(at[3])
+                gone[at[:2] + at[3:]].add(at[2])
                 break
     return {(d, t): None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[(d is not None, d or 0, signed_hash(t))]) for d, t in rows}
 
