@@ -114,6 +114,29 @@ SQL = {
         "r AS (SELECT symbol, bar_no, close AS num, CAST(1 AS DOUBLE) AS den FROM bars WHERE bar_no = 1 UNION ALL SELECT b.symbol, b.bar_no, b.close + (1 - 2.0 / 21) * r.num, 1 + (1 - 2.0 / 21) * r.den FROM r JOIN bars b ON b.symbol = r.symbol AND b.bar_no = r.bar_no + 1)",
         "SELECT symbol, bar_no, num / den AS raw FROM r",
     ),
+    "f16_supertrend": rec(
+        TRS
+        + ", "
+        + wilder_cte("atr", "trs", "tr", 10)
+        + f""", d AS (SELECT symbol, bar_no, close, {lag('close')} AS c1, (high + low) / 2 + 3 * e AS hi0, (high + low) / 2 - 3 * e AS lo0 FROM trs LEFT JOIN atr USING (symbol, bar_no)),
+        r AS (SELECT symbol, bar_no, CAST(NULL AS DOUBLE) AS line, 0 AS side FROM d WHERE bar_no = 1
+          UNION ALL SELECT symbol, bar_no, CASE WHEN lo0 IS NULL THEN NULL WHEN close > hi THEN lo WHEN close < lo THEN hi ELSE held END, CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE side END
+          FROM (SELECT *, CASE WHEN lo0 > held OR c1 < held THEN lo0 ELSE greatest(held, lo0) END AS lo, CASE WHEN hi0 < held OR c1 > held THEN hi0 ELSE least(held, hi0) END AS hi
+            FROM (SELECT d.*, r.side, coalesce(r.line, d.lo0) AS held FROM r JOIN d ON d.symbol = r.symbol AND d.bar_no = r.bar_no + 1)))""",
+        "SELECT symbol, bar_no, line AS raw, side FROM r",
+        "side",
+    ),
+    "f18_parabolic_sar": rec(
+        f"""d AS (SELECT symbol, bar_no, high AS h, low AS l, {lag('high')} AS h1, {lag('low')} AS l1, coalesce({lag('high', 2)}, {lag('high')}) AS h2, coalesce({lag('low', 2)}, {lag('low')}) AS l2 FROM bars),
+        r AS (SELECT symbol, bar_no, l AS stop, h AS ext, CAST(0.02 AS DOUBLE) AS speed, true AS up FROM d WHERE bar_no = 1
+          UNION ALL SELECT symbol, bar_no, CASE WHEN flip THEN ext ELSE a END, CASE WHEN flip THEN CASE WHEN up THEN l ELSE h END WHEN up THEN greatest(h, ext) ELSE least(l, ext) END,
+          CASE WHEN flip THEN 0.02 WHEN CASE WHEN up THEN h > ext ELSE l < ext END THEN least(speed + 0.02, 0.2) ELSE speed END, up <> flip
+          FROM (SELECT *, CASE WHEN up THEN l < a ELSE h > a END AS flip
+            FROM (SELECT *, CASE WHEN up THEN least(a0, l1, l2) ELSE greatest(a0, h1, h2) END AS a
+              FROM (SELECT d.*, r.ext, r.speed, r.up, r.stop + r.speed * (r.ext - r.stop) AS a0 FROM r JOIN d ON d.symbol = r.symbol AND d.bar_no = r.bar_no + 1))))""",
+        "SELECT symbol, bar_no, stop AS raw, up FROM r",
+        "CASE WHEN up THEN 1 ELSE -1 END",
+    ),
     "f05_atr_wilder": rec(ATR14, "SELECT symbol, bar_no, e AS raw FROM atr"),
     "f06_atr_sma": one(f"coalesce({full('avg', 'tr', 14)}, greatest(close * 1e-4, 1e-9))", pre=f"*, {TRX} AS tr"),
     "f08_rsi": steps(*RSI_STEPS, ("b", f"SELECT *, 100 - 100 / (1 + {full('avg', 'gain', 14)} / nullif({full('avg', 'loss', 14)}, 0)) AS raw FROM a"), state=band("raw", 40, 60)),

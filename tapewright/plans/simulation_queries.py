@@ -45,11 +45,19 @@ def breakout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).select("symbol", "bar_no", F.when(c > highest("high", 20, 1), 1).when(c < lowest("low", 20, 1), -1).otherwise(0).alias("signal"))
 
 
-def bracket_sql(gap_long: str = "b.open", gap_short: str = "b.open", stop: float = 1.5, reward: float = 2.0) -> str:
+def bracket_sql(gap_long: str = "b.open", gap_short: str = "b.open", stop: float = 1.5, reward: float = 2.0, windows: int = 0) -> str:
+    """Trades by recursion over bars; with ``windows`` each so many bars are a series of their own, and reasons are given."""
     x = f"""CASE WHEN p.pos = 1 THEN CASE WHEN b.open <= p.stop THEN {gap_long} WHEN b.low <= p.stop THEN p.stop WHEN b.high >= p.target THEN p.target END
       WHEN p.pos = -1 THEN CASE WHEN b.open >= p.stop THEN {gap_short} WHEN b.high >= p.stop THEN p.stop WHEN b.low <= p.target THEN p.target END END"""
     new = "p.pos = 0 AND b.signal <> 0 AND b.atr > 0"
     entry = "b.close * (1 + b.signal * 0.0005)"
+    if windows:
+        why = "CASE WHEN p.pos = 1 AND (b.open <= p.stop OR b.low <= p.stop) OR p.pos = -1 AND (b.open >= p.stop OR b.high >= p.stop) THEN 'stop' ELSE 'target' END"
+        return f"""WITH RECURSIVE {SIGNALS}, sw AS (SELECT *, (bar_no - 1) // {windows} AS window_no FROM sig), sim AS (SELECT DISTINCT symbol, window_no, CAST(window_no * {windows} AS BIGINT) AS bar_no, 0 AS pos, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS stop, CAST(0 AS DOUBLE) AS target, CAST(0 AS BIGINT) AS entry_bar, CAST(NULL AS DOUBLE) AS x, 0 AS was, '' AS reason FROM sw
+          UNION ALL SELECT b.symbol, b.window_no, b.bar_no, CASE WHEN p.pos <> 0 THEN CASE WHEN ({x}) IS NULL THEN p.pos ELSE 0 END WHEN {new} THEN b.signal ELSE 0 END,
+          CASE WHEN {new} THEN {entry} ELSE p.entry END, CASE WHEN {new} THEN {entry} - b.signal * {stop} * b.atr ELSE p.stop END, CASE WHEN {new} THEN {entry} + b.signal * {reward} * {stop} * b.atr ELSE p.target END,
+          CASE WHEN {new} THEN b.bar_no ELSE p.entry_bar END, {x}, p.pos, {why} FROM sim p JOIN sw b ON b.symbol = p.symbol AND b.window_no = p.window_no AND b.bar_no = p.bar_no + 1)
+          SELECT symbol, window_no, entry_bar, bar_no AS exit_bar, was AS direction, round(entry, 6) AS entry, round(x, 6) AS exit, reason FROM sim WHERE x IS NOT NULL"""
     return f"""WITH RECURSIVE {SIGNALS}, sim AS (SELECT symbol, bar_no, 0 AS pos, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS stop, CAST(0 AS DOUBLE) AS target, CAST(0 AS BIGINT) AS entry_bar, CAST(NULL AS DOUBLE) AS x, 0 AS was FROM sig WHERE bar_no = 1
       UNION ALL SELECT b.symbol, b.bar_no, CASE WHEN p.pos <> 0 THEN CASE WHEN ({x}) IS NULL THEN p.pos ELSE 0 END WHEN {new} THEN b.signal ELSE 0 END,
       CASE WHEN {new} THEN {entry} ELSE p.entry END, CASE WHEN {new} THEN {entry} - b.signal * {stop} * b.atr ELSE p.stop END, CASE WHEN {new} THEN {entry} + b.signal * {reward} * {stop} * b.atr ELSE p.target END,
@@ -74,7 +82,31 @@ def gap_at_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulate.trades_of(signals(spark, sf_dir), ["symbol"], OHLC, simulate.bracket(gap="best"))).drop("reason")
 
 
-@query("j03_close_based")
+CLOSE_BASED = f"""WITH RECURSIVE {SIGNALS}, sg AS (SELECT *, {lag('signal')} AS s1, {lag('atr')} AS a1 FROM sig),
+sim AS (SELECT symbol, bar_no, 0 AS pos, CAST(0 AS BIGINT) AS start, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS best, CAST(0 AS DOUBLE) AS a0, CAST(NULL AS VARCHAR) AS why, CAST(0 AS DOUBLE) AS x, 0 AS was FROM sg WHERE bar_no = 1
+  UNION ALL SELECT symbol, bar_no, CASE WHEN pos <> 0 THEN CASE WHEN why IS NULL THEN pos ELSE 0 END WHEN s1 <> 0 THEN s1 ELSE 0 END, CASE WHEN pos = 0 AND s1 <> 0 THEN bar_no ELSE start END, CASE WHEN pos = 0 AND s1 <> 0 THEN open ELSE entry END,
+  CASE WHEN pos = 0 AND s1 <> 0 THEN close * s1 ELSE top END, CASE WHEN pos = 0 AND s1 <> 0 THEN a1 ELSE a0 END, why, close, pos
+  FROM (SELECT *, CASE WHEN pos = 0 THEN NULL WHEN (close / entry - 1) * pos <= -least(0.3, CASE WHEN a0 > 0 THEN 2 * a0 / entry ELSE 1e300 END) THEN 'stop' WHEN atr > 0 AND top - close * pos >= 3 * atr THEN 'trail' WHEN signal * pos < 0 THEN 'reversal' WHEN bar_no - start >= 12 THEN 'time' END AS why
+    FROM (SELECT b.*, p.pos, p.start, p.entry, p.a0, greatest(p.best, b.close * p.pos) AS top FROM sim p JOIN sg b ON b.symbol = p.symbol AND b.bar_no = p.bar_no + 1)))
+SELECT symbol, start AS entry_bar, bar_no AS exit_bar, was AS direction, round(entry, 6) AS entry, round(x, 6) AS exit, why AS reason FROM sim WHERE why IS NOT NULL"""
+
+MANAGED = f"""WITH RECURSIVE {SIGNALS},
+sim AS (SELECT symbol, bar_no, 0 AS pos, CAST(0 AS BIGINT) AS start, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS risk, CAST(0 AS DOUBLE) AS stop, false AS half, CAST(NULL AS VARCHAR) AS why, CAST(0 AS DOUBLE) AS x, 0 AS was FROM sig WHERE bar_no = 1
+  UNION ALL SELECT symbol, bar_no, CASE WHEN pos <> 0 THEN CASE WHEN why IS NULL THEN pos ELSE 0 END WHEN opens THEN signal ELSE 0 END, CASE WHEN opens THEN bar_no ELSE start END, CASE WHEN opens THEN close ELSE entry END, CASE WHEN opens THEN atr ELSE risk END,
+  CASE WHEN opens THEN close - signal * atr WHEN pos <> 0 AND half1 THEN pos * greatest(CASE WHEN half THEN stop ELSE entry END * pos, (best - pos * risk) * pos) ELSE stop END, NOT opens AND half1, why, CASE WHEN why IN ('stop', 'trail') THEN stop ELSE close END, pos
+  FROM (SELECT *, CASE WHEN pos = 0 THEN NULL WHEN (worst - stop) * pos <= 0 THEN CASE WHEN half THEN 'trail' ELSE 'stop' END WHEN atr > 0 AND (open - close) * pos >= 3 * atr THEN 'shock' WHEN bar_no - start >= 20 THEN 'time' END AS why, pos <> 0 AND (half OR (best - entry) * pos >= risk) AS half1
+    FROM (SELECT b.*, p.pos, p.start, p.entry, p.risk, p.stop, p.half, p.pos = 0 AND b.signal <> 0 AND b.atr > 0 AS opens, CASE WHEN p.pos > 0 THEN b.low ELSE b.high END AS worst, CASE WHEN p.pos > 0 THEN b.high ELSE b.low END AS best FROM sim p JOIN sig b ON b.symbol = p.symbol AND b.bar_no = p.bar_no + 1)))
+SELECT symbol, start AS entry_bar, bar_no AS exit_bar, was AS direction, round(entry, 6) AS entry, round(x, 6) AS exit, why AS reason FROM sim WHERE why IS NOT NULL"""
+
+PAPER = f"""WITH RECURSIVE {SIGNALS},
+sim AS (SELECT symbol, bar_no, 0 AS pos, CAST(0 AS BIGINT) AS opened, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS risk, false AS half, CAST(NULL AS VARCHAR) AS reason FROM sig WHERE bar_no = 1
+  UNION ALL SELECT symbol, bar_no, CASE WHEN pos <> 0 THEN CASE WHEN reason IS NULL THEN pos ELSE 0 END WHEN opens THEN signal ELSE 0 END, CASE WHEN opens THEN bar_no ELSE opened END, CASE WHEN opens THEN close ELSE entry END, CASE WHEN opens THEN atr ELSE risk END, pos <> 0 AND (half OR (best - entry) * pos >= risk), reason
+  FROM (SELECT *, CASE WHEN pos = 0 THEN NULL WHEN (worst - CASE WHEN half THEN entry ELSE entry - pos * risk END) * pos <= 0 THEN CASE WHEN half THEN 'EVEN' ELSE 'STOP' END WHEN half AND (best - entry) * pos >= 2 * risk THEN 'TP2' END AS reason
+    FROM (SELECT b.*, p.pos, p.opened, p.entry, p.risk, p.half, p.pos = 0 AND b.signal <> 0 AND b.atr > 0 AS opens, CASE WHEN p.pos > 0 THEN b.low ELSE b.high END AS worst, CASE WHEN p.pos > 0 THEN b.high ELSE b.low END AS best FROM sim p JOIN sig b ON b.symbol = p.symbol AND b.bar_no = p.bar_no + 1)))
+SELECT symbol, opened, bar_no AS closed, reason, CASE reason WHEN 'STOP' THEN -1.0 WHEN 'EVEN' THEN 0.5 ELSE 1.5 END AS r FROM sim WHERE reason IS NOT NULL"""
+
+
+@query("j03_close_based", CLOSE_BASED)
 def close_based(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulate.trades_of(signals(spark, sf_dir), ["symbol"], ["open", "close", "signal", "atr"], simulate.close_based()))
 
@@ -84,7 +116,7 @@ def limit_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulate.trades_of(signals(spark, sf_dir), ["symbol"], ["high", "low", "close", "signal", "atr"], simulate.limit_entry()))
 
 
-@query("j20_managed_trades")
+@query("j20_managed_trades", MANAGED)
 def managed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulate.trades_of(signals(spark, sf_dir), ["symbol"], OHLC, simulate.managed()))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.plans.registry import Registry
-from tapewright.plans.simulation_queries import signals
+from tapewright.plans.simulation_queries import PAPER, signals
 from tapewright.plans.sql import BARS, TICKS
 from tapewright.sources.market import table, ticks
 from tapewright.sources.staging import scratch
@@ -94,7 +94,7 @@ def order_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(spark, out, "timeout").where("filled is not null or placed < '2024-01-30'").select("order_id", "status")
 
 
-@query("j07_paper_trades")
+@query("j07_paper_trades", PAPER)
 def paper_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The life of paper trades as keyed state; the same whether bars come in one batch or in many."""
     rows = signals(spark, sf_dir).withColumnRenamed("atr", "risk")

@@ -16,6 +16,7 @@ from tapewright.operators import plugins
 from tapewright.plans import indicator_queries as iq
 from tapewright.plans.join_queries import MACRO_AT, with_macro
 from tapewright.plans.registry import Registry
+from tapewright.plans.simulation_queries import bracket_sql
 from tapewright.plans.sql import BARS, TRADES, full, lag, w
 from tapewright.sources.market import IN_ORDER, bars, trades
 
@@ -48,7 +49,14 @@ def atr_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "bar_no", F.round("atr", 5).alias("atr"))
 
 
-@query("f11_rsi_seeded")
+CHANGES = "list_transform(range(1, len(xs)), lambda i: xs[i + 1] - xs[i])"
+SEEDED = "list_reduce(list_prepend(list_sum(list_transform(d[1:14], lambda x: greatest({sign}x, 0))) / 14, list_transform(d[15:], lambda x: greatest({sign}x, 0))), lambda s, x: (s * 13 + x) / 14)"
+
+
+@query(
+    "f11_rsi_seeded",
+    f"WITH {BARS}, x AS (SELECT symbol, bar_no, list(close) OVER (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING) AS xs FROM bars), d AS (SELECT symbol, bar_no, {CHANGES} AS d FROM x WHERE len(xs) >= 16), g AS (SELECT symbol, bar_no, {SEEDED.format(sign='')} AS g, {SEEDED.format(sign='-')} AS l FROM d) SELECT symbol, bar_no, round(100 - 100 / (1 + g / nullif(l, 0)), 6) AS rsi FROM g",
+)
 def rsi_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wilder's index over the ninety bars before each bar, from the mean of the first 14 changes."""
     b = bars(spark, sf_dir).withColumn("xs", F.collect_list("close").over(BY().rowsBetween(-90, -1))).where(F.size("xs") >= 16)
@@ -382,7 +390,7 @@ def experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plugins.experiment(trades(spark, sf_dir), {"floor": -2.0, "most": 50.0}, {"most": 30.0}, run, ["strategy"], ["most"])
 
 
-@query("m07_window_trades")
+@query("m07_window_trades", bracket_sql(windows=100))
 def window_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a hundred bars expanded into their trades, by symbol and window."""
     from tapewright.operators import simulate
