@@ -64,6 +64,56 @@ def bracket(stop_mult: float = 1.5, reward: float = 2.0, slip: float = 0.0005, g
     return kernel
 
 
+GRID_STATS = ("n", "wins", "total", "gain", "loss")
+
+
+def bracket_grid(o, h, lo, c, signal, atr, stop_mult: np.ndarray, reward: np.ndarray, slip: float = 0.0005) -> dict[str, np.ndarray]:
+    """The trades of ``bracket`` under many parameters at once, summed: one step over all of them for each bar."""
+    side = np.zeros(len(stop_mult))
+    entry, stop, target = np.ones_like(side), np.zeros_like(side), np.zeros_like(side)
+    out = {k: np.zeros_like(side) for k in GRID_STATS}
+    for i in range(len(o)):
+        gone = None
+        if side.any():
+            worst, best = np.where(side > 0, lo[i], h[i]), np.where(side > 0, h[i], lo[i])
+            gap, hit, won = ((x - y) * side <= 0 for x, y in ((o[i], stop), (worst, stop), (target, best)))
+            gone = (side != 0) & (gap | hit | won)
+            if gone.any():
+                ret = np.where(gone, (np.where(gap, o[i], np.where(hit, stop, target)) / entry - 1) * side, 0.0)
+                for k, x in (("n", gone), ("wins", ret > 0), ("total", ret), ("gain", np.maximum(ret, 0.0)), ("loss", -np.minimum(ret, 0.0))):
+                    out[k] += x
+        if signal[i] and atr[i] > 0:
+            new, at = side == 0, c[i] * (1 + signal[i] * slip)
+            side = np.where(new, signal[i], side)
+            entry, stop, target = np.where(new, at, entry), np.where(new, at - signal[i] * stop_mult * atr[i], stop), np.where(new, at + signal[i] * reward * stop_mult * atr[i], target)
+        if gone is not None:
+            side = np.where(gone, 0.0, side)
+    return out
+
+
+def sweep(df: DataFrame, params: DataFrame, block: int = 500, key: str = "symbol", order: str = "bar_no") -> DataFrame:
+    """(key, *params, n, wins, total, gain, loss) for each series under each (stop_mult, reward) that made a trade.
+
+    A task gets a series once (its bars as arrays, bounded by its calendar) and a block of parameters, so bars are not
+    multiplied by parameters; series and blocks are dealt over all tasks.
+    """
+    inputs = ["open", "high", "low", "close", "signal", "atr"]
+    series = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *inputs))).alias("s")).select(key, *(F.transform(F.col(f"s.{x}"), lambda v: v.cast("double")).alias(x) for x in inputs))
+    n = params.count()
+    blocks = params.withColumn("_b", F.pmod(F.xxhash64("stop_mult", "reward"), F.lit(-(-n // block)))).groupBy("_b").agg(F.collect_list("stop_mult").alias("stop_mult"), F.collect_list("reward").alias("reward"))
+    work = series.join(F.broadcast(blocks)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_b")  # the blocks: n rows of two numbers, counted
+    out = T.StructType([df.schema[key], *(T.StructField(c, T.DoubleType()) for c in ("stop_mult", "reward", *GRID_STATS))])
+
+    def run(frames):
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                a = {c: np.asarray(getattr(row, c), dtype=float) for c in (*inputs, "stop_mult", "reward")}
+                made = bracket_grid(*(a[c] for c in inputs), a["stop_mult"], a["reward"])
+                yield pd.DataFrame({key: getattr(row, key), "stop_mult": a["stop_mult"], "reward": a["reward"], **made})
+
+    return work.drop("_b").mapInPandas(run, out).where("n > 0")
+
+
 def close_based(hold: int = 12, stop_pct: float = 0.3, stop_mult: float = 2.0, trail_mult: float = 3.0) -> Callable[..., list[tuple]]:
     """Entry at the open after a signal; exits on closes: stop, trailing stop, reversed signal, then time."""
 

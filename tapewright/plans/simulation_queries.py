@@ -230,13 +230,34 @@ def difference(d: DataFrame, sims: int) -> DataFrame:
     return j.where("diff is not null").agg(F.count("*").alias("sims"), F.round(F.avg((F.col("diff") <= 0).cast("int")), 6).alias("p"), F.round(F.avg("diff"), 6).alias("mean"))
 
 
-@query("j13_sweep")
+STOPS, REWARDS = (1.0, 1.5, 2.0), (1.0, 2.0, 3.0)
+RANDOM = 2000  # pairs of parameters of the random sweep
+
+
+def swept(made: DataFrame) -> DataFrame:
+    factor = F.when(F.col("loss") > 0, F.least(F.col("gain") / F.nullif(F.col("loss"), F.lit(0.0)), F.lit(999.0))).when(F.col("gain") > 0, 999.0).otherwise(0.0)
+    return made.select("symbol", "stop_mult", "reward", F.col("n").cast("long").alias("n"), F.round(F.col("wins") / F.col("n"), 6).alias("win_rate"), F.round("total", 6).alias("total"), F.round(factor, 6).alias("profit_factor"))
+
+
+GRID_SQL = " UNION ALL ".join(f"SELECT *, CAST({a} AS DOUBLE) AS stop_mult, CAST({b} AS DOUBLE) AS reward FROM ({bracket_sql(stop=a, reward=b)})".replace("round(entry, 6) AS entry, round(x, 6) AS exit", "entry, x AS exit") for a in STOPS for b in REWARDS)
+
+
+@query(
+    "j13_sweep",
+    f"WITH t AS ({GRID_SQL}), r AS (SELECT symbol, stop_mult, reward, (exit / entry - 1) * direction AS ret FROM t) SELECT symbol, stop_mult, reward, count(*) AS n, round(avg((ret > 0)::INT), 6) AS win_rate, round(sum(ret), 6) AS total, round(least(coalesce(sum(greatest(ret, 0)) / nullif(-sum(least(ret, 0)), 0), CASE WHEN sum(greatest(ret, 0)) > 0 THEN 999 ELSE 0 END), 999), 6) AS profit_factor FROM r GROUP BY ALL",
+)
 def sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every symbol under every pair of parameters; a group is one backtest."""
-    grid = signals(spark, sf_dir).withColumn("stop_mult", F.explode(F.array(F.lit(1.0), F.lit(1.5), F.lit(2.0)))).withColumn("reward", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))))
-    t = simulate.trades_of(grid, ["symbol", "stop_mult", "reward"], OHLC, simulate.bracket())
-    r = t.withColumn("ret", (F.col("exit") / F.col("entry") - 1) * F.col("direction"))
-    return r.groupBy("symbol", "stop_mult", "reward").agg(F.count("*").alias("n"), F.round(m.win_rate("ret"), 6).alias("win_rate"), F.round(F.sum("ret"), 6).alias("total"), F.round(m.profit_factor("ret", 999.0), 6).alias("profit_factor"))
+    """Every symbol under every pair of parameters; a pair is one backtest."""
+    grid = spark.createDataFrame([(a, b) for a in STOPS for b in REWARDS], "stop_mult double, reward double")
+    return swept(simulate.sweep(signals(spark, sf_dir), grid))
+
+
+@query("j13_random_sweep")
+def random_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every symbol under thousands of pairs drawn by hash: stops of 0.5 to 3 ranges, rewards of 0.5 to 5 risks."""
+    part = lambda low, high, seed: F.lit(low) + F.lit(high - low) * simulate.draw(F.lit(1_000_000), seed, F.col("id")) / 1_000_000
+    pairs = spark.range(RANDOM).select(part(0.5, 3.0, 21).alias("stop_mult"), part(0.5, 5.0, 22).alias("reward"))
+    return swept(simulate.sweep(signals(spark, sf_dir), pairs))
 
 
 @query("j14_walk_windows", "WITH b AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders), s AS (SELECT unnest(generate_series(0, 200)) AS k, a, z FROM b), w AS (SELECT a + CAST(k * 90 AS INTEGER) AS train_start, a + CAST(k * 90 + 360 AS INTEGER) AS test_start, a + CAST(k * 90 + 450 AS INTEGER) AS test_end, z FROM s) SELECT train_start, test_start, test_end FROM w WHERE test_end <= z")
