@@ -134,6 +134,31 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.bounded_ring(docs, "doc_id", 16).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: the statistics and the base rules, before anything learned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = quality_rules.with_statistics(docs).withColumn("base_failed", quality_rules.base_failed())
+    return made.select("doc_id", *quality_rules.STATISTICS, "base_failed")
+
+
+def written_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op3: hosts, paths and the written rule that decides."""
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(url).alias("host"), url_filter.path_of(url).alias("path"))
+    return pages.withColumn("said", url_filter.written_rule(F.col("host"), F.col("path"), URL_RULES)).select("page_id", "host", "path", F.col("said.rule").alias("rule"), F.col("said.verdict").alias("said"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: the bytes that come back from the containers."""
+    return op9_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: how many rows each shard has, and that its slots are gapless."""
+    rows = op10_ring_shards(spark, sf_dir)
+    return rows.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc": op2_warc,
@@ -145,9 +170,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media": op9_media,
     "op10_ring_shards": op10_ring_shards,
+    "base_statistics": base_statistics,
+    "written_url_rules": written_url_rules,
+    "media_payloads": media_payloads,
+    "shard_balance": shard_balance,
 }
 
+RULE_SQL = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{0}}'".replace("{0}", f"{h}{p}|{v}") for v, h, p in sorted(URL_RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
+) + " END"
+
 ORACLE_SQL: dict[str, str] = {
+    "base_statistics": r"""WITH t AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+    i AS (SELECT no, ws, unnest(range(1, len(ws) - 3)) AS i FROM w), g AS (SELECT no, i, ws[i:i + 4] AS g FROM i), c AS (SELECT no, i, count(*) OVER (PARTITION BY no, g) AS n FROM g),
+    p AS (SELECT no, unnest(range(i, i + 5)) AS pos FROM c WHERE n > 1), r AS (SELECT no, count(DISTINCT pos) AS n_repeat_words FROM p GROUP BY 1),
+    s AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (no))
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s""",
+    "written_url_rules": f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages), r AS (SELECT *, {RULE_SQL} AS r FROM u)
+    SELECT page_id, host, path, split_part(r, '|', 1) AS rule, split_part(r, '|', 2) AS said FROM r""",
+    "media_payloads": """WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents), p AS (SELECT doc_id, raw, octet_length(raw)::BIGINT AS n FROM t), q AS (SELECT doc_id, n AS n_bytes, raw || repeat('\\x00'::BLOB, greatest(64, (n + 63) // 64 * 64) - n) AS payload FROM p)
+    SELECT doc_id, n_bytes, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_sha256 FROM q""",
+    "shard_balance": "WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT unnest(range(16))::INTEGER AS shard), k AS (SELECT shard, n // 16 + (shard < n % 16)::BIGINT AS k FROM s, n) SELECT shard, k AS n, k AS slots, 0::BIGINT AS first_slot, k - 1 AS last_slot FROM k WHERE k > 0",
     "op2_warc": """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
     d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, upper(sha1(payload)) AS sha FROM p),
     g AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS first_id FROM d),

@@ -707,3 +707,16 @@ def test_extra_columns_of_any_name_pass_through(spark):
             given = r.asDict()
             assert all(given[c] == k for k, c in enumerate(CLASHES)), name
     assert {len(out.columns) - len(docs.columns) for name, out in made.items() if name in ("keep", "near")} == {0}
+
+
+SQL_QUERIES = ["op2_warc", "base_statistics", "written_url_rules", "media_payloads", "shard_balance"]
+
+
+@pytest.mark.parametrize("name", SQL_QUERIES)
+def test_queries_match_their_sql(spark, name):
+    from compare import differences, duck
+
+    from tapewright.llm import queries
+
+    assert set(queries.ORACLE_SQL) == set(SQL_QUERIES)
+    assert not differences(queries.QUERIES[name](spark, "/root/testdata/sf0.001"), duck("/root/testdata/sf0.001"), queries.ORACLE_SQL[name])
