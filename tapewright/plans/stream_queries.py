@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.plans.registry import Registry
 from tapewright.plans.simulation_queries import PAPER, signals
 from tapewright.plans.sql import BARS, TICKS
-from tapewright.sources.market import table, ticks
+from tapewright.sources.market import bars, table, ticks
 from tapewright.sources.staging import scratch
 from tapewright.streaming import ticks as st
 
@@ -74,14 +73,8 @@ def session_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l05_opening_range", f"WITH {BARS}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS k FROM bars), r AS (SELECT symbol, ts::DATE AS day, max(high) AS hi, min(low) AS lo FROM d WHERE k <= 3 GROUP BY ALL) SELECT d.symbol, d.bar_no, CASE WHEN close > hi AND volume > 100 THEN 1 WHEN close < lo AND volume > 100 THEN -1 ELSE 0 END AS signal FROM d JOIN r ON d.symbol = r.symbol AND d.ts::DATE = r.day WHERE k > 3")
 def opening_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks of the range of a day's first three bars, on volume."""
-    from tapewright.sources.market import bars
-
-    w = W.partitionBy("symbol", F.to_date("ts"))
-    d = bars(spark, sf_dir).withColumn("k", F.row_number().over(w.orderBy("ts")))
-    d = d.withColumn("hi", F.max(F.when(F.col("k") <= 3, F.col("high"))).over(w)).withColumn("lo", F.min(F.when(F.col("k") <= 3, F.col("low"))).over(w)).where("k > 3")
-    loud = F.col("volume") > 100
-    return d.select("symbol", "bar_no", F.when((F.col("close") > F.col("hi")) & loud, 1).when((F.col("close") < F.col("lo")) & loud, -1).otherwise(0).alias("signal"))
+    """Breaks of the range of a day's first three bars, on volume, as bars arrive."""
+    return available(spark, bars(spark, sf_dir), st.opening_range, "opening", order="ts")
 
 
 @query("l06_order_timeout", "WITH o AS (SELECT event_id AS order_id, ts AS placed FROM events WHERE event_type = 'purchase'), f AS (SELECT event_id AS fill_order, ts + to_seconds(CAST(event_id % 300 AS INTEGER)) AS filled FROM events WHERE event_type = 'purchase' AND event_id % 4 <> 0), j AS (SELECT order_id, placed, filled FROM o LEFT JOIN f ON order_id = fill_order AND filled <= placed + INTERVAL 180 SECOND) SELECT order_id, CASE WHEN filled IS NULL THEN 'CANCELLED_NO_FILL' ELSE 'FILLED' END AS status FROM j WHERE filled IS NOT NULL OR placed < TIMESTAMP '2024-01-30'")
@@ -111,20 +104,18 @@ def stale_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l09_new_since", f"WITH {TICKS} SELECT symbol, count(*) AS n, max(event_id) AS mark FROM ticks WHERE event_id > (SELECT max(event_id) // 2 FROM ticks) GROUP BY 1")
 def new_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What lies past a stored mark (half of the ids here)."""
+    """What has come since the last look: a stream's checkpoint is the mark, and ids past the half come after it."""
     t = ticks(spark, sf_dir)
-    mark = F.broadcast(t.agg(F.floor(F.max("event_id") / 2).alias("stored")))
-    return t.join(mark).where("event_id > stored").groupBy("symbol").agg(F.count("*").alias("n"), F.max("event_id").alias("mark"))
+    half = t.agg(F.floor(F.max("event_id") / 2)).first()[0]
+    source, sink, state = (scratch(spark, f"pulse-{x}") for x in ("in", "out", "state"))
+    late = F.col("event_id") > F.lit(half)
+    for run, rows in enumerate((t.where(~late), t.where(late))):
+        rows.write.parquet(f"{source}/part={run}")
+        new = st.take_new(spark, source, t.schema, sink, state, run)
+    return new.groupBy("symbol").agg(F.count("*").alias("n"), F.max("event_id").alias("mark"))
 
 
 @query("l10_anomalies", f"WITH {BARS}, x AS (SELECT symbol, bar_no, close < open AS loss, min(close) OVER w = max(close) OVER w AND count(*) OVER w = 5 AS stuck FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), y AS (SELECT *, bar_no - coalesce(max(CASE WHEN NOT loss THEN bar_no END) OVER (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING), 0) AS streak FROM x) SELECT symbol, bar_no, streak, stuck FROM y WHERE streak >= 3 OR stuck")
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three losses or more in a row, or a value that has not moved for five bars."""
-    from tapewright.sources.market import bars
-
-    by = W.partitionBy("symbol").orderBy("bar_no")
-    w5, run = by.rowsBetween(-4, 0), by.rowsBetween(W.unboundedPreceding, 0)
-    c = F.col("close")
-    stuck = (F.min("close").over(w5) == F.max("close").over(w5)) & (F.count("close").over(w5) == 5)
-    streak = F.col("bar_no") - F.coalesce(F.max(F.when(c >= F.col("open"), F.col("bar_no"))).over(run), F.lit(0))
-    return bars(spark, sf_dir).select("symbol", "bar_no", streak.alias("streak"), stuck.alias("stuck")).where("streak >= 3 or stuck")
+    """Three losses or more in a row, or a value that has not moved for five bars, as bars arrive."""
+    return available(spark, bars(spark, sf_dir), st.anomalies, "odd", order="ts")

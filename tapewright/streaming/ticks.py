@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -96,3 +97,60 @@ def paper_trades(bars: DataFrame) -> DataFrame:
         yield pd.DataFrame(rows, columns=["symbol", "opened", "closed", "reason", "r"])
 
     return bars.groupBy("symbol").applyInPandasWithState(step, PAPER_OUT, PAPER_STATE, "append", "NoTimeout")
+
+
+RANGE_OUT = "symbol string, bar_no long, signal int"
+RANGE_STATE = "day string, seen int, hi double, lo double"
+
+
+def opening_range(bars: DataFrame, first: int = 3, loud: float = 100.0) -> DataFrame:
+    """Breaks of the range of a day's ``first`` bars, on volume, bar by bar; the state of a symbol is a day's range."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        day, seen, hi, lo = state.get if state.exists else ("", 0, 0.0, 0.0)
+        rows = []
+        for b in pd.concat(list(frames)).sort_values("bar_no").itertuples():
+            if (d := str(b.ts)[:10]) != day:
+                day, seen, hi, lo = d, 0, float("-inf"), float("inf")
+            seen += 1
+            if seen <= first:
+                hi, lo = max(hi, b.high), min(lo, b.low)
+            else:
+                rows.append((key[0], b.bar_no, (b.volume > loud) * ((b.close > hi) - (b.close < lo))))
+        state.update((day, seen, hi, lo))
+        yield pd.DataFrame(rows, columns=["symbol", "bar_no", "signal"])
+
+    return bars.groupBy("symbol").applyInPandasWithState(step, RANGE_OUT, RANGE_STATE, "append", "NoTimeout")
+
+
+ODD_OUT = "symbol string, bar_no long, streak long, stuck boolean"
+ODD_STATE = "streak long, value double, same long"
+
+
+def anomalies(bars: DataFrame, losses: int = 3, still: int = 5) -> DataFrame:
+    """Bars at the end of ``losses`` falling bars or more, or at which the close has not moved for ``still`` bars."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        streak, value, same = state.get if state.exists else (0, float("nan"), 0)
+        rows = []
+        for b in pd.concat(list(frames)).sort_values("bar_no").itertuples():
+            streak = streak + 1 if b.close < b.open else 0
+            value, same = b.close, same + 1 if b.close == value else 1
+            if streak >= losses or same >= still:
+                rows.append((key[0], b.bar_no, streak, same >= still))
+        state.update((streak, value, same))
+        yield pd.DataFrame(rows, columns=["symbol", "bar_no", "streak", "stuck"])
+
+    return bars.groupBy("symbol").applyInPandasWithState(step, ODD_OUT, ODD_STATE, "append", "NoTimeout")
+
+
+def take_new(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, run: int) -> DataFrame:
+    """What has come into the folder ``source`` since the last call with this checkpoint, which keeps the mark.
+
+    Batches are written under the run's number, so that a batch that is repeated after a failure replaces itself.
+    """
+    target = f"{sink}/run={run}"
+    stream = spark.readStream.schema(schema).parquet(f"{source}/*")
+    put = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{target}/batch={batch}")
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)
