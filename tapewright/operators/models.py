@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewright.functions.scans import Arrays
 from tapewright.operators import blocks
@@ -59,6 +60,32 @@ def kmeans(df: DataFrame, features: list[str], k: int, rounds: int = 10, order:
     return centres, df.withColumn("cluster", nearest(centres))
 
 
+def quantile_lines(df: DataFrame, x: str, y: str, by: list[str], taus: list[float], rounds: int = 25, least: float = 1e-4) -> DataFrame:
+    """(by, tau, intercept, slope) of the line below which a share ``tau`` of the rows of each group lies.
+
+    Reweighted least squares: a round is one aggregation of five sums by group and quantile, whose rows (groups times
+    quantiles) weight the next round. Residuals under ``least`` count as that much.
+    """
+    keys = [*by, "tau"]
+    rows = staged(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "points")
+    each = rows.withColumn("tau", F.explode(F.array(*map(F.lit, taus))))
+    lines = None
+    for _ in range(rounds):
+        if lines is None:
+            weighed = each.withColumn("w", F.lit(1.0))
+        else:
+            e = F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")
+            weighed = each.join(F.broadcast(lines), keys).withColumn("w", F.when(e > 0, F.col("tau")).otherwise(1 - F.col("tau")) / F.greatest(F.abs(e), F.lit(least)))
+        w, total = F.col("w"), lambda v: F.sum(F.col("w") * v)
+        sums = weighed.groupBy(*keys).agg(F.sum(w).alias("n"), total(F.col("x")).alias("sx"), total(F.col("y")).alias("sy"), total(F.col("x") ** 2).alias("sxx"), total(F.col("x") * F.col("y")).alias("sxy"))
+        spread = F.col("n") * F.col("sxx") - F.col("sx") ** 2
+        slope = F.when(spread > 1e-12 * F.col("n") * F.col("sxx"), (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread).otherwise(0.0)
+        found = sums.withColumn("slope", slope).select(*keys, ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"), "slope").collect()
+        schema = [*(rows.schema[k] for k in by), *sums.select("tau", F.lit(0.0).alias("intercept"), F.lit(0.0).alias("slope")).schema]
+        lines = df.sparkSession.createDataFrame(found, T.StructType(schema))
+    return lines
+
+
 def kalman(q: float = 0.01, r: float = 1.0):
     """A level and a slope behind noisy values; ``level``, ``slope`` and ``gain`` of the level at each step."""
 

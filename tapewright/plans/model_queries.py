@@ -219,6 +219,13 @@ def outcome_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).groupBy("strategy", "regime").agg(*(F.round(F.percentile("r", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)))
 
 
+@query("k14_quantile_regression")
+def quantile_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result on quantity at three quantiles, by strategy."""
+    lines = models.quantile_lines(trades(spark, sf_dir), "quantity", "r", ["strategy"], [0.1, 0.5, 0.9])
+    return lines.select("strategy", "tau", F.round("intercept", 4).alias("intercept"), F.round("slope", 5).alias("slope"))
+
+
 TAUS = [0.3, 0.5, 0.7]
 
 

@@ -41,7 +41,7 @@ def test_all_queries_without_sql_are_tested_somewhere():
     tested = {
         *("c18_correlation_cap", "f55_two_regimes", "j04_limit_entry", "j08_challenge", "k02_kmeans", "k07_kalman", "k08_regulator", "k09_value_iteration"),  # test_engine
         *("j10_bootstrap_whole", "j11_permutation_whole", "j12_bootstrap_difference_whole"),  # test_whole
-        *("f70_level_clusters", "i28_deflated_sharpe", "j13_random_sweep", "k05_logistic", "k05_softmax", "k11_principal_components", "k15_boosted_trees", "k16_isotonic", "k17_grid_search", "k20_tree_rules", "k21_clean_portfolio", "k22_look_ahead"),
+        *("f70_level_clusters", "i28_deflated_sharpe", "j13_random_sweep", "k14_quantile_regression", "k05_logistic", "k05_softmax", "k11_principal_components", "k15_boosted_trees", "k16_isotonic", "k17_grid_search", "k20_tree_rules", "k21_clean_portfolio", "k22_look_ahead"),
     }
     assert set(QUERIES) - set(SQL) == tested
 
@@ -290,3 +290,20 @@ def test_correlation_cap_matches_a_loop(spark):
     got = QUERIES["c18_correlation_cap"](spark, SMALL)
     flag = next(c for c, t in got.dtypes if t == "boolean")
     assert {r["o_orderkey"]: r[flag] for r in got.collect()} == want
+
+
+def test_quantile_lines_split_the_rows_and_lose_little(spark):
+    by = defaultdict(list)
+    for r in trades(spark, SMALL).collect():
+        by[r["strategy"]].append((r["quantity"], r["r"]))
+    made = answer(spark, "k14_quantile_regression")
+    assert len(made) == 3 * len(by)
+    for r in made:
+        x, y = np.array(by[r["strategy"]]).T
+        loss = lambda a, b, t=r["tau"], x=x, y=y: np.where((e := y - a - b * x) > 0, t * e, (t - 1) * e).mean()
+        own = loss(r["intercept"], r["slope"])
+        e = y - r["intercept"] - r["slope"] * x
+        assert (e < -1e-3).mean() <= r["tau"] + 0.03 and (e <= 1e-3).mean() >= r["tau"] - 0.03  # results come in steps
+        for da in (-0.05, 0, 0.05):
+            for db in (-0.003, 0, 0.003):
+                assert own <= loss(r["intercept"] + da, r["slope"] + db) + 2e-4
