@@ -33,7 +33,7 @@ def with_states(df: DataFrame, chosen: dict[str, Indicator]) -> DataFrame:
     for name, f in chosen.items():
         others = [c for c in df.columns if c not in keys]
         made = f(df.withColumn(KEPT, F.struct(*others)))
-        df = made.select(*keys, *(F.col(KEPT)[c].alias(c) for c in others), F.col("state").alias(name))
+        df = made.select(*keys, f"{KEPT}.*", F.col("state").alias(name))
     return df
 
 
