@@ -231,7 +231,7 @@ def difference(d: DataFrame, sims: int) -> DataFrame:
 
 
 STOPS, REWARDS = (1.0, 1.5, 2.0), (1.0, 2.0, 3.0)
-RANDOM = 2000  # pairs of parameters of the random sweep
+RANDOM = 20_000  # pairs of parameters of the random sweep
 
 
 def swept(made: DataFrame) -> DataFrame:
