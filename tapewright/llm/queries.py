@@ -8,11 +8,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.llm import bpe, chat, line_dedup, media, order_minhash, packing, quality_rules, ring, token_pieces, url_filter, warc
+from tapewright.llm import bpe, chat, lexical, line_dedup, media, order_minhash, packing, prefix_trie, quality_rules, ring, token_pieces, url_filter, warc, winnowing
 from tapewright.llm.common import fresh_path, table, written
 
 
-
 def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
@@ -134,6 +133,26 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.bounded_ring(docs, "doc_id", 16).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: how much of it lies in windows of benchmark items, and of which."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op12_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each node of the trie over the rebuilt conversations."""
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
 def base_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op1: the statistics and the base rules, before anything learned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -170,6 +189,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_media": op9_media,
     "op10_ring_shards": op10_ring_shards,
+    "op11_winnowing": op11_winnowing,
+    "op12_bit_sliced": op12_bit_sliced,
+    "op13_prefix_trie": op13_prefix_trie,
     "base_statistics": base_statistics,
     "written_url_rules": written_url_rules,
     "media_payloads": media_payloads,
@@ -180,7 +202,34 @@ RULE_SQL = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{0}}'".replace("{0}", f"{h}{p}|{v}") for v, h, p in sorted(URL_RULES, key=lambda r: (len(r[1] + r[2]), r[1] + r[2]), reverse=True)
 ) + " END"
 
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD_LIST = r"list_filter(string_split_regex(" + FOLDED + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+#: crc32 of the decimal form of ``conv_id``, bit by bit.
+CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, u: xor(v >> 1, 3988292384 * (v & 1)))))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_winnowing": f"""WITH b AS (SELECT item_id::VARCHAR AS item, {WORD_LIST} AS ws FROM benchmark),
+    v AS (SELECT DISTINCT item, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS win, least(len(ws), 10) AS span FROM b WHERE len(ws) > 0),
+    s AS (SELECT DISTINCT span FROM v), d AS (SELECT row_number() OVER () AS no, doc_id, {WORD_LIST} AS ws FROM documents),
+    w AS (SELECT no, span, unnest(range(1, len(ws) - span + 2)) AS i, unnest(list_transform(range(1, len(ws) - span + 2), lambda i: array_to_string(ws[i:i + span - 1], ' '))) AS win FROM d, s),
+    h AS (SELECT no, i, w.span, item FROM w JOIN v USING (win)), p AS (SELECT no, unnest(range(i, i + span)) AS pos FROM (SELECT DISTINCT no, i, span FROM h)),
+    n AS (SELECT no, count(DISTINCT pos) AS n_hit FROM p GROUP BY 1), l AS (SELECT no, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY 1)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN n USING (no) LEFT JOIN l USING (no)""",
+    "op12_bit_sliced": f"""WITH d AS (SELECT row_number() OVER () AS no, doc_id, {WORD_LIST} AS ws FROM documents), q AS (SELECT item_id, {WORD_LIST} AS ws FROM benchmark),
+    qt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(ws) AS term FROM q) GROUP BY ALL), t AS (SELECT no, term, count(*) AS tf FROM (SELECT no, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+    c AS (SELECT count(*) AS nn, sum(len(ws))::BIGINT AS ll FROM d WHERE len(ws) > 0), f AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, c GROUP BY term, nn),
+    m AS (SELECT no, doc_id, 100 - 75 + (75 * len(ws) * nn) // ll AS m FROM d, c), p AS (SELECT t.no, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part FROM t JOIN f USING (term) JOIN m USING (no)),
+    r AS (SELECT item_id, no, doc_id, sum(times * part)::BIGINT AS score FROM qt JOIN p USING (term) GROUP BY ALL), k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
+    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations),
+    g AS (SELECT conv_id, count(*) AS n, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS ds, list(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) ORDER BY pos) AS ns FROM t GROUP BY 1),
+    h AS (SELECT *, {CRC32} % 4 AS h FROM g), r AS (SELECT a.conv_id, coalesce(b.ds[1:a.h], []) || a.ds[a.h + 1:] AS ds, coalesce(b.ns[1:a.h], []) || a.ns[a.h + 1:] AS ns FROM h a LEFT JOIN h b ON b.conv_id = a.conv_id - a.conv_id % 20),
+    p AS (SELECT conv_id, len(ds) AS size, unnest(list_transform(range(0, len(ds) + 1), lambda d: {{'d': d, 'k': sha256(array_to_string(ds[1:d], ',')), 'up': sha256(array_to_string(ds[1:d - 1], ',')), 'n': coalesce(ns[d], 0)}})) AS x FROM r),
+    m AS (SELECT conv_id, size, x.d AS d, x.d || x.k AS k, CASE WHEN x.d > 0 THEN (x.d - 1) || x.up END AS up, x.n AS n FROM p),
+    v AS (SELECT k, d, min(up) AS up, min(n) AS n, min(conv_id) AS c, count(*) AS members, sha256(coalesce(string_agg(CASE WHEN size = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends FROM m GROUP BY ALL),
+    u AS (SELECT up AS k, count(*) AS children FROM v WHERE up IS NOT NULL GROUP BY 1), z AS (SELECT v.*, coalesce(children, 0) AS children FROM v LEFT JOIN u USING (k)),
+    s AS (SELECT m.k, sum((z.members - 1) * z.n) AS saved, sum((z.children = 0)::INT) AS leaves FROM z JOIN m ON m.conv_id = z.c AND m.d <= z.d GROUP BY 1)
+    SELECT z.c AS conv_id, z.d AS depth, w.c AS parent_conv_id, z.members AS n_convs, z.children AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, z.ends AS ends_sha256 FROM z JOIN s USING (k) LEFT JOIN v w ON w.k = z.up""",
     "base_statistics": r"""WITH t AS (SELECT row_number() OVER () AS no, doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
     i AS (SELECT no, ws, unnest(range(1, len(ws) - 3)) AS i FROM w), g AS (SELECT no, i, ws[i:i + 4] AS g FROM i), c AS (SELECT no, i, count(*) OVER (PARTITION BY no, g) AS n FROM g),
