@@ -22,12 +22,12 @@ s1 AS (SELECT *, {full('avg', 'tr', 14)} AS atr, {lag('fast')} AS fast1, {lag('s
 sig AS (SELECT symbol, bar_no, open, high, low, close, coalesce(atr, 0) AS atr, CASE WHEN fast > slow AND fast1 <= slow1 THEN 1 WHEN fast < slow AND fast1 >= slow1 THEN -1 ELSE 0 END AS signal FROM s1)"""
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars with their mean range and a signal where two means cross."""
+def signals(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Bars with their mean range and a signal where two means cross, and ``more`` of their columns."""
     b = bars(spark, sf_dir).withColumn("tr", true_range()).withColumn("fast", F.round(mean("close", 5), 9)).withColumn("slow", F.round(mean("close", 15), 9))
     b = b.withColumn("f1", prev("fast")).withColumn("s1", prev("slow")).withColumn("atr", F.coalesce(mean("tr", 14), F.lit(0.0)))
     up, down = (F.col("fast") > F.col("slow")) & (F.col("f1") <= F.col("s1")), (F.col("fast") < F.col("slow")) & (F.col("f1") >= F.col("s1"))
-    return b.select("symbol", "bar_no", "open", "high", "low", "close", "atr", F.when(up, 1).when(down, -1).otherwise(0).alias("signal"))
+    return b.select("symbol", "bar_no", *more, "open", "high", "low", "close", "atr", F.when(up, 1).when(down, -1).otherwise(0).alias("signal"))
 
 
 SIGNALS = SIGNALS.replace(f"{full('avg', 'close', 5)} AS fast", f"round({full('avg', 'close', 5)}, 9) AS fast").replace(f"{full('avg', 'close', 15)} AS slow", f"round({full('avg', 'close', 15)}, 9) AS slow")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.plans.registry import Registry
@@ -18,33 +19,75 @@ query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def arriving(spark: SparkSession, rows: DataFrame, name: str, order: str, files: int = 4) -> DataFrame:
-    """A stream of ``rows`` in time order, a slice of time each batch; slices are written in one pass."""
-    source = scratch(spark, f"{name}-in")
-    at = F.unix_micros(F.col(order).cast("timestamp")) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
-    cuts = rows.agg(F.percentile_approx(at, [i / files for i in range(1, files)], 1000)).first()[0] or []
-    batch = sum(((at > c).cast("int") for c in cuts), F.lit(0))
-    rows.withColumn("batch", batch).repartition("batch").write.partitionBy("batch").parquet(source)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/batch=*")
+SLICES = 4
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def finished(spark: SparkSession, out: DataFrame, name: str) -> DataFrame:
-    """What the stream ``out`` gives out until all that is available has been read."""
-    sink = scratch(spark, f"{name}-out")
-    run = out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+@dataclass(frozen=True)
+class Arrival:
+    """A stream of rows that arrive in slices of time: each slice's files are moved in whole, and only then read."""
+
+    stream: DataFrame
+    staged: str
+    source: str
+
+    def deliver(self, part: int) -> None:
+        spark = self.stream.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        came = path(f"{self.staged}/batch={part}")
+        fs = came.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(came):
+            fs.rename(came, path(f"{self.source}/batch={part}"))
+
+
+def moment(c: str, kind: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp")) if kind.startswith("timestamp") else F.col(c)
+
+
+def cuts(rows: DataFrame, order: str, slices: int | None = None) -> list:
+    """Where slices of time end."""
+    n = slices or SLICES
+    return rows.agg(F.percentile_approx(moment(order, dict(rows.dtypes)[order]), [i / n for i in range(1, n)], 1000)).first()[0] or [] if n > 1 else []
+
+
+def arriving(spark: SparkSession, rows: DataFrame, name: str, order: str, ends: list | None = None) -> Arrival:
+    """``rows`` as a stream of slices (of up to each of ``ends``); all slices are written in one pass, by all tasks."""
+    at = moment(order, dict(rows.dtypes)[order])
+    part = sum(((at > c).cast("int") for c in (cuts(rows, order) if ends is None else ends)), F.lit(0))
+    staged, source = scratch(spark, f"{name}-staged"), scratch(spark, f"{name}-in")
+    rows.withColumn("batch", part).write.partitionBy("batch").parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/batch=none")  # so that there is a folder before the first slice
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return Arrival(spark.readStream.schema(rows.schema).parquet(f"{source}/batch=*"), staged, source)
+
+
+def finished(spark: SparkSession, out: DataFrame, name: str, *arrivals: Arrival) -> DataFrame:
+    """What the stream ``out`` gives out: run on each slice as it has arrived, from where the checkpoint says it was.
+
+    So the order of slices is that of delivery; clocks, names and times of files have no part in it.
+    """
+    sink, state = scratch(spark, f"{name}-out"), scratch(spark, f"{name}-state")
+    for part in range(SLICES):
+        for a in arrivals:
+            a.deliver(part)
+        out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(sink)
 
 
-def available(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, files: int = 4, order: str = "ts") -> DataFrame:
+def available(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], name: str, order: str = "ts") -> DataFrame:
     """What ``job`` gives out when ``rows`` arrive in time order."""
-    return finished(spark, job(arriving(spark, rows, name, order, files)), name)
+    came = arriving(spark, rows, name, order)
+    return finished(spark, job(came.stream), name, came)
 
 
 def stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def stamped_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("l03_tumbling_bars", f"WITH {BARS}, e AS (SELECT max(ts) - INTERVAL 2 HOUR AS mark FROM events) SELECT symbol, ts, open, high, low, close, volume, n_ticks FROM bars, e WHERE ts + INTERVAL 1 HOUR <= mark")
 def tumbling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars that the watermark has closed when the stream ends."""
@@ -74,7 +117,7 @@ def session_vwap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l05_opening_range", f"WITH {BARS}, d AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts::DATE ORDER BY ts) AS k FROM bars), r AS (SELECT symbol, ts::DATE AS day, max(high) AS hi, min(low) AS lo FROM d WHERE k <= 3 GROUP BY ALL) SELECT d.symbol, d.bar_no, CASE WHEN close > hi AND volume > 100 THEN 1 WHEN close < lo AND volume > 100 THEN -1 ELSE 0 END AS signal FROM d JOIN r ON d.symbol = r.symbol AND d.ts::DATE = r.day WHERE k > 3")
 def opening_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks of the range of a day's first three bars, on volume, as bars arrive."""
-    return available(spark, bars(spark, sf_dir), st.opening_range, "opening", order="ts")
+    return available(spark, stamped_bars(spark, sf_dir), st.opening_range, "opening")
 
 
 @query("l06_order_timeout", "WITH o AS (SELECT event_id AS order_id, ts AS placed FROM events WHERE event_type = 'purchase'), f AS (SELECT event_id AS fill_order, ts + to_seconds(CAST(event_id % 300 AS INTEGER)) AS filled FROM events WHERE event_type = 'purchase' AND event_id % 4 <> 0), j AS (SELECT order_id, placed, filled FROM o LEFT JOIN f ON order_id = fill_order AND filled <= placed + INTERVAL 180 SECOND) SELECT order_id, CASE WHEN filled IS NULL THEN 'CANCELLED_NO_FILL' ELSE 'FILLED' END AS status FROM j WHERE filled IS NOT NULL OR placed < TIMESTAMP '2024-01-30'")
@@ -83,23 +126,41 @@ def order_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     orders = e.select(F.col("event_id").alias("order_id"), F.col("ts").cast("timestamp").alias("placed"))
     fills = e.where("event_id % 4 <> 0").select(F.col("event_id").alias("fill_order"), F.expr("cast(ts as timestamp) + make_interval(0, 0, 0, 0, 0, 0, event_id % 300)").alias("filled"))
-    out = st.fills_in_time(arriving(spark, orders, "orders", "placed", 3), arriving(spark, fills, "fills", "filled", 3))
-    return finished(spark, out, "timeout").where("filled is not null or placed < '2024-01-30'").select("order_id", "status")
+    came = arriving(spark, orders, "orders", "placed"), arriving(spark, fills, "fills", "filled")
+    return finished(spark, st.fills_in_time(*(a.stream for a in came)), "timeout", *came).where("filled is not null or placed < '2024-01-30'").select("order_id", "status")
 
 
 @query("j07_paper_trades", PAPER)
 def paper_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The life of paper trades as keyed state; the same whether bars come in one batch or in many."""
-    rows = signals(spark, sf_dir).withColumnRenamed("atr", "risk")
-    return available(spark, rows, st.paper_trades, "paper", order="bar_no")
+    rows = signals(spark, sf_dir, "ts").withColumnRenamed("atr", "risk").withColumn("ts", F.col("ts").cast("timestamp"))
+    return available(spark, rows, st.paper_trades, "paper")
 
 
 @query("l07_stale_decisions", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'labelled' WHEN date_diff('hour', o_orderdate, (SELECT max(o_orderdate) FROM orders)) > 48 THEN 'expired' ELSE 'pending' END AS status FROM orders")
 def stale_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    now = F.broadcast(o.agg(F.max("o_orderdate").alias("now")))
-    age = F.timestamp_diff("HOUR", F.col("o_orderdate"), F.col("now"))
-    return o.join(now).select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "labelled").when(age > 48, "expired").otherwise("pending").alias("status"))
+    """Decisions and their outcomes (up to 36 hours later, none after the last order) as two streams; timers end the wait for an outcome.
+
+    What has neither an outcome nor run out when the streams end is pending, and is all that the state still holds.
+    """
+    o = table(spark, sf_dir, "orders").withColumn("ts", F.col("o_orderdate").cast("timestamp"))
+    last = o.agg(F.max("ts").alias("last"))
+    came = F.least(F.expr("ts + make_interval(0, 0, 0, 0, cast(o_orderkey % 37 as int), 0, 0)"), F.col("last"))
+    decisions = o.select(F.col("o_orderkey").alias("decision"), "ts")
+    outcomes = o.where("o_orderstatus = 'F'").join(F.broadcast(last)).select(F.col("o_orderkey").alias("decision"), came.alias("ts"))
+    ends = cuts(decisions, "ts")
+    both = arriving(spark, decisions, "decisions", "ts", ends), arriving(spark, outcomes, "outcomes", "ts", ends)
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, st.ROCKS)
+    try:
+        told = finished(spark, st.stale(*(a.stream for a in both)), "stale", *both)
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+    open_ = decisions.join(told, "decision", "left_anti").select("decision", F.lit("pending").alias("status"))
+    return told.unionByName(open_).withColumnRenamed("decision", "o_orderkey")
 
 
 @query("l09_new_since", f"WITH {TICKS} SELECT symbol, count(*) AS n, max(event_id) AS mark FROM ticks WHERE event_id > (SELECT max(event_id) // 2 FROM ticks) GROUP BY 1")
@@ -118,4 +179,4 @@ def new_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("l10_anomalies", f"WITH {BARS}, x AS (SELECT symbol, bar_no, close < open AS loss, min(close) OVER w = max(close) OVER w AND count(*) OVER w = 5 AS stuck FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)), y AS (SELECT *, bar_no - coalesce(max(CASE WHEN NOT loss THEN bar_no END) OVER (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING), 0) AS streak FROM x) SELECT symbol, bar_no, streak, stuck FROM y WHERE streak >= 3 OR stuck")
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three losses or more in a row, or a value that has not moved for five bars, as bars arrive."""
-    return available(spark, bars(spark, sf_dir), st.anomalies, "odd", order="ts")
+    return available(spark, stamped_bars(spark, sf_dir), st.anomalies, "odd")

@@ -1,14 +1,23 @@
-"""Streams of ticks: bars, session state, order timeouts and silence, over event time with watermarks."""
+"""Streams of ticks: bars, session state, order timeouts and silence, over event time with watermarks.
+
+Keyed state that depends on order is fed in the order of event time (``in_time_order``): rows wait in the state until
+the watermark has passed them, so neither the order of files nor that of rows in a batch changes a result.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+#: The state store that timers need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """OHLCV bars; a bar is given out once the watermark has passed its end, and ticks later than that are dropped."""
@@ -41,6 +50,40 @@ def fills_in_time(orders: DataFrame, fills: DataFrame, seconds: int = 180) -> Da
     return j.select("order_id", "placed", "filled", F.when(F.col("filled").isNull(), "CANCELLED_NO_FILL").otherwise("FILLED").alias("status"))
 
 
+def in_time_order(rows: DataFrame, by: str, order: Sequence[str], start: tuple, step: Callable[[object, pd.DataFrame, tuple], tuple[tuple, list[tuple]]], out: str, state: str, late: str = "0 seconds") -> DataFrame:
+    """What ``step`` makes of each key's rows, which it gets in order once the watermark (``late`` behind ``ts``) has passed them.
+
+    ``step`` takes the key, rows and the state before them, and gives the state after them and rows of ``out``. Rows that
+    the watermark has not reached wait in the state, their earliest time being the key's timeout; rows that come after
+    the watermark are dropped by the engine.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
+
+    def take(key: tuple, frames: Iterator[pd.DataFrame], group) -> Iterator[pd.DataFrame]:
+        *before, waiting = group.get if group.exists else (*start, b"")
+        parts = [pa.ipc.open_stream(waiting).read_pandas()] if waiting else []
+        parts += [f for f in frames if len(f)]
+        if not parts:
+            return
+        frame = pd.concat(parts, ignore_index=True)
+        passed = frame["_ms"] <= group.getCurrentWatermarkMs()
+        after, made = step(key[0], frame[passed].sort_values(list(order), kind="stable"), tuple(before))
+        rest = frame[~passed]
+        held = b""
+        if len(rest):
+            table = pa.Table.from_pandas(rest, preserve_index=False)
+            with (sink := pa.BufferOutputStream()), pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            held = sink.getvalue().to_pybytes()
+        group.update((*after, held))
+        if held:
+            group.setTimeoutTimestamp(int(rest["_ms"].min()) - 1)
+        yield pd.DataFrame(made, columns=names)
+
+    marked = rows.withColumn("_ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return marked.groupBy(by).applyInPandasWithState(take, out, f"{state}, waiting binary", "append", "EventTimeTimeout")
+
+
 VWAP_OUT = "symbol string, event_id long, vwap double, crossed int"
 VWAP_STATE = "day string, value double, size double, above int"
 
@@ -48,12 +91,11 @@ VWAP_STATE = "day string, value double, size double, above int"
 def session_vwap(ticks: DataFrame) -> DataFrame:
     """Volume-weighted price since the day began and where the price crosses it, tick by tick.
 
-    The state of a symbol is four numbers; a new day starts it anew. Ticks of one batch are taken in time order.
+    The state of a symbol is four numbers; a new day starts it anew.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        day, value, size, above = state.get if state.exists else ("", 0.0, 0.0, 0)
-        frame = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+    def step(symbol: str, frame: pd.DataFrame, before: tuple) -> tuple[tuple, list[tuple]]:
+        day, value, size, above = before
         rows = []
         for ts, event_id, price, n in zip(frame["ts"], frame["event_id"], frame["price"], frame["size"], strict=True):
             if (d := str(ts)[:10]) != day:
@@ -61,12 +103,11 @@ def session_vwap(ticks: DataFrame) -> DataFrame:
             value, size = value + price * n, size + n
             vwap = value / size if size else price
             side = 1 if price > vwap else -1 if price < vwap else 0
-            rows.append((key[0], event_id, vwap, side if side and above and side != above else 0))
+            rows.append((symbol, event_id, vwap, side if side and above and side != above else 0))
             above = side or above
-        state.update((day, value, size, above))
-        yield pd.DataFrame(rows, columns=["symbol", "event_id", "vwap", "crossed"])
+        return (day, value, size, above), rows
 
-    return ticks.groupBy("symbol").applyInPandasWithState(step, VWAP_OUT, VWAP_STATE, "append", "NoTimeout")
+    return in_time_order(ticks, "symbol", ["ts", "event_id"], ("", 0.0, 0.0, 0), step, VWAP_OUT, VWAP_STATE)
 
 
 PAPER_OUT = "symbol string, opened long, closed long, reason string, r double"
@@ -76,27 +117,26 @@ PAPER_STATE = "side int, opened long, entry double, risk double, half boolean"
 def paper_trades(bars: DataFrame) -> DataFrame:
     """Paper trades over a stream of bars with ``signal`` and ``risk``: stop first, half at one risk (stop to entry), rest at two."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        side, opened, entry, risk, half = state.get if state.exists else (0, 0, 0.0, 0.0, False)
+    def step(symbol: str, frame: pd.DataFrame, before: tuple) -> tuple[tuple, list[tuple]]:
+        side, opened, entry, risk, half = before
         rows = []
-        for b in pd.concat(list(frames)).sort_values("bar_no").itertuples():
+        for b in frame.itertuples():
             if side:
                 worst, best = (b.low, b.high) if side > 0 else (b.high, b.low)
                 stop = entry if half else entry - side * risk
                 if (worst - stop) * side <= 0:
-                    rows.append((key[0], opened, int(b.bar_no), "EVEN" if half else "STOP", 0.5 if half else -1.0))
+                    rows.append((symbol, opened, int(b.bar_no), "EVEN" if half else "STOP", 0.5 if half else -1.0))
                     side = 0
                 elif half and (best - entry) * side >= 2 * risk:
-                    rows.append((key[0], opened, int(b.bar_no), "TP2", 1.5))
+                    rows.append((symbol, opened, int(b.bar_no), "TP2", 1.5))
                     side = 0
                 elif (best - entry) * side >= risk:
                     half = True
             elif b.signal and b.risk > 0:
                 side, opened, entry, risk, half = int(b.signal), int(b.bar_no), float(b.close), float(b.risk), False
-        state.update((side, opened, entry, risk, half))
-        yield pd.DataFrame(rows, columns=["symbol", "opened", "closed", "reason", "r"])
+        return (side, opened, entry, risk, half), rows
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, PAPER_OUT, PAPER_STATE, "append", "NoTimeout")
+    return in_time_order(bars, "symbol", ["bar_no"], (0, 0, 0.0, 0.0, False), step, PAPER_OUT, PAPER_STATE)
 
 
 RANGE_OUT = "symbol string, bar_no long, signal int"
@@ -106,21 +146,20 @@ RANGE_STATE = "day string, seen int, hi double, lo double"
 def opening_range(bars: DataFrame, first: int = 3, loud: float = 100.0) -> DataFrame:
     """Breaks of the range of a day's ``first`` bars, on volume, bar by bar; the state of a symbol is a day's range."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        day, seen, hi, lo = state.get if state.exists else ("", 0, 0.0, 0.0)
+    def step(symbol: str, frame: pd.DataFrame, before: tuple) -> tuple[tuple, list[tuple]]:
+        day, seen, hi, lo = before
         rows = []
-        for b in pd.concat(list(frames)).sort_values("bar_no").itertuples():
+        for b in frame.itertuples():
             if (d := str(b.ts)[:10]) != day:
                 day, seen, hi, lo = d, 0, float("-inf"), float("inf")
             seen += 1
             if seen <= first:
                 hi, lo = max(hi, b.high), min(lo, b.low)
             else:
-                rows.append((key[0], b.bar_no, (b.volume > loud) * ((b.close > hi) - (b.close < lo))))
-        state.update((day, seen, hi, lo))
-        yield pd.DataFrame(rows, columns=["symbol", "bar_no", "signal"])
+                rows.append((symbol, b.bar_no, (b.volume > loud) * ((b.close > hi) - (b.close < lo))))
+        return (day, seen, hi, lo), rows
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, RANGE_OUT, RANGE_STATE, "append", "NoTimeout")
+    return in_time_order(bars, "symbol", ["bar_no"], ("", 0, 0.0, 0.0), step, RANGE_OUT, RANGE_STATE)
 
 
 ODD_OUT = "symbol string, bar_no long, streak long, stuck boolean"
@@ -130,18 +169,64 @@ ODD_STATE = "streak long, value double, same long"
 def anomalies(bars: DataFrame, losses: int = 3, still: int = 5) -> DataFrame:
     """Bars at the end of ``losses`` falling bars or more, or at which the close has not moved for ``still`` bars."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        streak, value, same = state.get if state.exists else (0, float("nan"), 0)
+    def step(symbol: str, frame: pd.DataFrame, before: tuple) -> tuple[tuple, list[tuple]]:
+        streak, value, same = before
         rows = []
-        for b in pd.concat(list(frames)).sort_values("bar_no").itertuples():
+        for b in frame.itertuples():
             streak = streak + 1 if b.close < b.open else 0
             value, same = b.close, same + 1 if b.close == value else 1
             if streak >= losses or same >= still:
-                rows.append((key[0], b.bar_no, streak, same >= still))
-        state.update((streak, value, same))
-        yield pd.DataFrame(rows, columns=["symbol", "bar_no", "streak", "stuck"])
+                rows.append((symbol, b.bar_no, streak, same >= still))
+        return (streak, value, same), rows
+
+    return in_time_order(bars, "symbol", ["bar_no"], (0, float("nan"), 0), step, ODD_OUT, ODD_STATE)
+
+
+class Expiry(StatefulProcessor):
+    """A decision waits for its outcome, for ``hours`` of event time at most; a timer of its own ends the wait."""
 
-    return bars.groupBy("symbol").applyInPandasWithState(step, ODD_OUT, ODD_STATE, "append", "NoTimeout")
+    def __init__(self, hours: int) -> None:
+        self.wait = hours * 3_600_000 + 1  # a decision of just this age is not stale yet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.timer = handle.getValueState("timer", "at long")  # there while the decision is open; -1: its outcome came first
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        placed, done = frame.loc[frame["placed"], "ms"], not frame["placed"].all()
+        known = self.timer.get()[0] if self.timer.exists() else None
+        if done and (known is not None or len(placed)):
+            if known is not None and known >= 0:
+                self.handle.deleteTimer(known)
+            self.timer.clear()
+            yield pd.DataFrame({"decision": [key[0]], "status": ["labelled"]})
+        elif done:
+            self.timer.update((-1,))
+        elif known == -1:
+            self.timer.clear()
+            yield pd.DataFrame({"decision": [key[0]], "status": ["labelled"]})
+        elif known is None:
+            at = int(placed.min()) + self.wait
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.timer.clear()
+        yield pd.DataFrame({"decision": [key[0]], "status": ["expired"]})
+
+
+def stale(decisions: DataFrame, outcomes: DataFrame, hours: int = 48, late: str = "0 seconds") -> DataFrame:
+    """``labelled`` or ``expired`` for each decision once its outcome, or the end of its time, has come.
+
+    Both streams have ``decision`` and ``ts``; what neither has happened to yet is only in the state.
+    """
+    mark = lambda df, placed: df.select("decision", "ts", F.unix_millis("ts").alias("ms"), F.lit(placed).alias("placed"))
+    both = mark(decisions, True).unionByName(mark(outcomes, False)).withWatermark("ts", late)
+    return both.groupBy("decision").transformWithStateInPandas(Expiry(hours), "decision long, status string", "append", "EventTime")
 
 
 def take_new(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, run: int) -> DataFrame:
