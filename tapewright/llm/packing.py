@@ -5,17 +5,19 @@ drops from the other parent every bin that holds one of their documents, and put
 bins by best fit, largest first. Mutation empties the worst bins of a solution in the same way.
 
 A population begins with best fit of the items largest first and of items in random orders, and its solutions are bred
-from there; the best solution that breeding leaves is the result. Breeding ends early once a generation's best solution
-needs no more bins than the lower bound (total length over capacity).
+from there. Breeding ends once a bred solution needs no more bins than the lower bound (total length over capacity), or after so
+many generations; the best bred solution is the result, and best fit's own only where none is as good (``bred`` of
+``solutions`` says which).
 
 How it is distributed: pieces are dealt at random into blocks of about ``block_rows``, and every block is evolved by
-``islands`` independent populations, each in a task of its own. After each epoch an island's best solution migrates to
-the next island of its block (a row per bin, joined by Spark); at the end the best solution of each block is taken.
+``islands`` independent populations, each in a task of its own and with a mutation rate of its own. After each epoch an
+island's best solution migrates to the next island of its block (a row per bin, joined by Spark), once at least; at the end the
+best solution of each block is taken.
 Random blocks of thousands of pieces resemble the whole, so no more than a bin a block can be lost against packing all
 at once; pieces as long as a sequence are sequences of their own.
 
 Defined results: lengths from 1 to the capacity are packed and others (null too) are an error; repeated rows are
-separate pieces; of solutions as good as each other that of the first epoch and island is taken; an empty table gives
+separate pieces; of solutions as good as each other bred ones go first, then that of the last epoch and first island; an empty table gives
 an empty result; columns named ``sequence_id`` or ``offset`` are replaced, others pass through whatever their names and
 however long their values.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.llm.common import join_counted, others, require, written
+from tapewright.llm.common import join_counted, others, require, tidy, written
 
 Bins = list[list[int]]
 KEEP = 0.98
@@ -81,8 +83,13 @@ def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
 
 
 def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Well-filled bins of ``a`` go into ``b``; b's bins that share an item with them go, their other items are refitted."""
-    full = [m for m in a if sum(sizes[i] for i in m) >= KEEP * capacity]
+    """Well-filled bins of ``a`` go into ``b``; b's bins that share an item with them go, their other items are refitted.
+
+    Well-filled are those without room; if there are none, those filled to ``KEEP``, or else the fullest quarter.
+    """
+    fill = [sum(sizes[i] for i in m) for m in a]
+    least = max([f for f in (capacity, KEEP * capacity) if f <= max(fill, default=0)], default=sorted(fill)[-(-3 * len(fill) // 4) - 1] if fill else 0)
+    full = [m for m, f in zip(a, fill, strict=True) if f >= least]
     injected = rng.sample(full, rng.randint(1, max(1, len(full) // 2))) if full else []
     taken = {i for m in injected for i in m}
     kept, loose = list(injected), []
@@ -111,36 +118,49 @@ def in_order(order: Sequence[int], sizes: list[int], capacity: int) -> Bins:
     return bins.bins()
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int) -> Bins:
-    """The best of the solutions bred from ``start`` (elites) and from best fit in random orders and largest first."""
+def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int, mutation: float = 0.5) -> tuple[Bins, bool]:
+    """The best solution, and whether it was bred; of solutions of as many bins a bred one goes before one that was not.
+
+    The population begins with ``start`` (elites, which were bred), best fit largest first, and best fit in random orders.
+    """
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
-    found = list(start) or [refit([], range(len(sizes)), sizes, capacity)]
+    found = [(b, True) for b in start] + [(refit([], range(len(sizes)), sizes, capacity), False)]
     while len(found) < population:
-        found.append(in_order(rng.sample(range(len(sizes)), len(sizes)), sizes, capacity))
-    pool = [(fitness(b, sizes, capacity), b) for b in found]
+        found.append((in_order(rng.sample(range(len(sizes)), len(sizes)), sizes, capacity), False))
+    pool = [(fitness(b, sizes, capacity), bred, b) for b, bred in found]
+    rank = lambda p: (p[0][0], p[1], p[0][1])
+    best = max((p for p in pool if p[1]), key=rank, default=None)
     for _ in range(generations):
-        (_, a), (_, b) = (max(rng.sample(pool, 2), key=lambda p: p[0]) for _ in range(2))  # two tournaments
-        child = crossover(a, b, sizes, capacity, rng)
-        if rng.random() < 0.5:
+        into = max(rng.sample(pool, 2), key=rank)[2]
+        child = crossover(rng.choice([p[2] for p in pool if p[2] is not into]), into, sizes, capacity, rng)
+        if rng.random() < mutation:
             child = mutate(child, sizes, capacity, rng)
-        pool.append((fitness(child, sizes, capacity), child))
-        pool.remove(min(pool, key=lambda p: p[0]))
-        if -max(p[0] for p in pool)[0] <= bound:
+        made = (fitness(child, sizes, capacity), True, child)
+        pool.append(made)
+        pool.remove(min(pool, key=rank))
+        best = made if best is None else max(best, made, key=rank)
+        if -best[0][0] <= bound:
             break
-    return max(pool, key=lambda p: p[0])[1]
+    _, bred, bins = max([*pool, *([best] if best else [])], key=rank)
+    return bins, bred
 
 
-def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 8192, islands: int = 3, epochs: int = 3, population: int = 8, generations: int = 30, seed: int = 0) -> DataFrame:
+def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 8192, islands: int = 3, epochs: int = 3, population: int = 6, generations: int = 30, seed: int = 0) -> DataFrame:
     """``df`` with ``sequence_id`` (long) and ``offset`` (long, gapless from 0 within a sequence)."""
     require(df, [length])
+    with tidy(df.sparkSession):
+        return _packed(df, length, capacity, block_rows, islands, epochs, population, generations, seed)
+
+
+def _packed(df: DataFrame, length: str, capacity: int, block_rows: int, islands: int, epochs: int, population: int, generations: int, seed: int) -> DataFrame:
     given = F.struct(*others(df, "sequence_id", "offset")).alias("given")
     valid = F.when(F.col(length).between(1, capacity), F.col(length).cast("int")).otherwise(F.raise_error(F.lit(f"a length is not between 1 and {capacity}")).cast("int"))
-    rows = written(df.select(given, valid.alias("_size"), F.monotonically_increasing_id().alias("_row")), "pieces")
+    rows = written(df.select(given, valid.alias("_size"), F.monotonically_increasing_id().alias("_row")), "pieces", keep=True)
     small = rows.where(F.col("_size") < capacity).select("_row", "_size")
     n_blocks = max(1, -(-small.count() // block_rows))
     items = small.withColumn("block", F.pmod(F.xxhash64("_row", F.lit(seed)), F.lit(n_blocks)))
-    out = "block long, island int, bin long, _row long, at int, n_bins int, bound int"
+    out = "block long, island int, bin long, _row long, at int, n_bins int, bound int, bred boolean"
 
     def island_of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         """One island of one block: its items, and its own and its neighbour's solution as far as there are any."""
@@ -152,7 +172,7 @@ def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 819
         for _, solution in frame[frame["source"] >= 0].groupby("source", sort=True):
             start.append([[index[int(r)] for r in members] for _, members in solution.sort_values(["bin", "at"]).groupby("bin", sort=True)["_row"]])
         first_seed = hash((seed, block, island, len(start)))  # of integers, so the same in every process
-        best = evolve(sizes, capacity, first_seed, start, population, generations)
+        best, bred = evolve(sizes, capacity, first_seed, start, population, generations, (island + 1) / (islands + 1))
         order = [i for m in best for i in sorted(m)]
         counts = [len(m) for m in best]
         return pd.DataFrame(
@@ -164,28 +184,32 @@ def pack(df: DataFrame, length: str, capacity: int = 2048, block_rows: int = 819
                 "at": np.concatenate([np.arange(c, dtype=np.int32) for c in counts]) if counts else np.zeros(0, np.int32),
                 "n_bins": np.full(len(order), len(best), np.int32),
                 "bound": np.full(len(order), -(-sum(sizes) // capacity), np.int32),
+                "bred": np.full(len(order), bred),
             }
         )
 
     none = lambda kind: F.lit(None).cast(kind)
     base = items.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "_row", "_size", F.lit(-1).alias("source"), none("long").alias("bin"), none("int").alias("at"))
     feed, solutions = base, None
-    for epoch in range(max(1, epochs)):
-        solved = written(feed.groupBy("block", "island").applyInPandas(island_of, out), "islands")
+    for epoch in range(max(2, epochs)):
+        solved = written(feed.groupBy("block", "island").applyInPandas(island_of, out), "islands", keep=True)
         numbered = solved.withColumn("epoch", F.lit(epoch))
         solutions = numbered if solutions is None else solutions.unionByName(numbered)
-        worse = solved.groupBy("block").agg(F.min("n_bins").alias("least"), F.min("bound").alias("bound")).where("least > bound").select("block")
-        worse = written(worse, "open-blocks")
+        if epoch + 1 >= epochs and epoch:
+            break
+        worse = solved.groupBy("block").agg(F.min("n_bins").alias("least"), F.min("bound").alias("bound"))
+        worse = written((worse.where("least > bound") if epoch else worse).select("block"), "open-blocks")
         n_worse = worse.count()
-        if not n_worse or epoch + 1 == epochs:
+        if not n_worse:
             break
         # elites stay, and a copy of each migrates to the next island of its block
         again = lambda df, n=n_worse, w=worse: join_counted(df, w, ["block"], "left_semi", n)
         to = F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(islands)))).alias("to")
         elite = again(solved).select("block", to, "_row", none("int").alias("_size"), F.col("island").alias("source"), "bin", "at").withColumnRenamed("to", "island")
         feed = again(base).unionByName(elite.select(*base.columns))
-    scores = solutions.groupBy("block").agg(F.min(F.struct("n_bins", "epoch", "island")).alias("best")).select("block", "best.epoch", "best.island")
-    chosen = join_counted(solutions, written(scores, "best-islands"), ["block", "epoch", "island"], "inner", n_blocks).select("bin", "_row")
+    scores = solutions.groupBy("block").agg(F.min(F.struct("n_bins", (~F.col("bred")).alias("plain"), (-F.col("epoch")).alias("turn"), "island")).alias("best"))
+    scores = written(scores.select("block", (-F.col("best.turn")).alias("epoch"), "best.island"), "best-islands", keep=True)
+    chosen = join_counted(solutions, scores, ["block", "epoch", "island"], "inner", n_blocks).select("bin", "_row")
     placed = rows.join(chosen, "_row", "left")
     before = W.partitionBy("sequence_id").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
     ids = placed.select("given", "_row", "_size", F.coalesce("bin", "_row").alias("sequence_id"))

@@ -234,29 +234,47 @@ def test_genetic_steps_keep_every_item_and_improve():
     rng = random.Random(0)
     sizes = [rng.choice([34, 35, 33, 50, 20, 47]) for _ in range(300)]
     first = packing.refit([], range(300), sizes, 100)
-    best = packing.evolve(sizes, 100, 1, [], 6, 40)
+    best, _ = packing.evolve(sizes, 100, 1, [], 6, 40)
     child = packing.crossover(first, best, sizes, 100, rng)
     for bins in (first, best, child, packing.mutate(best, sizes, 100, rng)):
         assert sorted(i for m in bins for i in m) == list(range(300)) and all(sum(sizes[i] for i in m) <= 100 for m in bins)
     assert len(best) <= len(first)
 
 
-def test_breeding_beats_best_fit_and_makes_the_result():
+def triples(rng, n):
+    """Sizes of which three fill a bin of 100 exactly."""
+    sizes = []
+    for _ in range(n):
+        a = rng.randint(26, 49)
+        b = rng.randint(26, max(26, 73 - a))
+        sizes += [a, b, 100 - a - b]
+    return rng.sample(sizes, len(sizes))
+
+
+def test_breeding_beats_best_fit():
     rng = random.Random(0)
     for seed in range(3):
-        sizes = []
-        for _ in range(40):  # three items fill a bin exactly
-            a = rng.randint(26, 49)
-            b = rng.randint(26, max(26, 73 - a))
-            sizes += [a, b, 100 - a - b]
-        rng.shuffle(sizes)
-        assert len(packing.evolve(sizes, 100, seed, [], 8, 60)) < len(packing.refit([], range(120), sizes, 100))
-    bred = []
-    keep, packing.crossover = packing.crossover, lambda *a: bred.append(1) or keep(*a)
-    try:  # also where best fit reaches the bound at once
-        assert len(packing.evolve([50] * 20, 100, 1, [], 8, 30)) == 10 and bred
-    finally:
-        packing.crossover = keep
+        sizes = triples(rng, 40)
+        assert len(packing.evolve(sizes, 100, seed, [], 8, 60)[0]) < len(packing.refit([], range(120), sizes, 100))
+    assert packing.evolve([50] * 20, 100, 1, [], 8, 30)[1]  # a bred solution, where best fit reaches the bound at once too
+
+
+def test_packing_is_bred_and_needs_no_more_bins_than_best_fit(spark):
+    def bins_of(sizes):
+        rows = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "item long, length int")
+        held = defaultdict(list)
+        for r in packing.pack(rows, "length", 100, block_rows=1000).collect():
+            held[r["sequence_id"]].append(r["item"])
+        assert sorted(i for m in held.values() for i in m) == list(range(len(sizes))) and all(sum(sizes[i] for i in m) <= 100 for m in held.values())
+        return held.values()
+
+    rng = random.Random(4)
+    hard = triples(rng, 60)
+    assert len(bins_of(hard)) < len(packing.refit([], range(180), hard, 100))
+    easy = [rng.randint(1, 60) for _ in range(600)]
+    plain = packing.refit([], range(600), easy, 100)
+    bred = bins_of(easy)
+    assert len(bred) <= len(plain) and {tuple(sorted(easy[i] for i in m)) for m in bred} != {tuple(sorted(easy[i] for i in m)) for m in plain}
 
 
 # --- 5 near-duplicates
