@@ -1,8 +1,8 @@
 """Line dedup by a deletion-neighbourhood join.
 
-A line goes if an equal line, or one within one edit (a character inserted, deleted or replaced) that is no more than
-``1 - similarity`` of the longer line, comes earlier in the corpus; lines are ordered by doc_id, then by their number in the text, then (texts of one doc_id) by the text's hash.
-Lines without a word always stay.
+A line goes if an equal line, or one within one edit (a character inserted, deleted or replaced), comes earlier in the
+corpus, however short the lines are; lines are ordered by doc_id, then by their number in the text, then (texts of one doc_id) by
+the text's hash. Lines without a word always stay. With ``least_chars`` only lines of which one is that long are compared for edits.
 
 How: equal lines are counted by hash. Two lines within one edit share the first or the second half (of the shorter
 one), so only lines of which another line shares a half can have a partner; the whole corpus is screened for that.
@@ -11,7 +11,7 @@ characters, so that all lines of a key are within one edit of each other, and wi
 for inserted ones. A key's earliest line is then compared with every other one, so groups are
 aggregated before they are joined and never paired out.
 
-Defined results: a null text stays null; doc_ids are of an integer type and a null one comes first; rows equal in doc_id and text count as one document
+Defined results: a null text stays null; doc_ids are of any type that has an order, and a null one comes first; rows equal in doc_id and text count as one document
 and keep the same lines, other texts of one (or no) doc_id are documents of their own; texts and lines of any length
 are taken whole; a text may become empty, its row stays; an empty table gives an empty result; other columns pass
 through, whatever their names, and those named ``n_lines`` or ``n_dropped`` are replaced.
@@ -19,7 +19,6 @@ through, whatever their names, and those named ``n_lines`` or ``n_dropped`` are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -179,18 +178,21 @@ def _without(text: pd.Series, places: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.95) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 1) -> DataFrame:
     """``df`` with the text's later lines taken out, and ``n_lines``, ``n_dropped`` (lines with a word; long)."""
     require(df, [key, text])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(key).alias("_d"), F.xxhash64(F.col(text)).alias("_t"), F.col(text).alias("_text"))
     kind = df.schema[key].dataType
     out = T.StructType([T.StructField("_d", kind), *(T.StructField(c, T.IntegerType() if c == "no" else T.LongType()) for c in ("_t", "no", "h1", "h2", "k1", "k2", "k3", "k4"))])
-    longest = math.ceil(1 / (1 - similarity) - 1e-9)  # characters of the longer line of which one edit is little enough
-    found = docs.where("_text is not null").mapInArrow(_occurrences(longest - 1), out)
-    # one number that orders occurrences by document (none first) and line; texts of one doc_id are told apart below
-    number = F.coalesce(F.col("_d").cast("decimal(20,0)"), F.lit(str(-(10**19))).cast("decimal(20,0)"))
-    lines = written(found.withColumn("at", (number * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)")), "line-places")
+    found = docs.where("_text is not null").mapInArrow(_occurrences(least_chars - 1), out)
+    # what orders occurrences by document (none first) and line, one number if it can be; texts of one doc_id are told apart below
+    if isinstance(kind, T.IntegralType):
+        number = F.coalesce(F.col("_d").cast("decimal(20,0)"), F.lit(str(-(10**19))).cast("decimal(20,0)"))
+        place = (number * F.lit(1 << 31).cast("decimal(10,0)") + F.col("no")).cast("decimal(38,0)")
+    else:
+        place = F.struct(F.col("_d").isNotNull().alias("known"), "_d", "no")
+    lines = written(found.withColumn("at", place), "line-places")
     halves = [f"k{i}" for i in range(1, 5)]
     distinct = lines.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.max(k).alias(k) for k in halves))
     distinct = written(distinct, "lines")
@@ -219,7 +221,7 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     pairs = written(members.withColumn("p", partner).where("p < rank").select("rank", "p").distinct(), "line-pairs")
     mine = pairs.join(texts.select("rank", "line"), "rank")
     both = mine.join(texts.select(F.col("rank").alias("p"), F.col("line").alias("earlier")), "p")
-    gone = both.where(F.greatest(F.length("line"), F.length("earlier")) >= longest).where(_within_one("line", "earlier")).select("rank").distinct()
+    gone = both.where(F.greatest(F.length("line"), F.length("earlier")) >= least_chars).where(_within_one("line", "earlier")).select("rank").distinct()
     gone = written(gone.join(texts.select("rank", "h1", "h2"), "rank").select("h1", "h2", F.lit(True).alias("near")), "near-gone")
 
     repeated = join_counted(distinct.select("h1", "h2", "first", "n"), gone, ["h1", "h2"], "left", gone.count()).where("n > 1 or near")

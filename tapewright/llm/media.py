@@ -86,8 +86,8 @@ def mux(payload: bytes) -> bytes:
     return ftyp + moov(first) + box(b"mdat", payload)
 
 
-def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Every box as (path, start of its body, end), outer boxes first; media data is passed over by its size alone."""
+def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """Every box as (path, its start, start of its body, end), outer boxes first; media data is passed over by its size alone."""
     open_boxes: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]
     while open_boxes:
         start, end, path = open_boxes.pop()
@@ -106,7 +106,7 @@ def walk(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
             raise ValueError("a box reaches beyond the file")
         open_boxes.append((stop, end, path))
         inner = (*path, kind)
-        yield inner, body, stop
+        yield inner, start, body, stop
         if kind in CONTAINERS and len(path) < DEEPEST:
             open_boxes.append((body, stop, inner))
 
@@ -138,9 +138,9 @@ class Track:
         tracks: list[dict[bytes, tuple[int, int]]] = []
         fragments: list[tuple[int, list[tuple[bytes, int, int]]]] = []
         defaults: dict[int, list[int]] = {}
-        for path, start, stop in walk(data):
+        for path, begin, start, stop in walk(data):
             if path == (b"moof",):
-                fragments.append((start - 8, []))
+                fragments.append((begin, []))
             elif path[:1] == (b"moof",) and fragments:
                 fragments[-1][1].append((path[-1], start, stop))
             elif path[-1] == b"trak":
@@ -237,6 +237,8 @@ class Track:
                         keys.append(n + np.flatnonzero(flag & 0x10000 == 0))  # not marked as a sample that needs others
                         n, ticks = n + count, ticks + int(dur.sum())
         self.sizes, self.offsets, self.keys = map(np.concatenate, (sizes, offsets, keys))
+        if int(self.sizes.sum()) > len(self.data):
+            raise ValueError("samples of more bytes than the file has")
         self.duration += ticks
 
     def info(self) -> dict:

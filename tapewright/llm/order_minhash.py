@@ -277,16 +277,16 @@ def numbered(df: DataFrame, twins: DataFrame | None) -> DataFrame:
     """``df`` (with h1 and h2) and a text's number ``u``: h1, but for the ``twins``, other texts of the same h1."""
     if twins is None:
         return df.withColumn("u", F.col("h1"))
-    return df.join(F.broadcast(twins), ["h1", "h2"], "left").withColumn("u", F.coalesce("twin", "h1")).drop("twin")
+    return join_counted(df, twins, ["h1", "h2"], "left", twins.count()).withColumn("u", F.coalesce("twin", "h1")).drop("twin")
 
 
 def twins_of(texts: DataFrame) -> DataFrame | None:
     """(h1, h2, twin) for all but the first text of each h1 that several texts (h1, h2) have; None if there are none."""
     several = texts.groupBy("h1").agg(F.min("h2").alias("first"), F.max("h2").alias("last")).where("first <> last")
     several = written(several, "twins")
-    if several.isEmpty():  # so few among even 10 billion texts that they can be sent to all
+    if not (n := several.count()):
         return None
-    return written(texts.join(F.broadcast(several), "h1").where("h2 <> first").select("h1", "h2", F.xxhash64("h1", "h2").alias("twin")), "twins")
+    return written(join_counted(texts, several, ["h1"], "inner", n).where("h2 <> first").select("h1", "h2", F.xxhash64("h1", "h2").alias("twin")), "twins")
 
 
 def renumbered(df: DataFrame, moved: DataFrame, n: int) -> DataFrame:

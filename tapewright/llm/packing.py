@@ -104,7 +104,7 @@ def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Ran
 def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """Empty the least filled bins and a few others."""
     order = sorted(bins, key=lambda m: sum(sizes[i] for i in m))
-    n = max(2, len(order) // 20)
+    n = min(len(order), max(2, len(order) // 20))
     gone = order[:n] + (rng.sample(order[n:], min(n, len(order) - n)))
     marked = {id(m) for m in gone}
     return refit([m for m in bins if id(m) not in marked], [i for m in gone for i in m], sizes, capacity)

@@ -244,11 +244,11 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return out.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
 
 
-def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how: object) -> DataFrame:
+def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", **how: object) -> DataFrame:
     """The rows of ``df`` that the base rules and the learned rules keep.
 
     The verdict goes through a one-element array: a filter on it is not moved below the statistics, where Catalyst
     would copy their expressions into it many times over.
     """
-    judged = judge(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct("*").alias("given")), labels.withColumnRenamed(key, "key"), "key", "text", **how)
+    judged = judge(df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct("*").alias("given")), labels.select(F.col(key).alias("key"), F.col(label).alias("label")), "key", "text", "label", **how)
     return judged.select("given", F.explode(F.array("kept")).alias("keep")).where("keep").select("given.*")

@@ -2,8 +2,9 @@
 
 A URL is a set of tokens (scheme, host labels, host, registered name, path segments, file ending, query keys). Tokens
 that the same labelled URLs have are one item, so that a long path that always comes whole is one item and not as many
-as make 2^k sets of one meaning; of each labelled URL the ``most_items`` items that say most about the label are mined,
-which bounds the sets that FP-growth can find. The item sets it finds with the label are counted again on all items of
+as make 2^k sets of one meaning. A URL of more than ``most_items`` items is mined in parts: its items, those that say most about
+the label first, are cut into runs, and every ``set_size`` runs are mined together, so that every set of up to ``set_size``
+items is found, and of larger ones those within so many runs; support is lowered by as much as parts outnumber URLs. The item sets it finds with the label are counted again on all items of
 all labelled URLs; those of enough confidence and support and better than each of their subsets are kept as rules. They are matched through an inverted index: tokens give the items
 of a URL, each rule is filed under its rarest item, and a candidate counts if the URL has (a token of) all its items.
 
@@ -68,8 +69,8 @@ def written_rule(host: Column, path: Column, rules: Rules) -> Column:
 EMPTY = "id long, items array<string>, filed_under string, confidence double, support double"
 
 
-def items_of(labelled: DataFrame, min_rows: int, most_items: int) -> tuple[DataFrame, DataFrame]:
-    """(item, token, n, n_bad) for the tokens of at least ``min_rows`` rows, and (items, bad) for each row, its best items.
+def items_of(labelled: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(item, token, n, n_bad) for the tokens of at least ``min_rows`` rows, and (bad, items) for each row, those that say most first.
 
     Rows are told apart by ``row``; the tokens of an item are in the same rows, and it is named after the least one.
     """
@@ -82,11 +83,24 @@ def items_of(labelled: DataFrame, min_rows: int, most_items: int) -> tuple[DataF
     said = F.abs(F.col("n_bad") - F.col("n") * F.col("total_bad") / F.col("total"))  # rows more, or fewer, than a token without meaning has
     worth = index.where("item = token").join(F.broadcast(total)).select("item", said.alias("said"))
     ranked = each.join(worth, each["token"] == worth["item"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct((-F.col("said")).alias("s"), "item"))).alias("ranked"))
-    best = labelled.select("row", "bad").join(ranked, "row", "left").select("bad", F.coalesce(F.slice(F.col("ranked.item"), 1, most_items), F.array().cast("array<string>")).alias("items"))
-    return index, best
+    items = F.coalesce(F.col("ranked.item"), F.array().cast("array<string>"))
+    return index, labelled.select("row", "bad").join(ranked, "row", "left").select("bad", items.alias("items"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_rows: int = 10, most_items: int = 10) -> tuple[DataFrame, DataFrame]:
+def parts_of(items: Column, most_items: int, set_size: int) -> Column:
+    """``items`` whole if they are ``most_items`` or fewer, else every ``set_size`` of the runs that they are cut into."""
+    run = max(1, most_items // set_size)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / run).cast("int")), lambda i: F.slice(items, i * run + 1, run))
+    above = lambda i: F.when(i + 1 < F.size(runs), F.sequence(i + 1, F.size(runs) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def chosen(i: Column, left: int) -> Column:
+        mine = F.get(runs, i)
+        return F.array(mine) if not left else F.flatten(F.transform(above(i), lambda j: F.transform(chosen(j, left - 1), lambda more: F.concat(mine, more))))
+
+    return F.when(F.size(items) <= most_items, F.array(items)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: chosen(i, set_size - 1))))
+
+
+def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.5, min_rows: int = 10, most_items: int = 12, set_size: int = 3) -> tuple[DataFrame, DataFrame]:
     """Rules (id, items, filed_under, confidence, support) from rows of ``tokens`` and ``bad`` (boolean), and (item, token)."""
     rows = written(labelled.select(F.monotonically_increasing_id().alias("row"), "tokens", "bad"), "labelled-urls")
     n = rows.count()
@@ -94,14 +108,17 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
     if not n:
         return spark.createDataFrame([], EMPTY), spark.createDataFrame([], "item string, token string")
     share = min(1.0, max(min_support, min_rows / n))
-    index, best = items_of(rows, math.ceil(share * n - 1e-9), most_items)
-    baskets = written(best.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(baskets)
+    index, each = items_of(rows, math.ceil(share * n - 1e-9))
+    parts = written(each, "items-of-urls").select("bad", F.explode(parts_of(F.col("items"), most_items, set_size)).alias("items"))
+    baskets = written(parts.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "baskets")
+    n_parts = baskets.count()
+    # parts of one URL repeat its sets, so then only support says what is frequent; confidence is counted on whole URLs below
+    model = FPGrowth(itemsCol="items", minSupport=share * n / n_parts, minConfidence=min_confidence if n_parts == n else 0.0).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD)).select(F.array_sort("antecedent").alias("items"))
     counted = index.where("item = token").select("item", "n")
     each = found.select("items", F.explode("items").alias("item")).join(counted, "item").groupBy("items").agg(F.min_by("item", F.struct("n", "item")).alias("filed_under"))
     proposed = written(each.select(F.xxhash64("items").alias("id"), "items", "filed_under"), "proposed-rules")
-    # rows were mined by their best items only, so what a rule covers is counted on all items of all rows
+    # what a rule covers is counted on all items of all rows
     covers = fitting(rows.select("row", "bad", "tokens"), ["row", "bad"], proposed, index).groupBy("id").agg(F.count("*").alias("rows"), F.count_if("bad").alias("bad"))
     sure = covers.select("id", (F.col("bad") / F.col("rows")).alias("confidence"), (F.col("bad") / n).alias("support"))
     exact = written(proposed.join(sure, "id").where((F.col("confidence") >= min_confidence) & (F.col("support") >= share - 1e-12)), "rules")

@@ -60,6 +60,7 @@ ARROW = pa.schema(
 PARTITION_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
 FIRST_READ = 16 << 10
+NEXT = b"\r\n\r\nWARC/"
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -139,6 +140,13 @@ class Plain:
     def next_start(self) -> int:
         return self.start + self.length
 
+    def seek_next(self, after: int) -> None:
+        """Length up to what looks like the next record, or the end of the file."""
+        at = after - 4
+        while (found := self.data.find(NEXT, at)) < 0 and self.more():
+            at = max(at, len(self.data) - FIRST_READ - len(NEXT))
+        self.length = len(self.data) if found < 0 else found + 4
+
 
 def _headers(record: Member | Plain) -> tuple[dict[str, str], int]:
     while (end := record.data.find(b"\r\n\r\n")) < 0:
@@ -184,8 +192,16 @@ def unchunked(body: bytes) -> bytes:
     return body
 
 
-def records(path: str, wanted: dict[str, set], payloads: bool) -> Iterator[dict]:
-    """Rows of one file; ``wanted`` maps columns to the values that pass."""
+def _length(headers: dict[str, str]) -> int | None:
+    said = next((v for k, v in headers.items() if k.lower() == "content-length"), "0")
+    return int(said) if said.isascii() and said.isdigit() and len(said) < 19 else None
+
+
+def records(path: str, wanted: dict[str, set], payloads: bool, lenient: bool = False) -> Iterator[dict]:
+    """Rows of one file; ``wanted`` maps columns to the values that pass.
+
+    A record whose length is no number ends the scan, or with ``lenient`` has neither length nor payload.
+    """
     fs, name = _open(path)
     size = fs.get_file_info(name).size
     with fs.open_input_file(name) as f:
@@ -194,7 +210,16 @@ def records(path: str, wanted: dict[str, set], payloads: bool) -> Iterator[dict]
             record = Member(f, at) if gz else Plain(f, at)
             headers, body = _headers(record)
             row = {c: None for c in ARROW.names} | {LOWER[k.lower()]: v for k, v in headers.items() if k.lower() in LOWER}
-            length = int(next((v for k, v in headers.items() if k.lower() == "content-length"), 0))
+            length = _length(headers)
+            if length is None:
+                if not lenient:
+                    raise ValueError(f"{path}: the record at {at} has a length that is no number")
+                if not gz:
+                    record.seek_next(body)
+                if all(row[c] in values for c, values in wanted.items()):
+                    yield row | {"headers": list(headers.items()), "file": path, "offset": at}
+                at = record.next_start()
+                continue
             if not gz:
                 record.length = body + length + 4
             if all(row[c] in values for c, values in wanted.items()):
@@ -225,6 +250,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payloads = options.get("payload", "true").lower() != "false"
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.lenient = options.get("bad_records", "fail").lower() == "null"
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -255,7 +281,7 @@ class WarcReader(DataSourceReader):
     def read(self, partition: FilesPartition) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for path in partition.files:
-            for row in records(path, self.wanted, self.payloads):
+            for row in records(path, self.wanted, self.payloads, self.lenient):
                 rows.append(row)
                 held += 512 + len(row["payload"] or b"")
                 if held >= BATCH_BYTES:

@@ -198,6 +198,31 @@ def test_long_paths_that_come_whole_are_one_item(spark):
     assert url_filter.judge(pages.unionByName(part.withColumn("page_id", F.lit(-1).cast("long"))), "url", RULES, labels, "page_id", "doc_id").where("page_id = -1").first()["verdict"] == "block"
 
 
+def test_rules_of_the_least_telling_items_of_long_urls(spark):
+    """Two segments block together; each URL has twelve items that say more, or as much, about the label."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        bad = i % 4 == 0
+        parts = [f"{'b' if bad else 'g'}{k}" if rng.random() < 0.6 else f"n{k}" for k in range(16)]
+        parts += ["left", "right"] if bad else [rng.choice(["left", "right"])]
+        rows.append((i, "http://h.org/" + "/".join(rng.sample(parts, len(parts))), int(not bad)))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    tokens = pages.join(labels, pages["page_id"] == labels["doc_id"]).select(url_filter.tokens_of(F.col("url"), url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))).alias("tokens"), (F.col("quality") == 0).alias("bad"))
+    rules, _ = url_filter.mine(tokens, min_support=0.2, min_confidence=0.95, most_items=9, set_size=3)
+    assert ["segment=left", "segment=right"] in [r["items"] for r in rules.collect()]
+
+
+def test_parts_hold_every_small_set(spark):
+    items = [f"i{k:02d}" for k in range(17)]
+    rows = spark.createDataFrame([(items,), (items[:5],), ([],)], "items array<string>")
+    long, short, none = (r[0] for r in rows.select(url_filter.parts_of(F.col("items"), 6, 3)).collect())
+    assert short == [items[:5]] and none == [[]]
+    for chosen in itertools.combinations(items, 3):
+        assert any(set(chosen) <= set(p) for p in long)
+
+
 # --- 4 packing
 
 
@@ -525,7 +550,7 @@ def plain_line_dedup(rows):
     gone = defaultdict(set)
     for k, (at, line) in enumerate(found):
         for _, other in found[:k]:
-            if line == other or (max(len(line), len(other)) >= 20 and within_one(line, other)):
+            if line == other or within_one(line, other):
                 gone[at[:2] + at[3:]].add(at[2])
                 break
     return {(d, t): None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[(d is not None, d or 0, signed_hash(t))]) for d, t in rows}
@@ -640,6 +665,41 @@ def test_fragments_and_the_video_track():
     assert media.Track(media.box(b"moov", sound, whole[at : at + size]) + bytes(8) + media.box(b"free", bytes(5000))).codec == "raw "
 
 
+def test_hostile_containers():
+    payload = bytes(range(64)) * 64
+    stored = media.mux(payload)
+    assert media.track(stored).read(stored) == payload
+    at = stored.index(b"stco") + 8
+    n = struct.unpack_from(">I", stored, at)[0]
+    first = stored[at + 4 : at + 8]
+    same = stored[: at + 4] + first * n + stored[at + 4 + 4 * n :]  # all chunks at one place: no more bytes than the file has
+    assert len(media.track(same).read(same)) == len(payload)
+    sizes = stored.index(b"stsz") + 8
+    huge = stored[:sizes] + struct.pack(">I", 1 << 20) + stored[sizes + 4 :]
+    assert media.track(huge) is None
+
+
+def test_string_ids_and_short_lines(spark):
+    rows = [("b", "1.\n2.\nab"), ("a", "ac\nabc\nlonger line"), (None, "2.\nqq"), ("b", "xyz")]
+    out = {(r["doc_id"], r["n_lines"]): r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert out == {(None, 2): "2.\nqq", ("a", 3): "ac\nlonger line", ("b", 3): "", ("b", 1): "xyz"}
+    kept = line_dedup.dedup_lines(spark.createDataFrame([(1, "1.\n2.")], DOCS), least_chars=20)
+    assert kept.first()["text"] == "1.\n2."
+
+
+def test_bad_length_of_a_record(spark, tmp_path):
+    good = lambda i, body: f"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    bad = good(2, "x" * 40_000).replace(b"Content-Length: 40000", b"Content-Length: many")
+    (tmp_path / "a.warc").write_bytes(good(1, "one") + bad + good(3, "three"))
+    (tmp_path / "b.warc").write_bytes(bad)
+    warc.register(spark)
+    with pytest.raises(Exception, match="no number"):
+        spark.read.format("warc").load(str(tmp_path)).count()
+    rows = spark.read.format("warc").option("bad_records", "null").load(str(tmp_path)).collect()
+    assert sorted((r["record_id"], r["payload"] is not None, r["content_length"]) for r in rows if r["record_id"] != "<urn:2>") == [("<urn:1>", True, 3), ("<urn:3>", True, 5)]
+    assert [(r["payload"], r["content_length"]) for r in rows if r["record_id"] == "<urn:2>"] == [(None, None)] * 2
+
+
 # --- 10 sharding
 
 
@@ -702,7 +762,7 @@ def test_extra_columns_of_any_name_pass_through(spark):
     """Every operator on a table full of names that its steps might use, with a row of nulls."""
     rows = [(i, f"some words of text number {i} go here\nand a second line\n{'x' * i}", f"http://h{i % 3}.org/p/{i}") for i in range(12)] + [(None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, link string").select("*", *(F.lit(k).alias(c) for k, c in enumerate(CLASHES)))
-    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int").select("*", *(F.lit(k).alias(c) for k, c in enumerate((*CLASHES, "text", "given", "n_words", "bad", "label"))))
     path = public_tokenizers.path("word_bpe_49k.json")
     turns = docs.withColumn("conv_id", F.col("doc_id") % 3).withColumn("turn", F.col("doc_id")).withColumn("role", F.lit("user"))
     made = {
