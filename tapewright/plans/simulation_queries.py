@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tapewright.functions.frames import highest, lowest, mean, prev, true_range
-from tapewright.operators import asof, simulate
+from tapewright.operators import account, asof, drawing, simulate
 from tapewright.operators import metrics as m
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TRADES, full, lag
 from tapewright.sources.market import IN_ORDER, bars, table, trades
+from tapewright.sources.staging import staged
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -133,6 +134,26 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("day", "n", F.round("equity", 4).alias("equity"), F.round((F.col("equity") - F.col("peak")) / F.col("peak") * 100, 6).alias("drawdown_pct"))
 
 
+SHARED = bracket_sql().replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1).replace("SELECT symbol, entry_bar, bar_no AS exit_bar, was AS direction, round(entry, 6) AS entry, round(x, 6) AS exit FROM sim WHERE x IS NOT NULL", """, tr AS (SELECT symbol, entry_bar, bar_no AS exit_bar, (x / entry - 1) * was AS ret FROM sim WHERE x IS NOT NULL), nu AS (SELECT symbol, row_number() OVER (ORDER BY symbol) AS i FROM (SELECT DISTINCT symbol FROM tr)),
+ev AS (SELECT a.ts AS step, i, NULL::DOUBLE AS ret FROM tr JOIN nu USING (symbol) JOIN bars a ON a.symbol = tr.symbol AND a.bar_no = entry_bar UNION ALL SELECT z.ts, i, ret FROM tr JOIN nu USING (symbol) JOIN bars z ON z.symbol = tr.symbol AND z.bar_no = exit_bar),
+st AS (SELECT step, row_number() OVER (ORDER BY step) AS k, coalesce(list({'i': i, 'ret': ret}) FILTER (ret IS NOT NULL), []) AS outs, coalesce(list(i) FILTER (ret IS NULL), []) AS ins FROM ev GROUP BY 1),
+fold AS (SELECT 0::BIGINT AS k, NULL::TIMESTAMP AS step, 100000::DOUBLE AS equity, list_transform(range((SELECT count(*) FROM nu)), lambda i: 0::DOUBLE) AS held, 100000::DOUBLE AS peak
+  UNION ALL SELECT k, step, e, list_transform(range(1, len(held) + 1), lambda i: CASE WHEN list_contains(ins, i) THEN 0.25 * e WHEN list_contains(list_transform(outs, lambda o: o.i), i) THEN 0.0 ELSE held[i] END), greatest(peak, e)
+  FROM (SELECT s.k, s.step, outs, ins, held, peak, equity + coalesce(list_sum(list_transform(outs, lambda o: o.ret * held[o.i])), 0) AS e FROM fold f JOIN st s ON s.k = f.k + 1))
+SELECT step, round(equity, 4) AS equity, len(list_filter(held, lambda x: x <> 0))::INTEGER AS n_open, round(equity / peak - 1, 6) AS drawdown FROM fold WHERE k > 0""")
+
+
+@query("j21_shared_equity", SHARED)
+def shared_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols' trades on one account, each sized by a quarter of what the account has when it is opened."""
+    b = staged(signals(spark, sf_dir, "ts"), "signals")
+    t = simulate.trades_of(b, ["symbol"], OHLC, simulate.bracket())
+    at = b.select("symbol", "bar_no", "ts")
+    t = t.join(at.select("symbol", F.col("bar_no").alias("entry_bar"), F.col("ts").alias("opened")), ["symbol", "entry_bar"]).join(at.select("symbol", F.col("bar_no").alias("exit_bar"), F.col("ts").alias("closed")), ["symbol", "exit_bar"])
+    t = t.select("symbol", "opened", "closed", ((F.col("exit") / F.col("entry") - 1) * F.col("direction")).alias("ret"))
+    return account.drawdown(account.shared_equity(t)).select("step", F.round("equity", 4).alias("equity"), "n_open", F.round("drawdown", 6).alias("drawdown"))
+
+
 @query("j08_challenge")
 def challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every strategy and regime as an account, a day a step."""
@@ -155,29 +176,37 @@ def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIMS = 40
-WHOLE_SIMS = 1000  # of the queries over the whole ledger
-DAILY = f"{TRADES}, d AS (SELECT strategy, exit_ts::DATE AS day, round(sum(pnl) / 500, 6) AS x FROM trades WHERE exit_ts >= TIMESTAMP '1998-01-01' AND exit_ts < TIMESTAMP '1998-03-01' GROUP BY ALL)"
-RESAMPLED = f"{DAILY}, k AS (SELECT strategy, x, row_number() OVER (PARTITION BY strategy ORDER BY x) - 1 AS at_no, count(*) OVER (PARTITION BY strategy) AS n FROM d), q AS (SELECT strategy, at_no AS step, n, unnest(range({SIMS})) AS sim FROM k), r AS (SELECT strategy, step, sim, ('0x' || substr(md5('7/' || strategy || '/' || sim || '/' || step), 1, 12))::BIGINT % n AS at_no FROM q), v AS (SELECT r.strategy, sim, step, x FROM r JOIN k USING (strategy, at_no))"
+WHOLE_SIMS = 1000  # of the queries named so
+DAILY = f"{TRADES}, d AS (SELECT strategy, exit_ts::DATE AS day, round(sum(pnl) / 500, 6) AS x FROM trades GROUP BY ALL)"
+
+
+def resampled_sql(sims: int) -> str:
+    return f"{DAILY}, k AS (SELECT strategy, x, row_number() OVER (PARTITION BY strategy ORDER BY x) - 1 AS at_no, count(*) OVER (PARTITION BY strategy) AS n FROM d), q AS (SELECT strategy, at_no AS step, n, unnest(range({sims})) AS sim FROM k), r AS (SELECT strategy, step, sim, ('0x' || substr(md5('7/' || strategy || '/' || sim || '/' || step), 1, 12))::BIGINT % n AS at_no FROM q), v AS (SELECT r.strategy, sim, step, x FROM r JOIN k USING (strategy, at_no))"
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return every_day(spark, sf_dir).where("day >= date '1998-01-01' and day < date '1998-03-01'")
+def bound_sql(sims: int) -> str:
+    return f"WITH {resampled_sql(sims)}, e AS (SELECT strategy, sim, step, sum((x * 1000000)::BIGINT) OVER (PARTITION BY strategy, sim ORDER BY step) AS eq FROM v), h AS (SELECT strategy, sim, min(step) FILTER (eq >= 3000000) AS hit, min(step) FILTER (eq <= -3000000) AS bust FROM e GROUP BY ALL) SELECT strategy, count(*) AS sims, count(*) FILTER (hit IS NOT NULL AND (bust IS NULL OR hit < bust)) AS passed, count(*) FILTER (bust IS NOT NULL AND (hit IS NULL OR bust < hit)) AS failed FROM h GROUP BY 1"
+
+
+def flips_sql(sims: int) -> str:
+    return f"WITH {DAILY}, k AS (SELECT strategy, day, (x * 1000000)::BIGINT AS x, row_number() OVER (PARTITION BY strategy ORDER BY day) AS i FROM d), p AS (SELECT strategy, i, x, unnest(range({sims})) AS sim FROM k), s AS (SELECT strategy, sim, sum(CASE WHEN ('0x' || substr(md5('11/' || strategy || '/' || sim || '/' || i), 1, 12))::BIGINT % 2 = 0 THEN x ELSE -x END) AS mu FROM p GROUP BY ALL), o AS (SELECT strategy, sum(x) AS observed, count(*) AS n FROM k GROUP BY 1) SELECT strategy, round(any_value(observed / n) / 1e6, 6) AS observed, round(avg((mu >= observed)::INT), 6) AS p FROM s JOIN o USING (strategy) GROUP BY 1"
+
+
+def difference_sql(sims: int) -> str:
+    return f"WITH {resampled_sql(sims)}, mu AS (SELECT strategy, sim, avg(x) AS mu FROM v GROUP BY ALL), j AS (SELECT a.sim, a.mu - b.mu AS diff FROM mu a JOIN mu b USING (sim) WHERE a.strategy = 'A' AND b.strategy = 'N') SELECT count(*) AS sims, round(avg((diff <= 0)::INT), 6) AS p, round(avg(diff), 6) AS mean FROM j"
 
 
 def every_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).groupBy("strategy", F.to_date("exit_ts").alias("day")).agg(F.round(F.sum("pnl") / 500, 6).alias("x"))
 
 
-@query(
-    "j10_bootstrap",
-    f"WITH {RESAMPLED}, e AS (SELECT strategy, sim, step, sum(x) OVER (PARTITION BY strategy, sim ORDER BY step) AS eq FROM v), h AS (SELECT strategy, sim, min(step) FILTER (eq >= 3) AS hit, min(step) FILTER (eq <= -3) AS bust FROM e GROUP BY ALL) SELECT strategy, count(*) AS sims, count(*) FILTER (hit IS NOT NULL AND (bust IS NULL OR hit < bust)) AS passed, count(*) FILTER (bust IS NOT NULL AND (hit IS NULL OR bust < hit)) AS failed FROM h GROUP BY 1",
-)
+@query("j10_bootstrap", bound_sql(SIMS))
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Resampled paths and which bound they reach first; the rest are incomplete."""
-    return first_bound(daily(spark, sf_dir), SIMS)
+    """Resampled paths of the whole ledger and which bound they reach first; the rest are incomplete."""
+    return first_bound(every_day(spark, sf_dir), SIMS)
 
 
-@query("j10_bootstrap_whole")
+@query("j10_bootstrap_whole", bound_sql(WHOLE_SIMS))
 def bootstrap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_bound(every_day(spark, sf_dir), WHOLE_SIMS)
 
@@ -185,41 +214,72 @@ def bootstrap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_bound(d: DataFrame, sims: int) -> DataFrame:
     v = simulate.resampled(d, "x", "strategy", sims)
     w = W.partitionBy("strategy", "sim").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    e = v.withColumn("eq", F.sum("x").over(w))
-    h = e.groupBy("strategy", "sim").agg(F.min(F.when(F.col("eq") >= 3, F.col("step"))).alias("hit"), F.min(F.when(F.col("eq") <= -3, F.col("step"))).alias("bust"))
+    e = v.withColumn("eq", F.sum(F.round(F.col("x") * 1_000_000).cast("long")).over(w))  # whole millionths, so that no bound is met by rounding
+    h = e.groupBy("strategy", "sim").agg(F.min(F.when(F.col("eq") >= 3_000_000, F.col("step"))).alias("hit"), F.min(F.when(F.col("eq") <= -3_000_000, F.col("step"))).alias("bust"))
     passed, failed = F.col("hit") < F.coalesce("bust", F.lit(1 << 40)), F.col("bust") < F.coalesce("hit", F.lit(1 << 40))
     return h.groupBy("strategy").agg(F.count("*").alias("sims"), F.count_if(passed).alias("passed"), F.count_if(failed).alias("failed"))
 
 
-@query(
-    "j11_permutation",
-    f"WITH {DAILY}, k AS (SELECT strategy, day, x, row_number() OVER (PARTITION BY strategy ORDER BY day) AS i FROM d), p AS (SELECT strategy, i, x, unnest(range({SIMS})) AS sim FROM k), s AS (SELECT strategy, sim, avg(CASE WHEN ('0x' || substr(md5('11/' || strategy || '/' || sim || '/' || i), 1, 12))::BIGINT % 2 = 0 THEN x ELSE -x END) AS mu FROM p GROUP BY ALL), o AS (SELECT strategy, avg(x) AS observed FROM d GROUP BY 1) SELECT strategy, round(any_value(observed), 6) AS observed, round(avg((mu >= observed)::INT), 6) AS p FROM s JOIN o USING (strategy) GROUP BY 1",
-)
+@query("j11_permutation", flips_sql(SIMS))
 def permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of sign-flipped series whose mean is at least the real one."""
-    return sign_flips(daily(spark, sf_dir), SIMS)
+    return sign_flips(every_day(spark, sf_dir), SIMS)
 
 
-@query("j11_permutation_whole")
+@query("j11_permutation_whole", flips_sql(WHOLE_SIMS))
 def permutation_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sign_flips(every_day(spark, sf_dir), WHOLE_SIMS)
 
 
 def sign_flips(d: DataFrame, sims: int) -> DataFrame:
-    d = d.withColumn("i", F.row_number().over(W.partitionBy("strategy").orderBy("day")))
+    d = d.withColumn("i", F.row_number().over(W.partitionBy("strategy").orderBy("day"))).withColumn("x", F.round(F.col("x") * 1_000_000).cast("long"))
     p = d.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
     flip = simulate.draw(F.lit(2), 11, F.col("strategy"), F.col("sim"), F.col("i")) == 0
-    s = p.groupBy("strategy", "sim").agg(F.avg(F.when(flip, F.col("x")).otherwise(-F.col("x"))).alias("mu"))
-    j = s.join(d.groupBy("strategy").agg(F.avg("x").alias("observed")), "strategy")
-    return j.groupBy("strategy").agg(F.round(F.first("observed"), 6).alias("observed"), F.round(F.avg((F.col("mu") >= F.col("observed")).cast("int")), 6).alias("p"))
+    s = p.groupBy("strategy", "sim").agg(F.sum(F.when(flip, F.col("x")).otherwise(-F.col("x"))).alias("mu"))
+    j = s.join(d.groupBy("strategy").agg(F.sum("x").alias("observed"), F.count("*").alias("n")), "strategy")
+    return j.groupBy("strategy").agg(F.round(F.any_value(F.col("observed") / F.col("n")) / 1_000_000, 6).alias("observed"), F.round(F.avg((F.col("mu") >= F.col("observed")).cast("int")), 6).alias("p"))
+
+
+ENTRIES = f"""{SIGNALS.replace("SELECT symbol, bar_no, open, high, low, close, coalesce(atr, 0) AS atr,", "SELECT symbol, bar_no, open, high, low, close, coalesce(atr, 0) AS atr, CASE WHEN fast >= slow THEN 1 ELSE -1 END AS side,")},
+f AS (SELECT *, count(*) OVER n AS ahead, list(close) OVER n AS nx FROM sig WINDOW n AS (PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
+g AS (SELECT *, list_transform(nx, lambda x: (x - close) * side / atr) AS rs FROM f WHERE atr > 0 AND ahead = 10),
+h AS (SELECT *, list_position(list_transform(rs, lambda x: x >= 1.5), true) AS up, list_position(list_transform(rs, lambda x: x <= -1), true) AS down FROM g),
+el AS (SELECT symbol, bar_no, signal, round(CASE WHEN coalesce(up, 0) > 0 AND (coalesce(down, 0) = 0 OR up <= down) THEN 1.5 WHEN coalesce(down, 0) > 0 THEN -1 ELSE rs[10] END, 6) AS r FROM h)"""
 
 
-@query("j12_bootstrap_difference", f"WITH {RESAMPLED}, mu AS (SELECT strategy, sim, avg(x) AS mu FROM v GROUP BY ALL), j AS (SELECT a.sim, a.mu - b.mu AS diff FROM mu a JOIN mu b USING (sim) WHERE a.strategy = 'A' AND b.strategy = 'N') SELECT count(*) AS sims, round(avg((diff <= 0)::INT), 6) AS p, round(avg(diff), 6) AS mean FROM j")
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bar at which a trade could be entered, with the result in ranges of one in the direction of the trend, by the same exits as all."""
+    w = W.partitionBy("symbol").orderBy("bar_no").rowsBetween(1, 10)
+    b = signals(spark, sf_dir, "fast", "slow").withColumn("side", F.when(F.col("fast") >= F.col("slow"), 1).otherwise(-1))
+    f = b.withColumn("nx", F.collect_list("close").over(w)).where((F.col("atr") > 0) & (F.size("nx") == 10))
+    rs = F.transform("nx", lambda x: (x - F.col("close")) * F.col("side") / F.col("atr"))
+    up, down = F.array_position(F.transform("rs", lambda x: x >= 1.5), F.lit(True)), F.array_position(F.transform("rs", lambda x: x <= -1), F.lit(True))
+    f = f.withColumn("rs", rs).withColumn("up", up).withColumn("down", down)
+    r = F.when((F.col("up") > 0) & ((F.col("down") == 0) | (F.col("up") <= F.col("down"))), 1.5).when(F.col("down") > 0, -1.0).otherwise(F.col("rs")[9])
+    return f.select("symbol", "bar_no", "signal", F.round(r, 6).alias("r"))
+
+
+@query(
+    "j11_random_entries",
+    f"WITH {ENTRIES}, s AS (SELECT symbol, count(*) AS k, sum((r * 1000000)::BIGINT) AS real FROM el WHERE signal <> 0 GROUP BY 1), p AS (SELECT symbol, bar_no, (r * 1000000)::BIGINT AS x, unnest(range({WHOLE_SIMS})) AS sim FROM el WHERE symbol IN (SELECT symbol FROM s)), u AS (SELECT symbol, sim, x, row_number() OVER (PARTITION BY symbol, sim ORDER BY ('0x' || substr(md5('11/' || symbol || '/' || sim || '/' || bar_no), 1, 12))::BIGINT % {drawing.RANGE}, bar_no) AS place FROM p), d AS (SELECT symbol, sim, sum(x) AS total FROM u JOIN s USING (symbol) WHERE place <= k GROUP BY ALL), o AS (SELECT sim, sum(total) AS total FROM d GROUP BY 1), t AS (SELECT sum(real) AS real, sum(k) AS n FROM s) SELECT any_value(n)::BIGINT AS n, round(any_value(real / n) / 1e6, 6) AS observed, round(avg(total / n) / 1e6, 6) AS null_mean, round(avg((total >= real)::INT), 6) AS p FROM o, t",
+)
+def random_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether signals pick better bars than chance: as many bars of each symbol, drawn a thousand times from all that could be entered."""
+    e = staged(entries(spark, sf_dir).withColumn("x", F.round(F.col("r") * 1_000_000)), "entries")
+    fired = e.where("signal <> 0").groupBy("symbol").agg(F.count("*").alias("k"), F.sum("x").alias("real"))
+    drawn = drawing.sums_of_draws(e, fired, "x", "bar_no", "symbol", WHOLE_SIMS).groupBy("sim").agg(F.sum("total").alias("total"))
+    real = fired.agg(F.sum("real").alias("real"), F.sum("k").alias("n"))
+    each = drawn.join(F.broadcast(real))
+    mean = lambda c: F.round(c / F.any_value("n") / 1_000_000, 6)
+    return each.agg(F.any_value("n").alias("n"), mean(F.any_value("real")).alias("observed"), mean(F.avg("total")).alias("null_mean"), F.round(F.avg((F.col("total") >= F.col("real")).cast("int")), 6).alias("p"))
+
+
+@query("j12_bootstrap_difference", difference_sql(SIMS))
 def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return difference(daily(spark, sf_dir), SIMS)
+    return difference(every_day(spark, sf_dir), SIMS)
 
 
-@query("j12_bootstrap_difference_whole")
+@query("j12_bootstrap_difference_whole", difference_sql(WHOLE_SIMS))
 def bootstrap_difference_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difference(every_day(spark, sf_dir), WHOLE_SIMS)
 
