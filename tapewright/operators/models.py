@@ -143,48 +143,3 @@ def clean_correlation(corr: np.ndarray, q: float) -> np.ndarray:
     out = v @ np.diag(w) @ v.T
     d = np.sqrt(np.diag(out))
     return out / np.outer(d, d)
-
-
-def two_states(first: int = 60, every: int = 60, rounds: int = 15):
-    """``wild`` (1 or 0): the likelier of two Gaussian states with memory, given the values so far.
-
-    The model is fitted anew each ``every`` values, to the values before; no value is used before it is known.
-    """
-
-    def fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s = x.std() or 1e-9
-        sd, stay = np.array([0.5 * s, 1.5 * s]), np.array([[0.9, 0.1], [0.1, 0.9]])
-        for _ in range(rounds):
-            like = np.exp(-0.5 * (x[:, None] / sd) ** 2) / sd + 1e-300
-            fwd, back = np.empty_like(like), np.ones_like(like)
-            p = np.array([0.5, 0.5])
-            for i, q in enumerate(like):
-                p = (p @ stay if i else p) * q
-                p /= p.sum()
-                fwd[i] = p
-            for i in range(len(x) - 2, -1, -1):
-                b = stay @ (like[i + 1] * back[i + 1])
-                back[i] = b / b.sum()
-            g = fwd * back
-            g /= g.sum(1, keepdims=True)
-            pair = fwd[:-1, :, None] * stay * (like[1:] * back[1:])[:, None, :]
-            pair = (pair / pair.sum((1, 2), keepdims=True)).sum(0) + 1e-6
-            stay = pair / pair.sum(1, keepdims=True)
-            sd = np.sqrt((g * x[:, None] ** 2).sum(0) / (g.sum(0) + 1e-12)) + 1e-9
-        return sd, stay
-
-    def kernel(a: Arrays) -> Arrays:
-        x = np.nan_to_num(a["ret"] if "ret" in a else a["close"])
-        out = np.full(len(x), np.nan)
-        p = np.array([0.5, 0.5])
-        for i in range(first, len(x)):
-            if (i - first) % every == 0:
-                sd, stay = fit(x[:i])
-                order = np.argsort(sd)
-                sd, stay, p = sd[order], stay[np.ix_(order, order)], p[order] if i > first else p
-            p = (p @ stay) * (np.exp(-0.5 * (x[i] / sd) ** 2) / sd + 1e-300)
-            p /= p.sum()
-            out[i] = float(p[1] > 0.5)
-        return {"wild": out}
-
-    return kernel

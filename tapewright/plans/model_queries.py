@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import scans
 from tapewright.functions.frames import prev
 from tapewright.operators import metrics as m
-from tapewright.operators import models, scalars
+from tapewright.operators import boosting, components, models, scalars
 from tapewright.plans.gate_queries import features
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TRADES, lag
@@ -157,6 +157,24 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(model.explainedVariance.toArray())], "component int, share double")
 
 
+@query("k11_independent_components")
+def independent_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector along four independent directions of variance 1."""
+    v = vectors(spark, sf_dir)
+    mean, matrix = components.independent(v, "v", 4)
+    names = [f"c{i}" for i in range(1, len(matrix) + 1)]
+    return components.projected(v, "v", mean, matrix, names).select("vec_id", *(F.round(c, 4).alias(c) for c in names))
+
+
+@query("k11_mahalanobis")
+def mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each vector is from the mean of all, in units of their spread, and whether it is among the far hundredth of a normal law."""
+    d = components.distances(vectors(spark, sf_dir), "v", "distance")
+    size = F.size("v")
+    far = size * (1 - F.lit(2) / (9 * size) + 2.326 * F.sqrt(F.lit(2) / (9 * size))) ** 3  # the 99th percentile of chi-square, by cube roots
+    return d.select("vec_id", F.round("distance", 5).alias("distance"), (F.col("distance") ** 2 > far).alias("far"))
+
+
 @query(
     "k06_strict_auc",
     f"WITH {TRADES}, s AS (SELECT regime, quantity, count(*) FILTER (pnl > 0) AS p, count(*) FILTER (NOT pnl > 0) AS q FROM trades GROUP BY ALL), b AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY regime ORDER BY quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s) SELECT regime, round(sum(p * below) / nullif(sum(p) * sum(q), 0), 6) AS auc FROM b GROUP BY 1",
@@ -226,6 +244,28 @@ def quantile_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("strategy", "tau", F.round("intercept", 4).alias("intercept"), F.round("slope", 5).alias("slope"))
 
 
+def ledger_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades with what is known at their start, as numbers; ``late`` are those of the last fifth of days."""
+    t = trades(spark, sf_dir)
+    t = t.select("strategy", (F.col("pnl") / 1000).alias("result"), "quantity", "notional", F.datediff("exit_ts", "entry_ts").alias("days"), F.substring("regime", 1, 1).cast("int").alias("priority"), F.month("entry_ts").alias("month"), F.ascii("strategy").alias("kind"), F.unix_date(F.to_date("exit_ts")).alias("day"))
+    ends = t.agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    return t.join(F.broadcast(ends)).withColumn("late", F.col("day") > F.col("a") + 0.8 * (F.col("z") - F.col("a"))).drop("a", "z", "day")
+
+
+BOOSTED = ["quantity", "notional", "days", "priority", "month", "kind"]
+
+
+@query("k14_boosted_quantiles")
+def boosted_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of the result by boosted trees fitted to earlier trades: their loss on later ones, and the share below each."""
+    rows = staged(ledger_features(spark, sf_dir), "ledger-features")
+    taus = [0.1, 0.5, 0.9]
+    model = boosting.fit_quantiles(rows.where("not late"), BOOSTED, "result", taus, rounds=8)
+    later = model.predict(rows.where("late"))
+    made = F.explode(F.array(*(F.struct(F.lit(t).alias("tau"), boosting.pinball(F.col("result"), F.col(boosting.name(t)), t).alias("loss"), (F.col("result") <= F.col(boosting.name(t))).alias("below")) for t in taus))).alias("x")
+    return later.select("strategy", made).groupBy("strategy", "x.tau").agg(F.count("*").alias("n"), F.round(F.avg("x.loss"), 6).alias("loss"), F.round(F.avg(F.col("x.below").cast("int")), 6).alias("below"))
+
+
 TAUS = [0.3, 0.5, 0.7]
 
 

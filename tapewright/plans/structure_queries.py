@@ -423,16 +423,39 @@ def hurst_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("symbol").agg(F.count("*").alias("lags"), F.round(F.regr_slope("y", "x"), 5).alias("hurst"))
 
 
+REGIME_BARS = 252  # a fixed value of the survey's F55
+
+
 @query("f55_two_regimes")
 def two_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calm or wild, by a two-state model of returns fitted to the bars so far, and bars since the state changed."""
-    from tapewright.operators.models import two_states
-
-    b = bars(spark, sf_dir).withColumn("ret", F.log(C() / prev("close")))
-    out = scan(b, two_states(), ["wild"], ["ret"])
-    out = out.withColumn("change", F.when(~F.col("wild").eqNullSafe(prev("wild")), F.col("bar_no")))
-    since = F.col("bar_no") - F.last("change", ignorenulls=True).over(BY().rowsBetween(W.unboundedPreceding, 0))
-    return out.select("symbol", "bar_no", F.col("wild").cast("int").alias("wild"), since.alias("since"))
+    """Calm or wild at each bar, by a two-state model of return, its size and the change of volume fitted to the bars up to it."""
+    from tapewright.operators import rolling
+
+    r = F.coalesce(C() / prev("close") - 1, F.lit(0.0))
+    b = bars(spark, sf_dir).withColumn("ret", r).withColumn("size", F.abs(r)).withColumn("push", F.coalesce(F.log(V() + 1) - F.log(prev("volume") + 1), F.lit(0.0)))
+    out = rolling.by_windows(b, ["ret", "size", "push"], ["state", "leave"], REGIME_BARS, rolling.regimes(), first=61)
+    out = out.withColumn("wild", F.col("state").cast("int"))
+    out = out.withColumn("change", F.when(F.col("wild") != prev("wild"), F.col("bar_no")))
+    since = F.col("bar_no") - F.coalesce(F.last("change", ignorenulls=True).over(BY().rowsBetween(W.unboundedPreceding, 0)), F.min("bar_no").over(W.partitionBy("symbol")))
+    return out.select("symbol", "bar_no", "wild", F.round("leave", 4).alias("leave"), since.alias("since"))
+
+
+@query("f57_logistic_fit")
+def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of the logistic curve through the last 20 sums of directed volume, carried on where none fits, and the sums' acceleration."""
+    from tapewright.operators import rolling
+
+    few = lambda agg, x: F.when(F.count(x).over(last(20)) >= 20, agg(x).over(last(20)))
+    mean = few(F.avg, "volume")
+    above = F.when(mean > 0, V() / mean - 1).otherwise(0.0) * F.coalesce(F.signum(C() - prev("close")), F.lit(0.0))
+    b = bars(spark, sf_dir).withColumn("push", F.when(mean.isNotNull(), above)).withColumn("total", few(F.sum, "push"))
+    velocity = b.withColumn("velocity", F.col("total") - prev("total", 5))
+    accel = velocity.select("symbol", "bar_no", (F.col("velocity") - prev("velocity", 5)).alias("acceleration"))
+    fitted = rolling.by_windows(b, ["total"], ["rate", "r2"], 20, rolling.growth())
+    # the curve at a bar is that of the bars before it
+    out = accel.join(fitted.withColumn("bar_no", F.col("bar_no") + 1), ["symbol", "bar_no"], "left")
+    held = F.last("rate", ignorenulls=True).over(BY().rowsBetween(W.unboundedPreceding, 0))
+    return out.select("symbol", "bar_no", F.round(held, 5).alias("rate"), F.round("r2", 5).alias("r2"), F.round("acceleration", 5).alias("acceleration"))
 
 
 @query("f57_logistic_growth", f"WITH {BARS}, v AS (SELECT symbol, bar_no, sum(volume) OVER (PARTITION BY symbol ORDER BY bar_no ROWS UNBOUNDED PRECEDING) AS s, volume FROM bars), g AS (SELECT symbol, bar_no, volume / nullif(s, 0) AS y, s FROM v) SELECT symbol, bar_no, round(CASE WHEN bar_no >= 60 THEN regr_intercept(y, s) {w(60)} END, 6) AS rate FROM g")

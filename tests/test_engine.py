@@ -202,10 +202,3 @@ def test_results_do_not_depend_on_partitions(spark):
         assert a == b
         assert f(df.where("false")).isEmpty()
         assert f(df.where("bar_no = 1")).count() == 2
-
-
-def test_two_states_tell_calm_from_wild():
-    rng = np.random.default_rng(5)
-    sizes = np.repeat([0.01, 0.1, 0.01, 0.1], 100)
-    out = models.two_states()({"ret": rng.normal(0, sizes)})["wild"]
-    assert np.isnan(out[:60]).all() and (out[220:] == (sizes[220:] > 0.05)).mean() > 0.85
