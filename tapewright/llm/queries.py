@@ -221,7 +221,7 @@ ORACLE_SQL: dict[str, str] = {
     m AS (SELECT no, doc_id, 100 - 75 + (75 * len(ws) * nn) // ll AS m FROM d, c), p AS (SELECT t.no, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS part FROM t JOIN f USING (term) JOIN m USING (no)),
     r AS (SELECT item_id, no, doc_id, sum(times * part)::BIGINT AS score FROM qt JOIN p USING (term) GROUP BY ALL), k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0)
     SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
-    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations),
+    "op13_prefix_trie": f"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations),
     g AS (SELECT conv_id, count(*) AS n, list(sha256(length(role) || ':' || role || text) ORDER BY pos) AS ds, list(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) ORDER BY pos) AS ns FROM t GROUP BY 1),
     h AS (SELECT *, {CRC32} % 4 AS h FROM g), r AS (SELECT a.conv_id, coalesce(b.ds[1:a.h], []) || a.ds[a.h + 1:] AS ds, coalesce(b.ns[1:a.h], []) || a.ns[a.h + 1:] AS ns FROM h a LEFT JOIN h b ON b.conv_id = a.conv_id - a.conv_id % 20),
     p AS (SELECT conv_id, len(ds) AS size, unnest(list_transform(range(0, len(ds) + 1), lambda d: {{'d': d, 'k': sha256(array_to_string(ds[1:d], ',')), 'up': sha256(array_to_string(ds[1:d - 1], ',')), 'n': coalesce(ns[d], 0)}})) AS x FROM r),

@@ -787,7 +787,7 @@ def test_extra_columns_of_any_name_pass_through(spark):
     assert {len(out.columns) - len(docs.columns) for name, out in made.items() if name in ("keep", "near")} == {0}
 
 
-SQL_QUERIES = ["op2_warc", "base_statistics", "written_url_rules", "media_payloads", "shard_balance"]
+SQL_QUERIES = ["op2_warc", "op11_winnowing", "op12_bit_sliced", "op13_prefix_trie", "base_statistics", "written_url_rules", "media_payloads", "shard_balance"]
 
 
 @pytest.mark.parametrize("name", SQL_QUERIES)

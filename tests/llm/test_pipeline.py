@@ -21,14 +21,18 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     base = [sentence(rng, 80) for _ in range(8)]
     shared = sentence(rng, 12)
     texts = [*base, *(changed(rng, b, 1) for b in base[:4]), base[0], base[5] + "\n" + shared, base[6] + "\n" + shared + "\n" + shared[:-1] + "Q", "too short", None, "", "spam ham " * 60, sentence(rng, 3000)]
+    loud = [" ".join(w + "!!" for w in sentence(rng, 40).upper().split()) for _ in range(60)]  # what the labels call bad
+    calm = [sentence(rng, 40) for _ in range(60)]
+    texts += loud + calm
+    labels = [(i, int(t in calm), 0) for i, t in enumerate(texts) if t in loud[::2] or t in calm[::2]]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").selectExpr("*", "1 AS key", "2 AS text", "3 AS n_words").write.parquet(f"{tmp_path}/labels.parquet")
 
     left = []
     for i, t in enumerate(texts):
         n, _, _, _, repeat = plain_statistics(t)
-        if n >= 10 and 100 * repeat <= 20 * n:
+        if n >= 10 and 100 * repeat <= 20 * n and t not in loud:
             left.append((i, t))
     lines = plain_line_dedup(left)
     left = [(i, lines[i, t]) for i, t in left]
