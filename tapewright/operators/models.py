@@ -28,6 +28,7 @@ def neighbours(rows: DataFrame, queries: DataFrame, distance: Column, k: int, ke
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
         pairs = rows.join(F.broadcast(part)).where(F.col(key) != F.col(query)).withColumn("distance", distance)
+        pairs = pairs.drop(*(f.name for f in pairs.schema if isinstance(f.dataType, T.ArrayType)))  # vectors have done their part before pairs are ranked
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy("distance", key))).where(F.col("rank") <= k)
         best = ranked if best is None else best.unionByName(ranked)
     return best
@@ -106,6 +107,31 @@ def kalman(q: float = 0.01, r: float = 1.0):
     return kernel
 
 
+#: Fixed values of the survey's K7: how each observed return mixes the three factors, in the order of symbols.
+MIX_ORDER = ["click", "error", "purchase", "signup", "view"]
+MIX = np.array([[0.6, 0.3, 0.1], [0.5, 0.4, 0.1], [0.5, 0.3, 0.2], [-0.4, 0.4, 0.2], [0.4, 0.3, 0.3]])
+
+
+def factors(stay: float = 0.95, q: float = 0.01, r: float = 0.10):
+    """Three factors that fade by ``stay`` a step behind five noisy returns; missing returns are left out of a step."""
+
+    def kernel(a: Arrays) -> Arrays:
+        y = np.stack([a[c] for c in MIX_ORDER], 1)
+        x, p = np.zeros(3), np.eye(3)
+        out = np.full((len(y), 4), np.nan)
+        for i, row in enumerate(y):
+            x, p = stay * x, stay**2 * p + q * np.eye(3)
+            known = ~np.isnan(row)
+            if known.any():
+                h = MIX[known]
+                gain = np.linalg.solve(h @ p @ h.T + r * np.eye(len(h)), h @ p).T
+                x, p = x + gain @ (row[known] - h @ x), (np.eye(3) - gain @ h) @ p
+            out[i] = *x, np.trace(p)
+        return dict(zip(("trend", "volatility", "momentum", "doubt"), out.T, strict=True))
+
+    return kernel
+
+
 def riccati(a: np.ndarray, b: np.ndarray, q: np.ndarray, r: np.ndarray, rounds: int = 500, tolerance: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
     """Cost matrix and gain of the regulator, by iteration."""
     p = q

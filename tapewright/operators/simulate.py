@@ -12,9 +12,12 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapewright.sources.staging import staged
+
 TRADES = "entry_bar long, exit_bar long, direction int, entry double, exit double, reason string"
 
 
@@ -94,14 +97,17 @@ def bracket_grid(o, h, lo, c, signal, atr, stop_mult: np.ndarray, reward: np.nda
 def sweep(df: DataFrame, params: DataFrame, block: int = 500, key: str = "symbol", order: str = "bar_no") -> DataFrame:
     """(key, *params, n, wins, total, gain, loss) for each series under each (stop_mult, reward) that made a trade.
 
+    ``params`` holds for all series, or with a column ``key`` each row for its own.
+
     A task gets a series once (its bars as arrays, bounded by its calendar) and a block of parameters, so bars are not
     multiplied by parameters; series and blocks are dealt over all tasks.
     """
     inputs = ["open", "high", "low", "close", "signal", "atr"]
     series = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *inputs))).alias("s")).select(key, *(F.transform(F.col(f"s.{x}"), lambda v: v.cast("double")).alias(x) for x in inputs))
     n = params.count()
-    blocks = params.withColumn("_b", F.pmod(F.xxhash64("stop_mult", "reward"), F.lit(-(-n // block)))).groupBy("_b").agg(F.collect_list("stop_mult").alias("stop_mult"), F.collect_list("reward").alias("reward"))
-    work = series.join(F.broadcast(blocks)).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_b")  # the blocks: n rows of two numbers, counted
+    own = [key] if key in params.columns else []
+    blocks = params.withColumn("_b", F.pmod(F.xxhash64("stop_mult", "reward"), F.lit(max(1, -(-n // block))))).groupBy(*own, "_b").agg(F.collect_list("stop_mult").alias("stop_mult"), F.collect_list("reward").alias("reward"))
+    work = (series.join(F.broadcast(blocks), own) if own else series.join(F.broadcast(blocks))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "_b")  # the blocks: n rows of two numbers, counted
     out = T.StructType([df.schema[key], *(T.StructField(c, T.DoubleType()) for c in ("stop_mult", "reward", *GRID_STATS))])
 
     def run(frames):
@@ -114,6 +120,25 @@ def sweep(df: DataFrame, params: DataFrame, block: int = 500, key: str = "symbol
     return work.drop("_b").mapInPandas(run, out).where("n > 0")
 
 
+def halving(df: DataFrame, params: DataFrame, parts: Sequence[float], keep: float = 1 / 4, key: str = "symbol", order: str = "bar_no") -> DataFrame:
+    """(key, stop_mult, reward, total): the best parameters of each series, by successive halving.
+
+    Every rung runs what is left on a larger part of each series' bars and keeps the share ``keep`` of the best totals, the last one the best
+    alone (ties: the smaller stop, then the smaller reward). Between rungs there is one small table, the survivors.
+    """
+    ends = df.groupBy(key).agg(F.max(order).alias("_end"))
+    series = df.join(ends, key)
+    left = params if key in params.columns else ends.select(key).join(F.broadcast(params.select("stop_mult", "reward")))  # as many rows as backtests
+    left = staged(left, "candidates")
+    for i, part in enumerate(parts):
+        made = sweep(series.where(F.col(order) <= F.col("_end") * part).drop("_end"), left.select(key, "stop_mult", "reward"), key=key, order=order)
+        made = left.select(key, "stop_mult", "reward").join(made.select(key, "stop_mult", "reward", "total"), [key, "stop_mult", "reward"], "left").na.fill(0.0, ["total"])  # without a trade
+        ranked = made.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc("total"), "stop_mult", "reward"))).withColumn("_n", F.count("*").over(W.partitionBy(key)))
+        last = i + 1 == len(parts)
+        left = staged(ranked.where("_r = 1" if last else F.col("_r") <= F.ceil(F.col("_n") * keep)).select(key, "stop_mult", "reward", "total"), "survivors")
+    return left
+
+
 def close_based(hold: int = 12, stop_pct: float = 0.3, stop_mult: float = 2.0, trail_mult: float = 3.0) -> Callable[..., list[tuple]]:
     """Entry at the open after a signal; exits on closes: stop, trailing stop, reversed signal, then time."""
 
@@ -144,6 +169,93 @@ def close_based(hold: int = 12, stop_pct: float = 0.3, stop_mult: float = 2.0, t
     return kernel
 
 
+UNIT_TRADES = "entry_bar long, exit_bar long, direction int, units int, entry double, exit double, reason string"
+
+
+def trend_units(strict: bool = False, hold: int = 30, stop: float = 2.0, trail: float = 3.0, step: float = 0.5, most: int = 4, refresh: int = 20) -> Callable[..., list[tuple]]:
+    """Units added as a trade goes its way: entry at the open after a signal, exits on closes, a mean entry over all units.
+
+    Exits in order: stop, trailing stop, (``strict``) a close under the lowest of the ten before, for long trades, a signal against the trade, a
+    signal for it after ``refresh`` bars, (not strict) ``hold`` bars. After the last but one and the one before it the signal is taken at
+    once, after others the exit bar takes none. A unit is added for every ``step`` ranges gained since the last, up to ``most``.
+    Distances are parts of the price, in ranges of the bar that sets them. ``open1`` is the next bar's open, ``low10`` the lowest of the ten closes before.
+    """
+
+    def kernel(bar, open1, c, signal, atr, low10, **_) -> list[tuple]:
+        out, side = [], 0
+        for i in range(len(bar)):
+            now, part = int(signal[i]), max(atr[i] / c[i], 1e-6)
+            why = None
+            if side:
+                held += 1
+                best = max(best * side, c[i] * side) * side
+                if (c[i] - floor) * side <= 0:
+                    why = "stop"
+                elif (c[i] - best * (1 - side * trail * part)) * side <= 0:
+                    why = "trail"
+                elif strict and side > 0 and c[i] < low10[i]:
+                    why = "donchian"
+                elif now * side < 0:
+                    why = "reversal"
+                elif now == side and held >= refresh:
+                    why = "refresh"
+                elif not strict and held >= hold:
+                    why = "time"
+                if why:
+                    out.append((int(bar[start]), int(bar[i]), side, units, entry, c[i], why))
+                    side = 0
+                elif units < most and (c[i] - mark) * side >= 0:
+                    entry, units = (entry * units + c[i]) / (units + 1), units + 1
+                    mark = c[i] * (1 + side * step * part)
+            if not side and now and why in (None, "reversal", "refresh") and not np.isnan(open1[i]):
+                side, start, held, units, entry, best = now, i + 1, 0, 1, open1[i], open1[i]
+                floor, mark = entry * (1 - side * stop * part), entry * (1 + side * step * part)
+        return out
+
+    return kernel
+
+
+def two_targets(first: float = 1.0, second: float = 2.5, shock: float = 2.5, trail: float = 1.5, wait: int = 24, pain: float = 2.5) -> Callable[..., list[tuple]]:
+    """A watched trade with two targets, risking one range from the signal's close.
+
+    Exits in order: the stop; a bar wider than ``shock`` ranges whose close lies more than a range against the trade; the second target, once the
+    first is met in the same bar or before. The first target moves the stop to the entry, and from then on it trails the best price by ``trail``
+    ranges. Last, after ``wait`` bars, a trade that was ever ``pain`` ranges under water and never gained as much as it still risks.
+    """
+
+    def kernel(bar, h, lo, c, signal, atr, **_) -> list[tuple]:
+        out, side = [], 0
+        for i in range(len(bar)):
+            if side:
+                worst, good = (lo[i], h[i]) if side > 0 else (h[i], lo[i])
+                best = max(best * side, good * side) * side
+                gain, loss = max(gain, (good - entry) * side), max(loss, (entry - worst) * side)
+                at = why = None
+                if (worst - stop) * side <= 0:
+                    at, why = stop, "stop"
+                elif h[i] - lo[i] > shock * atr[i] and (entry - c[i]) * side > atr[i]:
+                    at, why = c[i], "shock"
+                else:
+                    if (good - entry) * side >= first * risk:
+                        met, stop = True, max(stop * side, entry * side) * side
+                        if (good - entry) * side >= second * risk:
+                            at, why = entry + side * second * risk, "target"
+                    if why is None:
+                        if met:
+                            stop = max(stop * side, (best - side * trail * atr[i]) * side) * side
+                        if i - start > wait and loss > pain * atr[i] and gain < abs(entry - stop):
+                            at, why = c[i], "stagnation"
+                if why:
+                    out.append((int(bar[start]), int(bar[i]), side, entry, at, why))
+                    side = 0
+            elif signal[i] and atr[i] > 0:
+                side, start, entry, risk, met = int(signal[i]), i, c[i], atr[i], False
+                stop, best, gain, loss = entry - side * risk, entry, 0.0, 0.0
+        return out
+
+    return kernel
+
+
 def limit_entry(wait: int = 6, cooldown: int = 4, first: float = 1.0, second: float = 2.0) -> Callable[..., list[tuple]]:
     """A limit order at half a range below (above) the signal's close that may fill for ``wait`` bars.
 

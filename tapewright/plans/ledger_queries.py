@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tapewright.operators import blocks
+from tapewright.operators import blocks, order_stats
 from tapewright.operators import metrics as m
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TICKS, TRADES
@@ -205,9 +205,9 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e20_percentiles", f"WITH {TRADES} SELECT system, round(quantile_cont(r, 0.05), 6) AS p05, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.95), 6) AS p95 FROM trades GROUP BY 1")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact interpolated percentiles: values are counted before they meet, so a group costs its different values."""
-    t = trades(spark, sf_dir)
-    return t.groupBy("system").agg(*(F.round(F.percentile("r", p), 6).alias(f"p{round(100 * p):02d}") for p in (0.05, 0.5, 0.95)))
+    """Exact interpolated percentiles, by counts of ranges."""
+    q = order_stats.quantiles(trades(spark, sf_dir), "r", ["system"], {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return q.select("system", *(F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")))
 
 
 @query(
@@ -311,7 +311,8 @@ THRESHOLDS = [i / 10 for i in range(1, 10)]
 def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decile and side that tell wins from losses best, if better than half; one pass counts all of them."""
     t = trades(spark, sf_dir)
-    cuts = t.agg(F.percentile("quantity", F.array(*map(F.lit, THRESHOLDS))).alias("q"))
+    names = {f"t{i}": x for i, x in enumerate(THRESHOLDS)}
+    cuts = order_stats.quantiles(t, "quantity", [], names).select(F.array(*names).alias("q"))
     counted = t.join(F.broadcast(cuts)).groupBy("q").agg(
         F.count("*").alias("n"),
         *(F.count_if((F.col("quantity") > F.get("q", F.lit(i))) == (F.col("pnl") > 0)).alias(f"gt{i}") for i in range(9)),
@@ -385,8 +386,8 @@ def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades(spark, sf_dir)
     c = t.groupBy("strategy", "regime").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(W.partitionBy("strategy").orderBy(F.desc("n"), "regime")))
     top = c.where("k <= 3").groupBy("strategy").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "regime"))), lambda x: x["regime"]).alias("top3"))
-    q = t.groupBy("strategy").agg(F.round(F.percentile("quantity", 0.33), 6).alias("p33"), F.round(F.percentile("quantity", 0.66), 6).alias("p66"))
-    return top.join(q, "strategy")
+    q = order_stats.quantiles(t, "quantity", ["strategy"], {"p33": 0.33, "p66": 0.66})
+    return top.join(q.select("strategy", F.round("p33", 6).alias("p33"), F.round("p66", 6).alias("p66")), "strategy")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import scans
 from tapewright.functions.frames import prev
 from tapewright.operators import metrics as m
-from tapewright.operators import boosting, components, models, scalars
+from tapewright.operators import boosting, components, models, order_stats, policy, scalars
 from tapewright.plans.gate_queries import features
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TRADES, lag
@@ -189,6 +189,18 @@ def kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "bar_no", *(F.round(c, 6).alias(c) for c in ("level", "slope", "gain")))
 
 
+@query("k07_factor_filter")
+def factor_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend, volatility and momentum behind the returns of all symbols, hour by hour, and the regime that they say."""
+    r = bars(spark, sf_dir).withColumn("ret", F.col("close") / prev("close") - 1).where("ret is not null")
+    wide = r.groupBy("ts").pivot("symbol", models.MIX_ORDER).agg(F.first("ret"))
+    series = wide.select(F.lit("all").alias("symbol"), F.unix_micros(F.col("ts").cast("timestamp")).alias("bar_no"), *(F.col(c).alias(c) for c in models.MIX_ORDER))
+    out = scans.scan(series, models.factors(), ["trend", "volatility", "momentum", "doubt"], models.MIX_ORDER)
+    z = {c: F.round(c, 6).alias(c) for c in ("trend", "volatility", "momentum", "doubt")}
+    regime = F.when(F.abs("trend") >= F.greatest(F.abs("volatility"), F.abs("momentum")), F.when(F.col("trend") > 0, "UP").otherwise("DOWN")).when(F.abs("volatility") >= F.abs("momentum"), "VOLATILE").otherwise("MOMENTUM")
+    return out.select(F.timestamp_micros("bar_no").cast("timestamp_ntz").alias("ts"), *z.values(), regime.alias("regime"))
+
+
 @query("k08_regulator")
 def regulator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain of a regulator whose dynamics are estimated from the bars (four sums by symbol)."""
@@ -234,7 +246,8 @@ def decay_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("k14_outcome_quantiles", f"WITH {TRADES} SELECT strategy, regime, round(quantile_cont(r, 0.1), 6) AS p10, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.9), 6) AS p90 FROM trades GROUP BY ALL")
 def outcome_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional quantiles by cell."""
-    return trades(spark, sf_dir).groupBy("strategy", "regime").agg(*(F.round(F.percentile("r", p / 100), 6).alias(f"p{p}") for p in (10, 50, 90)))
+    q = order_stats.quantiles(trades(spark, sf_dir), "r", ["strategy", "regime"], {f"p{p}": p / 100 for p in (10, 50, 90)})
+    return q.select("strategy", "regime", *(F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")))
 
 
 @query("k14_quantile_regression")
@@ -276,6 +289,32 @@ def threshold_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tau").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("total"), F.round(m.win_rate("r"), 6).alias("win_rate"))
 
 
+@query("k10_policy_gradient")
+def policy_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy over size, price and holding time learned from the ledger: where it began, where it went, and the mean result there."""
+    t = ledger_features(spark, sf_dir)
+    ends = t.agg(*(F.min(c).alias(f"{c}_a") for c in policy.ACTIONS), *(F.max(c).alias(f"{c}_z") for c in policy.ACTIONS))
+    scaled = t.join(F.broadcast(ends)).select(*((F.col(c) - F.col(f"{c}_a")) / F.nullif(F.col(f"{c}_z") - F.col(f"{c}_a"), F.lit(0)).cast("double") for c in policy.ACTIONS), F.col("result")).toDF(*policy.ACTIONS, "reward")
+    steps = policy.learn(scaled, policy.ACTIONS, "reward")
+    first, last = steps[0], steps[-1]
+    rows = [(c, round(first.mean[i], 6), round(last.mean[i], 6), round(first.value, 6), round(last.value, 6)) for i, c in enumerate(policy.ACTIONS)]
+    return spark.createDataFrame(rows, "action string, start double, learned double, start_value double, learned_value double")
+
+
+@query("k17_halving")
+def halving_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of 2,000 pairs of parameters for each symbol by successive halving, with its result on the bars kept back."""
+    from tapewright.operators import simulate
+    from tapewright.plans.simulation_queries import signals
+
+    rows = staged(signals(spark, sf_dir), "signals")
+    pairs = spark.range(2000).select((0.5 + F.floor(F.col("id") / 50) * 0.0625).alias("stop_mult"), (1.0 + (F.col("id") % 50) * 0.0625).alias("reward"))
+    best = simulate.halving(rows, pairs, [0.1, 0.2, 0.6])
+    later = rows.join(rows.groupBy("symbol").agg((F.max("bar_no") * 0.6).alias("cut")), "symbol").where("bar_no > cut").drop("cut")
+    out = simulate.sweep(later, best.select("symbol", "stop_mult", "reward")).select("symbol", "stop_mult", "reward", F.col("total").alias("later"))
+    return best.join(out, ["symbol", "stop_mult", "reward"], "left").select("symbol", "stop_mult", "reward", F.round("total", 6).alias("fit"), F.round(F.coalesce("later", F.lit(0.0)), 6).alias("later"))
+
+
 @query("k17_grid_search")
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best parameters on the first three fifths of the bars, with their result on the rest."""

@@ -107,6 +107,50 @@ sim AS (SELECT symbol, bar_no, 0 AS pos, CAST(0 AS BIGINT) AS opened, CAST(0 AS
 SELECT symbol, opened, bar_no AS closed, reason, CASE reason WHEN 'STOP' THEN -1.0 WHEN 'EVEN' THEN 0.5 ELSE 1.5 END AS r FROM sim WHERE reason IS NOT NULL"""
 
 
+def units_sql(strict: bool, refresh: int) -> str:
+    """Trades of growing units by recursion over bars."""
+    return f"""WITH RECURSIVE {SIGNALS}, sg AS (SELECT symbol, bar_no, close, signal, greatest(atr / close, 1e-6) AS a, lead(open) OVER (PARTITION BY symbol ORDER BY bar_no) AS o1, {full('min', 'close', 10, 1)} AS low10 FROM sig),
+sim AS (SELECT DISTINCT symbol, 0::BIGINT AS bar_no, 0 AS side, 0::BIGINT AS start, 0 AS held, 0 AS units, 0::DOUBLE AS entry, 0::DOUBLE AS floor_, 0::DOUBLE AS best, 0::DOUBLE AS mark, NULL::VARCHAR AS why, 0 AS was, 0::BIGINT AS from_bar, 0 AS n, 0::DOUBLE AS mean, 0::DOUBLE AS x FROM sg
+  UNION ALL SELECT symbol, bar_no, CASE WHEN opens THEN signal WHEN why IS NULL THEN side ELSE 0 END, CASE WHEN opens THEN bar_no + 1 ELSE start END, CASE WHEN opens THEN 0 ELSE held1 END, CASE WHEN opens THEN 1 WHEN grows THEN units + 1 ELSE units END,
+    CASE WHEN opens THEN o1 WHEN grows THEN (entry * units + close) / (units + 1) ELSE entry END, CASE WHEN opens THEN o1 * (1 - signal * 2.0 * a) ELSE floor_ END, CASE WHEN opens THEN o1 ELSE best1 END, CASE WHEN opens THEN o1 * (1 + signal * 0.5 * a) WHEN grows THEN close * (1 + side * 0.5 * a) ELSE mark END, why, side, start, units, entry, close
+  FROM (SELECT *, signal <> 0 AND o1 IS NOT NULL AND (side = 0 OR coalesce(why IN ('reversal', 'refresh'), false)) AS opens, side <> 0 AND why IS NULL AND units < 4 AND (close - mark) * side >= 0 AS grows
+    FROM (SELECT *, CASE WHEN side = 0 THEN NULL WHEN (close - floor_) * side <= 0 THEN 'stop' WHEN (close - best1 * (1 - side * 3.0 * a)) * side <= 0 THEN 'trail' WHEN {str(strict).lower()} AND side > 0 AND close < low10 THEN 'donchian' WHEN signal * side < 0 THEN 'reversal' WHEN signal = side AND held1 >= {refresh} THEN 'refresh' WHEN NOT {str(strict).lower()} AND held1 >= 30 THEN 'time' END AS why
+      FROM (SELECT b.*, p.side, p.start, p.held + 1 AS held1, p.units, p.entry, p.floor_, p.mark, CASE WHEN p.side > 0 THEN greatest(p.best, b.close) ELSE least(p.best, b.close) END AS best1 FROM sim p JOIN sg b ON b.symbol = p.symbol AND b.bar_no = p.bar_no + 1))))
+SELECT symbol, from_bar AS entry_bar, bar_no AS exit_bar, was AS direction, n AS units, round(mean, 6) AS entry, round(x, 6) AS exit, why AS reason FROM sim WHERE why IS NOT NULL"""
+
+
+def unit_trades(spark: SparkSession, sf_dir: str, strict: bool, refresh: int) -> DataFrame:
+    b = signals(spark, sf_dir).withColumn("open1", F.lead("open").over(W.partitionBy("symbol").orderBy("bar_no"))).withColumn("low10", lowest("close", 10, 1))
+    return rounded(simulate.trades_of(b, ["symbol"], ["open1", "close", "signal", "atr", "low10"], simulate.trend_units(strict=strict, refresh=refresh), simulate.UNIT_TRADES))
+
+
+@query("j03_donchian_units", units_sql(True, 20))
+def donchian_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades that add units and end at a close under the lowest of ten."""
+    return unit_trades(spark, sf_dir, True, 20)
+
+
+@query("j03_refreshed_units", units_sql(False, 5))
+def refreshed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades that add units, end after a time, and are renewed by a signal of their own direction after five bars."""
+    return unit_trades(spark, sf_dir, False, 5)
+
+
+TWO_TARGETS = f"""WITH RECURSIVE {SIGNALS},
+sim AS (SELECT DISTINCT symbol, 0::BIGINT AS bar_no, 0 AS side, 0::BIGINT AS start, 0::DOUBLE AS entry, 0::DOUBLE AS risk, 0::DOUBLE AS stop, 0::DOUBLE AS best, 0::DOUBLE AS gain, 0::DOUBLE AS loss, false AS met, NULL::VARCHAR AS why, 0::DOUBLE AS x, 0 AS was FROM sig
+  UNION ALL SELECT symbol, bar_no, CASE WHEN opens THEN signal WHEN why IS NULL THEN side ELSE 0 END, CASE WHEN opens THEN bar_no ELSE start END, CASE WHEN opens THEN close ELSE entry END, CASE WHEN opens THEN atr ELSE risk END, CASE WHEN opens THEN close - signal * atr ELSE stop2 END, CASE WHEN opens THEN close ELSE best1 END, CASE WHEN opens THEN 0 ELSE gain1 END, CASE WHEN opens THEN 0 ELSE loss1 END, NOT opens AND met1, why, CASE why WHEN 'stop' THEN stop WHEN 'target' THEN entry + side * 2.5 * risk ELSE close END, side
+  FROM (SELECT *, side = 0 AND signal <> 0 AND atr > 0 AS opens, CASE WHEN side = 0 THEN NULL WHEN (worst - stop) * side <= 0 THEN 'stop' WHEN high - low > 2.5 * atr AND (entry - close) * side > atr THEN 'shock' WHEN (good - entry) * side >= risk AND (good - entry) * side >= 2.5 * risk THEN 'target' WHEN bar_no - start > 24 AND loss1 > 2.5 * atr AND gain1 < abs(entry - stop2) THEN 'stagnation' END AS why
+    FROM (SELECT *, CASE WHEN met1 THEN greatest(stop1 * side, (best1 - side * 1.5 * atr) * side) * side ELSE stop1 END AS stop2
+      FROM (SELECT *, met OR (good - entry) * side >= risk AS met1, CASE WHEN (good - entry) * side >= risk THEN greatest(stop * side, entry * side) * side ELSE stop END AS stop1, greatest(best * side, good * side) * side AS best1, greatest(gain, (good - entry) * side) AS gain1, greatest(loss, (entry - worst) * side) AS loss1
+        FROM (SELECT b.*, p.side, p.start, p.entry, p.risk, p.stop, p.best, p.gain, p.loss, p.met, CASE WHEN p.side > 0 THEN b.low ELSE b.high END AS worst, CASE WHEN p.side > 0 THEN b.high ELSE b.low END AS good FROM sim p JOIN sig b ON b.symbol = p.symbol AND b.bar_no = p.bar_no + 1)))))
+SELECT symbol, start AS entry_bar, bar_no AS exit_bar, was AS direction, round(entry, 6) AS entry, round(x, 6) AS exit, why AS reason FROM sim WHERE why IS NOT NULL"""
+
+
+@query("j20_two_targets", TWO_TARGETS)
+def two_target_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(simulate.trades_of(signals(spark, sf_dir), ["symbol"], ["high", "low", "close", "signal", "atr"], simulate.two_targets()))
+
+
 @query("j03_close_based", CLOSE_BASED)
 def close_based(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulate.trades_of(signals(spark, sf_dir), ["symbol"], ["open", "close", "signal", "atr"], simulate.close_based()))

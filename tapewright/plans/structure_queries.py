@@ -12,13 +12,14 @@ from tapewright.functions.columns import C, H, L, O, V
 from tapewright.functions.frames import BY, ahead, last, mean, prev, ratio, std, true_range
 from tapewright.functions.scans import scan
 from tapewright.operators import metrics as m
-from tapewright.operators import plugins
+from tapewright.operators import blocks, plugins
 from tapewright.plans import indicator_queries as iq
 from tapewright.plans.join_queries import MACRO_AT, with_macro
 from tapewright.plans.registry import Registry
 from tapewright.plans.simulation_queries import bracket_sql
 from tapewright.plans.sql import BARS, TRADES, full, lag, w
 from tapewright.sources.market import IN_ORDER, bars, trades
+from tapewright.sources.staging import staged
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -76,6 +77,7 @@ def directional_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("symbol", "bar_no", F.round(100 * ratio(F.abs(p - n), p + n), 6).alias("dx"))
 
 
+RUN = 10_000  # trades in one window
 PANEL = ["f02_sma", "f08_rsi", "f23_stochastic", "f25_williams", "f26_roc", "f28_bollinger", "f31_donchian", "f37_cmf", "f38_gap_state", "f39_break_of_structure", "f42_sweep_state", "f64_range_position"]
 PANEL_SQL = "panel AS (" + " UNION ALL ".join(f"SELECT '{n}' AS indicator, symbol, bar_no, state FROM ({iq.SQL[n]})" for n in PANEL) + ")"
 
@@ -111,17 +113,22 @@ FWD = f"{BARS}, fwd AS (SELECT symbol, bar_no, lead(close, 5) {OVER} / close - 1
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a, b, c, side, early, y) for every three indicators that agree on a bar; sets of a dozen, so a bounded number of each.
+    """(a, b, c, side, early, n, hits) for every three indicators that agree, by the part of the series.
 
-    ``early`` are the first three fifths of a symbol's bars.
+    ``early`` are the first three fifths of a symbol's bars. Bars of the same signs are counted together first, so that threes are made
+    of the patterns that occur and not of every bar.
     """
     early = F.col("bar_no") * 10 <= F.max("bar_no").over(W.partitionBy("symbol")) * 6
     p = panel(spark, sf_dir).withColumn("y", ahead("close", 5) / C() - 1).withColumn("early", early).where("y is not null")
-    agreed = lambda side: F.array_compact(F.array(*(F.when(F.col(n) * side > 0, F.lit(n)) for n in sorted(PANEL))))
-    p = p.select("y", "early", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), agreed(k).alias("s")) for k in (1, -1)))).alias("of")).select("y", "early", "of.side", "of.s")
+    signs = F.array(*(F.coalesce(F.signum(n), F.lit(0.0)).cast("int") for n in sorted(PANEL)))
+    kinds = p.groupBy(signs.alias("signs"), "early").agg(F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("up"), F.count_if(F.col("y") < 0).alias("down"))
+    names = F.array(*map(F.lit, sorted(PANEL)))
+    agreed = lambda side: F.filter(F.zip_with(names, "signs", lambda n, s: F.when(s == side, n)), lambda n: n.isNotNull())
+    sides = F.array(*(F.struct(F.lit(k).alias("side"), agreed(k).alias("s"), F.col(hits).alias("hits")) for k, hits in ((1, "up"), (-1, "down"))))
+    of = kinds.select("early", "n", F.explode(sides).alias("of")).select("early", "n", "of.*")
     n = F.size("s")
     three = F.flatten(F.flatten(F.transform("s", lambda a, i: F.transform(F.slice(F.col("s"), i + 2, n), lambda b, j: F.transform(F.slice(F.col("s"), i + j + 3, n), lambda c: F.struct(a.alias("a"), b.alias("b"), c.alias("c")))))))
-    return p.where(n >= 3).select("side", "early", "y", F.explode(three).alias("t")).select("t.*", "side", "early", "y")
+    return of.where(n >= 3).select("side", "early", "n", "hits", F.explode(three).alias("t")).select("t.*", "side", "early", "n", "hits")
 
 
 TRIPLES = f"{PANEL_SQL}, {FWD}, st AS (SELECT *, sign(state)::INT AS side FROM panel WHERE state <> 0), tr AS (SELECT x.indicator AS a, y.indicator AS b, z.indicator AS c, x.side, f.early, f.y FROM st x JOIN st y ON x.symbol = y.symbol AND x.bar_no = y.bar_no AND x.side = y.side AND x.indicator < y.indicator JOIN st z ON x.symbol = z.symbol AND x.bar_no = z.bar_no AND x.side = z.side AND y.indicator < z.indicator JOIN fwd f ON f.symbol = x.symbol AND f.bar_no = x.bar_no WHERE f.y IS NOT NULL)"
@@ -129,8 +136,7 @@ TRIPLES = f"{PANEL_SQL}, {FWD}, st AS (SELECT *, sign(state)::INT AS side FROM p
 
 @query("f46_triples", f"WITH {TRIPLES} SELECT a, b, c, side, count(*) AS n, round(avg((y * side > 0)::INT), 6) AS hit FROM tr GROUP BY ALL HAVING count(*) >= 30 AND avg((y * side > 0)::INT) >= 0.55")
 def green_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hit = F.avg((F.col("y") * F.col("side") > 0).cast("int"))
-    return triples(spark, sf_dir).groupBy("a", "b", "c", "side").agg(F.count("*").alias("n"), hit.alias("h")).where("n >= 30 and h >= 0.55").select("a", "b", "c", "side", "n", F.round("h", 6).alias("hit"))
+    return triples(spark, sf_dir).groupBy("a", "b", "c", "side").agg(F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("h")).where("n >= 30 and h >= 0.55").select("a", "b", "c", "side", "n", F.round("h", 6).alias("hit"))
 
 
 @query(
@@ -139,8 +145,10 @@ def green_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Combinations found on the first bars, judged on the later ones."""
-    hit, early = (F.col("y") * F.col("side") > 0).cast("int"), F.col("early")
-    g = triples(spark, sf_dir).groupBy("a", "b", "c", "side").agg(F.count_if(early).alias("n1"), F.count_if(~early).alias("n2"), F.avg(F.when(early, hit)).alias("h1"), F.avg(F.when(~early, hit)).alias("h2"))
+    total = lambda c, part: F.coalesce(F.sum(F.when(part, F.col(c))), F.lit(0).cast("long"))
+    early = F.col("early")
+    g = triples(spark, sf_dir).groupBy("a", "b", "c", "side").agg(total("n", early).alias("n1"), total("n", ~early).alias("n2"), total("hits", early).alias("k1"), total("hits", ~early).alias("k2"))
+    g = g.withColumn("h1", F.col("k1") / F.nullif(F.col("n1"), F.lit(0))).withColumn("h2", F.col("k2") / F.nullif(F.col("n2"), F.lit(0)))
     gap = F.col("h1") - F.col("h2")
     verdict = F.when(F.col("n2") < 10, "INSUFFICIENT").when(gap < 0.1, "REAL").when(gap <= 0.2, "WEAK").otherwise("OVERFIT")
     return g.where("n1 >= 20 and h1 >= 0.5").select("a", "b", "c", "side", verdict.alias("verdict"))
@@ -242,19 +250,32 @@ def volume_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("f79_streaks", f"WITH {TRADES}, o AS (SELECT strategy, trade_id, line_no, notional, pnl > 0 AS win, row_number() OVER (PARTITION BY strategy ORDER BY {ORDER_SQL}) AS i FROM trades), s AS (SELECT *, i - 1 - coalesce(max(CASE WHEN win THEN i END) OVER (PARTITION BY strategy ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS streak, count(*) OVER p AS k, avg(win::INT) OVER p AS wr FROM o WINDOW p AS (PARTITION BY strategy ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) SELECT strategy, trade_id, line_no, notional, least(streak, 50) AS since_win, round(CASE WHEN k >= 5 THEN wr ELSE 0.5 END, 6) AS recent_rate FROM s")
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades since the last win and the win rate of the last twenty, both as known before the trade."""
-    by = W.partitionBy("strategy")
-    o = trades(spark, sf_dir).withColumn("i", F.row_number().over(by.orderBy(*IN_ORDER))).withColumn("win", (F.col("pnl") > 0).cast("int"))
-    before, p = by.orderBy("i").rowsBetween(W.unboundedPreceding, -1), by.orderBy("i").rowsBetween(-20, -1)
-    streak = F.col("i") - 1 - F.coalesce(F.max(F.when(F.col("win") == 1, F.col("i"))).over(before), F.lit(0))
+    """Trades since the last win and the win rate of the last twenty, both as known before the trade.
+
+    Trades are numbered over ranges of time; windows then run in runs of numbers, each with the twenty trades before it, and the last win
+    before a run comes from a row for each run.
+    """
+    o = blocks.running_sums(trades(spark, sf_dir).select("strategy", "trade_id", *IN_ORDER), ["strategy"], IN_ORDER, {"i": F.lit(1)}).withColumn("win", (F.col("pnl") > 0).cast("int"))
+    o = staged(o.select("strategy", "trade_id", "line_no", "notional", "win", "i"), "numbered-trades")
+    run = F.floor((F.col("i") - 1) / RUN)
+    wins = o.groupBy("strategy", run.alias("run")).agg(F.max(F.when(F.col("win") == 1, F.col("i"))).alias("last"))
+    carried = wins.select("strategy", "run", F.max("last").over(W.partitionBy("strategy").orderBy("run").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    each = o.withColumn("run", F.explode(F.sequence(run, F.floor((F.col("i") + 19) / RUN)))).join(carried, ["strategy", "run"], "left")
+    by = W.partitionBy("strategy", "run").orderBy("i")
+    before, p = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(-20, -1)
+    streak = F.col("i") - 1 - F.coalesce(F.max(F.when(F.col("win") == 1, F.col("i"))).over(before), F.col("carried"), F.lit(0))
     rate = F.when(F.count("*").over(p) >= 5, F.avg("win").over(p)).otherwise(0.5)
-    return o.select("strategy", "trade_id", "line_no", "notional", F.least(streak, F.lit(50)).alias("since_win"), F.round(rate, 6).alias("recent_rate"))
+    out = each.withColumn("since_win", F.least(streak, F.lit(50))).withColumn("recent_rate", F.round(rate, 6)).where(run == F.col("run"))
+    return out.select("strategy", "trade_id", "line_no", "notional", "since_win", "recent_rate")
 
 
 @query("f80_trailing_losses", f"WITH {TRADES}, o AS (SELECT strategy, pnl > 0 AS win, row_number() OVER (PARTITION BY strategy ORDER BY {ORDER_SQL}) AS i FROM trades) SELECT strategy, max(i) - coalesce(max(i) FILTER (win), 0) AS losses FROM o GROUP BY 1")
 def trailing_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = trades(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("strategy").orderBy(*IN_ORDER)))
-    return o.groupBy("strategy").agg((F.max("i") - F.coalesce(F.max(F.when(F.col("pnl") > 0, F.col("i"))), F.lit(0))).alias("losses"))
+    """How many trades came after the latest win: a maximum by strategy, and a count of what lies beyond it."""
+    o = staged(trades(spark, sf_dir).select("strategy", F.struct(*IN_ORDER).alias("at"), (F.col("pnl") > 0).alias("win")), "trades-in-order")
+    won = F.broadcast(o.groupBy("strategy").agg(F.max(F.when(F.col("win"), F.col("at"))).alias("won")))  # a row a strategy
+    after = o.join(won, "strategy").groupBy("strategy").agg(F.count_if(F.col("won").isNull() | (F.col("at") > F.col("won"))).alias("losses"))
+    return after
 
 
 @query("f83_rolling_correlation", f"WITH {BARS}, x AS (SELECT ts, close AS a FROM bars WHERE symbol = 'click'), y AS (SELECT ts, close AS b FROM bars WHERE symbol = 'purchase'), j AS (SELECT *, row_number() OVER (ORDER BY ts) AS i FROM x JOIN y USING (ts)), c AS (SELECT *, corr(a, b) OVER v AS c, a / lag(a, 5) OVER (ORDER BY i) - 1 AS da, b / lag(b, 5) OVER (ORDER BY i) - 1 AS db FROM j WINDOW v AS (ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) SELECT ts, round(CASE WHEN i >= 20 THEN c END, 5) AS corr, coalesce(abs(da) >= 0.04 AND abs(db) < abs(da) / 2, false) AS lagging FROM c")

@@ -204,3 +204,92 @@ def test_window_queries(spark):
     assert got and {r["wild"] for r in got} == {0, 1} and all(r["since"] >= 0 for r in got)
     fitted = QUERIES["f57_logistic_fit"](spark, SMALL).where("r2 > 0.3").collect()
     assert fitted and all(0.001 <= r["rate"] <= 2 for r in fitted)
+
+
+# --- searches, filters and order statistics
+
+
+def test_quantiles_of_groups_by_ranges(spark):
+    from tapewright.operators import order_stats
+
+    rng = np.random.default_rng(4)
+    values = {"a": rng.normal(0, 1, 3000), "b": rng.integers(0, 4, 500).astype(float), "c": np.array([2.5]), "d": np.array([1.0, 4.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), (None, 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(6)
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.973, "least": 0.0, "most": 1.0}
+    got = {r["k"]: r for r in order_stats.quantiles(df.where("k is not null"), "x", ["k"], shares).collect()}
+    assert set(got) == set(values)
+    for k, v in values.items():
+        for n, p in shares.items():
+            assert got[k][n] == pytest.approx(np.quantile(v, p), abs=1e-12)
+    whole = order_stats.quantiles(df, "x", [], {"q": 0.25}).first()["q"]
+    assert whole == pytest.approx(np.quantile([x for _, x in rows if x is not None], 0.25), abs=1e-12)
+    assert order_stats.quantiles(df.where("false"), "x", ["k"], shares).isEmpty()
+
+
+def test_policy_goes_where_rewards_are(spark):
+    from tapewright.operators import policy
+
+    rng = np.random.default_rng(7)
+    a = rng.uniform(0, 1, (4000, 2))
+    r = -((a[:, 0] - 0.8) ** 2) - 2 * (a[:, 1] - 0.3) ** 2 + rng.normal(0, 0.05, 4000)
+    df = spark.createDataFrame([(*map(float, x), float(y)) for x, y in zip(a, r, strict=True)] + [(0.5, None, 1.0)], "u double, v double, r double")
+    got = policy.learn(df, ["u", "v"], "r", steps=25)
+    mean, push, sigma = np.array([0.5, 0.5]), np.zeros(2), 0.2
+    for t, step in enumerate(got):
+        w = np.exp(-((a - mean) ** 2).sum(1) / (2 * sigma**2))
+        value = (w * r).sum() / w.sum()
+        assert np.allclose(step.mean, mean, atol=1e-9) and step.value == pytest.approx(value, abs=1e-9)
+        gradient = (w[:, None] * (a - mean) * (r - value)[:, None]).sum(0) / w.sum() / sigma**2
+        push = 0.8 * push + 0.2 * np.clip(gradient, -0.5, 0.5)
+        mean = np.clip(mean + 0.05 / math.sqrt(1 + t / 10) * push * 10, 0, 1)
+        sigma = max(0.05, sigma * 0.99)
+    assert got[-1].value > got[0].value + 0.1 and got[-1].mean[0] > 0.7 and got[-1].mean[1] < 0.4
+    ledger = QUERIES["k10_policy_gradient"](spark, SMALL).first()
+    assert ledger["learned_value"] > ledger["start_value"]
+
+
+def test_halving_finds_the_best_where_parts_resemble_the_whole(spark):
+    from tapewright.operators import simulate
+
+    rows = []
+    for s, stretch in (("a", 9), ("b", 14)):
+        for i in range(1, 1201):
+            k = i % stretch
+            close = 100 + (k if k < stretch / 2 else stretch - k) * 2.0
+            rows.append((s, i, close, close + 0.5, close - 0.5, close, int(k == 0) - int(k == stretch // 2), 1.0))
+    df = spark.createDataFrame(rows, "symbol string, bar_no long, open double, high double, low double, close double, signal int, atr double")
+    pairs = spark.createDataFrame([(0.5 + 0.25 * i, 0.5 + 0.25 * j) for i in range(20) for j in range(20)], "stop_mult double, reward double")
+    got = {r["symbol"]: r for r in simulate.halving(df, pairs, [0.1, 0.3, 1.0]).collect()}
+    whole = simulate.sweep(df, pairs).collect()
+    for s in ("a", "b"):
+        best = max((r for r in whole if r["symbol"] == s), key=lambda r: (r["total"], -r["stop_mult"], -r["reward"]))
+        assert got[s]["total"] == pytest.approx(best["total"])
+    found = QUERIES["k17_halving"](spark, SMALL).collect()
+    assert found and all(0.5 <= r["stop_mult"] <= 3 and 1 <= r["reward"] <= 4.1 for r in found)
+
+
+def test_factors_follow_their_returns(spark):
+    rng = np.random.default_rng(2)
+    z = np.zeros(3)
+    kernel = models.factors(q=0.01, r=0.01)
+    rows, true = [], []
+    for _ in range(600):
+        z = 0.95 * z + rng.normal(0, 0.1, 3)
+        rows.append(models.MIX @ z + rng.normal(0, 0.1, 5))
+        true.append(z)
+    y, true = np.array(rows), np.array(true)
+    y[10, :] = np.nan
+    y[20, 1] = np.nan
+    out = kernel({c: y[:, i] for i, c in enumerate(models.MIX_ORDER)})
+    got = np.stack([out[c] for c in ("trend", "volatility", "momentum")], 1)
+    x, p = np.zeros(3), np.eye(3)
+    for i, row in enumerate(y):  # one return at a time, which is the same filter
+        x, p = 0.95 * x, 0.9025 * p + 0.01 * np.eye(3)
+        for h, v in zip(models.MIX, row, strict=True):
+            if not np.isnan(v):
+                g = p @ h / (h @ p @ h + 0.01)
+                x, p = x + g * (v - h @ x), p - np.outer(g, h) @ p
+        assert np.allclose(got[i], x, atol=1e-8)
+    assert np.corrcoef(got[50:, 0], true[50:, 0])[0, 1] > 0.7
+    assert {r["regime"] for r in QUERIES["k07_factor_filter"](spark, SMALL).collect()} <= {"UP", "DOWN", "VOLATILE", "MOMENTUM"}

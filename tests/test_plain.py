@@ -40,7 +40,7 @@ def rows(spark):
 def test_all_queries_without_sql_are_tested_somewhere():
     tested = {
         *("c18_correlation_cap", "j04_limit_entry", "j08_challenge", "k02_kmeans", "k07_kalman", "k08_regulator", "k09_value_iteration"),  # test_engine
-        *("f55_two_regimes", "f57_logistic_fit", "k11_independent_components", "k11_mahalanobis", "k14_boosted_quantiles"),  # test_learners
+        *("f55_two_regimes", "f57_logistic_fit", "k11_independent_components", "k11_mahalanobis", "k14_boosted_quantiles", "k07_factor_filter", "k10_policy_gradient", "k17_halving"),  # test_learners
         *("f70_level_clusters", "i28_deflated_sharpe", "j13_random_sweep", "k14_quantile_regression", "k05_logistic", "k05_softmax", "k11_principal_components", "k15_boosted_trees", "k16_isotonic", "k17_grid_search", "k20_tree_rules", "k21_clean_portfolio", "k22_look_ahead"),
     }
     assert set(QUERIES) - set(SQL) == tested
