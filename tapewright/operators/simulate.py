@@ -351,6 +351,28 @@ def challenge(account: float = 100_000.0, target: float = 0.08, trailing: float
     return kernel
 
 
+def capped_challenge(account: float = 100_000.0, target: float = 0.08, trailing: float = 0.06, risk: float = 0.01, cap: float = 0.25) -> Callable[..., list[tuple]]:
+    """Days of an account whose day's risk is ``risk`` of its start, or ``cap`` of what lies between balance and floor if that is less.
+
+    A day's result is its sum of risk multiples times that; the floor follows the highest end-of-day balance until it reaches the start.
+    """
+
+    def kernel(day, multiples, **_) -> list[tuple]:
+        balance = high = account
+        floor = account * (1 - trailing)
+        for i, x in enumerate(multiples):
+            balance += x * min(risk * account, cap * (balance - floor))
+            if balance <= floor:
+                return [(i + 1, balance, floor, "bust")]
+            if balance >= account * (1 + target):
+                return [(i + 1, balance, floor, "pass")]
+            high = max(high, balance)
+            floor = min(account, max(floor, high - trailing * account))
+        return [(len(multiples), balance, floor, "open")]
+
+    return kernel
+
+
 def draw(n: Column, *parts: Column | int | str) -> Column:
     """A number from 0 to n - 1 by a hash of ``parts``: the same on every run and every cluster."""
     text = F.concat_ws("/", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))

@@ -13,6 +13,7 @@ from tapewright.operators import metrics as m
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TICKS, TRADES
 from tapewright.sources.market import IN_ORDER, bars, ticks, trades
+from tapewright.sources.staging import staged
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -395,7 +396,8 @@ def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {TRADES}, s AS (SELECT regime AS s, strategy AS a, lead(regime) OVER (PARTITION BY system ORDER BY {IN_ORDER_SQL}) AS s2, r FROM trades) SELECT s, a, s2, count(*) AS n, round(sum(r), 4) AS reward FROM s WHERE s2 IS NOT NULL GROUP BY ALL",
 )
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = blocks.neighbour(trades(spark, sf_dir).select("system", "regime", "strategy", "r", *IN_ORDER), ["system"], IN_ORDER, "regime", "s2", ahead=True)
+    narrow = staged(trades(spark, sf_dir).select("system", "regime", "strategy", "r", *IN_ORDER), "trades")  # ranges read their input twice
+    t = blocks.neighbour(narrow, ["system"], IN_ORDER, "regime", "s2", ahead=True)
     s = t.select(F.col("regime").alias("s"), F.col("strategy").alias("a"), "s2", "r")
     return s.where("s2 is not null").groupBy("s", "a", "s2").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("reward"))
 

@@ -78,6 +78,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir).withColumn("later", F.lead("close", 5).over(W.partitionBy("symbol").orderBy("bar_no"))).where("later is not null")
     f = f.dropna().withColumn("label", (F.col("later") > F.col("close")).cast("double"))
     f = f.withColumn("place", (F.col("bar_no") - 1) / F.max("bar_no").over(W.partitionBy("symbol")))  # from 0 to 1 in its series
+    f = staged(f, "labelled-features")  # fits read it again and again
     return VectorAssembler(inputCols=["z", "rsi", "stoch", "atr_pct"], outputCol="features").transform(f)
 
 

@@ -83,6 +83,24 @@ def gap_at_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(simulate.trades_of(signals(spark, sf_dir), ["symbol"], OHLC, simulate.bracket(gap="best"))).drop("reason")
 
 
+SURE = bracket_sql().replace("coalesce(atr, 0) AS atr, CASE WHEN fast > slow AND fast1 <= slow1 THEN 1 WHEN fast < slow AND fast1 >= slow1 THEN -1 ELSE 0 END AS signal FROM s1)", "coalesce(atr, 0) AS atr, CASE WHEN least(greatest(abs(close - open) / nullif(coalesce(atr, 0), 0), 0.1), 0.95) < 0.3 THEN 0 WHEN fast > slow AND fast1 <= slow1 THEN 1 WHEN fast < slow AND fast1 >= slow1 THEN -1 ELSE 0 END AS signal FROM s1)")
+COSTED = SURE.replace("SELECT symbol, entry_bar, bar_no AS exit_bar, was AS direction, round(entry, 6) AS entry, round(x, 6) AS exit FROM sim WHERE x IS NOT NULL", """, tr AS (SELECT symbol, entry_bar, bar_no AS exit_bar, round(((x / entry - 1) * was - 2 * 0.0002) * 1000000)::BIGINT AS net FROM sim WHERE x IS NOT NULL),
+eq AS (SELECT *, 1000000 + sum(net) OVER w AS equity FROM tr WINDOW w AS (PARTITION BY symbol ORDER BY exit_bar)), pk AS (SELECT *, greatest(max(equity) OVER (PARTITION BY symbol ORDER BY exit_bar), 1000000) AS peak FROM eq)
+SELECT symbol, count(*) AS n, count(*) FILTER (net > 0) AS wins, round(sum(net) / 1e6, 6) AS net, round(min((equity - peak) / 1e6), 6) AS drawdown FROM pk GROUP BY 1""")
+
+
+@query("j02_costed_trades", COSTED)
+def costed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracket trades on signals of enough confidence, less a commission at each end: what they earn by symbol, and the deepest fall."""
+    sure = F.least(F.greatest(F.abs(F.col("close") - F.col("open")) / F.nullif(F.col("atr"), F.lit(0.0)), F.lit(0.1)), F.lit(0.95)) < 0.3
+    b = signals(spark, sf_dir).withColumn("signal", F.when(sure, 0).otherwise(F.col("signal")))
+    t = simulate.trades_of(b, ["symbol"], OHLC, simulate.bracket())
+    t = t.withColumn("net", F.round(((F.col("exit") / F.col("entry") - 1) * F.col("direction") - 2 * 0.0002) * 1_000_000).cast("long"))
+    w = W.partitionBy("symbol").orderBy("exit_bar").rowsBetween(W.unboundedPreceding, 0)  # trades of a series of bars
+    e = t.withColumn("equity", 1_000_000 + F.sum("net").over(w)).withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(1_000_000)))
+    return e.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("net") > 0).alias("wins"), F.round(F.sum("net") / 1_000_000, 6).alias("net"), F.round(F.min((F.col("equity") - F.col("peak")) / 1_000_000), 6).alias("drawdown"))
+
+
 CLOSE_BASED = f"""WITH RECURSIVE {SIGNALS}, sg AS (SELECT *, {lag('signal')} AS s1, {lag('atr')} AS a1 FROM sig),
 sim AS (SELECT symbol, bar_no, 0 AS pos, CAST(0 AS BIGINT) AS start, CAST(0 AS DOUBLE) AS entry, CAST(0 AS DOUBLE) AS best, CAST(0 AS DOUBLE) AS a0, CAST(NULL AS VARCHAR) AS why, CAST(0 AS DOUBLE) AS x, 0 AS was FROM sg WHERE bar_no = 1
   UNION ALL SELECT symbol, bar_no, CASE WHEN pos <> 0 THEN CASE WHEN why IS NULL THEN pos ELSE 0 END WHEN s1 <> 0 THEN s1 ELSE 0 END, CASE WHEN pos = 0 AND s1 <> 0 THEN bar_no ELSE start END, CASE WHEN pos = 0 AND s1 <> 0 THEN open ELSE entry END,
@@ -206,6 +224,22 @@ def challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("balance", F.round("balance", 4)).withColumn("floor", F.round("floor", 4))
 
 
+CAPPED = f"""WITH RECURSIVE {TRADES}, d AS (SELECT strategy, regime, exit_ts::DATE AS day, round(sum(r) / 5, 6) AS x FROM trades GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY strategy, regime ORDER BY day) AS k, count(*) OVER (PARTITION BY strategy, regime) AS last FROM d),
+sim AS (SELECT DISTINCT strategy, regime, 0::BIGINT AS k, 100000::DOUBLE AS balance, 100000::DOUBLE AS high, 94000::DOUBLE AS lowest, 94000::DOUBLE AS next_lowest, 'go' AS outcome FROM n
+  UNION ALL SELECT strategy, regime, k, b, greatest(high, b), lowest, least(100000, greatest(lowest, greatest(high, b) - 6000)), CASE WHEN b <= lowest THEN 'bust' WHEN b >= 108000 THEN 'pass' WHEN k = last THEN 'open' ELSE 'go' END
+  FROM (SELECT n.strategy, n.regime, n.k, n.last, p.high, p.next_lowest AS lowest, p.balance + n.x * least(1000, 0.25 * (p.balance - p.next_lowest)) AS b FROM sim p JOIN n ON n.strategy = p.strategy AND n.regime = p.regime AND n.k = p.k + 1 WHERE p.outcome = 'go'))
+SELECT strategy, regime, k AS days, round(balance, 4) AS balance, round(CASE WHEN outcome = 'open' THEN next_lowest ELSE lowest END, 4) AS floor, outcome FROM sim WHERE outcome <> 'go'"""
+
+
+@query("j08_capped_risk", CAPPED)
+def capped_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every strategy and regime as an account whose risk shrinks with its distance from the floor."""
+    day = F.datediff(F.to_date("exit_ts"), F.lit("1990-01-01").cast("date")).cast("long").alias("bar_no")
+    d = trades(spark, sf_dir).groupBy("strategy", "regime", day).agg(F.round(F.sum("r") / 5, 6).alias("x"))
+    out = simulate.trades_of(d, ["strategy", "regime"], ["x"], simulate.capped_challenge(), simulate.CHALLENGE)
+    return out.withColumn("balance", F.round("balance", 4)).withColumn("floor", F.round("floor", 4))
+
+
 LEGAL = [("F", "F"), ("F", "O"), ("O", "O")]
 
 
