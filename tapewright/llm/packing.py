@@ -67,19 +67,24 @@ class Open:
         return [m for held in self.by_room for m in held]
 
 
+def fills(bins: Bins, sizes: list[int]) -> list[int]:
+    size = sizes.__getitem__
+    return [sum(map(size, m)) for m in bins]
+
+
 def refit(kept: Bins, loose: Sequence[int], sizes: list[int], capacity: int) -> Bins:
     """``kept`` bins, with loose items added by best fit, largest first."""
     bins = Open(capacity)
-    for members in kept:
-        bins.put(list(members), capacity - sum(sizes[i] for i in members))
-    for i in sorted(loose, key=lambda i: (-sizes[i], i)):
+    for members, fill in zip(kept, fills(kept, sizes), strict=True):
+        bins.put(list(members), capacity - fill)
+    for i in sorted(sorted(loose), key=sizes.__getitem__, reverse=True):  # of equal sizes the first goes first
         bins.fit(i, sizes[i])
     return bins.bins()
 
 
 def fitness(bins: Bins, sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins are better; among equals those whose fill is less even."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum(f * f for f in fills(bins, sizes)) / capacity**2
 
 
 def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
@@ -87,7 +92,7 @@ def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Ran
 
     Well-filled are those without room; if there are none, those filled to ``KEEP``, or else the fullest quarter.
     """
-    fill = [sum(sizes[i] for i in m) for m in a]
+    fill = fills(a, sizes)
     least = max([f for f in (capacity, KEEP * capacity) if f <= max(fill, default=0)], default=sorted(fill)[-(-3 * len(fill) // 4) - 1] if fill else 0)
     full = [m for m, f in zip(a, fill, strict=True) if f >= least]
     injected = rng.sample(full, rng.randint(1, max(1, len(full) // 2))) if full else []
@@ -103,7 +108,7 @@ def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Ran
 
 def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """Empty the least filled bins and a few others."""
-    order = sorted(bins, key=lambda m: sum(sizes[i] for i in m))
+    order = [m for _, _, m in sorted(zip(fills(bins, sizes), range(len(bins)), bins, strict=True))]
     n = min(len(order), max(2, len(order) // 20))
     gone = order[:n] + (rng.sample(order[n:], min(n, len(order) - n)))
     marked = {id(m) for m in gone}
@@ -118,10 +123,10 @@ def in_order(order: Sequence[int], sizes: list[int], capacity: int) -> Bins:
     return bins.bins()
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int, mutation: float = 0.5) -> tuple[Bins, bool]:
+def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int, mutation: float = 0.5, patience: int = 12) -> tuple[Bins, bool]:
     """The best solution, and whether it was bred; of solutions of as many bins a bred one goes before one that was not.
 
-    The population begins with ``start`` (elites, which were bred), best fit largest first, and best fit in random orders.
+    Breeding also ends after ``patience`` generations without a solution of fewer bins. The population begins with ``start`` (elites, which were bred), best fit largest first, and best fit in random orders.
     """
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
@@ -131,6 +136,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], popula
     pool = [(fitness(b, sizes, capacity), bred, b) for b, bred in found]
     rank = lambda p: (p[0][0], p[1], p[0][1])
     best = max((p for p in pool if p[1]), key=rank, default=None)
+    since = 0
     for _ in range(generations):
         into = max(rng.sample(pool, 2), key=rank)[2]
         child = crossover(rng.choice([p[2] for p in pool if p[2] is not into]), into, sizes, capacity, rng)
@@ -139,8 +145,9 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], popula
         made = (fitness(child, sizes, capacity), True, child)
         pool.append(made)
         pool.remove(min(pool, key=rank))
+        since = 0 if best is None or made[0][0] > best[0][0] else since + 1
         best = made if best is None else max(best, made, key=rank)
-        if -best[0][0] <= bound:
+        if -best[0][0] <= bound or since == patience:
             break
     _, bred, bins = max([*pool, *([best] if best else [])], key=rank)
     return bins, bred
