@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewright.functions import scans
 from tapewright.functions.frames import prev
 from tapewright.operators import metrics as m
-from tapewright.operators import boosting, components, models, order_stats, policy, scalars
+from tapewright.operators import boosting, cells, components, models, order_stats, policy, scalars
 from tapewright.plans.gate_queries import features
 from tapewright.plans.registry import Registry
 from tapewright.plans.sql import BARS, TRADES, lag
@@ -51,6 +51,15 @@ def neighbour_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("query_id").agg(F.count_if(F.col("label") == 1).alias("ones"), (F.count_if(F.col("label") == 1) >= 5).alias("block"))
 
 
+@query("k03_indexed_veto", SQL["k03_neighbour_veto"])
+def indexed_veto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours as ``k03_neighbour_veto``, from cells around centres."""
+    e = vectors(spark, sf_dir)
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    top = cells.nearest(cells.build(e, "vec_id", "v"), q, "v", 10)
+    return top.groupBy("query_id").agg(F.count_if(F.col("label") == 1).alias("ones"), (F.count_if(F.col("label") == 1) >= 5).alias("block"))
+
+
 @query(
     "k04_local_win_chance",
     f"WITH {KNN}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS k FROM p), t AS (SELECT query_id, label, sqrt(round(d, 9)) AS d, max(sqrt(round(d, 9))) OVER (PARTITION BY query_id) AS h FROM k WHERE k <= 20), w AS (SELECT query_id, label, (1 - (d / (h * 1.0001)) ** 3) ** 3 AS w FROM t) SELECT query_id, round(least(greatest(sum(w * (label % 2)) / sum(w), 0.05), 0.95), 5) AS chance FROM w GROUP BY 1",

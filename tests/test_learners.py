@@ -293,3 +293,26 @@ def test_factors_follow_their_returns(spark):
         assert np.allclose(got[i], x, atol=1e-8)
     assert np.corrcoef(got[50:, 0], true[50:, 0])[0, 1] > 0.7
     assert {r["regime"] for r in QUERIES["k07_factor_filter"](spark, SMALL).collect()} <= {"UP", "DOWN", "VOLATILE", "MOMENTUM"}
+
+
+def test_cells_lose_no_neighbour_and_make_few_pairs(spark):
+    from tapewright.operators import cells
+
+    rng = np.random.default_rng(8)
+    middles = rng.normal(0, 10, (20, 6))
+    x = np.concatenate([m + rng.normal(0, 1, (60, 6)) for m in middles] + [np.repeat(middles[:1], 30, axis=0)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9999, None)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>").repartition(5)
+    asked = df.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).unionByName(spark.createDataFrame([(-1, [50.0] * 6)], "query_id long, qv array<double>"))
+    index = cells.build(df, "vec_id", "v", 16)
+    assert index.rows.count() == len(x)
+    for k in (1, 7):
+        got = {}
+        for r in cells.nearest(index, asked, "v", k, probes=1).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = (r["distance"], r["vec_id"])
+        for r in asked.collect():
+            d = ((x - np.array(r["qv"])) ** 2).sum(1).round(9)
+            want = sorted((float(d[i]), i) for i in range(len(x)) if i != r["query_id"])[:k]
+            assert [(round(a, 6), b) for a, b in (got[r["query_id"]][n + 1] for n in range(k))] == [(round(a, 6), b) for a, b in want]
+    assert cells.share_of_pairs(index, asked, 1) < 0.15
+    assert cells.nearest(cells.build(df.where("false"), "vec_id", "v"), asked.where("false"), "v", 3).isEmpty()
