@@ -2,13 +2,19 @@
 
 Words (matches of the splitting pattern) are merged together, not one by one: an inverted index from token pair to
 word positions lets each merge, in rank order, touch every place it applies to at once, and only the neighbours of a
-merged place get new index entries. Each task replays the distinct words of its own slice of the corpus and keeps
-the ids of words it has met, so there is no shuffle and nothing passes through the driver but the rank file.
+merged place get new index entries.
+
+The words of the whole corpus are counted first (all of them, each once a task and then by shuffle). The commonest, as
+many as fit into ``COMMON_BYTES``, are replayed together through one index over all of them, and their ids are
+broadcast, which that bound allows. Rarer words are replayed by the slice of texts in which they stand, through the
+same index over the slice's words: joining their ids back would shuffle every text once more. Which words are common
+changes no id. Through the driver go the rank file and the bounded table of common words.
 
 Defined results: null and empty texts have no ids; texts of any length are encoded whole, repeated rows alike; an empty
 table gives an empty result; ids are little-endian unsigned 32-bit integers in a binary column
 (``ids_to_array`` gives them as an array); unknown ids decode to null for the row; columns of the same name are
-replaced, others pass through whatever their names.
+replaced, others pass through whatever their names. The table is read twice, to count and to encode; a row that is
+different the second time is still encoded rightly, as a word without a count is replayed like a rare one.
 """
 
 from __future__ import annotations
@@ -16,20 +22,29 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+import uuid
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewright.llm.common import others
+from tapewright.llm.common import others, tidy, written
 
 KNOWN_WORDS = 300_000
 SLICE_WORDS = 8_000
+#: Bound on what the common words and their ids take as Python objects in a worker.
+COMMON_BYTES = 32 << 20
+#: Words of more characters are not counted but replayed where they stand.
+LONGEST_COUNTED = 256
+#: Characters of text after which a task hands on what it has counted.
+COUNTED_CHARS = 64 << 20
 # Runs without white space, with one space before; runs of white space up to such. White space as patterns' \s has it.
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACED_PARTS = rf" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+"
@@ -39,7 +54,7 @@ _loaded: dict[tuple, Replay] = {}
 class Replay:
     """Merges by rank over a slice of words at a time, with a bounded memory of words already done."""
 
-    def __init__(self, rank_file: bytes, pattern: str, parts: str | None = None) -> None:
+    def __init__(self, rank_file: bytes, pattern: str, parts: str | None = None, common: bytes | None = None) -> None:
         self.ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, rank_file.splitlines()) if t}
         self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern).findall
@@ -54,6 +69,8 @@ class Replay:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        table = pa.ipc.open_stream(common).read_all() if common else None
+        self.common = dict(zip(*(c.to_pylist() for c in table.columns), strict=True)) if table else {}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = (self.merges.get(int(a) << self.shift | int(b), -1) for a in self.single for b in self.single)
         self.first = np.fromiter(pairs, np.int64, 1 << 16)  # the rank of each pair of bytes
@@ -114,14 +131,29 @@ class Replay:
         stops = (np.cumsum(left)[ends] * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
-    def learn(self, parts: list[str]) -> None:
-        """Ids of parts not met before; their words that are new are merged together.
+    def is_word(self, part: str) -> bool:
+        """ASCII letters alone, with a space before or not, are one word."""
+        return not self.parts_of or (part.isascii() and (part[1:] if part[0] == " " else part).isalpha())
+
+    def ids_of(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of different words; those that are no token themselves are merged together."""
+        out, merge = {}, []
+        for w in words:
+            raw = w.encode()
+            if (ids := self.common.get(w)) is not None:
+                out[w] = ids
+            elif (one := self.ranks.get(raw)) is not None:
+                out[w] = one.to_bytes(4, "little")
+            else:
+                merge.append((w, raw))
+        out.update(zip((w for w, _ in merge), self.replay([r for _, r in merge]), strict=True))
+        return out
 
-        ASCII letters alone, with a space before or not, are one word; of them only the part is remembered.
-        """
+    def learn(self, parts: list[str]) -> None:
+        """Ids of parts not met before; their words that are new are merged together. Of words that are parts only the part is remembered."""
         split, whole = {}, []
         for p in parts:
-            if not self.parts_of or (p.isascii() and (p[1:] if p[0] == " " else p).isalpha()):
+            if self.is_word(p):
                 whole.append(p)
             else:
                 split[p] = self.split(p)
@@ -129,15 +161,8 @@ class Replay:
         if len(self.words) + len(new) > KNOWN_WORDS:
             self.words.clear()
             new = {w for words in split.values() for w in words}
-        for at, kind in ((self.known, whole), (self.words, new)):
-            merge = []
-            for w in kind:
-                raw = w.encode()
-                if (one := self.ranks.get(raw)) is None:
-                    merge.append((w, raw))
-                else:
-                    at[w] = one.to_bytes(4, "little")
-            at.update(zip((w for w, _ in merge), self.replay([r for _, r in merge]), strict=True))
+        self.known.update(self.ids_of(whole))
+        self.words.update(self.ids_of(new))
         known = self.words
         for p, words in split.items():
             self.known[p] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
@@ -174,6 +199,28 @@ class Replay:
         for parts in pending:
             yield parts if isinstance(parts, bytes) else b"".join(map(self.known.__getitem__, parts))
 
+    def count(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words of texts with how often they occur, handed on before they are many."""
+        parts, chars = Counter(), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if text:
+                    parts.update((self.parts_of or self.split)(text))
+                    chars += len(text)
+                if len(parts) > KNOWN_WORDS or chars > COUNTED_CHARS:
+                    yield from self.counted(parts)
+                    parts, chars = Counter(), 0
+        yield from self.counted(parts)
+
+    def counted(self, parts: Counter) -> Iterator[pa.RecordBatch]:
+        words = Counter()
+        for p, n in parts.items():
+            for w in [p] if self.is_word(p) else self.split(p):
+                if len(w) <= LONGEST_COUNTED:
+                    words[w] += n
+        if words:
+            yield from pa.table({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())}).to_batches(10_000)
+
     def decode(self, ids: bytes) -> bytes | None:
         try:
             return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
@@ -181,13 +228,14 @@ class Replay:
             return None
 
 
-def replay_of(rank_file: Broadcast, pattern: str, parts: str | None) -> Replay:
-    """One Replay a worker process, which later tasks of the process use again."""
+def replay_of(rank_file: Broadcast, pattern: str, parts: str | None, common: Broadcast | None = None, name: str = "") -> Replay:
+    """One Replay a worker process, which later tasks of the process use again; ``name`` tells tables of common words apart."""
     raw = rank_file.value
-    key = (len(raw), hash(raw), pattern, parts)
+    key = (len(raw), hash(raw), pattern, parts, name)
     if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Replay(raw, pattern, parts)
+        while len(_loaded) > 1:  # one that encodes and one that decodes
+            _loaded.pop(next(iter(_loaded)))
+        _loaded[key] = Replay(raw, pattern, parts, common and common.value)
     return _loaded[key]
 
 
@@ -200,39 +248,84 @@ class ByteBpe:
 
     def __init__(self, spark: SparkSession, rank_path: str, pattern: str, parts: str | None = None) -> None:
         with open(rank_path, "rb") as f:
-            ranks = spark.sparkContext.broadcast(f.read())
+            self._ranks = spark.sparkContext.broadcast(f.read())
+        self._pattern, self._parts = pattern, parts
+
+    def counts(self, df: DataFrame, text: str) -> DataFrame:
+        """``word`` and how often it occurs in all texts (``n``); words of over ``LONGEST_COUNTED`` characters are left out."""
+        ranks, pattern, parts = self._ranks, self._pattern, self._parts
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return replay_of(ranks, pattern, parts).count(batches)
+
+        return df.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    def common(self, df: DataFrame, text: str, most_bytes: int = COMMON_BYTES) -> pa.Table:
+        """The commonest words and their ids, replayed through one index; whole classes of like counts, within ``most_bytes``."""
+        ranks, pattern, parts = self._ranks, self._pattern, self._parts
+        cost = F.lit(150) + 5 * F.octet_length("word")  # a word, at most an id a byte, and what Python adds
+
+        def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = [w for batch in batches for w in batch.column(0).to_pylist()]
+            ids = replay_of(ranks, pattern, parts).ids_of(words)
+            yield from pa.table({"word": pa.array(ids.keys(), pa.string()), "ids": pa.array(ids.values(), pa.binary())}).to_batches(10_000)
+
+        with tidy(df.sparkSession):
+            words = written(self.counts(df, text).withColumn("level", F.floor(F.log2("n") * 4).cast("int")), "words")
+            least, taken = 1 << 30, 0
+            for r in words.groupBy("level").agg(F.sum(cost).alias("bytes")).orderBy(F.desc("level")).collect():  # four levels a doubling
+                taken += r["bytes"]
+                if taken > most_bytes:
+                    break
+                least = r["level"]
+            head = words.where(F.col("level") >= least).select("word")
+            return head.repartition(1).mapInArrow(replay, "word string, ids binary").toArrow()  # one index, of bounded size
+
+    def _replay(self, df: DataFrame, text: str):
+        """What gives a worker's Replay, with the common words of ``df``."""
+        found = self.common(df, text)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, found.schema) as out:
+            out.write_table(found)
+        common, name = df.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+        ranks, pattern, parts = self._ranks, self._pattern, self._parts
+        return lambda: replay_of(ranks, pattern, parts, common, name)
 
-        @F.pandas_udf("struct<ids:binary,decoded:binary>")
-        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            bpe = replay_of(ranks, pattern, parts)
-            for texts in batches:
-                ids = list(bpe.encode(["" if t is None else t for t in texts]))
-                yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]}, dtype=object)
+    def encode(self, df: DataFrame, text: str, out: str = "ids") -> DataFrame:
+        replay = self._replay(df, text)
 
         @F.pandas_udf("binary")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            bpe = replay_of(ranks, pattern, parts)
+            bpe = replay()
             for texts in batches:
                 yield pd.Series(list(bpe.encode(["" if t is None else t for t in texts])), dtype=object)
 
+        return df.withColumn(out, encode(F.col(text)))
+
+    def decode(self, df: DataFrame, ids: str, out: str = "decoded") -> DataFrame:
+        ranks, pattern, parts = self._ranks, self._pattern, self._parts
+
         @F.pandas_udf("binary")
         def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             bpe = replay_of(ranks, pattern, parts)
-            for ids in batches:
-                yield pd.Series([None if i is None else bpe.decode(i) for i in ids], dtype=object)
+            for given in batches:
+                yield pd.Series([None if i is None else bpe.decode(i) for i in given], dtype=object)
 
-        self._encode, self._decode, self._both = encode, decode, both
-
-    def encode(self, df: DataFrame, text: str, out: str = "ids") -> DataFrame:
-        return df.withColumn(out, self._encode(F.col(text)))
-
-    def decode(self, df: DataFrame, ids: str, out: str = "decoded") -> DataFrame:
-        return df.withColumn(out, self._decode(F.col(ids)))
+        return df.withColumn(out, decode(F.col(ids)))
 
     def round_trip(self, df: DataFrame, text: str) -> DataFrame:
         """``df`` with ``ids`` and what they decode to, ``decoded``, from one pass through one worker."""
+        replay = self._replay(df, text)
+
+        @F.pandas_udf("struct<ids:binary,decoded:binary>")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            bpe = replay()
+            for texts in batches:
+                ids = list(bpe.encode(["" if t is None else t for t in texts]))
+                yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]}, dtype=object)
+
         given = F.struct(*others(df, "ids", "decoded")).alias("given")
-        return df.select(given, self._both(F.col(text)).alias("coded")).select("given.*", "coded.ids", "coded.decoded")
+        return df.select(given, both(F.col(text)).alias("coded")).select("given.*", "coded.ids", "coded.decoded")
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

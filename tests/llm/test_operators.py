@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tapewright.llm import bpe, chat, line_dedup, media, order_minhash, packing, quality_rules, ring, token_pieces, url_filter, warc
@@ -577,7 +578,7 @@ def test_line_dedup_matches_all_pairs(spark):
 # --- 8 byte-level BPE
 
 
-def test_merge_replay_matches_the_library(spark, docs):
+def test_merge_replay_matches_the_library(spark, docs, monkeypatch):
     import base64
 
     import tiktoken
@@ -593,6 +594,20 @@ def test_merge_replay_matches_the_library(spark, docs):
             ids = enc.encode_ordinary(r["text"] or "")
             assert bytes(r["ids"]) == struct.pack(f"<{len(ids)}I", *ids)
             assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    words = Counter(w for r in rows.collect() for w in regex.findall(public_tokenizers.PATTERN, r["text"] or "") if len(w) <= bpe.LONGEST_COUNTED)
+    assert {r["word"]: r["n"] for r in coder.counts(rows, "text").collect()} == words
+    for most in (bpe.COMMON_BYTES, 20_000, 0):  # the commonest words, as many as the bound allows
+        head = coder.common(rows, "text", most).to_pylist()
+        assert sum(150 + 5 * len(r["word"].encode()) for r in head) <= most and (len(head) == len(words) if most == bpe.COMMON_BYTES else len(head) < len(words))
+        least = min((words[r["word"]] for r in head), default=0)
+        assert all(words[w] <= least for w in words.keys() - {r["word"] for r in head}) or not head
+        for r in head:
+            ids = enc.encode_ordinary(r["word"])
+            assert r["ids"] == struct.pack(f"<{len(ids)}I", *ids)
+        monkeypatch.setattr(bpe.ByteBpe, "common", lambda self, df, text, made=coder.common(rows, "text", most): made)
+        got = {bytes(r["ids"]) for r in coder.encode(rows, "text").collect()}
+        monkeypatch.undo()
+        assert got == {struct.pack(f"<{len(i)}I", *i) for i in (enc.encode_ordinary(r["text"] or "") for r in rows.collect())}
     both = coder.decode(coder.encode(rows, "text"), "ids").withColumn("a", bpe.ids_to_array("ids"))
     assert both.where(~F.col("decoded").eqNullSafe(F.encode(F.coalesce("text", F.lit("")), "UTF-8")) | (F.size("a") != bpe.n_ids(F.col("ids")))).isEmpty()
 
