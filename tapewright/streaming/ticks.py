@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -183,50 +184,72 @@ def anomalies(bars: DataFrame, losses: int = 3, still: int = 5) -> DataFrame:
 
 
 class Expiry(StatefulProcessor):
-    """A decision waits for its outcome, for ``hours`` of event time at most; a timer of its own ends the wait."""
+    """Decisions wait for their outcomes, for ``hours`` of event time at most; a timer at the earliest end of a bucket ends waits.
+
+    A key is a bucket of decisions, so that a call of Python takes many of them at once: the state of a bucket is a table of
+    what is open (``ms``: when it was placed) and of outcomes that came first (``ms``: -1), and the time of its timer.
+    """
 
     def __init__(self, hours: int) -> None:
         self.wait = hours * 3_600_000 + 1  # a decision of just this age is not stale yet
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.timer = handle.getValueState("timer", "at long")  # there while the decision is open; -1: its outcome came first
+        self.bucket = handle.getValueState("bucket", "held binary, timer long")
 
     def close(self) -> None:
         pass
 
+    def held(self) -> tuple[pd.DataFrame, int | None]:
+        if not self.bucket.exists():
+            return pd.DataFrame({"decision": np.zeros(0, np.int64), "ms": np.zeros(0, np.int64)}), None
+        held, timer = self.bucket.get()
+        x = np.frombuffer(held, np.int64).reshape(2, -1)
+        return pd.DataFrame({"decision": x[0], "ms": x[1]}), timer
+
+    def hold(self, rest: pd.DataFrame, timer: int | None) -> None:
+        """Keep ``rest`` and have the timer at the earliest end in it."""
+        waiting = rest.loc[rest["ms"] >= 0, "ms"]
+        at = int(waiting.min()) + self.wait if len(waiting) else None
+        if timer != at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if len(rest):
+            self.bucket.update((np.stack([rest["decision"], rest["ms"]]).astype(np.int64).tobytes(), at))
+        elif self.bucket.exists():
+            self.bucket.clear()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before, timer = self.held()
         frame = pd.concat(list(rows))
-        placed, done = frame.loc[frame["placed"], "ms"], not frame["placed"].all()
-        known = self.timer.get()[0] if self.timer.exists() else None
-        if done and (known is not None or len(placed)):
-            if known is not None and known >= 0:
-                self.handle.deleteTimer(known)
-            self.timer.clear()
-            yield pd.DataFrame({"decision": [key[0]], "status": ["labelled"]})
-        elif done:
-            self.timer.update((-1,))
-        elif known == -1:
-            self.timer.clear()
-            yield pd.DataFrame({"decision": [key[0]], "status": ["labelled"]})
-        elif known is None:
-            at = int(placed.min()) + self.wait
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+        came = pd.DataFrame({"decision": frame["decision"], "ms": frame["ms"].where(frame["placed"], -1)})
+        every = pd.concat([before, came]).sort_values(["decision", "ms"]).drop_duplicates(["decision", "ms"])
+        done = every["ms"] < 0
+        placed = every[~done].drop_duplicates("decision")  # the earliest
+        over = placed["decision"].isin(every.loc[done, "decision"])
+        labelled = placed.loc[over, "decision"]
+        self.hold(pd.concat([placed[~over], every[done & ~every["decision"].isin(labelled)]]), timer)
+        yield pd.DataFrame({"decision": labelled.to_numpy(), "status": "labelled"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.timer.clear()
-        yield pd.DataFrame({"decision": [key[0]], "status": ["expired"]})
+        before, timer = self.held()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = (before["ms"] >= 0) & (before["ms"] + self.wait <= now)
+        self.hold(before[~over], None)  # the timer that fired is gone
+        yield pd.DataFrame({"decision": before.loc[over, "decision"].to_numpy(), "status": "expired"})
 
 
-def stale(decisions: DataFrame, outcomes: DataFrame, hours: int = 48, late: str = "0 seconds") -> DataFrame:
+def stale(decisions: DataFrame, outcomes: DataFrame, hours: int = 48, late: str = "0 seconds", buckets: int = 16) -> DataFrame:
     """``labelled`` or ``expired`` for each decision once its outcome, or the end of its time, has come.
 
-    Both streams have ``decision`` and ``ts``; what neither has happened to yet is only in the state.
+    Both streams have ``decision`` (an integer) and ``ts``; what neither has happened to yet is only in the state, which is dealt
+    into ``buckets`` by the decision's hash.
     """
     mark = lambda df, placed: df.select("decision", "ts", F.unix_millis("ts").alias("ms"), F.lit(placed).alias("placed"))
-    both = mark(decisions, True).unionByName(mark(outcomes, False)).withWatermark("ts", late)
-    return both.groupBy("decision").transformWithStateInPandas(Expiry(hours), "decision long, status string", "append", "EventTime")
+    both = mark(decisions, True).unionByName(mark(outcomes, False)).where("decision is not null").withWatermark("ts", late)
+    return both.withColumn("bucket", F.pmod(F.xxhash64("decision"), F.lit(buckets))).groupBy("bucket").transformWithStateInPandas(Expiry(hours), "decision long, status string", "append", "EventTime")
 
 
 def take_new(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str, run: int) -> DataFrame:

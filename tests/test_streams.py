@@ -68,3 +68,35 @@ def test_outcome_before_its_decision(spark, monkeypatch):
     got = stream_queries.finished(spark, ticks.stale(*(a.stream for a in came)), "stale", *came).collect()
     spark.conf.unset(stream_queries.STORE) if before is None else spark.conf.set(stream_queries.STORE, before)
     assert sorted(map(tuple, got)) == [(1, "expired"), (2, "labelled"), (4, "labelled"), (5, "labelled")]  # 3 is 48 hours old at the end
+
+
+def test_a_bucket_of_decisions_is_taken_at_once():
+    """One call takes all decisions of a key; one timer, at the earliest end, expires what is over then and moves on."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.state, self.timers = None, []
+
+        getValueState = lambda self, name, schema: self
+        exists = lambda self: self.state is not None
+        get = lambda self: self.state
+        registerTimer = lambda self, at: self.timers.append(at)
+        deleteTimer = lambda self, at: self.timers.remove(at)
+        getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: self.timers.pop() if self.timers else 0
+
+        def update(self, value):
+            self.state = value
+
+        def clear(self):
+            self.state = None
+
+    handle, job = Handle(), ticks.Expiry(1)
+    job.init(handle)
+    rows = lambda *r: iter([pd.DataFrame(r, columns=["decision", "ms", "placed"])])
+    told = lambda frames: [tuple(r) for f in frames for r in f.itertuples(index=False)]
+    assert told(job.handleInputRows((0,), rows((1, 10, True), (2, 20, True), (3, 5, False), (4, 30, True), (4, 40, False)), handle)) == [(4, "labelled")]
+    assert handle.timers == [10 + 3_600_001]
+    assert told(job.handleInputRows((0,), rows((3, 50, True), (5, 60, True)), handle)) == [(3, "labelled")]
+    assert told(job.handleExpiredTimer((0,), handle, handle)) == [(1, "expired")] and handle.timers == [20 + 3_600_001]
+    assert told(job.handleInputRows((0,), rows((2, 70, False)), handle)) == [(2, "labelled")] and handle.timers == [60 + 3_600_001]
