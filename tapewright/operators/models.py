@@ -12,28 +12,6 @@ from tapewright.functions.scans import Arrays
 from tapewright.operators import blocks
 from tapewright.sources.staging import staged
 
-#: Query rows of a few numbers that are sent to every executor in one block.
-BLOCK_ROWS = 50_000
-
-
-def neighbours(rows: DataFrame, queries: DataFrame, distance: Column, k: int, key: str = "vec_id", query: str = "query_id") -> DataFrame:
-    """The ``k`` rows nearest to each query (ties by key), with ``distance`` and ``rank``.
-
-    ``distance`` is an expression over columns of both sides. Queries are a stated set; they go to the rows in blocks of
-    a counted size, and each task keeps the best ``k`` of a query before anything is shuffled.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    best = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
-        pairs = rows.join(F.broadcast(part)).where(F.col(key) != F.col(query)).withColumn("distance", distance)
-        pairs = pairs.drop(*(f.name for f in pairs.schema if isinstance(f.dataType, T.ArrayType)))  # vectors have done their part before pairs are ranked
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy("distance", key))).where(F.col("rank") <= k)
-        best = ranked if best is None else best.unionByName(ranked)
-    return best
-
-
 def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
