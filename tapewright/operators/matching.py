@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,22 +50,31 @@ def still_open(events: DataFrame, key: str, kind: str, order: Sequence[str], ope
 def capped_open(df: DataFrame, group: str, start: str, end: str, order: Sequence[str], most: int) -> DataFrame:
     """``df`` with ``accepted``: in time order a row is taken unless ``most`` taken rows of its group are still open.
 
-    The choice depends on all choices before it, so a group is one ordered series.
+    The choice depends on all choices before it, so a group is one ordered series. A task reads its groups one after another in
+    batches, whatever their number and size, and holds no more than the ends that are open in the present one. A row without
+    a start comes last and is taken; one without an end closes at once.
     """
     schema = df.withColumn("accepted", F.lit(True)).schema
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable")
-        open_until: list = []
-        taken = []
-        for a, b in zip(frame[start], frame[end], strict=True):
-            open_until = [x for x in open_until if x >= a]
-            taken.append(len(open_until) < most)
-            if taken[-1]:
-                open_until.append(b)
-        return frame.assign(accepted=taken)
-
-    return df.groupBy(group).applyInPandas(run, schema)
+    def numbers(column: pa.Array) -> list:
+        kind = column.type
+        return (column.cast(pa.int64()) if pa.types.is_timestamp(kind) else column.cast(pa.int32()) if pa.types.is_date32(kind) else column).to_pylist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_until = object(), []
+        for batch in batches:
+            taken = []
+            for g, a, b in zip(batch.column(group).to_pylist(), numbers(batch.column(start)), numbers(batch.column(end)), strict=True):
+                if g != now:
+                    now, open_until = g, []
+                open_until = [x for x in open_until if x >= a] if a is not None else []
+                taken.append(len(open_until) < most)
+                if taken[-1] and b is not None:
+                    open_until.append(b)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(taken, pa.bool_())], names=[*batch.schema.names, "accepted"])
+
+    dealt = df.repartition(group).sortWithinPartitions(group, *(F.asc_nulls_last(c) for c in order))
+    return dealt.mapInArrow(run, schema)
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
