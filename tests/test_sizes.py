@@ -29,3 +29,16 @@ def test_capped_open_takes_groups_in_batches(spark):
         if want[x] and b is not None:
             held[g].append(b)
     assert got == want
+
+
+def test_implied_volatility_takes_a_batch_at_once(spark):
+    """The volatility that a price was made with; none where something is missing; no fold over a sequence a row."""
+    from tapewright.operators import scalars as s
+
+    rows = [(100.0, 80.0 + 10 * i, 0.25 + 0.25 * i, 0.03, 0.15 + 0.05 * i) for i in range(5)] + [(100.0, None, 1.0, 0.03, 0.2)]
+    df = spark.createDataFrame(rows, "s double, k double, t double, r double, sigma double")
+    priced = df.withColumn("price", s.black_scholes_call(*map(F.col, ("s", "k", "t", "r", "sigma"))))
+    out = priced.withColumn("found", s.implied_volatility(*map(F.col, ("price", "s", "k", "t", "r"))))
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for r in out.collect():
+        assert r["found"] == (None if r["k"] is None else pytest.approx(r["sigma"], abs=1e-5))
