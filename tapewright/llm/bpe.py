@@ -75,8 +75,8 @@ class Replay:
         pairs = (self.merges.get(int(a) << self.shift | int(b), -1) for a in self.single for b in self.single)
         self.first = np.fromiter(pairs, np.int64, 1 << 16)  # the rank of each pair of bytes
 
-    def start(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]]]:
-        """Single-byte tokens of all words, -1 after each; where words end; positions of pairs by rank."""
+    def start(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]], np.ndarray]:
+        """Single-byte tokens of all words, -1 after each; where words end; positions of pairs by rank, and ranks by position."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
         data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
@@ -84,19 +84,22 @@ class Replay:
         tok = np.full(int(ends[-1]) + 2, -1, np.int64)
         tok[place] = self.single[data]
         ranks = np.where(np.diff(place) == 1, self.first[data[:-1] << 8 | data[1:]], -1)
+        pairs = np.full(len(tok), -1, np.int64)
+        pairs[place[:-1]] = ranks
         hit = np.flatnonzero(ranks >= 0)
         hit = hit[np.argsort(ranks[hit], kind="stable")]
         kinds, cuts = np.unique(ranks[hit], return_index=True)
         index = {int(r): at.tolist() for r, at in zip(kinds, np.split(place[hit], cuts[1:]), strict=False)}
-        return tok, ends, index
+        return tok, ends, index, pairs
 
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Ids of every word, by merges over all words at once."""
         if not words:
             return []
-        shift, merges, ranks = self.shift, self.merges.get, self.merges
-        tokens, ends, index = self.start(words)
+        shift, merges = self.shift, self.merges.get
+        tokens, ends, index, pairs = self.start(words)
         tok = tokens.tolist()  # between words are negative ones; no pair reaches over them
+        now = pairs.tolist()  # the rank of the pair that begins at a place, negative for none: what the index has of it before is stale
         n = len(tok)
         nxt = list(range(1, n + 1))
         prv = list(range(-1, n - 1))
@@ -108,23 +111,31 @@ class Replay:
             at.sort()
             left = rank << shift
             for i in at:
-                if (a := tok[i]) < 0 or (b := tok[j := nxt[i]]) < 0 or ranks.get(a << shift | b) != rank:
+                if now[i] != rank:
                     continue
+                j = nxt[i]
                 nxt[i] = k = nxt[j]
-                tok[i], tok[j] = rank, -2
                 prv[k] = i
+                tok[i], tok[j], now[j] = rank, -2, -1
                 if (c := tok[k]) >= 0 and (r := merges(left | c)) is not None:
-                    if r not in index:
+                    now[i] = r
+                    try:
+                        index[r].append(i)
+                    except KeyError:
                         heapq.heappush(heap, r)
                         index[r] = [i]
-                    else:
-                        index[r].append(i)
-                if (c := tok[h := prv[i]]) >= 0 and (r := merges(c << shift | rank)) is not None:
-                    if r not in index:
+                else:
+                    now[i] = -1
+                h = prv[i]
+                if (c := tok[h]) >= 0 and (r := merges(c << shift | rank)) is not None:
+                    now[h] = r
+                    try:
+                        index[r].append(h)
+                    except KeyError:
                         heapq.heappush(heap, r)
                         index[r] = [h]
-                    else:
-                        index[r].append(h)
+                else:
+                    now[h] = -1
         done = np.array(tok)
         left = done >= 0
         packed = done[left].astype("<u4").tobytes()
@@ -213,19 +224,38 @@ class Replay:
         yield from self.counted(parts)
 
     def counted(self, parts: Counter) -> Iterator[pa.RecordBatch]:
-        words = Counter()
+        is_word, words, others = self.is_word, {}, []
         for p, n in parts.items():
-            for w in [p] if self.is_word(p) else self.split(p):
+            if is_word(p) and len(p) <= LONGEST_COUNTED:
+                words[p] = n
+            else:
+                others.append((p, n))
+        for p, n in others:
+            for w in self.split(p):
                 if len(w) <= LONGEST_COUNTED:
-                    words[w] += n
+                    words[w] = words.get(w, 0) + n
         if words:
             yield from pa.table({"word": pa.array(words.keys(), pa.string()), "n": pa.array(words.values(), pa.int64())}).to_batches(10_000)
 
     def decode(self, ids: bytes) -> bytes | None:
-        try:
-            return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        except KeyError:
+        """The bytes of the tokens, laid end to end from one array that holds those of all tokens; None if an id is unknown."""
+        if not hasattr(self, "lengths"):
+            self.lengths = np.zeros(max(self.bytes_of) + 1, np.int32)
+            for r, t in self.bytes_of.items():
+                self.lengths[r] = len(t)
+            self.starts = np.zeros((len(self.lengths),), np.int32)
+            self.starts[1:] = np.cumsum(self.lengths[:-1])
+            self.flat = np.frombuffer(b"".join(self.bytes_of.get(r, b"") for r in range(len(self.lengths))), np.uint8)
+        at = np.frombuffer(ids, dtype="<u4")
+        if not len(at):
+            return b""
+        if at.max() >= len(self.lengths) or not (sizes := self.lengths[at]).all():
             return None
+        steps = np.ones(int(sizes.sum()), np.int32)  # a byte's place in the array, as the step from the place before
+        starts = self.starts[at]
+        steps[np.cumsum(sizes[:-1])] = starts[1:] - starts[:-1] - sizes[:-1] + 1
+        steps[0] = starts[0]
+        return self.flat[np.cumsum(steps, dtype=np.int32)].tobytes()
 
 
 def replay_of(rank_file: Broadcast, pattern: str, parts: str | None, common: Broadcast | None = None, name: str = "") -> Replay:
