@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tapewright.sources.staging import staged
 
+#: Combinations of nodes of several trees that are counted together.
+MOST_NODES = 512
+
 
 @dataclass
 class Tree:
@@ -87,16 +91,31 @@ def fit_quantiles(df: DataFrame, features: Sequence[str], y: str, taus: Sequence
 
 
 def grow(rows: DataFrame, trees: dict[float, Tree], features: Sequence[str], level: int, least: int) -> None:
-    """Split the nodes of a level."""
-    grad = lambda t: F.when(F.col("_y") > F.col(name(t)), t).otherwise(t - 1)
-    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tau"), trees[t].node().alias("node"), grad(t).alias("g")) for t in trees))).alias("x")
-    bins = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"_bin_{c}").alias("bin")) for c in features))).alias("b")
-    spread = rows.select(each, *(f"_bin_{c}" for c in features)).select("x.*", bins).where(F.col("node") >= 1 << level)
-    found = spread.groupBy("tau", "node", "b.feature", "b.bin").agg(F.count("*").alias("n"), F.sum("g").alias("g")).collect()  # nodes times features times bins
-    by: dict[tuple[float, int], dict[str, list[tuple[int, int, float]]]] = defaultdict(lambda: defaultdict(list))
-    for r in found:
-        by[r["tau"], r["node"]][r["feature"]].append((r["bin"], r["n"], r["g"]))
+    """Split the nodes of a level.
+
+    A row counts once a feature for several quantiles together: its key is one number, made of the feature, the bin and the row's node
+    in each tree, and gradients are sums of numbers of rows above their prediction. Quantiles are taken together as long as keys stay few.
+    """
+    base = 2 << level
+    together = max(1, int(math.log(MOST_NODES, base)))
+    by: dict[tuple[float, int], dict[str, dict[int, list]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(lambda: [0, 0])))
+    for first in range(0, len(trees), together):
+        taus = list(trees)[first : first + together]
+        nodes = sum((trees[t].node() * base**i for i, t in enumerate(taus)), F.lit(0))
+        at = rows.select(nodes.cast("long").alias("nodes"), *(f"_bin_{c}" for c in features), *((F.col("_y") > F.col(name(t))).cast("long").alias(name(t)) for t in taus))
+        size = base ** len(taus)
+        keys = F.array(*(F.col("nodes") + size * (F.lit(i) + len(features) * F.col(f"_bin_{c}").cast("long")) for i, c in enumerate(features)))
+        found = at.select(F.explode(keys).alias("key"), *(name(t) for t in taus)).groupBy("key").agg(F.count("*").alias("n"), *(F.sum(name(t)).alias(name(t)) for t in taus)).collect()  # nodes times features times bins
+        for r in found:
+            rest, code = divmod(r["key"], size)
+            bin_, i = divmod(rest, len(features))
+            for j, t in enumerate(taus):
+                if (node := code // base**j % base) >= 1 << level:
+                    sums = by[t, node][features[i]][bin_]
+                    sums[0] += r["n"]
+                    sums[1] += r[name(t)]
     for (tau, node), histograms in sorted(by.items()):
+        histograms = {f: [(at, n, tau * n - (n - above)) for at, (n, above) in cells.items()] for f, cells in histograms.items()}
         best = None
         for feature, cells in sorted(histograms.items()):
             n, g = sum(c[1] for c in cells), sum(c[2] for c in cells)

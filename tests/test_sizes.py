@@ -42,3 +42,18 @@ def test_implied_volatility_takes_a_batch_at_once(spark):
     assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
     for r in out.collect():
         assert r["found"] == (None if r["k"] is None else pytest.approx(r["sigma"], abs=1e-5))
+
+
+def test_boosting_counts_a_row_once_a_feature(spark):
+    """Quantiles are counted together: a row makes a key a feature, and no text or structure a feature and quantile."""
+    from tapewright.operators import boosting
+
+    df = spark.range(400).selectExpr("id % 16 AS _bin_a", "id % 3 AS _bin_b", "cast(id % 16 > 7 AS double) AS _y", "0.5D AS q_10", "0.5D AS q_50", "0.5D AS q_90")
+    seen, trees = [], {t: boosting.Tree() for t in (0.1, 0.5, 0.9)}
+    made = type(df).collect
+    spied = lambda self: seen.append(self.columns) or made(self)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "collect", spied)
+        boosting.grow(df, trees, ["a", "b"], 0, 20)
+    assert seen == [["key", "n", "q_10", "q_50", "q_90"]]
+    assert all(t.splits == {1: ("_bin_a", 7)} for t in trees.values())
