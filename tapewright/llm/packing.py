@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -39,46 +40,62 @@ Bins = list[list[int]]
 KEEP = 0.98
 
 
+class Filled(list):
+    """Bins that know their fills. Their lists are shared between solutions and never changed."""
+
+    def __init__(self, bins: Bins, fill: list[int]) -> None:
+        super().__init__(bins)
+        self.fill = fill
+
+
 class Open:
     """Bins by the room they have left, with the fullest that still fits found by bits."""
 
     def __init__(self, capacity: int) -> None:
         self.capacity, self.by_room, self.mask = capacity, [[] for _ in range(capacity + 1)], 0
 
-    def put(self, members: list[int], room: int) -> None:
-        self.by_room[room].append(members)
-        self.mask |= 1 << room
-
-    def fit(self, item: int, size: int) -> None:
-        """Best fit: the least room of at least ``size``, else a new bin."""
-        rooms = self.mask >> size
-        if rooms:
-            room = size + (rooms & -rooms).bit_length() - 1
-            held = self.by_room[room]
-            members = held.pop()
-            if not held:
-                self.mask ^= 1 << room
-        else:
-            room, members = self.capacity, []
-        members.append(item)
-        self.put(members, room - size)
-
-    def bins(self) -> Bins:
-        return [m for held in self.by_room for m in held]
+    def put(self, bins: Bins, fill: list[int]) -> None:
+        by_room, capacity = self.by_room, self.capacity
+        for members, f in zip(bins, fill, strict=True):
+            by_room[capacity - f].append(members)
+        self.mask = sum(1 << room for room, held in enumerate(by_room) if held)
+
+    def fit(self, items: Sequence[int], sizes: list[int]) -> None:
+        """Best fit of items in the given order: the least room of at least the item's size, else a new bin."""
+        by_room, capacity, mask = self.by_room, self.capacity, self.mask
+        for item in items:
+            size = sizes[item]
+            rooms = mask >> size
+            if rooms:
+                room = size + (rooms & -rooms).bit_length() - 1
+                held = by_room[room]
+                members = [*held.pop(), item]
+                if not held:
+                    mask ^= 1 << room
+            else:
+                room, members = capacity, [item]
+            room -= size
+            by_room[room].append(members)
+            mask |= 1 << room
+        self.mask = mask
+
+    def bins(self) -> Filled:
+        fill = [self.capacity - room for room, held in enumerate(self.by_room) for _ in held]
+        return Filled([m for held in self.by_room for m in held], fill)
 
 
 def fills(bins: Bins, sizes: list[int]) -> list[int]:
+    if isinstance(bins, Filled):
+        return bins.fill
     size = sizes.__getitem__
     return [sum(map(size, m)) for m in bins]
 
 
-def refit(kept: Bins, loose: Sequence[int], sizes: list[int], capacity: int) -> Bins:
+def refit(kept: Bins, loose: Sequence[int], sizes: list[int], capacity: int) -> Filled:
     """``kept`` bins, with loose items added by best fit, largest first."""
     bins = Open(capacity)
-    for members, fill in zip(kept, fills(kept, sizes), strict=True):
-        bins.put(list(members), capacity - fill)
-    for i in sorted(sorted(loose), key=sizes.__getitem__, reverse=True):  # of equal sizes the first goes first
-        bins.fit(i, sizes[i])
+    bins.put(kept, fills(kept, sizes))
+    bins.fit(sorted(sorted(loose), key=sizes.__getitem__, reverse=True), sizes)  # of equal sizes the first goes first
     return bins.bins()
 
 
@@ -94,32 +111,34 @@ def crossover(a: Bins, b: Bins, sizes: list[int], capacity: int, rng: random.Ran
     """
     fill = fills(a, sizes)
     least = max([f for f in (capacity, KEEP * capacity) if f <= max(fill, default=0)], default=sorted(fill)[-(-3 * len(fill) // 4) - 1] if fill else 0)
-    full = [m for m, f in zip(a, fill, strict=True) if f >= least]
+    full = [(m, f) for m, f in zip(a, fill, strict=True) if f >= least]
     injected = rng.sample(full, rng.randint(1, max(1, len(full) // 2))) if full else []
-    taken = {i for m in injected for i in m}
-    kept, loose = list(injected), []
-    for m in b:
-        if taken.isdisjoint(m):
-            kept.append(m)
+    taken = {i for m, _ in injected for i in m}
+    apart = taken.isdisjoint
+    kept, loose = injected, []
+    for m, f in zip(b, fills(b, sizes), strict=True):
+        if apart(m):
+            kept.append((m, f))
         else:
             loose += [i for i in m if i not in taken]
-    return refit(kept, loose, sizes, capacity)
+    return refit(Filled([m for m, _ in kept], [f for _, f in kept]), loose, sizes, capacity)
 
 
 def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """Empty the least filled bins and a few others."""
-    order = [m for _, _, m in sorted(zip(fills(bins, sizes), range(len(bins)), bins, strict=True))]
+    fill = fills(bins, sizes)
+    order = sorted(range(len(bins)), key=fill.__getitem__)
     n = min(len(order), max(2, len(order) // 20))
     gone = order[:n] + (rng.sample(order[n:], min(n, len(order) - n)))
-    marked = {id(m) for m in gone}
-    return refit([m for m in bins if id(m) not in marked], [i for m in gone for i in m], sizes, capacity)
+    marked = set(gone)
+    kept = [k for k in range(len(bins)) if k not in marked]
+    return refit(Filled([bins[k] for k in kept], [fill[k] for k in kept]), [i for k in gone for i in bins[k]], sizes, capacity)
 
 
 def in_order(order: Sequence[int], sizes: list[int], capacity: int) -> Bins:
     """Best fit of items in the given order."""
     bins = Open(capacity)
-    for i in order:
-        bins.fit(i, sizes[i])
+    bins.fit(order, sizes)
     return bins.bins()
 
 
@@ -130,7 +149,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], popula
     """
     rng = random.Random(seed)
     bound = -(-sum(sizes) // capacity)
-    found = [(b, True) for b in start] + [(refit([], range(len(sizes)), sizes, capacity), False)]
+    found = [(Filled(b, fills(b, sizes)), True) for b in start] + [(refit([], range(len(sizes)), sizes, capacity), False)]
     while len(found) < population:
         found.append((in_order(rng.sample(range(len(sizes)), len(sizes)), sizes, capacity), False))
     pool = [(fitness(b, sizes, capacity), bred, b) for b, bred in found]
@@ -174,10 +193,13 @@ def _packed(df: DataFrame, length: str, capacity: int, block_rows: int, islands:
         block, island = int(key[0]), int(key[1])
         own = frame[frame["source"] == -1].sort_values("_row")
         row_ids, sizes = own["_row"].to_numpy(), own["_size"].astype("int64").tolist()
-        index = {int(r): i for i, r in enumerate(row_ids)}
-        start = []
-        for _, solution in frame[frame["source"] >= 0].groupby("source", sort=True):
-            start.append([[index[int(r)] for r in members] for _, members in solution.sort_values(["bin", "at"]).groupby("bin", sort=True)["_row"]])
+        elites = frame[frame["source"] >= 0].sort_values(["source", "bin", "at"])
+        place = np.searchsorted(row_ids, elites["_row"].to_numpy()).tolist()
+        source, first = elites["source"].to_numpy(), (elites["at"] == 0).to_numpy()
+        cuts = [*np.flatnonzero(first).tolist(), len(place)]
+        start = [[] for _ in np.unique(source)]
+        for k, (lo, hi) in zip(np.unique(source[first], return_inverse=True)[1].tolist(), pairwise(cuts), strict=True):
+            start[k].append(place[lo:hi])
         first_seed = hash((seed, block, island, len(start)))  # of integers, so the same in every process
         best, bred = evolve(sizes, capacity, first_seed, start, population, generations, (island + 1) / (islands + 1))
         order = [i for m in best for i in sorted(m)]
@@ -195,7 +217,7 @@ def _packed(df: DataFrame, length: str, capacity: int, block_rows: int, islands:
             }
         )
 
-    none = lambda kind: F.lit(None).cast(kind)
+    none = lambda kind: F.lit(-1).cast(kind)
     base = items.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "_row", "_size", F.lit(-1).alias("source"), none("long").alias("bin"), none("int").alias("at"))
     feed, solutions = base, None
     for epoch in range(max(2, epochs)):

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -256,6 +257,51 @@ def test_pieces_and_packing(spark, docs):
         packing.pack(spark.createDataFrame([(65,)], "length long"), "length", 64).count()
 
 
+def test_a_chunk_of_texts_looks_a_part_up_once_and_has_the_librarys_ids():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as f:
+        coder = token_pieces.Coder(f.read())
+    asked = []
+
+    class Counted(token_pieces.Known):
+        def __getitem__(self, part):
+            asked.append(part)
+            return super().__getitem__(part)
+
+    coder.parts = Counted(coder.ids_of_part)
+    texts = ["a b\x1cc D", "", " ", "\u0378 x", "\u0391\u03a3 \u03a3\u0391\u03a3 \u0130I \u01c5", "it's 12\u4e09 foo's' don't'' a'll!", "\u00e9t\u00e9... e\u0301t\u00e9,;'$ \U0001f389\U0001f389", "\u00a0x\u2028y\u3000", "the rain. The rain" * 500, "the rain. the rain the" * 500]
+    ids, ends = coder.encode(texts, b"\0\0\0\0")
+    tok = Tokenizer.from_file(path)
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert np.frombuffer(ids, "<u4").tolist()[: ends[-1] // 4] == [i for w in want for i in w]
+    assert np.diff(ends, prepend=0).tolist() == [4 * len(w) for w in want]
+    assert len(asked) == len(set(asked)) < 50
+
+
+def test_pieces_of_texts_over_many_chunks(spark, monkeypatch):
+    rows = [(i, None if i % 7 == 0 else "word " * (i * 13 % 90) + str(i)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = sorted(map(tuple, token_pieces.token_pieces(docs, "text", path, capacity=16).collect()))
+    monkeypatch.setattr(token_pieces, "CHUNK_BYTES", 300)  # for this process: the same steps without workers
+    with open(path, "rb") as f:
+        coder = token_pieces.Coder(f.read())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    made = [m for b in (batch.slice(0, 150), batch.slice(150), batch.slice(0, 0)) for m in token_pieces.pieces_of(coder, b, "text", ["doc_id"], 16, b"\0\0\0\0")]
+    assert len(made) > 20
+    assert sorted(tuple(r.values()) for b in made for r in b.to_pylist()) == want
+
+
+def test_a_solution_made_by_breeding_knows_its_fills():
+    sizes = [random.Random(1).randint(1, 60) for _ in range(50)]
+    first = packing.refit([], range(50), sizes, 100)
+    rng = random.Random(2)
+    for bins in (first, packing.crossover(first, first, sizes, 100, rng), packing.mutate(first, sizes, 100, rng)):
+        assert packing.fills(bins, sizes) is bins.fill and bins.fill == packing.fills(list(bins), sizes)
+
+
 def test_genetic_steps_keep_every_item_and_improve():
     rng = random.Random(0)
     sizes = [rng.choice([34, 35, 33, 50, 20, 47]) for _ in range(300)]
